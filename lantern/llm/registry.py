@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .packing import op6_best_fit_packing
+from .token_counts import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup,)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op6_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
