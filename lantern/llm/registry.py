@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .mixing import OP9_SQL, op9_source_mixing
+from .near_dedup import op10_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .token_counts import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op6_best_fit_packing, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op6_best_fit_packing, op9_source_mixing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
