@@ -11,11 +11,12 @@ from .mixing import OP9_SQL, op9_source_mixing
 from .near_dedup import op10_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .token_counts import op3_token_counts
+from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op6_best_fit_packing, op9_source_mixing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op6_best_fit_packing, op7_warc, op9_source_mixing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_warc": OP7_SQL, "op9_source_mixing": OP9_SQL}
