@@ -38,7 +38,7 @@ CAPACITY, END = 4096, 1
 #: Rows that one salt of a length is meant to have.
 SALT_ROWS = 1 << 17
 #: Chunks kept with their ids in each worker, and the longest of them in characters.
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 48
 #: White space to str.split() but not to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -48,6 +48,8 @@ class ChunkTokenizer:
 
     The tokenizer drops white space and never joins what it separates, so the ids
     of a text are those of its white-space chunks, most of which are remembered.
+    Nor does it join letters with the punctuation after them. New words are
+    tokenized as one text; each ends with the one id that ends a word.
     """
 
     def __init__(self, model: bytes):
@@ -55,22 +57,49 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_str(model.decode())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, chunks: set[str]) -> None:
+        known, words, rest = self.known, {}, []
+        for chunk in chunks:
+            word = chunk.rstrip(".,;:!?")
+            if word.isalpha():
+                words[word] = None
+                if len(word) < len(chunk):
+                    rest.append((chunk, word, chunk[len(word) :]))
+            else:
+                known[chunk] = self.encode(chunk)
+        if new := [w for w in words if w not in known]:
+            encoding = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0]
+            ids = np.array(encoding.ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(new):
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(new, ends.tolist(), strict=True):
+                    known[word], start = raw[start:end], end
+            else:  # a letter is written as several words
+                known.update((w, self.encode(w)) for w in new)
+        for chunk, word, tail in rest:
+            if tail not in known:
+                known[tail] = self.encode(tail)
+            known[chunk] = known[word] + known[tail]
+
     def ids(self, text: str) -> bytes:
         if "<|" in text and any(s in text for s in self.special):
             return self.encode(text)
         chunks = text.split(" ") if any(s in text for s in SEPARATORS) else text.split()
         known = self.known
-        if new := [c for c in set(chunks) if c not in known]:
-            if len(known) + len(new) > CACHE_CHUNKS:
+        if new := set(chunks).difference(known):
+            if len(known) + 3 * len(new) > CACHE_CHUNKS:
                 known.clear()
-                new = list(set(chunks))
-            for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, "<u4").tobytes()
+                new = set(chunks)
+            self.learn(new)
         out = b"".join(map(known.__getitem__, chunks))
         for chunk in new:
             if len(chunk) > CACHE_CHARS:
