@@ -86,3 +86,37 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     rest = marked.filter(F.col("_heavy_key").isNull()).select(*rows.columns)
     cold = rest.join(light, rest[key] == light[names[key]], how).select(*(rest[c] for c in rows.columns), *(F.col(names[c]).alias(c) for c in out))
     return hot.unionByName(cold)
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, fold_parts: int, held_out: int, per_class: int) -> list:
+    """At most ``per_class`` labelled rows of each class 0 and 1, as Rows (text, label, rank), none of the held-out fold.
+
+    The rows of lowest hash are taken, so the sample is spread over the table
+    and doesn't depend on its layout. It is chosen among the labels alone; only
+    the chosen ids, a bounded number, are joined with the texts.
+    """
+    from pyspark.sql import Window
+
+    allowed = marks.filter(F.col(label).isin(0, 1) & (fold("doc_id", fold_parts) != held_out)).select(F.col("doc_id").alias("s_id"), F.col(label).cast("int").alias("label"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("s_id"), "s_id"))
+    chosen = allowed.withColumn("rank", rank).filter(F.col("rank") <= per_class)
+    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")).select(F.coalesce("text", F.lit("")).alias("text"), "label", "rank")
+    return sorted(texts.collect(), key=lambda r: (r["rank"], r["label"], r["text"]))
+
+
+def logistic(features, labels, l2: float = 1e-3, steps: int = 50):
+    """Weights of a logistic regression, the bias last, by Newton's method; classes weigh the same."""
+    import numpy as np
+
+    x, y = np.column_stack([features, np.ones(len(labels))]), np.asarray(labels, float)
+    share = np.clip(y.mean(), 1e-9, 1 - 1e-9)
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    w, ridge = np.zeros(x.shape[1]), l2 * np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-9
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ w)
+        w = w - np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
