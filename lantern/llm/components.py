@@ -13,22 +13,24 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round gives every node the smallest of its neighbours and itself and
     replaces both ends of all links by these labels. A star of any size becomes
-    one node in one round, and links only get fewer. Labels are written to the
-    checkpoint folder after each round.
+    one node in one round, and links only get fewer. Labels and links are written
+    to the checkpoint folder after each round. A node with very many links is
+    aggregated before it is shuffled, and its links are split by Spark's
+    skew-join handling.
     """
-    edges = common.cut(links.select("a", "b").filter("a != b").distinct())
+    edges = links.select("a", "b").filter("a != b").distinct()
     assigned = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        labels = common.cut(both.groupBy(F.col("a").alias("n")).agg(F.least("n", F.min("b")).alias("label"), F.count(F.lit(1)).alias("degree")))
-        total = labels.agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("n")).first()["n"]
-        if not total:
-            return assigned if assigned is not None else labels.select(F.col("n").alias("node"), F.col("label").alias("component"))
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        labels = common.cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")))
         if assigned is None:
-            assigned = labels.select(F.col("n").alias("node"), F.col("label").alias("component"))
+            assigned = labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
         else:
-            moved = labels.select(F.col("n").alias("m_n"), F.col("label").alias("m_label"))
-            assigned = common.cut(assigned.join(moved, F.col("component") == F.col("m_n"), "left").select("node", F.coalesce("m_label", "component").alias("component")))
+            moved = labels.select(F.col("a").alias("m_node"), F.col("label").alias("m_label"))
+            assigned = assigned.join(moved, F.col("component") == F.col("m_node"), "left").select("node", F.coalesce("m_label", "component").alias("component"))
         for end in ("a", "b"):
-            edges = common.join_groups(edges, labels.withColumnRenamed("n", end), end, "degree", total).drop(end, "degree").withColumnRenamed("label", end)
-        edges = common.cut(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            edges = edges.join(labels.select(F.col("a").alias(end), F.col("label").alias(f"{end}_label")), end)
+        edges = edges.filter("a_label != b_label").select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct()
+        edges = common.cut(edges)
+        if edges.isEmpty():
+            return common.cut(assigned)

@@ -132,25 +132,24 @@ class Duplicates:
         self.signed = common.cut(signatures(docs, width))
         filled = self.signed.filter("node IS NOT NULL")
         self.nodes = common.cut(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-        self.links = self.find()
-        self.of_node = components(self.links)
+        self.of_node = self.find()
 
     def find(self) -> DataFrame:
+        """(node, component) of every node that has a link."""
         rows = self.nodes.select(F.explode("bands").alias("bucket"), "node", "n")
-        total = self.nodes.count() * BANDS
         buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first")).filter("size > 1")
-        active = common.cut(common.join_groups(rows, buckets, "bucket", "size", total))
+        active = common.cut(rows.join(buckets, "bucket").drop("size"))
         wanted = self.nodes.join(active.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("doc_id"))
         texts = self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
         self.sets = common.cut(sets_of(texts, self.width).dropDuplicates(["s_node"]))
         star = active.filter("node != first.node").select(F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n"))
         links = common.cut(confirmed(star.filter(_close(self.threshold)).distinct(), self.sets, self.threshold))
-        left = active.filter("node != first.node").drop("first", "size")
+        left = active.filter("node != first.node").drop("first")
         while True:
             known = components(links)
             left, more = self.remaining(left, known)
             if more is None:
-                return links
+                return known
             links = common.cut(links.unionByName(confirmed(more, self.sets, self.threshold)))
 
     def remaining(self, rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame | None]:
