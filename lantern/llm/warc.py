@@ -119,16 +119,32 @@ def _with_payload(pieces: DataFrame) -> DataFrame:
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
-    """Of candidates (file, offset, next), those on the chain from their file's offset 0, by pointer jumping."""
-    jumps = common.cut(candidates.select("file", "offset", "next"))
-    reached, n = common.cut(jumps.filter("offset = 0").select("file", "offset")), 0
-    while (now := reached.count()) > n:
-        n = now
+    """Of candidates (file, offset, next), those on the chain from their file's offset 0, by pointer jumping.
+
+    Candidates that each lead to the very next one are a run; only where a chain
+    enters a run matters. Pointers jump between these entries: one for each
+    file, and more only where payloads hold the magic.
+    """
+    by_file = Window.partitionBy("file").orderBy("offset")
+    starts = F.coalesce(F.lag("next").over(by_file) != F.col("offset"), F.lit(True)).cast("long")
+    known = common.cut(candidates.withColumn("starts", starts).withColumn("run", F.sum("starts").over(by_file)).drop("starts"))
+    exits = known.groupBy("file", "run").agg(F.max_by("next", "offset").alias("exit"), F.min("offset").alias("first"))
+    targets = exits.select("file", F.explode(F.array("exit", F.when(F.col("first") == 0, F.lit(0)))).alias("offset")).filter("offset IS NOT NULL").distinct()
+    entries = known.join(targets, ["file", "offset"], "left_semi").select("file", "run", "offset").join(exits, ["file", "run"]).select("file", "run", "offset", F.col("exit").alias("next"))
+    entries = common.cut(entries)
+    reached, jumps = entries.filter("offset = 0").select("file", "offset"), _joined(entries, entries)
+    while not jumps.isEmpty():
         ahead = reached.join(jumps, ["file", "offset"]).select("file", F.col("next").alias("offset"))
         reached = common.cut(reached.unionByName(ahead).distinct())
-        following = jumps.select("file", F.col("offset").alias("next"), F.col("next").alias("after"))
-        jumps = common.cut(jumps.join(following, ["file", "next"]).select("file", "offset", F.col("after").alias("next")))
-    return candidates.join(reached, ["file", "offset"], "left_semi")
+        jumps = _joined(jumps, jumps.select("file", "offset", "next"), "after")
+    first = reached.join(entries, ["file", "offset"]).groupBy("file", "run").agg(F.min("offset").alias("entry"))
+    return known.join(first, ["file", "run"]).filter("offset >= entry").drop("run", "entry")
+
+
+def _joined(jumps: DataFrame, following: DataFrame, then: str = "next") -> DataFrame:
+    """Jumps that land on an entry of ``following``, as they are or (``after``) going on from there."""
+    landing = following.select("file", F.col("offset").alias("next"), F.col("next").alias("after"))
+    return common.cut(jumps.join(landing, ["file", "next"]).select("file", "offset", F.col(then).alias("next")))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
