@@ -81,7 +81,7 @@ def schedule(spark: SparkSession, shares: DataFrame, slots: int = SLOTS) -> Data
 
 def laid_out(sized: DataFrame, total: int, rows: int, slots: int = SLOTS) -> DataFrame:
     """``sized`` (m_source, m_size, m_hash) with m_block: the block of its source's words that has a document's middle."""
-    buckets = max(16, rows // BUCKET_ROWS)
+    buckets = max(64, rows // BUCKET_ROWS)
     dealt = sized.withColumn("m_bucket", F.conv(F.substring("m_hash", 1, 8), 16, 10).cast("long") % buckets)
     sums = dealt.groupBy(F.col("m_source").alias("b_source"), F.col("m_bucket").alias("b_bucket")).agg(F.sum("m_size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("b_source").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -134,7 +134,7 @@ WITH sized AS (
          md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
   FROM documents
 ), n AS (
-  SELECT CAST(sum(size) AS BIGINT) AS total, greatest(16, count(*) // {BUCKET_ROWS}) AS buckets FROM sized
+  SELECT CAST(sum(size) AS BIGINT) AS total, greatest(64, count(*) // {BUCKET_ROWS}) AS buckets FROM sized
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, {REPEATS} * CAST(sum(size) AS BIGINT) AS most,
          CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} AS BIGINT) AS weight
