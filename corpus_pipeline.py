@@ -1,10 +1,25 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline: five stages over ``documents``, each on all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of documents. The packing of the last stage carries
+doc_id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import exact_dedup
+from lantern.llm import exact_dedup, language, mixing, near_dedup, packing
+
+#: Documents whose language is less certain than this are rejected, as are those of none.
+LEAST_CERTAINTY = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is certain enough stay."""
+    columns = docs.columns
+    found = language.predict(docs, language.fit(docs), "_language", "_certainty")
+    return found.filter((found["_language"] != language.UNDETERMINED) & (found["_certainty"] >= LEAST_CERTAINTY)).select(columns)
 
 
 def dedup_exactly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +27,29 @@ def dedup_exactly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact dedup", dedup_exactly)]
+def dedup_nearly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by shingles of five words, the one with the smallest doc_id stays."""
+    return near_dedup.deduplicate(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target takes it, three times at most."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", dedup_exactly),
+    ("MinHash near-dedup", dedup_nearly),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack_best_fit),
+]
+#: Stages of Python code can't be expressed in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
