@@ -136,53 +136,58 @@ class Duplicates:
 
     def find(self) -> DataFrame:
         """(node, component) of every node that has a link."""
-        rows = self.nodes.select(F.explode("bands").alias("bucket"), "node", "n")
-        buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first")).filter("size > 1")
-        active = common.cut(rows.join(buckets, "bucket").drop("size"))
-        wanted = self.nodes.join(active.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("doc_id"))
+        rows = self.nodes.select(F.explode("bands").alias("bucket"), "node", "n", "first_id")
+        buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first")).filter("size > 1").drop("size")
+        active = common.cut(rows.join(buckets, "bucket"))
+        wanted = active.select(F.col("first_id").alias("doc_id")).distinct()
         texts = self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
         self.sets = common.cut(sets_of(texts, self.width).dropDuplicates(["s_node"]))
-        star = active.filter("node != first.node").select(F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n"))
+        others = active.filter("node != first.node")
+        star = others.select(F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n"))
         links = common.cut(confirmed(star.filter(_close(self.threshold)).distinct(), self.sets, self.threshold))
-        left = active.filter("node != first.node").drop("first")
+        known, left = components(links), others.select("bucket", "node", "n")
         while True:
-            known = components(links)
             left, more = self.remaining(left, known)
             if more is None:
                 return known
-            links = common.cut(links.unionByName(confirmed(more, self.sets, self.threshold)))
+            found = common.cut(confirmed(more, self.sets, self.threshold))
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                known = components(links)
 
     def remaining(self, rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """The rows (bucket, node, n) that may still link, and the next pairs to compare; no pairs: all is known."""
         labels = known.select(F.col("node").alias("k_node"), "component")
-        held = rows.join(labels, F.col("node") == F.col("k_node"), "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        held = common.cut(held)
-        parts = held.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first"))
-        buckets = common.cut(parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("largest"), F.min("first").alias("first")).filter("parts > 1"))
-        sums = buckets.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("size") - F.col("largest.size")) * F.col("size")), F.lit(0)).alias("pairs")).first()
-        if not sums["rows"]:
+        held = common.cut(rows.join(labels, F.col("node") == F.col("k_node"), "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")))
+        mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("node", "n")).alias("first")).filter("low != high").select("bucket", "first")
+        mine = common.cut(held.join(mixed, "bucket"))
+        if mine.isEmpty():
             return rows, None
-        mine = common.join_groups(held, buckets, "bucket", "size", max(sums["rows"], 1))
+        parts = mine.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+        buckets = common.cut(parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("largest")))
+        sums = buckets.agg(F.sum("size").alias("rows"), F.sum((F.col("size") - F.col("largest.size")) * F.col("size")).alias("pairs")).first()
         if sums["pairs"] <= PAIRS_PER_NODE * max(sums["rows"], 1 << 16):
-            one = mine.filter("component != largest.component").select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"), F.col("largest.component").alias("most"))
+            one = mine.join(buckets, "bucket").filter("component != largest.component").select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"), F.col("largest.component").alias("most"))
             other = mine.select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
             pairs = one.join(other, "bucket").filter((F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("most")) | (F.col("a") < F.col("b"))) & _close(self.threshold))
-            return held.select("bucket", "node", "n").limit(0), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        first_part = mine.filter("node != first.node")
-        pairs = first_part.select(F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).filter(_close(self.threshold))
-        return first_part.select("bucket", "node", "n"), pairs.select("a", "b").distinct()
+            return rows.limit(0), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = mine.filter("node != first.node")
+        pairs = rest.select(F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).filter(_close(self.threshold))
+        return rest.select("bucket", "node", "n"), pairs.select("a", "b").distinct()
 
     def report(self) -> DataFrame:
         """Per row of the input: doc_id, n_shingles, component_id, kept."""
         of = self.of_node.select(F.col("node").alias("c_node"), "component")
-        named = self.nodes.select("node", "first_id", "copies").join(of, F.col("node") == F.col("c_node"), "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("component"))
-        lowest = named.groupBy(F.col("component").alias("l_component")).agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_nodes"))
-        nodes = common.join_groups(named, lowest.withColumnRenamed("l_component", "component"), "component", "n_nodes", 1 << 20).select("node", "copies", "component_id")
+        linked = self.nodes.select("node", "first_id").join(of, F.col("node") == F.col("c_node")).select("node", "first_id", "component")
+        lowest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        named = linked.join(lowest, "component").select(F.col("node").alias("l_node"), "component_id")
+        every = self.nodes.select("node", "copies", "first_id").join(named, F.col("node") == F.col("l_node"), "left")
+        nodes = common.cut(every.select("node", "copies", F.coalesce("component_id", "first_id").alias("component_id")))
+        # a node of many copies isn't joined by a shuffle of its rows
         filled = self.signed.filter("node IS NOT NULL").select("doc_id", "n_shingles", "node")
-        total = self.signed.count()
-        linked = common.join_groups(filled, common.cut(nodes), "node", "copies", total).select("doc_id", "n_shingles", "component_id")
+        found = common.join_groups(filled, nodes, "node", "copies", self.signed.count()).select("doc_id", "n_shingles", "component_id")
         alone = self.signed.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
