@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lantern.plans import search_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = search_queries.QUERIES | text_queries.QUERIES
+ORACLE_SQL = search_queries.SQL | text_queries.SQL
