@@ -1,26 +1,50 @@
-"""Cutting lineage by files in the shared folder that ``spark.checkpoint.dir`` names."""
+"""Cutting lineage by tables in the shared folder that ``spark.checkpoint.dir`` names."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[str] = []
+_TABLES: dict[str, SparkSession] = {}
+
 
 def ensure_folder(spark: SparkSession) -> str:
     """The checkpoint folder; a local one of our own only where the setting is unset, as in tests."""
-    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        if not named:
-            named = tempfile.mkdtemp(prefix="lantern-checkpoint-")
-            atexit.register(shutil.rmtree, named, True)
-        context.setCheckpointDir(named)
-    return named or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="lantern-checkpoint-"))
+        atexit.register(shutil.rmtree, _OWN[0], True)
+    return _OWN[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    ensure_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written to a table in the shared folder and read again.
+
+    Unlike ``checkpoint()``, which keeps the estimates of the plan that it cuts
+    (a product over all its joins, which explodes in loops), a table has its true
+    size. Tables are deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_folder(spark)}/lantern-{spark.sparkContext.applicationId}"
+    if folder not in _TABLES:
+        _TABLES[folder] = spark
+        atexit.register(delete, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is; nothing happens once Spark has stopped."""
+    try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except (AttributeError, OSError):
+        return
