@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lantern.sources.checkpoints import cut, delete, ensure_folder
+
+__all__ = ["cut", "delete", "ensure_folder"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word is a run of anything but space and the bytes 9 to 13.
@@ -25,27 +25,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(named)
-        return named
-    if not context.getCheckpointDir():
-        own = tempfile.mkdtemp(prefix="lantern-checkpoint-")
-        atexit.register(shutil.rmtree, own, True)
-        context.setCheckpointDir(own)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder instead of being computed again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; pure ASCII texts take the faster built-in path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

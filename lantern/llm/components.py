@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives every node the smallest of its neighbours and itself and
     replaces both ends of all links by these labels. A star of any size becomes
     one node in one round, and links only get fewer. Labels and links are written
-    to the checkpoint folder after each round. A node with very many links is
+    to tables in the checkpoint folder after each round. A node with very many links is
     aggregated before it is shuffled, and its links are split by Spark's
     skew-join handling.
     """

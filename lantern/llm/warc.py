@@ -179,11 +179,10 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{common.ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{common.ensure_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     records = common.cut(page_records(spark, path))
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    common.delete(spark, path)
     return records
 
 
