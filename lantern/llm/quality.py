@@ -81,7 +81,8 @@ class Model:
         return np.column_stack([x, *(x[:, i] * x[:, j] for i in range(k) for j in range(i, k))])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.expanded(x) @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        # summed row by row: a matrix product may round equal rows differently
+        return 1 / (1 + np.exp(-np.clip((self.expanded(x) * self.weights[:-1]).sum(1) + self.weights[-1], -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
