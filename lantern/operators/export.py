@@ -105,7 +105,7 @@ def chapter_pages(sources: DataFrame) -> DataFrame:
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([c for h in batch["html"] for c in chapters(h)], columns=["title", "path", "page"])
+            yield pd.DataFrame([c for h in batch["html"] for c in chapters(h)], columns=["title", "path", "page"], dtype=object)
 
     return sources.select("html").mapInPandas(split, "title string, path string, page string")
 
@@ -121,7 +121,7 @@ def rendered(pages: DataFrame, paths: dict[str, str], site: Site) -> DataFrame:
                 if url in known.value:
                     name = title or DEFAULT_TITLE
                     rows.append((url, name, known.value[url], crawled(html, url, name, known.value[url], known.value, site)))
-            yield pd.DataFrame(rows, columns=["url", "title", "path", "page"])
+            yield pd.DataFrame(rows, columns=["url", "title", "path", "page"], dtype=object)
 
     return pages.select("url", "title", "html").mapInPandas(run, "url string, title string, path string, page string")
 

@@ -41,7 +41,7 @@ def with_method(pages: DataFrame, html: str = "html", path: str = "source_path")
         for htmls in batches:
             roots = [markup.parse(h or "") for h in htmls]
             found = [r.find("h1", "h2", "h3") for r in roots]
-            yield pd.DataFrame({"heading": [n.text(" ") if n is not None else None for n in found], "lines": [r.text("\n").splitlines() for r in roots]})
+            yield pd.DataFrame({"heading": [n.text(" ") if n is not None else None for n in found], "lines": [r.text("\n").splitlines() for r in roots]}, dtype=object)
 
     stem = F.regexp_extract(F.col(path), r"([^/]*?)(?:\.[^./]*)?$", 1)
     seen = pages.withColumn("_read", read(html)).withColumn("method", F.coalesce(text.squash(F.col("_read.heading")), stem))
