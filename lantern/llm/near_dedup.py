@@ -15,7 +15,9 @@ about as many comparisons as it has nodes, and no link is lost. Before their
 sets, two nodes' sketches are compared: 4 bits each of ``SKETCHED`` signature
 values. Sets of similarity 0.8 agree in fewer than ``AGREE`` of them in 1 of 50
 million pairs (five and a half deviations), sets of similarity 0.5 in most; pairs
-that fail are dropped inside the join that finds them.
+that fail are dropped inside the join that finds them. So are pairs that too few
+shingles can be common to: one that no other node left to compare has is in no
+intersection, which bounds the similarity of every pair, exactly.
 
 Defined results: null texts and texts without words have an empty set, link
 with nothing and stay; a text with fewer words than a shingle is one shingle;
@@ -147,9 +149,12 @@ def _agreeing(a: Column, b: Column) -> Column:
 
 
 def _close(threshold: int, a: str, b: str) -> Column:
-    """Whether two members (structs of node, n and sketch) may be similar enough, by their sizes and their sketches."""
-    p, q = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(p, q) * 100 >= F.greatest(p, q) * threshold) & (_agreeing(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) >= AGREE)
+    """Whether two members (structs of node, n, shared and sketch) may be similar enough, by their sizes and their sketches.
+
+    ``shared`` shingles of a member can be in another one, so no more are in both.
+    """
+    most = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared"))
+    return (most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * threshold) & (_agreeing(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) >= AGREE)
 
 
 class Duplicates:
@@ -170,7 +175,7 @@ class Duplicates:
         wanted = active.select(F.col("first_id").alias("doc_id")).distinct()
         texts = self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
         self.sets = common.cut(sets_of(texts, self.width).dropDuplicates(["s_node"]))
-        member = self.nodes.select("node", F.struct("node", "n", "sketch").alias("member"))
+        member = self.nodes.select("node", F.struct("node", "n", F.col("n").alias("shared"), "sketch").alias("member"))
         star = active.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
         both = star.join(member.select(F.col("node").alias("a"), F.col("member").alias("a_member")), "a").join(member.select(F.col("node").alias("b"), F.col("member").alias("b_member")), "b")
         links = common.cut(confirmed(both.filter(_close(self.threshold, "a_member", "b_member")), self.sets, self.threshold))
@@ -189,7 +194,7 @@ class Duplicates:
         labels = known.select(F.col("node").alias("k_node"), "component")
         held = common.cut(rows.join(labels, F.col("node") == F.col("k_node"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
         mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low != high").select("bucket", "first")
-        mine = common.cut(held.join(mixed, "bucket").join(member, "node"))
+        mine = common.cut(held.join(mixed, "bucket").join(self.with_shared(member, held.join(mixed, "bucket", "left_semi").select("node").distinct()), "node"))
         if mine.isEmpty():
             return rows, None
         parts = mine.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
@@ -206,6 +211,15 @@ class Duplicates:
         pairs = rest.join(firsts, "first").filter(_close(self.threshold, "a_member", "member"))
         return rest.select("bucket", "node"), pairs.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
 
+    def with_shared(self, member: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The members of ``nodes``, each with how many of its shingles another one of them has too."""
+        left = common.cut(nodes.join(self.sets, F.col("node") == F.col("s_node")).select("node", "members"))
+        held_by = left.select("node", F.explode("members").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"))
+        alone = held_by.filter("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+        known = member.join(left.select("node"), "node", "left_semi").join(alone, "node", "left")
+        shared = F.col("member.n") - F.coalesce("alone", F.lit(0))
+        return known.select("node", F.col("member").withField("shared", shared).alias("member")).filter(shared * 100 >= F.col("member.n") * self.threshold)
+
     def report(self) -> DataFrame:
         """Per row of the input: doc_id, n_shingles, component_id, kept."""
         of = self.of_node.select(F.col("node").alias("c_node"), "component")
