@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -158,10 +158,9 @@ def train(texts: list[str], marks: list[str]) -> Model | None:
 def fit(docs: DataFrame) -> Model | None:
     """Learns from the text and language of a bounded sample of ``docs`` outside the held-out fold."""
     allowed = docs.filter(F.col("lang").isNotNull() & (common.fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "lang", "text")
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    most = [r["lang"] for r in allowed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    chosen = allowed.select("doc_id", "lang").filter(F.col("lang").isin(most)).withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang"), "rank")
+    most = {r["lang"]: r["count"] for r in allowed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    chosen = common.lowest_hashes(allowed.select("doc_id", "lang").filter(F.col("lang").isin(list(most))), "doc_id", "lang", PER_LANGUAGE, most)
+    chosen = chosen.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang"), "rank")
     rows = allowed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang"))).select("lang", F.coalesce("text", F.lit("")).alias("text"), "rank").collect()
     rows.sort(key=lambda r: (r["rank"], r["lang"], r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
