@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
@@ -46,5 +47,5 @@ def delete(spark: SparkSession, path: str) -> None:
     try:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    except (AttributeError, OSError):
+    except (AttributeError, OSError, Py4JError):
         return
