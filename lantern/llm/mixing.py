@@ -7,6 +7,13 @@ are shuffled by a hash and laid end to end; the document whose middle word is in
 block of words belongs to it. A source's k-th slot takes its k-th block, going round
 again when the blocks run out, three times at most.
 
+A source whose words or target are fewer than ``FEW`` slots' has blocks of its own:
+the lesser of the two by ``FEW``. As many of them as make its target are taken, whole
+passes first, at even distances over the whole schedule. So every source is within
+some hundredths of its target, and within half a document at each end of what it
+takes, however many words a slot has. ``OP9_SQL`` states the schedule of all other
+sources; it holds for tables that have no such small source.
+
 Shuffling, laying out and ranking go by (source, bucket) with running totals of
 the buckets, so a source with most of the rows is spread over many tasks.
 
@@ -25,6 +32,8 @@ from . import common
 
 #: Slots of the schedule, whatever the input: the words taken are exact to some slots' words.
 SLOTS = 1 << 18
+#: A source of fewer slots gets as many blocks of its own.
+FEW = 256
 #: Most times a document is taken.
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -68,32 +77,44 @@ def targets(sized: DataFrame, source: str = "source", size: str = "size") -> Dat
 
 
 def schedule(spark: SparkSession, shares: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Per slot: slot, s_source, source_size and rank, from 0 among the source's slots."""
+    """Per slot: slot, s_source, blocks (how many its source has) and rank, from 0 among the source's slots."""
     points = spark.range(slots).select(F.col("id").alias("slot"), F.floor((F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN)) * UNIT).alias("point")).withColumn("cell", F.floor(F.col("point") / CELL))
     spans = shares.filter(F.col("from") < F.col("to")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / CELL), F.floor((F.col("to") - 1) / CELL))))
-    dealt = points.join(spans, "cell").filter((F.col("point") >= F.col("from")) & (F.col("point") < F.col("to"))).select("slot", "s_source", "source_size", F.floor(F.col("slot") / RUN).alias("run"))
+    dealt = points.join(spans, "cell").filter((F.col("point") >= F.col("from")) & (F.col("point") < F.col("to"))).select("slot", "s_source", "blocks", F.floor(F.col("slot") / RUN).alias("run"))
     runs = dealt.groupBy(F.col("s_source").alias("r_source"), F.col("run").alias("r_run")).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("r_source").orderBy("r_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("s_source", "run").orderBy("slot")) - 1
     both = dealt.withColumn("own", own).join(runs.select("r_source", "r_run", before.alias("before")), F.col("s_source").eqNullSafe(F.col("r_source")) & (F.col("run") == F.col("r_run")))
-    return both.select("slot", "s_source", "source_size", (F.col("own") + F.col("before")).alias("rank"))
+    return both.select("slot", "s_source", "blocks", (F.col("own") + F.col("before")).alias("rank"))
+
+
+def own_schedule(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The slots of small sources, as ``schedule`` has them: as many as make the target, at even distances from a start by the source's hash."""
+    n = F.round(F.try_divide(F.col("target") * FEW, F.least("source_size", "target"))).cast("long")
+    start = F.pmod(F.xxhash64("s_source"), F.lit(1 << 20)) / float(1 << 20)
+    each = shares.withColumn("n", n).filter("n > 0").withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return each.select(F.floor((F.col("rank") + start) * slots / F.col("n")).alias("slot"), "s_source", "blocks", "rank")
 
 
-def laid_out(sized: DataFrame, total: int, rows: int, slots: int = SLOTS) -> DataFrame:
-    """``sized`` (m_source, m_size, m_hash) with m_block: the block of its source's words that has a document's middle."""
+def laid_out(sized: DataFrame, shares: DataFrame, rows: int) -> DataFrame:
+    """``sized`` (m_source, m_size, m_hash) with m_block: the block of its source's words that has a document's middle.
+
+    ``shares`` has for each source how many blocks (``of``) so many words (``per``) are.
+    """
     buckets = max(64, rows // BUCKET_ROWS)
     dealt = sized.withColumn("m_bucket", F.conv(F.substring("m_hash", 1, 8), 16, 10).cast("long") % buckets)
     sums = dealt.groupBy(F.col("m_source").alias("b_source"), F.col("m_bucket").alias("b_bucket")).agg(F.sum("m_size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("b_source").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = sums.select("b_source", "b_bucket", before.alias("b_before"))
+    scales = shares.select("s_source", F.col("of").alias("b_of"), F.col("per").alias("b_per"))
+    shift = sums.select("b_source", "b_bucket", before.alias("b_before")).join(scales, F.col("b_source").eqNullSafe(F.col("s_source"))).drop("s_source")
     order = Window.partitionBy("m_source", "m_bucket").orderBy("m_hash", "m_size").rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.withColumn("m_own", F.coalesce(F.sum("m_size").over(order), F.lit(0)))
     both = own.join(shift, F.col("m_source").eqNullSafe(F.col("b_source")) & (F.col("m_bucket") == F.col("b_bucket")))
     middle = F.col("m_own") + F.col("b_before") + F.shiftright("m_size", 1)
-    block = F.floor(middle.cast("double") * slots / F.lit(float(max(total, 1))))
+    block = F.floor(F.try_divide(middle.cast("double") * F.col("b_of"), F.col("b_per")))
     # documents without words are in no block: numbers of their own below zero, so that they don't meet on one key
     apart = -1 - F.pmod(F.xxhash64("m_hash"), F.lit(1 << 20))
-    return both.withColumn("m_block", F.when(F.col("m_size") > 0, block).otherwise(apart)).drop("b_source", "b_bucket", "b_before", "m_own", "m_bucket")
+    return both.withColumn("m_block", F.when(F.col("m_size") > 0, block).otherwise(apart)).drop("b_source", "b_bucket", "b_before", "b_of", "b_per", "m_own", "m_bucket")
 
 
 def mix(docs: DataFrame, keep: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
@@ -108,11 +129,14 @@ def mix(docs: DataFrame, keep: list[str] | None = None, slots: int = SLOTS) -> D
         sized = common.cut(sized)
     shares = common.cut(targets(sized, "m_source", "m_size"))
     count = sized.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("m_size"), F.lit(0)).alias("total")).first()
-    blocks = F.ceil(F.col("source_size").cast("double") * slots / F.lit(float(max(count["total"], 1))))
-    planned = schedule(spark, shares, slots).withColumn("blocks", blocks)
+    total, base = float(max(count["total"], 1)), F.least("source_size", "target")
+    small = base * slots < FEW * total
+    scaled = shares.withColumns({"small": small, "of": F.when(small, float(FEW)).otherwise(float(slots)), "per": F.when(small, base).otherwise(total)})
+    scaled = scaled.withColumn("blocks", F.coalesce(F.ceil(F.try_divide(F.col("source_size").cast("double") * F.col("of"), F.col("per"))), F.lit(0)))
+    planned = schedule(spark, scaled.filter("NOT small"), slots).unionByName(own_schedule(scaled.filter("small"), slots))
     taken = planned.filter((F.col("blocks") > 0) & (F.floor(F.col("rank") / F.col("blocks")) < REPEATS))
     takes = taken.groupBy(F.col("s_source").alias("t_source"), (F.col("rank") % F.col("blocks")).alias("t_block")).agg(F.sort_array(F.collect_list("slot")).alias("m_slots"))
-    placed = laid_out(sized, count["total"], count["rows"], slots)
+    placed = laid_out(sized, scaled, count["rows"])
     mixed = placed.join(takes, F.col("m_source").eqNullSafe(F.col("t_source")) & (F.col("m_block") == F.col("t_block")), "left")
     whole = mixed.join(shares.select("s_source", F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target")), F.col("m_source").eqNullSafe(F.col("s_source")))
     return whole.select("row", "m_size", "m_source_size", "m_target", F.coalesce("m_slots", F.array().cast("array<bigint>")).alias("m_slots"))

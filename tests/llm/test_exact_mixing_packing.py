@@ -92,6 +92,34 @@ def test_mix(spark):
     assert key(got) == key(again)
 
 
+@pytest.mark.parametrize("slots", [mixing.SLOTS, 1 << 14])
+def test_small_sources_reach_their_targets(spark, slots):
+    rng = random.Random(6)
+    rows = [(i, "w " * 20_000, f"large{i % 5}") for i in range(200)]
+    for k in range(40):  # some words a slot or fewer: less than a slot, or a few
+        rows += [(1000 * (k + 1) + i, "w " * rng.randint(1, 3), f"small{k}") for i in range(rng.choice([1, 4, 60]))]
+    got = mixing.mix(frame(spark, rows), ["doc_id", "source"], slots=slots).collect()
+    taken, targets, copies = Counter(), {}, defaultdict(set)
+    for r in got:
+        taken[r.row.source] += r.m_size * len(r.m_slots)
+        targets[r.row.source] = r.m_target
+        copies[r.row.source].add(len(r.m_slots))
+    for source, target in targets.items():
+        assert abs(taken[source] - target) <= (20_002 if source.startswith("large") else 0), source
+    assert all(copies[f"small{k}"] == {3} for k in range(40))
+
+
+def test_small_targets_of_many_sources(spark):
+    rows = [(100 * k + i, "w " * (5 + i % 7), f"s{k:02}") for k in range(60) for i in range(80)]
+    got = mixing.mix(frame(spark, rows), ["doc_id", "source"], slots=1 << 12).collect()
+    taken, targets = Counter(), {}
+    for r in got:
+        taken[r.row.source] += r.m_size * len(r.m_slots)
+        targets[r.row.source] = r.m_target
+    for source, target in targets.items():
+        assert abs(taken[source] - target) <= 13, source
+
+
 def test_mixed_documents(spark):
     docs = frame(spark, [(i, "a b c", "s") for i in range(30)] + [(99, "a b c", "rare")])
     got = mixing.mixed_documents(docs)
