@@ -34,7 +34,7 @@ def payload_of(text: str) -> bytes:
 def to_media(payload: bytes) -> bytes:
     """The images that hold a payload."""
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 4)
-    return b"".join(webp.encode(pixels[k : k + webp.MAX_SIDE]) for k in range(0, len(pixels), webp.MAX_SIDE))
+    return b"".join(webp.compress(pixels[k : k + webp.MAX_SIDE]) for k in range(0, len(pixels), webp.MAX_SIDE))
 
 
 def to_pixels(media: bytes) -> np.ndarray:

@@ -4,28 +4,34 @@ Pixels are uint8 arrays of shape (height, width, 4) in the order green, red,
 blue, alpha, which is the order of the bit stream. The decoder reads prefix
 codes (simple and normal), several groups of them, back-references, the colour
 cache, and inverts the predictor, cross-colour, subtract-green and palette
-transforms. Images whose codes are flat (every symbol as long as any other,
-nothing but literals) are read without a loop over pixels.
+transforms. Images of one group of codes are decoded with arrays: at every bit
+it is found where a pixel that begins there ends, and only the chain of true
+beginnings is walked. Images of several groups are read pixel by pixel.
 
-The encoder's plain form writes flat codes of 7 or 8 bits, which fits text. Its
-``tools`` switch on everything else.
+The encoder writes Huffman codes; its ``tools`` switch on the transforms, the
+cache and back-references. ``compress`` chooses them by the image.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import groupby
 
 import numpy as np
 
 #: Fixed values of the format.
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+LEFT, TOP = 1, 2
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 LENGTH_CODES, DISTANCE_CODES = 24, 40
 CACHE_FACTOR = 0x1E35A7BD
 BLACK = (0, 0, 0, 255)
 MAX_SIDE = 1 << 14
+#: Bits that are looked at together.
+CHUNK = 1 << 16
+#: The encoder's longest code, and its colour cache.
+MOST, CACHE_BITS = 12, 8
 #: The 120 near pixels that short distance codes mean: nearest first, then by column, the left one first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
@@ -40,14 +46,20 @@ class BitReader:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
 
+    def peek(self, at: int, n: int) -> int:
+        first = at >> 3
+        return int.from_bytes(self.data[first : first + (n + 14 >> 3)], "little") >> (at & 7) & (1 << n) - 1
+
     def read(self, n: int) -> int:
         if self.at + n > 8 * len(self.data):
             raise FormatError("the image ends too early")
-        first = self.at >> 3
-        chunk = int.from_bytes(self.data[first : first + (n + 14 >> 3)], "little")
-        value = chunk >> (self.at & 7) & (1 << n) - 1
         self.at += n
-        return value
+        return self.peek(self.at - n, n)
+
+
+@lru_cache(1 << 14)
+def _field(value: int, n: int) -> str:
+    return format(value, f"0{n}b")[::-1]
 
 
 class BitWriter:
@@ -56,7 +68,7 @@ class BitWriter:
 
     def write(self, value: int, n: int) -> None:
         if n:
-            self.bits.append(format(value, f"0{n}b")[::-1])
+            self.bits.append(_field(value, n))
 
     def array(self) -> np.ndarray:
         return np.frombuffer("".join(self.bits).encode(), np.uint8) - 48
@@ -71,8 +83,6 @@ class PrefixCode:
         self.only = self.used[0] if len(self.used) == 1 else None
         if not self.used:
             self.only = 0
-        sizes = {lengths[s] for s in self.used}
-        self.flat = sizes.pop() if len(sizes) == 1 and self.only is None else (0 if self.only is not None else None)
         self.table: dict[tuple[int, int], int] = {}
         code, previous, room = 0, 0, 0
         for n, s in sorted((lengths[s], s) for s in self.used):
@@ -97,6 +107,36 @@ class PrefixCode:
                 self.codes = {s: format(code, f"0{n}b") for (n, code), s in self.table.items()}
             out.bits.append(self.codes[symbol])
 
+    @cached_property
+    def lookup(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """The longest length, and symbol and length by that many bits of the stream."""
+        if self.only is not None:
+            return 0, np.array([self.only]), np.zeros(1, np.int64)
+        lengths = np.array(self.lengths)
+        used = np.array(self.used)
+        used = used[np.argsort(lengths[used], kind="stable")]
+        most = int(lengths[used[-1]])
+        symbols = np.repeat(used, 1 << most - lengths[used])[_turned(most)]
+        return most, symbols, lengths[symbols]
+
+    @cached_property
+    def written(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bits (the first one lowest) and length by symbol."""
+        values, lengths = np.zeros(len(self.lengths), np.uint64), np.zeros(len(self.lengths), np.uint64)
+        if self.only is None:
+            for (n, code), s in self.table.items():
+                values[s], lengths[s] = _turned(n)[code], n
+        return values, lengths
+
+
+@lru_cache
+def _turned(n: int) -> np.ndarray:
+    """The numbers of n bits with their bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
 
 @lru_cache(4096)
 def prefix_code(lengths: tuple[int, ...]) -> PrefixCode:
@@ -120,21 +160,48 @@ def _read_code(bits: BitReader, symbols: int) -> PrefixCode:
     code = prefix_code(tuple(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     at, last = 0, 8
+    most, symbol_of, length_of = code.lookup
+    by_bits, mask = list(zip(symbol_of.tolist(), length_of.tolist(), strict=True)), (1 << most) - 1
+    start = bits.at
+    ahead = int.from_bytes(bits.data[start >> 3 : (start >> 3) + 2 * symbols + 8], "little") >> (start & 7)
+    used = 0
     while at < symbols and left:
         left -= 1
-        s = code.read(bits)
+        s, n = by_bits[ahead & mask]
+        ahead >>= n
+        used += n
         if s < 16:
             lengths[at] = s
             last, at = s or last, at + 1
             continue
-        n, value = (3 + bits.read(2), last) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
+        least, extra, value = ((3, 2, last), (3, 3, 0), (11, 7, 0))[s - 16]
+        n = least + (ahead & (1 << extra) - 1)
+        ahead >>= extra
+        used += extra
         if at + n > symbols:
             raise FormatError("code lengths run over")
         lengths[at : at + n] = [value] * n
         at += n
+    bits.at += used
+    if bits.at > 8 * len(bits.data):
+        raise FormatError("the image ends too early")
     return prefix_code(tuple(lengths))
 
 
+def _read_codes(bits: BitReader, sizes: tuple[int, ...]) -> list[PrefixCode]:
+    """The codes of one group; one that is written like the one before it is that one."""
+    out, start = [], 0
+    for k, n in enumerate(sizes):
+        length = bits.at - start
+        if k and n == sizes[k - 1] and bits.at + length <= 8 * len(bits.data) and bits.peek(start, length) == bits.peek(bits.at, length):
+            start, bits.at = bits.at, bits.at + length
+            out.append(out[-1])
+        else:
+            start = bits.at
+            out.append(_read_code(bits, n))
+    return out
+
+
 def _prefixed(bits: BitReader, symbol: int) -> int:
     """A length or distance by its prefix symbol and extra bits."""
     if symbol < 4:
@@ -156,10 +223,12 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
         which = (which[:, 0].astype(int) | which[:, 1].astype(int) << 8).reshape(-1, across)
         groups = int(which.max()) + 1
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
+    codes = [_read_codes(bits, sizes) for _ in range(groups)]
     total = width * height
-    if groups == 1 and not cache_bits and all(c.flat is not None for c in codes[0][:4]) and max(codes[0][0].used, default=0) < 256:
-        return _flat(bits, codes[0][:4], total)
+    first = bits.at
+    if groups == 1 and (found := _read_at_once(bits, codes[0], total, width, cache_bits)) is not None:
+        return found
+    bits.at = first
     pixels, cache = np.zeros((total, 4), np.uint8), {}
     at = 0
 
@@ -177,8 +246,7 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
             at += 1
         elif s < 256 + LENGTH_CODES:
             n = _prefixed(bits, s - 256)
-            back = _prefixed(bits, distance.read(bits))
-            back = back - len(NEAR) if back > len(NEAR) else max(1, NEAR[back - 1][0] + NEAR[back - 1][1] * width)
+            back = _distance(_prefixed(bits, distance.read(bits)), width)
             if back > at or at + n > total:
                 raise FormatError("a back-reference leaves the image")
             for k in range(at, at + n):  # source and copy may overlap
@@ -196,31 +264,104 @@ def _slot(pixel, cache_bits: int) -> int:
     return (CACHE_FACTOR * (a << 24 | r << 16 | g << 8 | b) & 0xFFFFFFFF) >> 32 - cache_bits
 
 
-def _flat(bits: BitReader, codes: list[PrefixCode], total: int) -> np.ndarray:
-    """Pixels of equally long codes, all at once."""
-    each = sum(c.flat for c in codes)
-    if bits.at + each * total > 8 * len(bits.data):
-        raise FormatError("the image ends too early")
-    first = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8, -(-(bits.at + each * total) >> 3) - first, first)
-    found = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: each * total].reshape(total, each)
-    bits.at += each * total
-    if all(c.flat == codes[0].flat and c.used == list(range(1 << c.flat)) for c in codes) and codes[0].flat:
-        n = codes[0].flat  # symbols are their own numbers
-        wide = np.zeros((4 * total, 8), np.uint8)
-        wide[:, 8 - n :] = found.reshape(4 * total, n)
-        return np.packbits(wide, axis=1).reshape(total, 4)
-    out, start = np.empty((total, 4), np.uint8), 0
-    for k, c in enumerate(codes):
-        if c.only is not None:
-            out[:, k] = c.only
-            continue
-        number = found[:, start : start + c.flat].astype(np.int64) @ (1 << np.arange(c.flat)[::-1])
-        out[:, k] = np.array(c.used, np.uint8)[number]
-        start += c.flat
+def _slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    g, r, b, a = (pixels[:, k].astype(np.uint32) for k in range(4))
+    return (np.uint32(CACHE_FACTOR) * (a << 24 | r << 16 | g << 8 | b) >> np.uint32(32 - cache_bits)).astype(np.int64)
+
+
+def _distance(code: int, width: int) -> int:
+    return code - len(NEAR) if code > len(NEAR) else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """For each place the last one before it that has the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1, np.int64)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
     return out
 
 
+def _read_at_once(bits: BitReader, codes: list[PrefixCode], total: int, width: int, cache_bits: int) -> np.ndarray | None:
+    """Pixels of one group of codes; None if a cache index has no pixel before it."""
+    data, distance = np.frombuffer(bits.data, np.uint8), codes[4]
+    (green_most, green_symbol, green_length), *others = (c.lookup for c in codes[:4])
+    pixels, copies, hits, hit_slots, at = np.zeros((total, 4), np.uint8), [], [], [], 0
+    while at < total:
+        origin, start = bits.at >> 3, bits.at & 7
+        limit = start + 1 + min(CHUNK, 8 * len(data) - bits.at)
+        wide = np.zeros((limit + 64 >> 3) + 4, np.uint32)
+        raw = data[origin : origin + len(wide)]
+        wide[: len(raw)] = raw
+        wide = wide[:-2] | wide[1:-1] << 8 | wide[2:] << 16
+        window = (wide[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
+        place = np.arange(len(window))
+        at_green = window[:limit] & (1 << green_most) - 1
+        green, after = green_symbol[at_green], place[:limit] + green_length[at_green]  # no literal is over 60 bits, so it ends in the window
+        special = np.flatnonzero(green >= 256)
+        end, ends = after, {}
+        for code, (most, _, length) in zip(codes[1:4], others, strict=True):
+            if code.only is None:
+                if id(code) not in ends:
+                    ends[id(code)] = place + length[window & (1 << most) - 1]
+                end = ends[id(code)][end]
+        follows = end.copy() if end is after else end
+        follows[special] = np.where(green[special] < 256 + LENGTH_CODES, -1, after[special])
+        walk, starts, jumps, p, first = memoryview(follows), [], [], start, at
+        note = starts.append
+        while at < total and p < limit:
+            if (q := walk[p]) >= 0:
+                note(p)
+                p, at = q, at + 1
+                continue
+            bits.at = 8 * origin + int(after[p])
+            n = _prefixed(bits, int(green[p]) - 256)
+            back = _distance(_prefixed(bits, distance.read(bits)), width)
+            if back > at or at + n > total:
+                raise FormatError("a back-reference leaves the image")
+            copies.append((at, n, back))
+            jumps.append((len(starts), n))
+            p, at = bits.at - 8 * origin, at + n
+        bits.at = 8 * origin + p
+        if bits.at > 8 * len(data):
+            raise FormatError("the image ends too early")
+        starts = np.array(starts, np.int64)
+        where = np.zeros(len(starts) + 1, np.int64)
+        for k, n in jumps:
+            where[k] += n
+        where = first + np.arange(len(starts)) + np.add.accumulate(where)[:-1]
+        symbol = green[starts]
+        literal = symbol < 256
+        begin, where_literal = after[starts[literal]], where[literal]
+        pixels[where_literal, 0] = symbol[literal]
+        for k, (most, found, length) in enumerate(others, 1):
+            number = window[begin] & (1 << most) - 1
+            pixels[where_literal, k] = found[number]
+            begin = begin + length[number]
+        if cache_bits:
+            hits.append(where[~literal])
+            hit_slots.append(symbol[~literal] - 256 - LENGTH_CODES)
+    hit = np.concatenate(hits) if hits else np.empty(0, np.int64)
+    source, slots = np.arange(total), None
+    if len(hit):
+        slots = _slots(pixels, cache_bits)
+        slots[hit] = np.concatenate(hit_slots)
+    for k, n, back in copies:
+        here = k - back + (np.arange(n) % back if n > back else np.arange(n))
+        if len(hit):
+            source[k : k + n], slots[k : k + n] = here, slots[here]
+        else:
+            pixels[k : k + n] = pixels[here]
+    if len(hit):
+        source[hit] = _before(slots)[hit]
+        if source.min() < 0:
+            return None
+        while not np.array_equal(further := source[source], source):
+            source = further
+        pixels = pixels[source]
+    return pixels
+
+
 # --- transforms ---
 
 
@@ -283,6 +424,31 @@ def _predicted(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray,
 
 def _predict(image: np.ndarray, blocks: np.ndarray, shift: int, inverse: bool) -> np.ndarray:
     """The predictor transform and its inverse; the inverse reads what it has already restored."""
+    modes = blocks[..., 0] & 15
+    if (modes == modes.flat[0]).all() and modes.flat[0] in (LEFT, TOP):
+        return _predict_one(image, int(modes.flat[0]), inverse)
+    return _predict_any(image, blocks, shift, inverse)
+
+
+def _predict_one(image: np.ndarray, mode: int, inverse: bool) -> np.ndarray:
+    """The predictor of left or top neighbours alone, in sums and differences of whole rows or columns."""
+    out = image.copy()
+    edge, rest = (out[0], 0) if mode == TOP else (out[:, 0], 1)  # the edge goes on by itself
+    if inverse:
+        edge[0] += np.array(BLACK, np.uint8)
+        edge[:] = np.add.accumulate(edge, 0, dtype=np.uint8)
+        return np.add.accumulate(out, rest, dtype=np.uint8)
+    if mode == TOP:
+        out[1:] -= image[:-1]
+        out[0, 1:] -= image[0, :-1]
+    else:
+        out[:, 1:] -= image[:, :-1]
+        out[1:, 0] -= image[:-1, 0]
+    out[0, 0] -= np.array(BLACK, np.uint8)
+    return out
+
+
+def _predict_any(image: np.ndarray, blocks: np.ndarray, shift: int, inverse: bool) -> np.ndarray:
     height, width, _ = image.shape
     out = np.zeros_like(image)
     whole = (out if inverse else image).reshape(-1, 4)
@@ -368,15 +534,26 @@ def _lengths(counts: dict[int, int], symbols: int, most: int) -> list[int]:
     if len(counts) == 1:
         out[next(iter(counts))] = 1
     while len(counts) > 1:
-        heap = [(n, s, (s,)) for s, n in counts.items()]
-        heapq.heapify(heap)
-        out = [0] * symbols
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                out[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(out) <= most:
+        # leaves by count, and joined nodes, which come in order of their counts; each node's parent gives its depth
+        leaves = sorted(counts, key=lambda s: (counts[s], s))
+        n = len(leaves)
+        weight, parent, leaf, inner = [counts[s] for s in leaves], [0] * (2 * n - 1), 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner == new or weight[leaf] <= weight[inner]):
+                    child, leaf = leaf, leaf + 1
+                else:
+                    child, inner = inner, inner + 1
+                total += weight[child]
+                parent[child] = new
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth) <= most:
+            for k, s in enumerate(leaves):
+                out[s] = depth[k]
             break
         counts = {s: n // 2 + 1 for s, n in counts.items()}
     return out
@@ -391,12 +568,9 @@ def _write_code(out: BitWriter, lengths: list[int]) -> None:
         for s in used or [0]:
             out.write(s, 8)
         return
-    runs, at = [], 0
-    while at < len(lengths):
-        value, n = lengths[at], 1
-        while at + n < len(lengths) and lengths[at + n] == value:
-            n += 1
-        at += n
+    runs = []
+    for value, group in groupby(lengths):
+        n = len(list(group))
         if value:
             runs.append((value, 0, 0))
             n -= 1
@@ -409,7 +583,7 @@ def _write_code(out: BitWriter, lengths: list[int]) -> None:
             n -= k
         runs += [(value, 0, 0)] * n
     own = _lengths(Counter(s for s, _, _ in runs), 19, 7)
-    code = PrefixCode(tuple(own))
+    code = prefix_code(tuple(own))
     out.write(0, 1)
     out.write(15, 4)
     for s in LENGTH_ORDER:
@@ -417,7 +591,8 @@ def _write_code(out: BitWriter, lengths: list[int]) -> None:
     out.write(0, 1)
     for s, extra, n in runs:
         code.write(out, s)
-        out.write(extra, n)
+        if n:
+            out.bits.append(_field(extra, n))
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -429,79 +604,133 @@ def _prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * extra + high, value - 1 - (high << extra), extra
 
 
-def _tokens(pixels: np.ndarray, cache_bits: int, copies: bool) -> list[tuple]:
-    """The image as literals, cache indices and back-references to the last place that four pixels were at."""
-    rows, out, cache, places, at = [tuple(p) for p in pixels.tolist()], [], {}, {}, 0
-    while at < len(rows):
-        n, key = 0, tuple(rows[at : at + 4])
-        if copies and (before := places.get(key)) is not None:
-            while at + n < len(rows) and n < 4096 and rows[before + n] == rows[at + n]:
-                n += 1
-        if n >= 4:
-            out.append(("copy", n, at - before))
-        elif cache_bits and cache.get(slot := _slot(rows[at], cache_bits)) == rows[at]:
-            out.append(("cache", slot))
-        else:
-            out.append(("pixel", rows[at]))
-        for k in range(at, at + max(n if n >= 4 else 1, 1)):
-            places[tuple(rows[k : k + 4])] = k
-            if cache_bits:
-                cache[_slot(rows[k], cache_bits)] = rows[k]
-        at += n if n >= 4 else 1
+def _copies(colours: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references (place, length, distance) to the last place that four pixels were at."""
+    if len(colours) < 8:
+        return []
+    wide, n = colours.astype(np.uint64), len(colours) - 3
+    key = np.zeros(n, np.uint64)
+    for k in range(4):
+        key = (key ^ wide[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    before, out, at = _before(key), [], 0
+    for i in np.flatnonzero(before >= 0).tolist():
+        if i < at:
+            continue
+        b = int(before[i])
+        most = min(4096, len(colours) - i)
+        apart = colours[i : i + most] != colours[b : b + most]
+        same = int(apart.argmax()) if apart.any() else most
+        if same >= 4:
+            out.append((i, same, i - b))
+            at = i + same
     return out
 
 
+def _hits(pixels: np.ndarray, colours: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels' slots, and which pixels are in the cache when they come."""
+    slots = _slots(pixels, cache_bits)
+    before = _before(slots)
+    return slots, (before >= 0) & (colours[before] == colours)
+
+
+@lru_cache(256)
+def _code_bits(lengths: tuple[int, ...]) -> str:
+    out = BitWriter()
+    _write_code(out, list(lengths))
+    return "".join(out.bits)
+
+
+def _counted(counts: np.ndarray) -> dict[int, int]:
+    used = np.flatnonzero(counts)
+    return dict(zip(used.tolist(), counts[used].tolist(), strict=True))
+
+
+def _information(counts: np.ndarray) -> float:
+    """Bits of all symbols in rows of counts, each row by its own frequencies."""
+    rows = counts.sum(1)
+    return float((rows * np.log2(np.maximum(rows, 1))).sum() - (counts * np.log2(np.maximum(counts, 1))).sum())
+
+
 def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: bool = False) -> None:
+    """Red, blue and alpha share a code if codes of their own save less than they take, as in most texts."""
     out.write(cache_bits > 0, 1)
     out.write(cache_bits, 4 * (cache_bits > 0))
     if main:
         out.write(0, 1)
-    tokens = _tokens(pixels, cache_bits, copies)
-    counts: list[Counter] = [Counter() for _ in range(5)]
-    for kind, *x in tokens:
-        if kind == "pixel":
-            for k, s in enumerate(x[0]):
-                counts[k][s] += 1
-        elif kind == "cache":
-            counts[0][256 + LENGTH_CODES + x[0]] += 1
-        else:
-            counts[0][256 + _prefix_of(x[0])[0]] += 1
-            counts[4][_prefix_of(x[1] + len(NEAR))[0]] += 1
-    sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    all_lengths = [_lengths(c, n, 15) for c, n in zip(counts, sizes, strict=True)]
-    for lengths in all_lengths:
-        _write_code(out, lengths)
-    codes = [PrefixCode(tuple(x)) for x in all_lengths]
-    for kind, *x in tokens:
-        if kind == "pixel":
-            for code, s in zip(codes, x[0], strict=False):
-                code.write(out, s)
-        elif kind == "cache":
-            codes[0].write(out, 256 + LENGTH_CODES + x[0])
-        else:
-            for code, base, value in ((codes[0], 256, x[0]), (codes[4], 0, x[1] + len(NEAR))):
-                s, extra, n = _prefix_of(value)
-                code.write(out, base + s)
-                out.write(extra, n)
-
-
-_HEADS: dict[int, np.ndarray] = {}
-
-
-def _flat_head(n: int) -> np.ndarray:
-    """No transform, cache or groups, and four codes in which the first 2 ** n symbols are n bits long."""
-    if n not in _HEADS:
-        out = BitWriter()
-        out.write(0, 3)
-        for symbols in (256 + LENGTH_CODES, 256, 256, 256):
-            _write_code(out, [n] * (1 << n) + [0] * (symbols - (1 << n)))
-        _write_code(out, [0] * DISTANCE_CODES)
-        _HEADS[n] = out.array()
-    return _HEADS[n]
+    pixels = np.ascontiguousarray(pixels)
+    colours = pixels.view("<u4").reshape(-1)
+    green, token = pixels[:, 0].astype(np.int64), np.ones(len(pixels), bool)
+    literal = token.copy()
+    if cache_bits:
+        slots, hit = _hits(pixels, colours, cache_bits)
+        literal, green = ~hit, np.where(hit, 256 + LENGTH_CODES + slots, green)
+    found = _copies(colours) if copies else []
+    extra = []
+    for at, n, back in found:
+        token[at + 1 : at + n] = literal[at : at + n] = False
+        length, far = _prefix_of(n), _prefix_of(back + len(NEAR))
+        green[at] = 256 + length[0]
+        extra.append((*length[1:], *far))
+    rest = pixels[literal, 1:].astype(np.int64)
+    each = np.stack([np.bincount(rest[:, k], minlength=256) for k in range(3)])
+    both = each.sum(0)
+    saved = _information(both[None]) - _information(each)
+    if saved <= 4 * ((each > 0).sum() - (both > 0).sum()):
+        each = both[None]
+    one = [tuple(_lengths(_counted(c), 256, MOST)) for c in each]
+    first = tuple(_lengths(_counted(np.bincount(green[token])), 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), MOST))
+    lengths = [first, *(one if len(one) == 3 else 3 * one), tuple(_lengths(Counter(x[2] for x in extra), DISTANCE_CODES, MOST))]
+    out.bits += map(_code_bits, lengths)
+    (green_bits, green_length), *others, (far_bits, far_length) = (prefix_code(x).written for x in lengths)
+    value, size = green_bits[green], green_length[green]
+    for k, (rest_bits, rest_length) in enumerate(others):
+        value[literal] |= rest_bits[rest[:, k]] << size[literal]
+        size[literal] += rest_length[rest[:, k]]
+    for (at, _, _), (more, n, far, further, m) in zip(found, extra, strict=True):
+        v, w = int(value[at]), int(size[at])
+        for x, y in ((more, n), (int(far_bits[far]), int(far_length[far])), (further, m)):
+            v, w = v | x << w, w + y
+        value[at], size[at] = v, w
+    value, size = value[token], size[token]
+    each = np.unpackbits(value.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    out.bits.append((each[np.arange(64, dtype=np.uint64) < size[:, None]] + 48).tobytes().decode())
+
+
+def _entropy(pixels: np.ndarray) -> float:
+    """Bits of a pixel by the frequency of its samples."""
+    counts = np.bincount(pixels.reshape(-1), minlength=256)
+    share = counts[counts > 0] / pixels.size
+    return float(-4 * (share * np.log2(share)).sum())
+
+
+def compress(image: np.ndarray) -> bytes:
+    """One image as WebP bytes, by the tools that fit it.
+
+    Few colours are a palette. Otherwise that one of the transforms (subtracting green,
+    predicting by the left or the top pixel) is taken that leaves the least entropy, if
+    it saves more than its parameters take, and the colour cache if its hits save more
+    than its symbols take. Back-references are always tried.
+    """
+    colours = np.unique(np.ascontiguousarray(image).view("<u4"))
+    if len(colours) <= min(256, image.size // 16):
+        return encode(image, ("palette", "copies"))
+    green = image.copy()
+    green[..., 1:3] -= image[..., :1]
+    forms = {(): image, ("green",): green, ("left",): _predict_one(image, LEFT, False), ("top",): _predict_one(image, TOP, False)}
+    pixels, bits = image.shape[0] * image.shape[1], {tools: _entropy(x) for tools, x in forms.items()}
+    best = min(bits, key=lambda tools: pixels * bits[tools] + 80 * len(tools))
+    flat = np.ascontiguousarray(forms[best]).reshape(-1, 4)
+    slots, hit = _hits(flat, flat.view("<u4").reshape(-1), CACHE_BITS)
+    saved = hit.sum() * (bits[best] - CACHE_BITS) - 6 * len(np.unique(slots[hit]))
+    return encode(image, (*best, *(("cache",) if saved > 0 else ()), "copies"))
 
 
 def encode(image: np.ndarray, tools: tuple[str, ...] = (), seed: int = 0) -> bytes:
-    """One image as WebP bytes; ``tools``: of palette, predictor, cross, green, cache, copies. ``seed`` draws block parameters."""
+    """One image as WebP bytes; ``tools``: of palette, predictor, left, top, cross, green, cache, copies.
+
+    ``predictor`` and ``cross`` have block parameters drawn by ``seed``; ``left`` and ``top`` are predictors of one mode.
+    """
     height, width, _ = image.shape
     out = BitWriter()
     out.write(0x2F, 8)
@@ -509,13 +738,9 @@ def encode(image: np.ndarray, tools: tuple[str, ...] = (), seed: int = 0) -> byt
     out.write(height - 1, 14)
     out.write(1, 1)
     out.write(0, 3)
-    if not tools:
-        raw = np.ascontiguousarray(image).reshape(-1)
-        n = 8 if raw.max() > 127 else 7
-        bits = np.concatenate([out.array(), _flat_head(n), np.unpackbits(raw).reshape(-1, 8)[:, 8 - n :].reshape(-1)])
-        return _wrapped(np.packbits(bits, bitorder="little").tobytes())
-    rng, shift = np.random.default_rng(seed), 2
-    for tool in (t for t in ("palette", "predictor", "cross", "green") if t in tools):
+    rng = np.random.default_rng(seed)
+    for tool in (t for t in ("palette", "predictor", "left", "top", "cross", "green") if t in tools):
+        shift = 9 if tool in ("left", "top") else 2
         across, down = -(-image.shape[1] >> shift), -(-height >> shift)
         blocks = rng.integers(0, 256, (down, across, 4), np.uint8)
         out.write(1, 1)
@@ -529,19 +754,21 @@ def encode(image: np.ndarray, tools: tuple[str, ...] = (), seed: int = 0) -> byt
             image = np.zeros((height, index.shape[1], 4), np.uint8)
             image[..., 0] = (index << np.arange(0, 8, 8 >> shared)).sum(-1) if shared else index[..., 0]
             image[..., 3] = 255
-        elif tool in ("predictor", "cross"):
+        elif tool != "green":
             if tool == "predictor":
                 blocks[..., 0] %= 14
-            out.write(PREDICTOR if tool == "predictor" else CROSS_COLOUR, 2)
+            elif tool != "cross":
+                blocks[...] = LEFT if tool == "left" else TOP
+            out.write(CROSS_COLOUR if tool == "cross" else PREDICTOR, 2)
             out.write(shift - 2, 3)
             _write_image(out, blocks.reshape(-1, 4), False)
-            image = _predict(image, blocks, shift, False) if tool == "predictor" else _cross(image, blocks, shift, -1)
+            image = _cross(image, blocks, shift, -1) if tool == "cross" else _predict(image, blocks, shift, False)
         else:
             out.write(SUBTRACT_GREEN, 2)
             image = image.copy()
             image[..., 1:3] -= image[..., :1]
     out.write(0, 1)
-    _write_image(out, image.reshape(-1, 4), True, 6 if "cache" in tools else 0, "copies" in tools)
+    _write_image(out, image.reshape(-1, 4), True, CACHE_BITS if "cache" in tools else 0, "copies" in tools)
     return _wrapped(np.packbits(out.array(), bitorder="little").tobytes())
 
 

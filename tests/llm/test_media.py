@@ -42,6 +42,58 @@ def test_damaged_images_are_errors():
             webp.decode(bad)
 
 
+def slowly(monkeypatch, data):
+    with monkeypatch.context() as m:
+        m.setattr(webp, "_read_at_once", lambda *a: None)
+        m.setattr(webp, "_predict_one", lambda image, mode, inverse: webp._predict_any(image, np.full((1, 1, 4), mode, np.uint8), 9, inverse))
+        return webp.decode(data)
+
+
+def test_production_images_are_compressed(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(300)]
+    prose = " ".join(rng.choice(words, 900))
+    slope = (np.add.outer(np.arange(90) * 3, np.arange(16) * 7)[..., None] + [0, 40, 90, 200]).astype(np.uint8)
+    columns = (rng.integers(0, 256, (1, 16, 4)) + rng.integers(-3, 4, (90, 16, 4)).cumsum(0)).astype(np.uint8)
+    rows = (rng.integers(0, 256, (90, 1, 4)) + rng.integers(-3, 4, (90, 16, 4)).cumsum(1)).astype(np.uint8)
+    grey = np.repeat(rng.integers(0, 256, (90, 16, 1)), 4, 2).astype(np.uint8) + rng.integers(0, 3, (90, 16, 4), dtype=np.uint8)
+    used, encode = [], webp.encode
+    monkeypatch.setattr(webp, "encode", lambda image, tools=(), seed=0: used.append(tools) or encode(image, tools, seed))
+    text = lambda t: np.frombuffer(media.payload_of(t), np.uint8).reshape(-1, 16, 4)
+    cases = {"prose": (text(prose), 0.75), "repeated": (text((prose[:640] * 40)), 0.1), "few": (text("abcdabceabcf" * 900), 0.05), "slope": (slope, 0.2), "columns": (columns, 0.6), "rows": (rows, 0.6), "grey": (grey, 0.75), "noise": (rng.integers(0, 256, (70, 16, 4), np.uint8), 1.2), "large": (text(" ".join(rng.choice(words, 40_000))), 0.6)}
+    for name, (image, most) in cases.items():
+        data = webp.compress(image)
+        assert len(data) < most * image.size, (name, len(data), image.size)
+        assert np.array_equal(webp.decode(data), image), name
+        if name != "large":
+            assert np.array_equal(slowly(monkeypatch, data), image), name
+    assert {"palette", "left", "top", "green", "cache", "copies"} <= {t for tools in used for t in tools}
+    assert len(media.to_media(media.payload_of(prose))) < 0.75 * len(prose)
+
+
+@pytest.mark.parametrize("n", range(len(TOOLS) + 1))
+def test_both_readings_agree(n, monkeypatch):
+    rng = np.random.default_rng(50 + n)
+    for tools in itertools.combinations(TOOLS, n):
+        image = np.tile(rng.integers(0, 256, (90, 4), np.uint8)[rng.integers(0, 90, (9, 11))], (3, 1, 1))
+        data = webp.encode(image, tools, n)
+        assert np.array_equal(slowly(monkeypatch, data), image) and np.array_equal(webp.decode(data), image), tools
+
+
+def test_code_lengths_are_the_best():
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 7, 60):
+        counts = {s: int(c) for s, c in enumerate(rng.integers(1, 1000, n) ** 2)}
+        heap = sorted(counts.values())
+        best = 0
+        while len(heap) > 1:
+            both = heap[0] + heap[1]
+            best += both
+            heap = sorted([*heap[2:], both])
+        assert sum(counts[s] * x for s, x in enumerate(webp._lengths(counts, n, 30))) == best
+        assert max(webp._lengths({s: 2**s for s in range(20)}, 20, 7)) <= 7
+
+
 def test_columns(spark):
     texts = [None, "", "a", "a", "é" * 40, "x" * 64, "y" * 65, "z" * (webp.MAX_SIDE * 64 + 5)]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, payload string")
