@@ -10,9 +10,8 @@ labelled texts calibrates the probabilities.
 Scores are linear in the shares, so a text's logits are the mean over its words
 of what each word adds, which a worker computes once for each word.
 
-The model is fitted to a bounded sample: ``PER_LANGUAGE`` texts of each of the
-``LANGUAGES`` most frequent languages; one in ``CALIBRATES`` of them fits the
-temperature.
+The model is fitted to ``PER_LANGUAGE`` texts at most of each language, of all
+languages there are; one in ``CALIBRATES`` of the texts fits the temperature.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score
 0; null languages aren't learned; without labelled texts everything is ``und``;
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_N, BUCKETS = 3, 1 << 16
-PER_LANGUAGE, LANGUAGES, CALIBRATES = 1200, 200, 6
+PER_LANGUAGE, CALIBRATES = 1200, 6
 HELD_OUT, FOLDS = 2, 4
 #: Follow-the-regularised-leader: learning rate, its offset, and the penalties.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.5, 3
@@ -156,10 +155,10 @@ def train(texts: list[str], marks: list[str]) -> Model | None:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """Learns from the text and language of a bounded sample of ``docs`` outside the held-out fold."""
+    """Learns every language of ``docs`` from a bounded sample of its texts outside the held-out fold."""
     allowed = docs.filter(F.col("lang").isNotNull() & (common.fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "lang", "text")
-    most = {r["lang"]: r["count"] for r in allowed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    chosen = common.lowest_hashes(allowed.select("doc_id", "lang").filter(F.col("lang").isin(list(most))), "doc_id", "lang", PER_LANGUAGE, most)
+    counts = {r["lang"]: r["count"] for r in allowed.groupBy("lang").count().collect()}
+    chosen = common.lowest_hashes(allowed.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE, counts)
     chosen = chosen.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang"), "rank")
     rows = allowed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang"))).select("lang", F.coalesce("text", F.lit("")).alias("text"), "rank").collect()
     rows.sort(key=lambda r: (r["rank"], r["lang"], r["text"]))

@@ -93,6 +93,14 @@ def test_quality(spark, data):
     assert {r.score for r in quality.score(odd(spark), None).collect()} == {0.5}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(8 * k + i, f"word{k} " * 3, f"lang{k:03}") for k in range(205) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = docs.filter(language.common.fold("doc_id", language.FOLDS) != language.HELD_OUT)
+    assert set(language.fit(docs).languages) == {r.lang for r in learned.select("lang").distinct().collect()}
+    assert learned.select("lang").distinct().count() > 200
+
+
 def test_language(spark, data):
     from lantern.llm.common import fold
 
