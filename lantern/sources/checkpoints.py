@@ -6,19 +6,30 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 _TABLES: dict[str, SparkSession] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def ensure_folder(spark: SparkSession) -> str:
-    """The checkpoint folder; a local one of our own only where the setting is unset, as in tests."""
+    """The checkpoint folder: the one that the session or its context names.
+
+    Where neither names one, a cluster uses a folder in the warehouse, which all executors
+    share; a local session, as in tests, makes a temporary one of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    context = spark.sparkContext
+    if (of_context := context._jsc.sc().getCheckpointDir()).isDefined():
+        return of_context.get().rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lantern-checkpoints"
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="lantern-checkpoint-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
@@ -30,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     Unlike ``checkpoint()``, which keeps the estimates of the plan that it cuts
     (a product over all its joins, which explodes in loops), a table has its true
-    size. Tables are deleted when the driver ends.
+    size. Tables are deleted by ``drop``, at the latest when the driver ends.
     """
     spark = df.sparkSession
     folder = f"{ensure_folder(spark)}/lantern-{spark.sparkContext.applicationId}"
@@ -39,7 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(delete, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` has made; nothing may read them afterwards, nor what was derived from them."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
