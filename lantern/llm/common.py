@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.sources.checkpoints import cut, delete, ensure_folder
+from lantern.sources.checkpoints import cut, delete, drop, ensure_folder
 
-__all__ = ["cut", "delete", "ensure_folder"]
+__all__ = ["cut", "delete", "drop", "ensure_folder"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

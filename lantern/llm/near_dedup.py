@@ -6,23 +6,27 @@ so half the hash evaluations give a signature of the usual length; both are
 unbiased estimators. ``BANDS`` bands of ``ROWS`` values each make two sets of
 Jaccard similarity 0.8 meet in some band but for 1 in 8 million pairs.
 
-Documents of equal sets are one node. Nodes that meet in a band's bucket are
-compared on their full sets until what they link is known: first all with the
-bucket's smallest node, then, where a bucket still holds several components,
-the nodes outside its largest component with all others. Pairs that are
-connected already are never made, so a bucket of thousands of copies costs
-about as many comparisons as it has nodes, and no link is lost. Before their
-sets, two nodes' sketches are compared: 4 bits each of ``SKETCHED`` signature
-values. Sets of similarity 0.8 agree in fewer than ``AGREE`` of them in 1 of 50
-million pairs (five and a half deviations), sets of similarity 0.5 in most; pairs
-that fail are dropped inside the join that finds them. So are pairs that too few
-shingles can be common to: one that no other node left to compare has is in no
-intersection, which bounds the similarity of every pair, exactly.
+Documents of equal sets are one node. Every node of a band's bucket is compared
+with the bucket's leader, its smallest node, on their full sets; this gives the
+first links, and for each (leader, node) the shingles that only one of the two has,
+the node's ``delta``. Two nodes of one leader differ in just those shingles that are
+in one of their two deltas, so deltas, which are short, stand for the sets from then
+on. Of the nodes that share a leader, those outside the leader's largest component are
+joined with all others, in blocks of at most ``BLOCK`` nodes. The join's own condition
+is the exact similarity, after two bounds that never drop a link, so it makes links
+alone: connected nodes are not compared, and unlike ones give no row. Two texts that
+meet in some band are therefore linked for certain if they are similar enough; the
+banding, which misses 1 in 8 million pairs at 0.8, is the only thing left to chance.
 
 Defined results: null texts and texts without words have an empty set, link
-with nothing and stay; a text with fewer words than a shingle is one shingle;
-repeated rows are documents of their own in the same component; an empty table
-gives an empty result.
+with nothing and stay; a text with fewer words than a shingle is one shingle; a very
+long text is one set like any other, hashed in parts. Repeated rows are documents of
+their own in the same component. A null doc_id is larger than any other, so such a row
+is kept only where its component has no doc_id; rows that share a doc_id are told apart
+by their texts. ``deduplicate`` keeps one row of each component, the one of the smallest
+doc_id (of several, one by a hash of the text), and all columns of ``docs``, whatever their
+names; other columns than doc_id and text aren't looked at. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -40,11 +44,12 @@ from . import common
 from .components import components
 
 PERMUTATIONS, BANDS, ROWS = 100, 40, 5
-SKETCHED, AGREE = 128, 80
 #: Similarity in hundredths.
 THRESHOLD = 80
-#: The last rounds' pairs are looked at together up to this many for each node; beyond, buckets get another smallest node.
-PAIRS_PER_NODE = 2000
+#: Nodes of one leader that a task compares another node with.
+BLOCK = 2048
+#: Words of the bitmap that bounds how much two deltas differ.
+BITMAP = 8
 SEED = 20
 
 
@@ -82,79 +87,57 @@ def signature(members: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([low, np.roll(high, len(a) // 4)])
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """The lowest 4 bits of the scrambled signature values, 16 in each number."""
-    bits = scramble(values[:SKETCHED]).reshape(-1, 16) & np.uint64(15)
-    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
-
-
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (a digest of its set, null if empty), bands (its bucket in each band) and sketch."""
+    """Per row: doc_id, key (a hash of doc_id and text), n_shingles, node (a digest of its set, null if empty) and bands (its bucket in each band)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b, mixers = _constants()
         for batch in batches:
-            n, nodes, bands, sketches = [], [], [], []
+            n, nodes, bands = [], [], []
             for text in batch["text"]:
                 members = shingle_set(text, width)
                 n.append(len(members))
                 nodes.append(xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None)
-                if len(members):
-                    # the maxima are turned by a quarter, so that no band has both ends of one permutation
-                    whole = signature(members, a, b)
-                    values = whole.reshape(ROWS, BANDS).T
-                    sketches.append(sketch(whole))
-                    bands.append(scramble((scramble(values) * mixers).sum(1, dtype=np.uint64)).view(np.int64))
-                else:
-                    bands.append(np.empty(0, np.int64))
-                    sketches.append(np.empty(0, np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "node": nodes, "bands": bands, "sketch": sketches})
+                # the maxima are turned by a quarter, so that no band has both ends of one permutation
+                values = signature(members, a, b).reshape(ROWS, BANDS).T if len(members) else None
+                bands.append(np.empty(0, np.int64) if values is None else scramble((scramble(values) * mixers).sum(1, dtype=np.uint64)).view(np.int64))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"], "n_shingles": n, "node": nodes, "bands": bands})
+
+    return _texts(docs).mapInPandas(sign, "doc_id long, key long, n_shingles long, node binary, bands array<long>")
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
-    return texts.mapInPandas(sign, "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), common.ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
 
-def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """Per distinct set of ``docs``: s_node and members."""
+
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """Per row of ``texts``: s_node and members."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             members = [shingle_set(t, width) for t in batch["text"]]
             yield pd.DataFrame({"s_node": [xxhash.xxh3_128_digest(m.tobytes()) for m in members], "members": [m.view(np.int64) for m in members]})
 
-    texts = docs.select(common.ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
-    return texts.mapInPandas(build, "s_node binary, members array<long>")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked for."""
-    left = sets.select(F.col("s_node").alias("a"), F.col("members").alias("a_members"))
-    right = sets.select(F.col("s_node").alias("b"), F.col("members").alias("b_members"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    common_size = F.size(F.array_intersect("a_members", "b_members"))
-    union = F.size("a_members") + F.size("b_members") - common_size
-    return both.filter(common_size * 100 >= union * threshold).select("a", "b")
+    return texts.select("text").mapInPandas(build, "s_node binary, members array<long>")
 
 
-def _agreeing(a: Column, b: Column) -> Column:
-    """In how many values two sketches agree."""
-    ones = F.lit(0x1111111111111111)
+def _similar(differing: Column, sizes: Column, threshold: int) -> Column:
+    """Whether sets of so many elements together, of which so many are in one set alone, are similar enough."""
+    return differing * (100 + threshold) <= sizes * (100 - threshold)
 
-    def differing(k: int) -> Column:
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(ones))
 
-    return F.lit(SKETCHED) - reduce(lambda p, q: p + q, (differing(k) for k in range(SKETCHED // 16)))
+def _bitmap(delta: str) -> Column:
+    """A bit for each element. Bits that differ between two of these come from different elements."""
 
+    def word(k: int) -> Column:
+        own = F.filter(delta, lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(BITMAP - 1)) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
-def _close(threshold: int, a: str, b: str) -> Column:
-    """Whether two members (structs of node, n, shared and sketch) may be similar enough, by their sizes and their sketches.
-
-    ``shared`` shingles of a member can be in another one, so no more are in both.
-    """
-    most = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared"))
-    return (most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * threshold) & (_agreeing(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) >= AGREE)
+    return F.array(*map(word, range(BITMAP)))
 
 
 class Duplicates:
@@ -164,81 +147,89 @@ class Duplicates:
         self.docs, self.width, self.threshold = docs, width, threshold
         self.signed = common.cut(signatures(docs, width))
         filled = self.signed.filter("node IS NOT NULL")
-        self.nodes = common.cut(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-        self.of_node = self.find()
-
-    def find(self) -> DataFrame:
-        """(node, component) of every node that has a link."""
-        rows = self.nodes.select(F.explode("bands").alias("bucket"), "node", "first_id")
-        buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).filter("size > 1").drop("size")
-        active = common.cut(rows.join(buckets, "bucket"))
-        wanted = active.select(F.col("first_id").alias("doc_id")).distinct()
-        texts = self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-        self.sets = common.cut(sets_of(texts, self.width).dropDuplicates(["s_node"]))
-        member = self.nodes.select("node", F.struct("node", "n", F.col("n").alias("shared"), "sketch").alias("member"))
-        star = active.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-        both = star.join(member.select(F.col("node").alias("a"), F.col("member").alias("a_member")), "a").join(member.select(F.col("node").alias("b"), F.col("member").alias("b_member")), "b")
-        links = common.cut(confirmed(both.filter(_close(self.threshold, "a_member", "b_member")), self.sets, self.threshold))
-        known, left = components(links), active.filter("node != first").select("bucket", "node")
-        while True:
-            left, more = self.remaining(left, known, member)
-            if more is None:
-                return known
-            found = common.cut(confirmed(more, self.sets, self.threshold))
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                known = components(links)
-
-    def remaining(self, rows: DataFrame, known: DataFrame, member: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """The rows (bucket, node) that may still link, and the next pairs to compare; no pairs: all is known."""
-        labels = known.select(F.col("node").alias("k_node"), "component")
-        held = common.cut(rows.join(labels, F.col("node") == F.col("k_node"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
-        mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low != high").select("bucket", "first")
-        mine = common.cut(held.join(mixed, "bucket").join(self.with_shared(member, held.join(mixed, "bucket", "left_semi").select("node").distinct()), "node"))
-        if mine.isEmpty():
-            return rows, None
-        parts = mine.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-        buckets = common.cut(parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("largest")))
-        sums = buckets.agg(F.sum("size").alias("rows"), F.sum((F.col("size") - F.col("largest.size")) * F.col("size")).alias("pairs")).first()
-        if sums["pairs"] <= PAIRS_PER_NODE * sums["rows"]:
-            one = mine.join(buckets, "bucket").filter("component != largest.component").select("bucket", F.col("member").alias("a_member"), F.col("component").alias("a_component"), F.col("largest.component").alias("most"))
-            other = mine.select("bucket", F.col("member").alias("b_member"), F.col("component").alias("b_component"))
-            apart = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("most")) | (F.col("a_member.node") < F.col("b_member.node")))
-            pairs = one.join(other, "bucket").filter(apart & _close(self.threshold, "a_member", "b_member"))
-            return rows.limit(0), pairs.select(F.least("a_member.node", "b_member.node").alias("a"), F.greatest("a_member.node", "b_member.node").alias("b")).distinct()
-        rest = mine.filter("node != first")
-        firsts = member.select(F.col("node").alias("first"), F.col("member").alias("a_member"))
-        pairs = rest.join(firsts, "first").filter(_close(self.threshold, "a_member", "member"))
-        return rest.select("bucket", "node"), pairs.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-
-    def with_shared(self, member: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The members of ``nodes``, each with how many of its shingles another one of them has too."""
-        left = common.cut(nodes.join(self.sets, F.col("node") == F.col("s_node")).select("node", "members"))
-        held_by = left.select("node", F.explode("members").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"))
-        alone = held_by.filter("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-        known = member.join(left.select("node"), "node", "left_semi").join(alone, "node", "left")
-        shared = F.col("member.n") - F.coalesce("alone", F.lit(0))
-        return known.select("node", F.col("member").withField("shared", shared).alias("member")).filter(shared * 100 >= F.col("member.n") * self.threshold)
+        nodes = filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        self.nodes = common.cut(nodes.withColumn("id", F.monotonically_increasing_id()))
+        met = self.met()
+        links = met.filter("linked").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        more = common.cut(self.more(met, components(links)))
+        self.of_node = components(links if more.isEmpty() else links.unionByName(more))
+        common.drop(more, met)
+
+    def met(self) -> DataFrame:
+        """(leader, id, n, linked, delta) for every node and each smallest node of one of its buckets."""
+        rows = self.nodes.select(F.explode("bands").alias("bucket"), "id").repartition("bucket")
+        leaders = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
+        star = common.cut(rows.join(leaders, "bucket").filter("id != leader").select("leader", "id").distinct())
+        wanted = star.select(F.explode(F.array("leader", "id")).alias("id")).distinct()
+        named = common.cut(self.nodes.join(wanted, "id").select("id", "n", "node", "key"))
+        keys = named.select(F.col("key").alias("wanted_key"))
+        texts = _texts(self.docs).join(keys, F.col("key") == F.col("wanted_key"), "left_semi")
+        sets = sets_of(texts, self.width).dropDuplicates(["s_node"])
+        sets = common.cut(named.join(sets, F.col("node") == F.col("s_node")).select("id", "n", "members"))
+        heads = sets.join(star.select("leader").distinct(), F.col("id") == F.col("leader"), "left_semi").select(F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("members").alias("leader_members"))
+        both = star.join(sets, "id").join(heads, "leader")
+        delta = F.concat(F.array_except("members", "leader_members"), F.array_except("leader_members", "members"))
+        found = both.select("leader", "id", "n", "leader_n", delta.alias("delta"))
+        out = common.cut(found.select("leader", "id", "n", _similar(F.size("delta"), F.col("n") + F.col("leader_n"), self.threshold).alias("linked"), "delta"))
+        common.drop(star, named, sets)
+        return out
+
+    def more(self, met: DataFrame, known: DataFrame) -> DataFrame:
+        """The links (a, b) between nodes that share a leader and aren't known to be connected."""
+        labels = known.select(F.col("node").alias("id"), "component")
+        held = common.cut(met.select("leader", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        parts = held.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("size"))
+        groups = parts.groupBy("leader").agg(F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        groups = common.cut(groups.select("leader", F.col("most.component").alias("most"), F.ceil(F.col("size") / BLOCK).alias("blocks")))
+        mixed = held.join(groups, "leader").join(met.select("leader", "id", "delta"), ["leader", "id"])
+        member = common.cut(mixed.select("leader", "most", "blocks", F.struct("id", "n", "component", "delta", _bitmap("delta").alias("bits")).alias("member")))
+        one = member.filter("member.component != most").select("leader", "most", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("member").alias("a"))
+        other = member.select("leader", F.pmod(F.xxhash64("member.id"), F.col("blocks")).alias("block"), F.col("member").alias("b"))
+        apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("most")) | (F.col("a.id") < F.col("b.id")))
+        both = one.join(other, ["leader", "block"]).filter(apart & self.close())
+        return both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+    def close(self) -> Column:
+        """Whether members a and b of one leader are similar enough: by two bounds on how many shingles differ, then exactly."""
+        sizes, lengths = F.col("a.n") + F.col("b.n"), F.size("a.delta") + F.size("b.delta")
+        bits = reduce(lambda x, y: x + y, (F.bit_count(F.get("a.bits", F.lit(k)).bitwiseXOR(F.get("b.bits", F.lit(k)))) for k in range(BITMAP)))
+        exact = lengths - 2 * F.size(F.array_intersect("a.delta", "b.delta"))
+        return _similar(F.abs(F.size("a.delta") - F.size("b.delta")), sizes, self.threshold) & _similar(bits, sizes, self.threshold) & _similar(exact, sizes, self.threshold)
 
     def report(self) -> DataFrame:
         """Per row of the input: doc_id, n_shingles, component_id, kept."""
-        of = self.of_node.select(F.col("node").alias("c_node"), "component")
-        linked = self.nodes.select("node", "first_id").join(of, F.col("node") == F.col("c_node")).select("node", "first_id", "component")
+        return self.marked().drop("key", "component")
+
+    def marked(self) -> DataFrame:
+        """``report`` with each row's key and its component (null if it has none but itself)."""
+        of = self.of_node.select(F.col("node").alias("c_id"), "component")
+        linked = self.nodes.select("id", "first_id").join(of, F.col("id") == F.col("c_id")).select("id", "first_id", "component")
         lowest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = linked.join(lowest, "component").select(F.col("node").alias("l_node"), "component_id")
-        every = self.nodes.select("node", "copies", "first_id").join(named, F.col("node") == F.col("l_node"), "left")
-        nodes = common.cut(every.select("node", "copies", F.coalesce("component_id", "first_id").alias("component_id")))
+        named = linked.join(lowest, "component").select(F.col("id").alias("l_id"), "component", "component_id")
+        every = self.nodes.select("id", "node", "copies", "first_id").join(named, F.col("id") == F.col("l_id"), "left")
+        nodes = common.cut(every.select("node", "copies", F.coalesce("component", "id").alias("component"), F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")))
         # a node of many copies isn't joined by a shuffle of its rows
-        filled = self.signed.filter("node IS NOT NULL").select("doc_id", "n_shingles", "node")
-        found = common.join_groups(filled, nodes, "node", "copies", self.signed.count()).select("doc_id", "n_shingles", "component_id")
-        alone = self.signed.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        filled = self.signed.filter("node IS NOT NULL").select("doc_id", "key", "n_shingles", "node")
+        found = common.join_groups(filled, nodes, "node", "copies", self.signed.count()).select("doc_id", "key", "n_shingles", "component", "component_id")
+        alone = self.signed.filter("node IS NULL").select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
         return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, the one of the smallest doc_id."""
-    dropped = Duplicates(docs, width, threshold).report().filter("NOT kept").select(F.col("doc_id").alias(key := common.fresh(docs, "gone")["gone"])).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+    n = common.fresh(docs, "key", "row_id", "row_key")
+    rows = common.cut(Duplicates(docs, width, threshold).marked().select("doc_id", "key", "component", "kept").filter("component IS NOT NULL"))
+    # of a component's rows with the smallest doc_id, those of the least key stay: one, unless it is repeated whole
+    stay = rows.filter("kept").groupBy("component").agg(F.min("key").alias("least"))
+    named = rows.join(stay, "component").select(F.col("doc_id").alias(n["row_id"]), F.col("key").alias(n["row_key"]), (F.col("kept") & (F.col("key") == F.col("least"))).alias("stays"))
+    counted = common.cut(named.groupBy(n["row_id"], n["row_key"], "stays").agg(F.count(F.lit(1)).alias("copies")))
+    keyed = docs.withColumn(n["key"], _key())
+    same = lambda side: (keyed[n["key"]] == side[n["row_key"]]) & keyed["doc_id"].cast("long").eqNullSafe(side[n["row_id"]])
+    gone, twice = counted.filter("NOT stays"), counted.filter("stays AND copies > 1")
+    if twice.isEmpty():
+        return keyed.join(gone, same(gone), "left_anti").select(docs.columns)
+    once = keyed.join(rest := counted.filter("NOT stays OR copies > 1"), same(rest), "left_anti")
+    return once.unionByName(keyed.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", n["key"]])).select(docs.columns)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

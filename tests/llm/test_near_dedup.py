@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from lantern.llm import near_dedup
+from lantern.llm import components, near_dedup
 
 
 def brute(rows, width):
@@ -51,9 +51,9 @@ def texts(sizes, copies):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("per_node", "sizes", "copies"), [(20, (6, 40, 120), 2), (0, (40,), 1)])
-def test_against_brute_force(spark, monkeypatch, per_node, sizes, copies):
-    monkeypatch.setattr(near_dedup, "PAIRS_PER_NODE", per_node)
+@pytest.mark.parametrize(("block", "sizes", "copies"), [(2048, (6, 40, 120), 2), (3, (40,), 1)])
+def test_against_brute_force(spark, monkeypatch, block, sizes, copies):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = texts(sizes, copies)
     docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, node string").repartition(5)
     got = near_dedup.Duplicates(docs, width=2).report().collect()
@@ -68,3 +68,27 @@ def test_deduplicate_keeps_columns_and_empty_tables(spark):
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [2, 7, 8]
     assert near_dedup.deduplicate(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:k], "other", *base[k + 1 :]])
+    rows = [(None, near(3)), (5, near(50)), (None, "alone one two"), (8, near(20)), (8, "unlike anything else here"), (9, "p q r"), (9, "p q r"), (None, "x y z"), (None, "X y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.Duplicates(docs, width=2).report().collect()
+    assert len(got) == len(rows)
+    linked = [r for r in got if r.n_shingles > 50]
+    assert {r.component_id for r in linked} == {5} and sorted((r.doc_id or 0, r.kept) for r in linked) == [(0, False), (5, True), (8, False)]
+    stay = near_dedup.deduplicate(docs, width=2).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in stay) == sorted([(5, near(50)), (0, "alone one two"), (8, "unlike anything else here"), (9, "p q r"), (0, "x y z")])
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    cuts, cut = [], components.common.cut
+    monkeypatch.setattr(components.common, "cut", lambda df: cuts.append(0) or cut(df))
+    n = 400
+    links = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5001), (5001, 5000), (6000, 6000)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {i: 1000 for i in range(1000, 1300)} | {5000: 5000, 5001: 5000}
+    assert len(cuts) < 60  # about three for each round
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
