@@ -1,4 +1,4 @@
-"""Commands: index, inspect, export-html, crawl, build-navigation, search.
+"""Commands: index, inspect, export-html, export-crawl, crawl, build-navigation, search, serve.
 
 ``python -m lantern COMMAND --help`` lists a command's options.
 """
@@ -8,12 +8,14 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lantern.functions.urls import Site
 from lantern.operators import documents, export, hybrid, navigation
+from lantern.plans import server
 from lantern.plans.api import Tools
 from lantern.sources import corpus, crawl
 from lantern.sources.store import Store
@@ -36,41 +38,80 @@ def save(path: str, text: str) -> None:
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lantern", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    add = lambda name, *options: [(p := commands.add_parser(name)), *(p.add_argument(o, required=o not in ("--max-pages", "--cookies", "--header")) for o in options)][0]
-    add("index", "--root", "--source", "--version")
-    add("inspect", "--root", "--version")
-    add("export-html", "--source", "--output")
-    add("build-navigation", "--source", "--version", "--output")
-    add("search", "--root", "--version", "--query")
-    add("crawl", "--start", "--base", "--prefix", "--output", "--max-pages", "--cookies")
+    site = ("--base", "--prefix")
+    for name, options in {
+        "index": ("--root", "--source", "--version"),
+        "inspect": ("--root", "--version"),
+        "export-html": ("--source", "--output"),
+        "export-crawl": ("--source", "--output", *site),
+        "build-navigation": ("--source", "--version", "--output"),
+        "search": ("--root", "--version", "--query"),
+        "serve": ("--root",),
+        "crawl": ("--start", "--output", *site),
+    }.items():
+        command = commands.add_parser(name)
+        for option in options:
+            command.add_argument(option, required=True)
+        if name == "crawl":
+            command.add_argument("--max-pages", type=int)
+            command.add_argument("--cookies")
+            command.add_argument("--header", type=crawl.header, action="append", default=[])
+            command.add_argument("--cookie", type=crawl.header, action="append", default=[])
+            command.add_argument("--delay", type=float, default=0.0)
     found = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
-    if found.command == "index":
-        tree = os.path.isdir(found.source)
-        pages = corpus.scan(spark, found.source) if tree else corpus.scan_file(spark, found.source)
-        name = Store(spark, f"{found.root}/indexes").build(documents.sections(pages, found.version), hybrid.HashingEmbedder(), found.version, found.source)
-        if tree:
-            save(f"{found.root}/navigation/{found.version}.json", navigation_json(spark, found.source, found.version))
-        print(name)
-    elif found.command == "inspect":
-        store = Store(spark, f"{found.root}/indexes")
-        print(json.dumps(store.metadata(".".join(found.version.split(".")[:2])), ensure_ascii=False, indent=2))
-    elif found.command == "export-html":
-        pages = export.chapter_pages(corpus.scan_file(spark, found.source))
-        export.write_pages(pages, found.output)
-    elif found.command == "build-navigation":
-        save(found.output, navigation_json(spark, found.source, found.version))
-    elif found.command == "search":
-        for row in Tools(spark, found.root, hybrid.HashingEmbedder()).search(found.version, found.query).collect():
-            print(json.dumps(row.asDict(), ensure_ascii=False))
-    else:
-        site = Site(found.base, (found.prefix,), found.prefix)
-        cookie = crawl.cookies(open(found.cookies, encoding="utf-8").read() if found.cookies else None)
-        pages = crawl.numbered(crawl.crawl(spark, found.start, crawl.http_fetch(cookie=cookie), site, max_pages=int(found.max_pages) if found.max_pages else None))
-        export.write_pages(pages.filter("status = 'ok'").select(F.col("file").alias("path"), F.col("html").alias("page")), found.output)
-        save(f"{found.output}/manifest.json", crawl.manifest(pages, found.start, site.root_of(found.start)))
+    {"index": index, "inspect": inspect, "export-html": export_html, "export-crawl": export_crawl, "build-navigation": build_navigation, "search": search, "serve": serve, "crawl": crawl_site}[found.command](spark, found)
     return 0
 
 
+def index(spark: SparkSession, found: argparse.Namespace) -> None:
+    tree = os.path.isdir(found.source)
+    pages = corpus.scan(spark, found.source) if tree else corpus.scan_file(spark, found.source)
+    name = Store(spark, f"{found.root}/indexes").build(documents.sections(pages, found.version), embedder(), found.version, found.source)
+    if tree:
+        save(f"{found.root}/navigation/{found.version}.json", navigation_json(spark, found.source, found.version))
+    print(name)
+
+
+def inspect(spark: SparkSession, found: argparse.Namespace) -> None:
+    store = Store(spark, f"{found.root}/indexes")
+    print(json.dumps(store.metadata(".".join(found.version.split(".")[:2])), ensure_ascii=False, indent=2))
+
+
+def export_html(spark: SparkSession, found: argparse.Namespace) -> None:
+    export.write_pages(export.chapter_pages(corpus.scan_file(spark, found.source)), found.output)
+
+
+def export_crawl(spark: SparkSession, found: argparse.Namespace) -> None:
+    export.export_crawl(spark, found.source, found.output, Site(found.base, (found.prefix,), found.prefix))
+
+
+def build_navigation(spark: SparkSession, found: argparse.Namespace) -> None:
+    save(found.output, navigation_json(spark, found.source, found.version))
+
+
+def search(spark: SparkSession, found: argparse.Namespace) -> None:
+    for row in Tools(spark, found.root, embedder()).search(found.version, found.query).collect():
+        print(json.dumps(row.asDict(), ensure_ascii=False))
+
+
+def serve(spark: SparkSession, found: argparse.Namespace) -> None:
+    server.serve(Tools(spark, found.root, embedder()), sys.stdin, sys.stdout)
+
+
+def crawl_site(spark: SparkSession, found: argparse.Namespace) -> None:
+    site = Site(found.base, (found.prefix,), found.prefix)
+    cookie = crawl.cookies(spark, open(found.cookies, encoding="utf-8").read() if found.cookies else None) | dict(found.cookie)
+    fetch = crawl.http_fetch(headers=dict(found.header), cookie=cookie, delay=found.delay)
+    pages = crawl.numbered(crawl.crawl(spark, found.start, fetch, site, max_pages=found.max_pages, keep=f"{found.output}/fetched"))
+    export.write_pages(pages.filter("status = 'ok'").select(F.col("file").alias("path"), F.col("html").alias("page")), found.output)
+    save(f"{found.output}/manifest.json", crawl.manifest(pages, found.start, site.start(spark, found.start)[1]))
+
+
+def embedder() -> hybrid.Embedder:
+    """The provider that the environment names, or else the hashing embedder."""
+    return hybrid.Provider.from_environment() if os.environ.get(hybrid.PROVIDER_URL) else hybrid.HashingEmbedder()
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

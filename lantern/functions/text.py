@@ -61,8 +61,12 @@ def embedding_text(product: str, version: Column, breadcrumb: Column, source_pat
     return F.concat(F.lit(f"{product} "), version, F.lit("\nSection: "), location(breadcrumb), source, F.lit("\n\n"), text)
 
 
+#: A query as a model of instructions takes it.
+INSTRUCTED = "Instruct: {}\nQuery: {}"
+
+
 def query_text(query: Column, instruction: str = INSTRUCTION) -> Column:
-    return F.concat(F.lit(f"Instruct: {instruction}\nQuery: "), query)
+    return F.concat(F.lit(INSTRUCTED.format(instruction, "")), query)
 
 
 def search_tokens(query: Column) -> Column:

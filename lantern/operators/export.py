@@ -3,53 +3,60 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import count, takewhile
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lantern.functions import urls
 from lantern.functions.markup import Node, parse, write
-from lantern.functions.urls import Site, crawled_href, local_href, relative_path
-from lantern.operators.graph import DEFAULT_TITLE, slug
+from lantern.operators import graph
+from lantern.operators.graph import DEFAULT_TITLE, read_links
+from lantern.sources import corpus
+from lantern.sources.checkpoints import cut
 
 CONTENTS = "Оглавление"
 STYLE = "body{margin:0;font:16px/1.5 sans-serif}main{max-width:64rem;margin:auto;padding:2rem}img{max-width:100%}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.3rem .5rem}.row-number{text-align:right}"
+#: Characters that names of files can't have.
+UNFIT = r'[<>:"/\\|?*]'
 EMPTY_GOES = frozenset({"div", "nav", "header", "footer", "aside"})
-
-
-def number_rows(root: Node) -> None:
-    """Table rows whose first cell holds an empty numbered item get their number."""
-    for table in ([root] if root.tag == "table" else []) + root.find_all("table"):
-        number = 0
-        for row in table.find_all("tr"):
-            cells = [c for c in row.children if isinstance(c, Node) and c.tag in ("th", "td")]
-            if not cells or cells[0].tag != "td":
-                continue
-            lists = [n for n in cells[0].find_all("ol") if "n" in n.classes()]
-            mark = next((c for n in lists for c in n.children if isinstance(c, Node) and c.tag == "li"), None)
-            if mark is None or mark.text(""):
-                continue
-            number += 1
-            cells[0].children = [str(number)]
-            cells[0].attrs["class"] = " ".join([*cells[0].classes(), "row-number"])
-
-
-def clean(root: Node, local: dict[str, str]) -> None:
-    """Takes out filter forms, scripts and empty containers, numbers rows and rewrites links within the document."""
-    for place in ([root] if "filter_place" in root.classes() else []) + [n for n in root.walk() if "filter_place" in n.classes()]:
-        for form in place.find_all("form"):
-            form.remove()
-    number_rows(root)
-    for node in list(root.walk()):
-        if node.tag == "script":
-            node.remove()
-            continue
-        for name in ("href", "src"):
-            if name in node.attrs:
-                node.attrs[name] = local_href(node.attrs[name], local)
-        if node.tag in EMPTY_GOES and not node.text(""):
-            node.remove()
+LINKS = ("href", "src")
+
+
+def _awaits_number(cell: Node | str) -> bool:
+    """Whether a table's cell begins with the empty item of a numbered list."""
+    if isinstance(cell, str) or cell.tag != "td":
+        return False
+    items = (n for n in cell.walk() if n.tag == "li" and n.parent.tag == "ol" and "n" in n.parent.classes())
+    first = next(items, None)
+    return first is not None and not first.text("")
+
+
+def kept(node: Node, link: Callable[[str], str], rows: Iterator[int] | None = None, filters: bool = False) -> Node | None:
+    """A copy of ``node`` as it is exported: without scripts, filters' forms and empty containers, rows numbered, links rewritten.
+
+    ``rows`` numbers the rows of the table around; ``filters`` tells that a filter's place is around.
+    """
+    filters = filters or "filter_place" in node.classes()
+    if node.tag == "script" or filters and node.tag == "form":
+        return None
+    out = Node(node.tag, {k: link(v) if k in LINKS else v for k, v in node.attrs.items()})
+    if node.tag == "table" and rows is None:
+        rows = count(1)
+    cell = next((c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")), None) if node.tag == "tr" and rows else None
+    for child in node.children:
+        if child is cell and cell is not None and _awaits_number(cell):
+            numbered = out.add(Node("td", cell.attrs | {"class": " ".join([*cell.classes(), "row-number"])}))
+            numbered.add(str(next(rows)))
+        elif isinstance(child, str):
+            out.add(child)
+        elif (copy := kept(child, link, rows, filters)) is not None:
+            out.add(copy)
+    return None if out.tag in EMPTY_GOES and not out.text("") else out
 
 
 def page(title: str, content: str, nav: str = "", lang: str = "ru") -> str:
@@ -59,45 +66,38 @@ def page(title: str, content: str, nav: str = "", lang: str = "ru") -> str:
 
 def chapters(html: str) -> list[tuple[str, str, str]]:
     """(title, path, html) of each h1 and the siblings that follow it, up to the next h1; blank ones are left out."""
-    root = parse(html)
-    heads = [(h, " ".join(h.text(" ").split())) for h in root.find_all("h1")]
-    named = [(h, t, f"{slug(t)}/index.html") for h, t in heads if t]
-    local = {h.attrs["id"]: path for h, _, path in named if h.attrs.get("id")}
+    titled = {h: " ".join(h.text(" ").split()) for h in parse(html).find_all("h1")}
+    paths = {h: f"{slug(t)}/index.html" for h, t in titled.items() if t}
+    places = {h.attrs["id"]: path for h, path in paths.items() if h.attrs.get("id")}
     out = []
-    for h, title, path in named:
-        siblings, holder = h.parent.children, Node("main")
-        start = siblings.index(h)
-        holder.add(h)
-        for item in siblings[start + 1 :]:
-            if isinstance(item, Node) and item.tag == "h1":
-                break
-            holder.children.append(item)
-        body = Node("main")
-        for item in holder.children:
-            if isinstance(item, str):
-                if item.strip():
-                    body.children.append(item)
-                continue
-            copy = parse(write(item))
-            clean(copy, local)
-            body.children += copy.children
-        out.append((title, path, page(title, "".join(map(write, body.children)))))
+    for h, path in paths.items():
+        siblings = h.parent.children
+        body = [h, *takewhile(lambda x: isinstance(x, str) or x.tag != "h1", siblings[siblings.index(h) + 1 :])]
+        copies = (x if isinstance(x, str) else kept(x, lambda link: urls.within(link, places)) for x in body if not isinstance(x, str) or x.strip())
+        out.append((titled[h], path, page(titled[h], "".join(write(c) for c in copies if c is not None))))
     return out
 
 
-def crawled(html: str, url: str, title: str, path: str, paths: dict[str, str], site: Site) -> str:
-    """A crawled page for export: cleaned, with links to other exported pages."""
+def slug(title: str) -> str:
+    """A title as the name of a folder."""
+    return " ".join(re.sub(UNFIT, " ", title).split()).strip(" .") or "index"
+
+
+def crawled(html: str, url: str, title: str, path: str, targets: dict[str, str]) -> str:
+    """A crawled page for export; ``targets`` has the new place of each link that leads to another exported page."""
     root = parse(html)
-    body = root.find("body") or root
-    clean(body, {})
-    for a in body.find_all("a"):
-        if "href" in a.attrs:
-            a.attrs["href"] = crawled_href(a.attrs["href"], url, path, paths, site)
-    for image in body.find_all("img"):
-        if "src" in image.attrs:
-            image.attrs["src"] = urljoin(url, image.attrs["src"])
-    nav = f'<nav><a href="{relative_path("index.html", path)}">{CONTENTS}</a></nav>'
-    return page(title, "".join(map(write, body.children)), nav)
+    body = Node("")
+
+    def link(href: str) -> str:
+        if href in targets:
+            return urls.between(path, targets[href].partition("#")[0]) + "".join(targets[href].partition("#")[1:])
+        return urljoin(url, href) if href and not href.startswith(("#", "mailto:", "javascript:")) else href
+
+    for child in (root.find("body") or root).children:
+        if (copy := child if isinstance(child, str) else kept(child, link)) is not None:
+            body.add(copy)
+    nav = f'<nav><a href="{urls.between(path, "index.html")}">{CONTENTS}</a></nav>'
+    return page(title, write(body), nav)
 
 
 def chapter_pages(sources: DataFrame) -> DataFrame:
@@ -110,20 +110,24 @@ def chapter_pages(sources: DataFrame) -> DataFrame:
     return sources.select("html").mapInPandas(split, "title string, path string, page string")
 
 
-def rendered(pages: DataFrame, paths: dict[str, str], site: Site) -> DataFrame:
-    """Crawled pages (url, title, html) as they are exported: url, title, path, page. ``paths`` are those of one documentation."""
-    known = pages.sparkSession.sparkContext.broadcast(paths)
+def rendered(pages: DataFrame, paths: DataFrame, site: urls.Site) -> DataFrame:
+    """Crawled pages (url, title, html) as they are exported to ``paths`` (url, path): url, title, path, page.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for url, title, html in zip(batch["url"], batch["title"], batch["html"], strict=True):
-                if url in known.value:
-                    name = title or DEFAULT_TITLE
-                    rows.append((url, name, known.value[url], crawled(html, url, name, known.value[url], known.value, site)))
-            yield pd.DataFrame(rows, columns=["url", "title", "path", "page"], dtype=object)
+    Links find the places of other pages by a join; a page's own ones come back as one map.
+    """
+    each = read_links(pages, site).select("url", F.explode("links").alias("l")).select("url", "l.href", F.col("l.page").alias("target"))
+    places = paths.select(F.col("url").alias("target"), F.col("path").alias("place"))
+    anchor = F.regexp_extract("href", r"(#.+)$", 1)
+    led = each.join(places, "target").groupBy("url").agg(F.map_from_entries(F.collect_set(F.struct("href", F.concat("place", anchor)))).alias("targets"))
+
+    @F.pandas_udf("string")
+    def render(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([crawled(html, url, title, path, dict(targets or {})) for html, url, title, path, targets in zip(*columns, strict=True)], dtype=object)
 
-    return pages.select("url", "title", "html").mapInPandas(run, "url string, title string, path string, page string")
+    named = pages.select("url", F.coalesce(F.nullif("title", F.lit("")), F.lit(DEFAULT_TITLE)).alias("title"), "html")
+    whole = named.join(paths.select("url", "path"), "url").join(led, "url", "left")
+    return whole.select("url", "title", "path", render("html", "url", "title", "path", "targets").alias("page"))
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
@@ -158,3 +162,17 @@ def _link(name: str, path: str) -> Node:
     a = Node("a", {"href": path})
     a.add(name)
     return a
+
+
+def export_crawl(spark: SparkSession, manifest_path: str, folder: str, site: urls.Site) -> DataFrame:
+    """Exports the finished pages of a crawl's manifest to ``folder``: pages, index and manifest. Returns url, title, path, page."""
+    pages = cut(corpus.crawled_pages(spark, manifest_path))
+    edges = cut(graph.known_links(graph.links(pages, site, index_only=True), pages))
+    roots = cut(graph.roots(pages, edges))
+    paths = graph.tree_paths(pages, edges, roots)
+    out = cut(rendered(pages, paths, site))
+    write_pages(out, folder)
+    starts = roots.join(out.select("url", "title", "path"), "url").orderBy("ord").select("title", "path").collect()  # one row for each chapter
+    extra = [("index.html", index_page(CONTENTS, [tuple(r) for r in starts])), ("manifest.json", export_manifest(out))]
+    write_pages(spark.createDataFrame(extra, "path string, page string"), folder)
+    return out

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.functions import markup
+from lantern.functions import markup, text
 from lantern.functions.urls import Site
-from lantern.sources.checkpoints import cut
+from lantern.sources.checkpoints import cut, drop
 
 PATH_CHARS, LEAST_CHARS = 180, 24
 EXTRAS = "Дополнительные материалы"
@@ -30,6 +29,22 @@ CHAPTERS = (
 )
 
 
+def read_links(pages: DataFrame, site: Site | None = None) -> DataFrame:
+    """Pages (url, html) as url and links, in order: href, page (the canonical one with ``site``, the href without) and whether it is in an index block."""
+
+    def found(html: str, url: str) -> list[tuple]:
+        anchors = (a for a in markup.parse(html or "").find_all("a") if "href" in a.attrs)
+        return [(a.attrs["href"], urljoin(url, a.attrs["href"]) if site else a.attrs["href"], any("index" in n.classes() for n in a.ancestors())) for a in anchors]
+
+    @F.pandas_udf("array<struct<href string, address string, indexed boolean>>")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for htmls, addresses in batches:
+            yield pd.Series([found(h, u) for h, u in zip(htmls, addresses, strict=True)])
+
+    page = site.page if site else lambda address: address
+    return pages.select("url", F.transform(read("html", "url"), lambda x: F.struct(x["href"].alias("href"), page(x["address"]).alias("page"), x["indexed"].alias("indexed"))).alias("links"))
+
+
 def links(pages: DataFrame, site: Site | None = None, root: str | None = None, index_only: bool = False) -> DataFrame:
     """Per link of pages (url, html): src, dst, ord; each target once, in order, none to the page itself.
 
@@ -37,22 +52,12 @@ def links(pages: DataFrame, site: Site | None = None, root: str | None = None, i
     without, they are the hrefs. ``index_only`` takes the links of index blocks.
     """
 
-    def hrefs(html: str, url: str) -> list[str]:
-        out: dict[str, None] = {}
-        for a in markup.parse(html or "").find_all("a"):
-            if "href" not in a.attrs or index_only and not any("index" in n.classes() for n in a.ancestors()):
-                continue
-            target = site.normalise(a.attrs["href"], url) if site else a.attrs["href"]
-            if target and target != url and (root is None or target.startswith(root)):
-                out.setdefault(target)
-        return list(out)
-
-    @F.pandas_udf("array<string>")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for htmls, urls in batches:
-            yield pd.Series([hrefs(h, u) for h, u in zip(htmls, urls, strict=True)])
+    def wanted(x: Column) -> Column:
+        own = x["page"].isNotNull() & (x["page"] != "") & (x["page"] != F.col("url"))
+        return own & (F.startswith(x["page"], F.lit(root)) if root else F.lit(True)) & (x["indexed"] if index_only else F.lit(True))
 
-    return pages.select(F.col("url").alias("src"), F.posexplode(read("html", "url")).alias("ord", "dst"))
+    targets = F.array_distinct(F.transform(F.filter("links", wanted), lambda x: x["page"]))
+    return read_links(pages, site).select(F.col("url").alias("src"), F.posexplode(targets).alias("ord", "dst"))
 
 
 def known_links(edges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -88,81 +93,78 @@ def levels(edges: DataFrame, starts: DataFrame, most: int | None = None) -> Data
     return visited
 
 
-def slug(title: str) -> str:
-    name = re.sub(r'[<>:"/\\|?*]', " ", re.sub(r"[ \t\r\f\v]+", " ", title).strip().replace(" ", " "))
-    return re.sub(r"\s+", " ", name).strip(" .") or "index"
-
+def first_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Of the pages that links (src, dst, ord) lead to from ``starts`` (url, key): url, parent and key, by the path that comes first.
 
-class TreeNames:
-    """Names in a folder: of bounded length, and told apart by the address where they are equal but for case."""
-
-    def __init__(self):
-        self.used: dict[str, set[str]] = {}
-
-    def name(self, parent: str, title: str, url: str, extension: str) -> str:
-        room = max(LEAST_CHARS, PATH_CHARS - (len(parent) + 1 if parent else 0) - (len(extension) or len("/index.html")))
-        digest = hashlib.sha256(url.encode()).hexdigest()[:8]
-        base = slug(title)
-        if len(base) > room:
-            base = f"{base[: room - 9].rstrip(' .')}-{digest}"
-        taken = self.used.setdefault(parent, set())
-        if f"{base}{extension}".casefold() in taken:
-            base = f"{base[: max(1, room - 9)].rstrip(' .')}-{digest}"
-        taken.add(f"{base}{extension}".casefold())
-        return f"{base}{extension}"
+    A path's key is its start's and the numbers of its links, so paths are in the order of a walk
+    that follows each link before the next. Every round goes one link further from the pages
+    whose key has improved, until none does; a path never meets a page twice.
+    """
+    best = frontier = cut(starts.select("url", "key", F.lit(None).cast("string").alias("parent"), F.array("url").alias("chain")))
+    while not frontier.isEmpty():
+        ahead = frontier.join(edges, F.col("url") == F.col("src")).filter(~F.array_contains("chain", F.col("dst")))
+        path = F.struct(F.concat("key", F.array(F.col("ord").cast("long"))).alias("key"), F.col("url").alias("parent"), F.concat("chain", F.array("dst")).alias("chain"))
+        led = ahead.groupBy(F.col("dst").alias("url")).agg(F.min(path).alias("p")).select("url", "p.key", "p.parent", "p.chain")
+        old = best.select(F.col("url").alias("o_url"), F.col("key").alias("o_key"))
+        frontier = cut(led.join(old, F.col("url") == F.col("o_url"), "left").filter("o_key IS NULL OR key < o_key").drop("o_url", "o_key"))
+        best = cut(best.join(frontier.select("url"), "url", "left_anti").unionByName(frontier))
+    return best.select("url", "parent", "key")
 
 
-def tree_paths(pages: list[dict], edges: list[tuple[str, str, int]], starts: list[str]) -> dict[str, str]:
-    """Paths of an export by address: pages with children are folders, leaves are files, the first visit counts.
+def file_names(found: DataFrame, taken: DataFrame) -> DataFrame:
+    """``found`` (folder, title, url, extension, key) with ``name``: of bounded length, unlike others in its folder whatever their case.
 
-    Pages that no root reaches go to their parent's folder, one at a time, or to
-    a folder of extras. One documentation's tree is small (one path for each page
-    of it), and each name depends on those before it, so this is a driver's walk.
+    Of equal names the first by key keeps its own, unless it is ``taken`` (folder, folded); the rest have a digest of their address.
     """
-    by_url = {p["url"]: p for p in pages}
-    children: dict[str, list[str]] = {}
-    for src, dst, _ in sorted(edges, key=lambda e: (e[0], e[2])):
-        children.setdefault(src, []).append(dst)
-    names, paths = TreeNames(), {}
-
-    def place(start: str, parent: str, folder: bool) -> None:
-        stack = [(start, parent, folder)]
-        while stack:
-            url, where, as_folder = stack.pop()
-            if url in paths:
-                continue
-            title = by_url[url].get("title") or DEFAULT_TITLE
-            if not as_folder and not children.get(url):
-                name = names.name(where, title, url, ".html")
-                paths[url] = f"{where}/{name}" if where else name
-                continue
-            name = names.name(where, title, url, "")
-            inside = f"{where}/{name}" if where else name
-            paths[url] = f"{inside}/index.html"
-            stack.extend((c, inside, False) for c in reversed(children.get(url, [])) if c in by_url)
-
-    for url in starts:
-        place(url, "", True)
-    order = sorted((u for u in by_url if u not in paths), key=lambda u: ((by_url[u].get("title") or "").casefold(), u))
-    while order:
-        ready = next((u for u in order if by_url[u].get("parent") in paths), None)
-        if ready is None:
-            break
-        place(ready, paths[by_url[ready]["parent"]].rpartition("/")[0], False)
-        order = [u for u in order if u not in paths]
-    for url in order:
-        place(url, EXTRAS, False)
-    return paths
-
-
-def path_components(tree: DataFrame) -> DataFrame:
-    """Of a forest (url, parent, title): url, depth and the path of names from its root, level by level."""
-    name = F.when(F.trim(F.regexp_replace("title", r'[<>:"/\\|?*\s]+', " ")) == "", F.lit("index")).otherwise(F.trim(F.regexp_replace("title", r'[<>:"/\\|?*\s]+', " ")))
-    named = tree.select("url", "parent", name.alias("name"))
-    done = cut(named.filter("parent IS NULL").select("url", F.lit(0).alias("depth"), F.col("name").alias("path")))
-    frontier = done
-    while not frontier.isEmpty():
-        above = frontier.select(F.col("url").alias("parent"), F.col("depth").alias("d"), F.col("path").alias("p"))
-        frontier = cut(named.join(above, "parent").select("url", (F.col("d") + 1).alias("depth"), F.concat_ws("/", "p", "name").alias("path")))
-        done = done.unionByName(frontier)
-    return done
+    room = F.greatest(F.lit(LEAST_CHARS), PATH_CHARS - F.when(F.col("folder") == "", 0).otherwise(F.length("folder") + 1) - F.when(F.col("extension") == "", len("/index.html")).otherwise(F.length("extension")))
+    digest = F.concat(F.lit("-"), F.substring(F.sha2("url", 256), 1, 8))
+    marked = lambda name: F.concat(F.regexp_replace(F.substring(name, F.lit(1), F.greatest(F.lit(1), F.col("room") - 9)), r"[ .]+$", ""), digest)
+    whole = found.withColumn("room", room).withColumn("slug", text.slug(F.col("title")))
+    short = whole.withColumn("slug", F.when(F.length("slug") > F.col("room"), marked(F.col("slug"))).otherwise(F.col("slug")))
+    folded = short.withColumn("folded", F.lower(F.concat("slug", "extension")))
+    turn = F.row_number().over(Window.partitionBy("folder", "folded").orderBy("key", "url"))
+    known = taken.select(F.col("folder").alias("t_folder"), F.col("folded").alias("t_folded"), F.lit(True).alias("is_taken")).distinct()
+    both = folded.withColumn("turn", turn).join(known, (F.col("folder") == F.col("t_folder")) & (F.col("folded") == F.col("t_folded")), "left")
+    own = (F.col("turn") == 1) & F.col("is_taken").isNull()
+    return both.withColumn("name", F.concat(F.when(own, F.col("slug")).otherwise(marked(F.col("slug"))), "extension")).drop("room", "slug", "folded", "turn", "t_folder", "t_folded", "is_taken")
+
+
+def tree_paths(pages: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Paths of an export: url, path. Pages with links of their own are folders, others are files; a page belongs to the first path to it.
+
+    ``pages`` has url, title and parent, ``edges`` src, dst and ord, ``starts`` url and ord. Pages that no
+    start leads to go to the folder of their recorded parent after all others, or else to a folder of extras.
+    One level of the tree is named at a time.
+    """
+    order = lambda side, *by: side.withColumn("n", F.row_number().over(Window.orderBy(*by)).cast("long"))  # noqa: E731  # one row for each page of one documentation
+    roots = order(starts, "ord").select("url", F.array(F.lit(0).cast("long"), "n").alias("key"))
+    reached = first_paths(edges, roots)
+    rest = cut(order(pages.join(reached, "url", "left_anti"), F.lower(F.coalesce("title", F.lit(""))), "url").select("url", F.col("parent").alias("above"), "n"))
+    inner = edges.join(rest.select(F.col("url").alias("src")), "src", "left_semi").join(rest.select(F.col("url").alias("dst")), "dst", "left_semi")
+    recorded = rest.filter("above IS NOT NULL").select(F.col("above").alias("src"), F.col("url").alias("dst"), (F.col("n") + (1 << 40)).alias("ord"))
+    extras = rest.select("url", F.array(F.lit(1).cast("long"), "n").alias("key"))
+    # a page whose recorded parent has a place begins at that place; the rest are extras
+    placed = reached.select(F.col("url").alias("src"), F.col("key").alias("above_key"))
+    late = recorded.join(placed, "src").select(F.col("dst").alias("url"), F.concat("above_key", F.array("ord")).alias("key"))
+    begun = late.unionByName(extras.join(late, "url", "left_anti"))
+    led = first_paths(inner.select("src", "dst", F.col("ord").cast("long").alias("ord")).unionByName(recorded.join(placed, "src", "left_anti")), begun)
+    parent = led.join(recorded.select(F.col("src").alias("r_parent"), F.col("dst").alias("url")).join(placed.select(F.col("src").alias("r_parent")), "r_parent", "left_semi"), "url", "left")
+    tree = reached.unionByName(parent.select("url", F.coalesce("parent", "r_parent").alias("parent"), "key"))
+    heads = edges.select(F.col("src").alias("url"), F.lit(True).alias("leads")).distinct()
+    root_urls = starts.select("url", F.lit(True).alias("is_root"))
+    titled = pages.select("url", F.coalesce(F.nullif("title", F.lit("")), F.lit(DEFAULT_TITLE)).alias("title"))
+    extension = F.when(F.coalesce("leads", F.lit(False)) | F.coalesce("is_root", F.lit(False)), F.lit("")).otherwise(F.lit(".html"))
+    left = cut(tree.join(titled, "url").join(heads, "url", "left").join(root_urls, "url", "left").select("url", "parent", "key", "title", extension.alias("extension"), F.coalesce("is_root", F.lit(False)).alias("is_root")))
+    first = F.when(F.col("is_root"), F.lit("")).otherwise(F.lit(EXTRAS))
+    level = left.filter("parent IS NULL").withColumn("folder", first)
+    done = None
+    while True:
+        taken = pages.sparkSession.createDataFrame([], "folder string, folded string") if done is None else done.select("folder", F.lower("name").alias("folded"))
+        inside = F.concat(F.when(F.col("folder") == "", F.lit("")).otherwise(F.concat("folder", F.lit("/"))), "name")
+        named = file_names(level, taken).withColumn("path", F.when(F.col("extension") == "", F.concat(inside, F.lit("/index.html"))).otherwise(inside))
+        named = cut(named.select("url", "folder", "name", "path"))
+        if named.isEmpty():
+            return done.select("url", "path") if done is not None else named.select("url", "path")
+        done = cut(named if done is None else done.unionByName(named))
+        above = named.select(F.col("url").alias("parent"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
+        level = left.join(above, "parent")

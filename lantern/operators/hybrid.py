@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -16,6 +18,10 @@ from lantern.operators import lexical
 RANK_OFFSET = 60
 EXCERPT, SHORT_EXCERPT = 1500, 600
 BATCH = 32
+#: Queries that go through the sections together.
+QUERY_BLOCK = 1024
+#: Environment variables that name a provider of vectors.
+PROVIDER_URL, PROVIDER_MODEL, PROVIDER_KEY = "LANTERN_EMBEDDINGS_URL", "LANTERN_EMBEDDINGS_MODEL", "LANTERN_EMBEDDINGS_KEY"
 
 
 class Embedder(Protocol):
@@ -48,10 +54,35 @@ class HashingEmbedder:
     embed_queries = embed_documents
 
 
+class Provider:
+    """Vectors from an HTTP service that takes ``{"model", "input"}`` and returns ``{"data": [{"index", "embedding"}]}``.
+
+    Queries go with an instruction. It is sent to workers as it is, so each asks on its own.
+    """
+
+    def __init__(self, url: str, model: str, key: str = "", timeout: float = 120.0, instruction: str = text.INSTRUCTION):
+        self.url, self.model, self.key, self.timeout, self.instruction = url, model, key, timeout, instruction
+
+    @classmethod
+    def from_environment(cls) -> Provider:
+        return cls(os.environ[PROVIDER_URL], os.environ.get(PROVIDER_MODEL, ""), os.environ.get(PROVIDER_KEY, ""))
+
+    def embed_documents(self, texts: list[str]) -> list[list[float]]:
+        from urllib.request import Request, urlopen
+
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        with urlopen(Request(self.url, body, headers), timeout=self.timeout) as response:
+            return ordered_response(json.load(response)["data"], len(texts))
+
+    def embed_queries(self, texts: list[str]) -> list[list[float]]:
+        return self.embed_documents([text.INSTRUCTED.format(self.instruction, t) for t in texts])
+
+
 def ordered_response(items: list[dict], expected: int) -> list[list[float]]:
     """A provider's vectors in the order of the request, at unit length; errors if any is missing or zero."""
-    if len(items) != expected:
-        raise ValueError(f"asked for {expected} vectors, got {len(items)}")
+    if sorted(x["index"] for x in items) != list(range(expected)):
+        raise ValueError(f"asked for {expected} vectors, got {len(items)}, or not one for each")
     v = np.array([x["embedding"] for x in sorted(items, key=lambda x: x["index"])], float)
     norms = np.linalg.norm(v, axis=1, keepdims=True)
     if not norms.all():
@@ -74,11 +105,44 @@ def embedded(df: DataFrame, embedder: Embedder, column: str, into: str = "embedd
     return df.withColumn(into, embed(column))
 
 
-def dense(queries: DataFrame, sections: DataFrame, key: str = "id") -> DataFrame:
-    """Per query and section: query_id, section_id, score (dot product). Queries are a stated, small set and are broadcast."""
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
-    found = sections.select(F.col(key).alias("section_id"), "embedding")
-    return found.join(asked, F.size("q") == F.size("embedding")).select("query_id", "section_id", F.round(vectors.dot(F.col("embedding"), F.col("q")), lexical.SCORE_DIGITS).alias("score"))
+def dimension_of(queries: DataFrame, sections: DataFrame) -> int | None:
+    """The dimension of all vectors; an error if they don't agree. None: there are no queries."""
+    found = [r[0] for r in queries.select(F.size("embedding")).distinct().limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"queries of several dimensions: {found}")
+    if found and (other := sections.filter(F.size("embedding") != found[0]).select(F.size("embedding")).first()):
+        raise ValueError(f"queries of dimension {found[0]}, sections of {other[0]}")
+    return found[0] if found else None
+
+
+def dense(queries: DataFrame, sections: DataFrame, key: str = "id", pool: int | None = None, nearest: bool = True) -> DataFrame:
+    """Per query and section: query_id, section_id, score (dot product), of any the ``pool`` nearest (or farthest) of each query.
+
+    A stated set of queries goes through all sections in blocks of ``QUERY_BLOCK``, so what a task
+    holds of it is bounded. Each batch of sections gives its own ``pool`` for a query, so
+    pairs that can't be among the first are never rows.
+    """
+    dimension = dimension_of(queries, sections)
+    asked = queries.select("query_id", "embedding").withColumn("block", F.floor(F.monotonically_increasing_id() / QUERY_BLOCK))
+    blocks = asked.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("vectors"))
+    kind = f"query_id {dict(queries.dtypes)['query_id']}, section_id {dict(sections.dtypes)[key]}, score double"
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.groupby("block", sort=False):
+                ids, q = np.asarray(part["ids"].iloc[0]), np.asarray(part["vectors"].iloc[0], float).reshape(-1, dimension)
+                sections_of, v = part["section_id"].to_numpy(), np.array(part["embedding"].tolist(), float)
+                scores = np.round(q @ v.T, lexical.SCORE_DIGITS) + 0.0
+                if pool is not None and pool < len(v):
+                    # all that tie with the last one stay: the rank decides by section
+                    last = np.partition(scores, len(v) - pool if nearest else pool - 1, axis=1)[:, len(v) - pool if nearest else pool - 1, None]
+                    rows, columns = np.nonzero(scores >= last if nearest else scores <= last)
+                else:
+                    rows, columns = (x.ravel() for x in np.indices(scores.shape))
+                yield pd.DataFrame({"query_id": ids[rows], "section_id": sections_of[columns], "score": scores[rows, columns]})
+
+    found = sections.select(F.col(key).alias("section_id"), "embedding").crossJoin(F.broadcast(blocks)) if dimension else None
+    return found.mapInPandas(rank, kind) if found is not None else queries.sparkSession.createDataFrame([], kind)
 
 
 def pool_of(limit: int) -> int:
@@ -97,7 +161,7 @@ def fused(*rankings: DataFrame) -> DataFrame:
 def search(queries: DataFrame, sections: DataFrame, limit: int = 8, scope: Column | None = None, key: str = "id") -> DataFrame:
     """The best sections of each query (query_id, query, embedding): query_id, rank, section_id, score and their fields.
 
-    Both rankers see the scope before they rank; BM25 takes its statistics from
+    Sections without a vector are ranked by words alone. Both rankers see the scope before they rank; BM25 takes its statistics from
     all sections. Texts are joined only to the sections that are returned.
     """
     if not 1 <= limit <= 20:
@@ -107,7 +171,7 @@ def search(queries: DataFrame, sections: DataFrame, limit: int = 8, scope: Colum
     if scope is not None:
         words = words.join(inside.select(F.col(key).alias("section_id")), "section_id", "left_semi")
     first = lexical.top(words, pool_of(limit), F.col("score"))
-    second = lexical.top(dense(queries, inside, key), pool_of(limit), F.col("score").desc())
+    second = lexical.top(dense(queries, inside.filter("embedding IS NOT NULL"), key, pool_of(limit)), pool_of(limit), F.col("score").desc())
     best = lexical.top(fused(first, second), limit, F.col("score").desc())
     return best.join(sections.drop("embedding"), F.col("section_id") == sections[key])
 

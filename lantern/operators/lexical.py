@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions import text
+from lantern.sources.checkpoints import cut
 
 K1, B = 1.2, 0.75
 #: Weight of each indexed column.
@@ -66,7 +67,8 @@ def bm25(queries: DataFrame, found: DataFrame, lengths: DataFrame, weights: dict
     """Per query and matching section: query_id, section_id, score; the lower the better."""
     asked = phrases(queries).groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
     weight = F.coalesce(*(F.when(F.col("field") == name, F.lit(w)) for name, w in weights.items()))
-    each = matches(asked.select("phrase").distinct(), found).groupBy("phrase", "section_id").agg(F.sum(weight * F.col("tf")).alias("f"))
+    # both frequencies and scores read it
+    each = cut(matches(asked.select("phrase").distinct(), found).groupBy("phrase", "section_id").agg(F.sum(weight * F.col("tf")).alias("f")))
     frequency = each.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
     stats = statistics(lengths)  # one row
     ln = F.log((F.col("n_sections") - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -77,9 +79,14 @@ def bm25(queries: DataFrame, found: DataFrame, lengths: DataFrame, weights: dict
 
 
 def search(queries: DataFrame, sections: DataFrame, key: str = "id", weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """BM25 over sections that have no stored index: only the queries' tokens are looked at."""
-    tokens = phrases(queries).select(F.explode("phrase").alias("token"))
-    return bm25(queries, occurrences(sections, key, tokens), lengths(sections, key), weights)
+    """BM25 over sections that have no stored index: their tokens are read once, and only the queries' are looked at."""
+    arrays = [text.index_tokens(F.coalesce(c, F.lit(""))).alias(name) for name, c in fields(sections).items()]
+    tokens = cut(sections.select(F.col(key).alias("section_id"), *arrays))
+    asked = phrases(queries).select(F.explode("phrase").alias("token")).distinct()
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("tokens")) for c in tokens.columns[1:])))
+    found = tokens.select("section_id", each.alias("f")).select("section_id", "f.field", F.posexplode("f.tokens").alias("position", "token"))
+    sizes = tokens.select("section_id", sum((F.size(c) for c in tokens.columns[1:]), F.lit(0)).cast("long").alias("tokens"))
+    return bm25(queries, found.join(F.broadcast(asked), "token"), sizes, weights)
 
 
 def top(ranking: DataFrame, limit: int, order: Column) -> DataFrame:

@@ -43,7 +43,7 @@ class Tools:
             words = words.join(inside.select(F.col("id").alias("section_id")), "section_id", "left_semi")
         pool = hybrid.pool_of(limit)
         first = lexical.top(words, pool, F.col("score"))
-        second = lexical.top(hybrid.dense(queries, inside), pool, F.col("score").desc())
+        second = lexical.top(hybrid.dense(queries, inside, pool=pool), pool, F.col("score").desc())
         best = lexical.top(hybrid.fused(first, second), limit, F.col("score").desc())
         return best.join(sections.drop("embedding"), F.col("section_id") == F.col("id"))
 

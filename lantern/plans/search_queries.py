@@ -68,17 +68,17 @@ DENSE = "dense AS (SELECT q.vec_id AS query_id, v.vec_id AS section_id, round(li
 @query(f"WITH {DENSE.format('')} {RANKED} ({t.top_sql('dense', 10, 'score DESC')})")
 def dense_topk(spark, sf_dir):
     vectors_ = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return _ranked(lexical.top(hybrid.dense(t.vector_queries(spark, sf_dir), vectors_), 10, F.col("score").desc()))
+    return _ranked(lexical.top(hybrid.dense(t.vector_queries(spark, sf_dir), vectors_, pool=10), 10, F.col("score").desc()))
 
 
 @query(f"WITH {DENSE.format(' AND v.label IN (1, 3, 5)')} {RANKED} ({t.top_sql('dense', 10, 'score DESC')})")
 def dense_scoped_topk(spark, sf_dir):
     vectors_ = t.table(spark, sf_dir, "embeddings").filter("label IN (1, 3, 5)").select(F.col("vec_id").alias("id"), "embedding")
-    return _ranked(lexical.top(hybrid.dense(t.vector_queries(spark, sf_dir), vectors_), 10, F.col("score").desc()))
+    return _ranked(lexical.top(hybrid.dense(t.vector_queries(spark, sf_dir), vectors_, pool=10), 10, F.col("score").desc()))
 
 
 HYBRID_BASE = f"""{t.SECTIONS_SQL},
-vectors AS (SELECT sections.*, embedding FROM sections JOIN embeddings ON id = vec_id),
+vectors AS (SELECT sections.*, embedding FROM sections LEFT JOIN embeddings ON id = vec_id),
 asked_both AS (SELECT item_id AS query_id, text AS query, embedding FROM benchmark JOIN embeddings ON item_id = vec_id)"""
 
 
@@ -86,7 +86,7 @@ def _hybrid_sql(scope: str, select: str, limit: int = 8) -> str:
     pool = hybrid.pool_of(limit)
     return f"""WITH {HYBRID_BASE}, {t.bm25_sql("vectors", WEIGHTED, "asked_both")},
 inside AS (SELECT lexical.* FROM lexical JOIN vectors ON section_id = id WHERE {scope}),
-dense AS (SELECT q.query_id, v.id AS section_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM vectors v, asked_both q WHERE {scope}),
+dense AS (SELECT q.query_id, v.id AS section_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM vectors v, asked_both q WHERE v.embedding IS NOT NULL AND {scope}),
 r AS (SELECT query_id, section_id, rank FROM ({t.top_sql("inside", pool, "score")}) UNION ALL SELECT query_id, section_id, rank FROM ({t.top_sql("dense", pool, "score DESC")})),
 fused AS (SELECT query_id, section_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM r GROUP BY ALL),
 best AS ({t.top_sql("fused", limit, "score DESC")})
@@ -123,8 +123,9 @@ r AS (SELECT query_id, section_id, rank FROM a UNION ALL SELECT query_id, sectio
 SELECT query_id, section_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM r GROUP BY ALL""")
 def rrf_fusion(spark, sf_dir):
     """Fusion of the nearest and the farthest vectors, all rows."""
-    found = hybrid.dense(t.vector_queries(spark, sf_dir), t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
-    return hybrid.fused(lexical.top(found, 50, F.col("score").desc()), lexical.top(found, 50, F.col("score"))).select("query_id", "section_id", F.round("score", 8).alias("score"))
+    asked, found = t.vector_queries(spark, sf_dir), t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    nearest, farthest = (hybrid.dense(asked, found, pool=50, nearest=near) for near in (True, False))
+    return hybrid.fused(lexical.top(nearest, 50, F.col("score").desc()), lexical.top(farthest, 50, F.col("score"))).select("query_id", "section_id", F.round("score", 8).alias("score"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm, 1.0::DOUBLE AS unit, CAST(len(embedding) AS INTEGER) AS dimension FROM embeddings")

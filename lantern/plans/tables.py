@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lantern.functions.text import FOLD_FROM, FOLD_TO
@@ -29,7 +29,12 @@ sections AS (
 
 
 def with_vectors(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    """All of ``found``, with a vector where there is one."""
+    return found.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+
+
+def window(by: str, order: str) -> WindowSpec:
+    return Window.partitionBy(by).orderBy(order)
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,19 +67,24 @@ def chunk_ids(spark, sf_dir):
 
 @query("""WITH RECURSIVE b AS (
   SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS blocks FROM documents
-), s AS (
+), e AS (
   SELECT doc_id, k, blocks[k] AS block FROM b, unnest(generate_series(1, len(blocks))) u(k)
+), cut AS (
+  SELECT doc_id, k, 0 AS i, block, false AS alone FROM e WHERE length(block) <= 8000
+  UNION ALL SELECT doc_id, k, i, trim(block[i * 8000 + 1:(i + 1) * 8000], ' ' || chr(9) || chr(13)), true FROM e, unnest(range((length(block) + 7999) // 8000)) r(i) WHERE length(block) > 8000
+), s AS (
+  SELECT doc_id, block, alone, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) AS k FROM cut WHERE block <> ''
 ), w AS (
-  SELECT doc_id, 1 AS k, block AS open, 1 AS part FROM s WHERE k = 1
+  SELECT doc_id, k, block AS open, alone, 1 AS part FROM s WHERE k = 1
   UNION ALL
-  SELECT s.doc_id, s.k, CASE WHEN length(open) + 2 + length(block) <= 100000 THEN open || chr(10) || chr(10) || block ELSE block END, CASE WHEN length(open) + 2 + length(block) <= 100000 THEN part ELSE part + 1 END
-  FROM w JOIN s ON s.doc_id = w.doc_id AND s.k = w.k + 1
+  SELECT s.doc_id, s.k, CASE WHEN j THEN open || chr(10) || chr(10) || block ELSE block END, s.alone, CASE WHEN j THEN part ELSE part + 1 END
+  FROM w JOIN s ON s.doc_id = w.doc_id AND s.k = w.k + 1, LATERAL (SELECT NOT w.alone AND NOT s.alone AND length(open) + 2 + length(block) <= 8000 AS j)
 )
 SELECT doc_id, CAST(part - 1 AS INTEGER) AS part, max_by(open, k) AS body FROM w GROUP BY doc_id, part""")
 def chunk_pack(spark, sf_dir):
-    """Lines packed greedily into parts of up to 100000 characters."""
+    """Lines packed greedily into parts of up to 8000 characters; longer lines are cut."""
     blocks = F.filter(F.split("text", "\n"), lambda x: x != "")
-    return t.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(documents.packed(blocks, 100_000)).alias("part", "body"))
+    return t.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(documents.packed(blocks, 8_000)).alias("part", "body"))
 
 
 @query("SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(nicht|sans)($|[^\\p{L}\\p{N}_])') AS negative FROM documents")
@@ -137,30 +142,15 @@ def bfs_levels(spark, sf_dir):
     return graph.levels(_edges(spark, sf_dir), start).select("url", "level")
 
 
-@query("SELECT CAST(n AS VARCHAR) AS url FROM range(25) r(n) WHERE n NOT IN (SELECT s_suppkey % 25 FROM supplier WHERE s_suppkey % 25 > 4)")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS url FROM nation WHERE n_nationkey NOT IN (SELECT n_regionkey * 5 FROM nation JOIN supplier ON s_nationkey = n_nationkey)")
 def roots_antijoin(spark, sf_dir):
-    """Nations that no supplier's link reaches."""
+    """Nations that no supplier's link reaches: suppliers link to the first number of their region."""
     nodes = t.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("url"), F.col("n_name").alias("title"))
-    links = t.table(spark, sf_dir, "supplier").filter("s_suppkey % 25 > 4").select(F.col("s_nationkey").cast("string").alias("src"), (F.col("s_suppkey") % 25).cast("string").alias("dst"))
+    region = t.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    links = t.table(spark, sf_dir, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_nationkey").cast("string").alias("src"), (F.col("n_regionkey") * 5).cast("string").alias("dst"))
     return graph.roots(nodes, links).select("url")
 
 
-@query("""WITH RECURSIVE tree AS (
-  SELECT 'r' || r_regionkey AS url, NULL AS parent, r_name AS title FROM region
-  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
-  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, replace(s_name, '#', ' / ') FROM supplier
-), names AS (SELECT url, parent, trim(regexp_replace(title, '[<>:"/\\\\|?*\\s]+', ' ', 'g')) AS name FROM tree),
-w AS (SELECT url, 0 AS depth, name AS path FROM names WHERE parent IS NULL UNION ALL SELECT n.url, depth + 1, path || '/' || n.name FROM w JOIN names n ON n.parent = w.url)
-SELECT url, depth, path FROM w""")
-def tree_paths(spark, sf_dir):
-    """Paths of regions, their nations and those's suppliers."""
-    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    region = t.table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("url"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("title"))
-    nation = t.table(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("url"), key("r", "n_regionkey").alias("parent"), F.col("n_name").alias("title"))
-    supplier = t.table(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("url"), key("n", "s_nationkey").alias("parent"), F.replace("s_name", F.lit("#"), F.lit(" / ")).alias("title"))
-    return graph.path_components(region.unionByName(nation).unionByName(supplier))
-
-
 @query("""WITH RECURSIVE items AS (
   SELECT source, list(n_chars ORDER BY doc_id) AS sizes FROM documents GROUP BY source
 ), w AS (

@@ -1,11 +1,13 @@
-"""Crawling by an injected fetch: levels of a breadth-first search, resumable from the table of pages."""
+"""Crawling by an injected fetch: levels of a breadth-first search, each kept as soon as it is fetched."""
 
 from __future__ import annotations
 
 import datetime
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from lantern.functions import markup
 from lantern.functions.urls import Site
 from lantern.operators.graph import DEFAULT_TITLE
-from lantern.sources.checkpoints import cut
+from lantern.sources.checkpoints import cut, drop, exists
 from lantern.sources.corpus import PAGE, html_text
 
 FETCHED = f"{PAGE}, html string"
@@ -26,6 +28,7 @@ class Fetched:
     content: bytes
     content_type: str | None = None
     final_url: str | None = None
+    error: str | None = None
 
 
 def now() -> str:
@@ -33,37 +36,62 @@ def now() -> str:
 
 
 def fetched(urls: DataFrame, fetch: Callable[[str], Fetched], site: Site, root: str) -> DataFrame:
-    """``urls`` (url, parent) fetched: the fields of a manifest's page, and html."""
+    """``urls`` (url, parent) fetched: the fields of a manifest's page, and html.
+
+    Only fetching and reading the markup is Python; which links are children is told by columns.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for url, parent in zip(batch["url"], batch["parent"], strict=True):
                 got, at = fetch(url), now()
-                row = {"url": url, "discoveredAt": at, "parent": parent, "lastTriedAt": at}
                 if got.status != 200:
-                    rows.append(row | {"status": "error", "error": f"HTTP {got.status}"})
+                    rows.append((url, parent, at, got.error or f"HTTP {got.status}", None, None, None, None, None))
                     continue
-                html = html_text(got.content)
+                final, html = got.final_url or url, html_text(got.content)
                 tree = markup.parse(html)
-                final = site.normalise(got.final_url or url, got.final_url or url) or url
-                found = (site.normalise(a.attrs["href"], final) for a in tree.find_all("a") if "href" in a.attrs)
-                children = list(dict.fromkeys(c for c in found if c and c != final and c.startswith(root)))
-                rows.append(row | {"status": "ok", "title": markup.title_of(tree, DEFAULT_TITLE), "contentType": got.content_type or "text/html", "children": children, "fetchedAt": at, "html": html})
-            names = [c.split()[0] for c in FETCHED.split(", ")]
-            yield pd.DataFrame([[r.get(c) for c in names] for r in rows], columns=names, dtype=object)
-
-    return urls.mapInPandas(run, FETCHED)
-
-
-def crawl(spark: SparkSession, start: str, fetch: Callable[[str], Fetched], site: Site, known: DataFrame | None = None, max_pages: int | None = None) -> DataFrame:
+                addresses = [urljoin(final, a.attrs["href"]) for a in tree.find_all("a") if "href" in a.attrs]
+                rows.append((url, parent, at, None, got.content_type or "text/html", final, markup.title_of(tree, DEFAULT_TITLE), html, addresses))
+            yield pd.DataFrame(rows, columns=["url", "parent", "at", "failed", "type", "final", "heading", "body", "addresses"], dtype=object)
+
+    got = urls.mapInPandas(run, "url string, parent string, at string, failed string, type string, final string, heading string, body string, addresses array<string>")
+    known = got.withColumn("final", F.coalesce(site.page(F.col("final")), "url"))
+    pages = F.transform("addresses", site.page)
+    children = F.array_distinct(F.filter(pages, lambda c: c.isNotNull() & (c != F.col("final")) & F.startswith(c, F.lit(root))))
+    ok = F.col("failed").isNull()
+    values = {
+        "url": F.col("url"),
+        "status": F.when(ok, F.lit("ok")).otherwise(F.lit("error")),
+        "discoveredAt": F.col("at"),
+        "parent": F.col("parent"),
+        "lastTriedAt": F.col("at"),
+        "error": F.col("failed"),
+        "title": F.col("heading"),
+        "contentType": F.col("type"),
+        "children": children,
+        "fetchedAt": F.when(ok, F.col("at")),
+        "html": F.col("body"),
+    }
+    return known.select(*(values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (c.split(" ", 1) for c in FETCHED.split(", "))))
+
+
+def crawl(spark: SparkSession, start: str, fetch: Callable[[str], Fetched], site: Site, known: DataFrame | None = None, max_pages: int | None = None, keep: str | None = None) -> DataFrame:
     """All pages that links lead to from ``start``, and those known; pages that are known to be ok aren't fetched again.
 
-    A set of visited pages ends cycles; each level is written to the checkpoint
-    folder, which is where a crawl that was stopped goes on.
+    A set of visited pages ends cycles. With the folder ``keep``, each level's pages are appended
+    to it as soon as they are fetched, and those that it has are known: a crawl that was stopped goes on
+    where it ended, by the same call.
     """
-    root, first = site.root_of(start), site.normalise(start, start)
-    pages = cut(known if known is not None else spark.createDataFrame([], FETCHED))
+    first, root = site.start(spark, start)
+    empty = spark.createDataFrame([], FETCHED)
+    earlier = empty if known is None else known
+    if keep and exists(spark, keep):
+        # a page may have failed before it was fetched
+        kept = spark.read.schema(empty.schema).parquet(keep)
+        best = kept.groupBy("url").agg(F.max_by(F.struct(*kept.columns), F.struct(F.col("status") == "ok", "lastTriedAt")).alias("p")).select("p.*")
+        earlier = earlier.join(best.select("url"), "url", "left_anti").select(kept.columns).unionByName(best)
+    pages = cut(earlier)
     visited = frontier = cut(spark.createDataFrame([(first, None)], "url string, parent string"))
     count = 0
     while not frontier.isEmpty():
@@ -72,12 +100,15 @@ def crawl(spark: SparkSession, start: str, fetch: Callable[[str], Fetched], site
         if max_pages is not None:
             todo = todo.orderBy("url").limit(max(0, max_pages - count))
         new = cut(fetched(todo, fetch, site, root))
+        if keep:
+            new.write.mode("append").parquet(keep)
         count += new.count()
-        pages = cut(pages.join(new, "url", "left_anti").select(new.columns).unionByName(new))
+        older, pages = pages, cut(pages.join(new, "url", "left_anti").select(new.columns).unionByName(new))
         here = frontier.select("url").join(pages.filter("status = 'ok'"), "url").select(F.col("url").alias("parent"), F.posexplode("children").alias("ord", "url"))
         seen = here.groupBy("url").agg(F.min(F.struct("parent", "ord")).alias("m")).select("url", F.col("m.parent").alias("parent"))
         frontier = cut(seen.join(visited, "url", "left_anti"))
         visited = cut(visited.unionByName(frontier))
+        drop(older, new)
         if max_pages is not None and count >= max_pages:
             break
     return pages
@@ -100,39 +131,42 @@ def manifest(pages: DataFrame, start: str, root: str) -> str:
     return json.dumps({"schemaVersion": 1, "createdAt": now(), "updatedAt": now(), "startUrl": start, "allowedRoot": root, "pages": entries}, ensure_ascii=False, indent=2) + "\n"
 
 
-def cookies(text: str | None) -> dict[str, str]:
+def cookies(spark: SparkSession, text: str | None) -> dict[str, str]:
     """Cookies from JSON: an object, or a list of objects with name and value."""
-    raw = json.loads(text) if text else {}
-    if isinstance(raw, dict):
-        return {str(k): str(v) for k, v in raw.items()}
-    if isinstance(raw, list):
-        return {str(x["name"]): "" if x.get("value") is None else str(x["value"]) for x in raw if isinstance(x, dict) and x.get("name")}
-    raise ValueError("cookies must be an object or a list of names and values")
+    form = "map<string,string>" if (text or "{}").lstrip().startswith("{") else "array<struct<name:string,value:string>>"
+    named = F.from_json("text", form)
+    if form.startswith("array"):
+        named = F.map_from_entries(F.transform(F.filter(named, lambda c: F.coalesce(c["name"], F.lit("")) != ""), lambda c: F.struct(c["name"], F.coalesce(c["value"], F.lit("")))))
+    found = spark.createDataFrame([(text or "{}",)], "text string").select(named.alias("named")).first()["named"]
+    if found is None:
+        raise ValueError("cookies must be an object or a list of names and values")
+    return found
 
 
-def name_values(items: list[str] | None, option: str) -> dict[str, str]:
-    """NAME=VALUE options."""
-    out = {}
-    for item in items or []:
-        name, found, value = item.partition("=")
-        if not found or not name.strip():
-            raise ValueError(f"{option} takes NAME=VALUE, not {item!r}")
-        out[name.strip()] = value
-    return out
+def header(option: str) -> tuple[str, str]:
+    """A NAME=VALUE option; the type of such an argument."""
+    if (parts := re.fullmatch(r"\s*([^=]*[^=\s])\s*=(.*)", option, re.S)) is None:
+        raise ValueError(f"NAME=VALUE is asked for, not {option!r}")
+    return parts[1], parts[2]
 
 
-def http_fetch(headers: dict[str, str] | None = None, cookie: dict[str, str] | None = None, timeout: float = 30.0) -> Callable[[str], Fetched]:
-    """A fetch over HTTP that follows redirects."""
+def http_fetch(headers: dict[str, str] | None = None, cookie: dict[str, str] | None = None, timeout: float = 30.0, delay: float = 0.0) -> Callable[[str], Fetched]:
+    """A fetch over HTTP that follows redirects, ``delay`` seconds after the one before in the same worker. What fails is a page with an error, not the end of a crawl."""
 
     def fetch(url: str) -> Fetched:
+        import time
+        from http.client import HTTPException
         from urllib.error import HTTPError
         from urllib.request import Request, urlopen
 
         sent = {"User-Agent": "lantern"} | (headers or {}) | ({"Cookie": "; ".join(f"{k}={v}" for k, v in cookie.items())} if cookie else {})
+        time.sleep(delay)
         try:
             with urlopen(Request(url, headers=sent), timeout=timeout) as answer:
                 return Fetched(answer.status, answer.read(), answer.headers.get("Content-Type"), answer.url)
         except HTTPError as error:
             return Fetched(error.code, b"")
+        except (OSError, HTTPException) as error:
+            return Fetched(0, b"", error=f"{type(error).__name__}: {error}")
 
     return fetch

@@ -25,7 +25,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    # the pointer is a small file, written aside and renamed
+    # the pointer is a small file, written aside and renamed over the one before, so there always is one
 
     def _file(self, path: str):
         found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,9 +37,11 @@ class Store:
         out.write(bytearray(build.encode()))
         out.close()
         _, current = self._file(f"{self.root}/{family}/current")
-        if not fs.rename(aside, current):  # some file systems don't replace
-            fs.delete(current, False)
-            fs.rename(aside, current)
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+        context.rename(context.makeQualified(aside), context.makeQualified(current), options)
 
     def current(self, family: str) -> str:
         path = f"{self.root}/{family}/current"

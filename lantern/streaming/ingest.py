@@ -26,8 +26,7 @@ def add_new(batch: DataFrame, target: str, key: str) -> None:
 
 def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, key: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Takes in all that is new in ``source`` and stops; the checkpoint remembers the files that were read."""
-    # as a pattern, the source may be a folder or one file
-    stream = spark.readStream.schema(schema).parquet(f"{source[:-1]}[{source[-1]}]")
+    stream = spark.readStream.schema(schema).parquet(_pattern(source))
     rows = transform(stream) if transform else stream
     run = rows.writeStream.foreachBatch(lambda batch, _: add_new(batch, target, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
@@ -44,4 +43,19 @@ def replay(spark: SparkSession, source: str, key: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes", window: str = "1 hour", by: str = "event_type") -> DataFrame:
     """Counts by tumbling window of a stream; rows later than ``late`` are left out."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window), by).agg(F.count(F.lit(1)).alias("n"))
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted(spark: SparkSession, source: str) -> DataFrame:
+    """``windowed_counts`` of all that a stream of ``source`` has by now, as a table."""
+    base = f"{ensure_folder(spark)}/counts-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(_pattern(source))
+    rows = windowed_counts(stream)
+    run = rows.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/table")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/table")
+
+
+def _pattern(source: str) -> str:
+    """A stream's source as a pattern, so that it may be a folder or one file."""
+    return f"{source[:-1]}[{source[-1]}]"

@@ -21,15 +21,16 @@ def url(name):
     return f"{ROOT}{name}#_print"
 
 
-def test_addresses():
+def test_addresses(spark):
     page = url("a/b.htm")
-    assert SITE.normalise("c.htm", page) == url("a/c.htm") and SITE.normalise("/db/docs/content/src/x%20y.htm_") == url("x%20y.htm")
-    assert SITE.normalise("https://other.example/x.htm") == "https://other.example/x.htm" or SITE.normalise("/elsewhere/x.htm") is None
-    assert SITE.normalise("c.png", page) is None and SITE.root_of(page) == ROOT
-    assert urls.local_href("x.htm?q#f", {"x.htm": "X/index.html"}) == "X/index.html#f" and urls.local_href("#%61", {}) == "#a"
-    assert urls.local_href("http://h/x", {"x": "y"}) == "http://h/x" and urls.relative_path("A/b.html", "A/C/d.html") == "../b.html"
+    given = [urls.urljoin(page, h) for h in ("c.htm", "/db/docs/content/src/x%20y.htm_", "/db/docs/content/src/x%20y.htm__", "https://mirror.example/db/content/docs/src/m.HTM?q#f", "https://other.example/x.htm", "/elsewhere/x.htm", "c.png", "й~*+.htm")]
+    got = [r.p for r in spark.createDataFrame([(i, a) for i, a in enumerate(given)], "i int, a string").select("i", SITE.page(F.col("a")).alias("p")).orderBy("i").collect()]
+    assert got == [url("a/c.htm"), url("x%20y.htm"), None, url("m.HTM"), None, None, None, url("a/%D0%B9~%2A%2B.htm")]
+    assert SITE.start(spark, page) == (page, ROOT) and SITE.start(spark, "/db/docs/content/src/x.htm") == (url("x.htm"), ROOT)
+    assert urls.within("x.htm?q#f", {"x.htm": "X/index.html"}) == "X/index.html#f" and urls.within("#%61", {}) == "#a" and urls.within("y.htm#f", {"x": "y"}) == "y.htm#f"
+    assert urls.within("http://h/x", {"x": "y"}) == "http://h/x" and urls.between("A/C/d.html", "A/b.html") == "../b.html"
     with pytest.raises(ValueError):
-        SITE.root_of("https://docs.example/")
+        SITE.start(spark, "https://docs.example/")
 
 
 PAGES = {
@@ -69,21 +70,43 @@ def test_crawl_resumes_and_ends_on_cycles(spark):
 def test_export(spark, tmp_path):
     pages = spark.createDataFrame([(u, export.parse(h).find("h1").text(" "), None, h) for u, h in PAGES.items()], "url string, title string, parent string, html string")
     edges = graph.known_links(graph.links(pages, SITE, ROOT, index_only=True), pages)
-    starts = [r.url for r in graph.roots(pages, edges).orderBy("ord").collect()]
-    assert starts == [url("root.htm")]
-    paths = graph.tree_paths([r.asDict() for r in pages.select("url", "title", "parent").collect()], [tuple(r) for r in edges.collect()], starts)
+    starts = graph.roots(pages, edges)
+    assert [r.url for r in starts.collect()] == [url("root.htm")]
+    placed = graph.tree_paths(pages, edges, starts)
+    paths = {r.url: r.path for r in placed.collect()}
     digest = hashlib.sha256(url("b.htm").encode()).hexdigest()[:8]
     assert paths == {url("root.htm"): "Корень/index.html", url("a.htm"): "Корень/Раздел/index.html", url("b.htm"): "Корень/Раздел.html", url("c.htm"): "Корень/Раздел/Лист.html"}
-    clash = graph.TreeNames()
-    assert [clash.name("", t, url("b.htm"), ".html") for t in ("x?", "X", "y" * 300)] == ["x.html", f"X-{digest}.html", f"{'y' * 166}-{digest}.html"]
-    out = export.rendered(pages, paths, SITE)
+    titles = spark.createDataFrame([("", t, url("b.htm"), ".html", [k]) for k, t in enumerate(["x?", "X", "y" * 300, "taken"])], "folder string, title string, url string, extension string, key array<long>")
+    taken = spark.createDataFrame([("", "taken.html")], "folder string, folded string")
+    assert [r.name for r in graph.file_names(titles, taken).orderBy("key").collect()] == ["x.html", f"X-{digest}.html", f"{'y' * 166}-{digest}.html", f"taken-{digest}.html"]
+    out = export.rendered(pages, placed, SITE)
     by = {r.url: r.page for r in out.collect()}
-    assert 'href="Раздел/index.html#f"' in by[url("b.htm")] and f'src="{ROOT}i.png"' in by[url("b.htm")] and 'href="../index.html"' in by[url("b.htm")]
+    assert 'href="Раздел/index.html#f"' in by[url("b.htm")] and f'src="{ROOT}i.png"' in by[url("b.htm")] and 'href="../index.html"' in by[url("b.htm")] and 'href="https://o.example"' in by[url("b.htm")]
     export.write_pages(out, str(tmp_path))
     assert (tmp_path / "Корень/Раздел/Лист.html").is_file()
     assert json.loads(export.export_manifest(out))["pages"] == 4 and "<li>" in export.index_page("t", [("a", "b")])
-    orphans = graph.tree_paths([{"url": "r", "title": "R"}, {"url": "o", "title": "O", "parent": "r"}, {"url": "p", "title": None, "parent": "q"}], [], ["r"])
-    assert orphans == {"r": "R/index.html", "o": "R/O.html", "p": f"{graph.EXTRAS}/{graph.DEFAULT_TITLE}.html"}
+    small = spark.createDataFrame([("r", "R", None), ("o", "O", "r"), ("p", None, "q"), ("o2", "O2", "o"), ("s", "S", "p")], "url string, title string, parent string")
+    none, root = spark.createDataFrame([], "src string, dst string, ord int"), spark.createDataFrame([("r", 0)], "url string, ord int")
+    orphans = {r.url: r.path for r in graph.tree_paths(small, none, root).collect()}
+    extra = f"{graph.EXTRAS}/{graph.DEFAULT_TITLE}.html"
+    assert orphans == {"r": "R/index.html", "o": "R/O.html", "o2": "R/O2.html", "p": extra, "s": f"{graph.EXTRAS}/S.html"}
+
+
+def test_first_paths_on_cycles(spark):
+    edges = spark.createDataFrame([("r", "b", 1), ("r", "a", 0), ("a", "r", 0), ("a", "c", 1), ("b", "c", 0), ("c", "b", 0), ("c", "d", 1), ("b", "d", 5)], "src string, dst string, ord int")
+    starts = spark.createDataFrame([("r", [0])], "url string, key array<long>")
+    got = {r.url: r.parent for r in graph.first_paths(edges, starts).collect()}
+    assert got == {"r": None, "a": "r", "c": "a", "b": "c", "d": "b"}  # as a walk that follows each link before the next
+
+
+def test_crawl_is_exported_by_its_manifest(spark, tmp_path):
+    crawled = crawl.numbered(crawl.crawl(spark, url("root.htm"), fetcher(PAGES), SITE, keep=str(tmp_path / "kept")))
+    export.write_pages(crawled.filter("status = 'ok'").select(F.col("file").alias("path"), F.col("html").alias("page")), str(tmp_path / "c"))
+    (tmp_path / "c/manifest.json").write_text(crawl.manifest(crawled, url("root.htm"), ROOT), encoding="utf-8")
+    assert crawl.crawl(spark, url("root.htm"), fetcher({}), SITE, keep=str(tmp_path / "kept")).filter("status = 'ok'").count() == 4
+    out = export.export_crawl(spark, str(tmp_path / "c/manifest.json"), str(tmp_path / "out"), SITE)
+    assert out.count() == 4 and (tmp_path / "out/Корень/Раздел/Лист.html").is_file()
+    assert 'href="Корень/index.html"' in (tmp_path / "out/index.html").read_text(encoding="utf-8") and json.loads((tmp_path / "out/manifest.json").read_text(encoding="utf-8"))["pages"] == 4
 
 
 def test_chapters_and_cleaning():
@@ -96,7 +119,7 @@ def test_chapters_and_cleaning():
     assert 'href="Вторая/index.html"' in first[2] and "w</p>" in second[2]
 
 
-def test_navigation_and_enrichment(spark):
+def test_navigation_and_enrichment(spark, tmp_path):
     r = navigation.ROOT
     pages = [(f"{r}/Б/Интерфейс/М.html", "<h1>М()</h1><p>Функция М(а)</p><p>См. также</p><p>Возвращает данные объекта.</p>"), (f"{r}/Б/Интерфейс/index.html", "<h1>i</h1>"), (f"{r}/Б/Интерфейс/Г/Д/Н.html", "<p>короткая</p>"), (f"{r}/А/Переопределение/x.txt", "")]
     nav = navigation.build(spark.createDataFrame(pages, "source_path string, html string"))
@@ -114,7 +137,13 @@ def test_navigation_and_enrichment(spark):
     for bad in (cards.limit(1), cards.withColumn("evidence_methods", F.array(F.lit("нет")))):
         with pytest.raises(ValueError):
             enrich.enriched(nav.groups, nav.methods, bad)
-    assert enrich.schema("cards", 2)["properties"]["cards"]["minItems"] == 2
+    cards_schema = enrich.schema("cards", 2)["properties"]["cards"]
+    assert (cards_schema["minItems"], cards_schema["maxItems"]) == (2, 2)
+    assert cards_schema["items"]["required"] == ["id", "description", "keywords", "evidence_methods", "confidence"] and cards_schema["items"]["properties"]["confidence"] == {"enum": ["high", "medium", "low"]}
+    assert cards_schema["items"]["properties"]["keywords"] == {"type": "array", "minItems": 3, "maxItems": 7, "items": {"type": "string", "minLength": 2, "maxLength": 60}}
+    assert enrich.schema("sections", 1, True)["properties"]["sections"]["items"]["required"] == ["name", "description", "keywords"]
+    asked_again = enrich.answered(asked, answer, folder=str(tmp_path / "e"))
+    assert enrich.answered(asked, lambda *_: 1 / 0, folder=str(tmp_path / "e")) == asked_again and (tmp_path / "e/batch-001.request.json").is_file()
 
 
 def test_versions(spark, tmp_path):
@@ -146,9 +175,9 @@ def test_archives_cookies_and_manifests(spark, tmp_path):
         corpus.zip_members(archive(bad)).collect()
     names = spark.createDataFrame([(n,) for n in ("a/b", "../a", "/a", "a\\b", "c:d", "a/..b")], "n string")
     assert [r.n for r in names.filter(corpus.safe_member(F.col("n"))).collect()] == ["a/b", "a/..b"]
-    assert crawl.cookies('[{"name": "a", "value": null}, {"value": 1}]') == {"a": ""} and crawl.cookies('{"a": 1}') == {"a": "1"}
-    assert crawl.name_values(["a=b=c"], "--header") == {"a": "b=c"}
-    for wrong in (lambda: crawl.cookies("3"), lambda: crawl.name_values(["x"], "o"), lambda: crawl.name_values([" =x"], "o")):
+    assert crawl.cookies(spark, '[{"name": "a", "value": null}, {"value": 1}]') == {"a": ""} and crawl.cookies(spark, '{"a": 1}') == {"a": "1"} and crawl.cookies(spark, None) == {}
+    assert crawl.header(" a =b=c") == ("a", "b=c")
+    for wrong in (lambda: crawl.cookies(spark, "3"), lambda: crawl.header("x"), lambda: crawl.header(" =x")):
         with pytest.raises(ValueError):
             wrong()
     (tmp_path / "pages").mkdir()

@@ -1,11 +1,12 @@
 """BM25 against SQLite's FTS5, fusion, scopes, vectors, stores and tools."""
 
+import json
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
-from lantern.functions import vectors
+from lantern.functions import text, vectors
 from lantern.operators import hybrid, lexical
 from lantern.plans.api import Tools
 from lantern.sources.store import Store
@@ -102,3 +103,43 @@ def test_query_cache_keeps_the_last(spark, tmp_path):
     for v in ([1.0, 0.0], [0.0, 1.0]):
         store.cache(spark.createDataFrame([("m\nq", v)], "cache_key string, embedding array<float>"))
     assert list(store.cached(keys).first().embedding) == [0.0, 1.0]
+
+
+def test_provider_and_dimensions(spark, monkeypatch):
+    import io
+    from urllib import request
+
+    asked = []
+
+    def reply(sent, timeout):
+        asked.append(json.loads(sent.data))
+        texts = asked[-1]["input"]
+        return io.BytesIO(json.dumps({"data": [{"index": i, "embedding": [3.0 * (i + 1), 4.0 * (i + 1)]} for i in reversed(range(len(texts)))]}).encode())
+
+    monkeypatch.setattr(request, "urlopen", reply)
+    provider = hybrid.Provider("http://h/v1/embeddings", "m", "k")
+    assert provider.embed_documents(["a", "b"]) == [[0.6, 0.8], [0.6, 0.8]] and provider.embed_queries(["q"]) == [[0.6, 0.8]]
+    assert asked[1] == {"model": "m", "input": [f"Instruct: {text.INSTRUCTION}\nQuery: q"]}
+    for items, n in (([], 1), ([{"index": 0, "embedding": [0.0, 0.0]}], 1), ([{"index": 1, "embedding": [1.0]}], 1)):
+        with pytest.raises(ValueError):
+            hybrid.ordered_response(items, n)
+    sections = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0])], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(7, [0.0, 2.0])], "query_id long, embedding array<float>")
+    assert sorted((r.section_id, r.score) for r in hybrid.dense(queries, sections).collect()) == [(1, 0.0), (2, 2.0), (3, 2.0)]
+    assert {r.section_id for r in hybrid.dense(queries, sections.coalesce(1), pool=1).collect()} == {2, 3}
+    with pytest.raises(ValueError):
+        hybrid.dense(spark.createDataFrame([(7, [1.0])], "query_id long, embedding array<float>"), sections)
+
+
+def test_service_answers(spark, tmp_path):
+    import io
+
+    from lantern.plans import server
+
+    store = Tools(spark, str(tmp_path), hybrid.HashingEmbedder())
+    lines = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "list_versions"}}, {"id": 4, "method": "tools/call", "params": {"name": "search", "arguments": {"version": "x", "query": "q"}}}, {"id": 5, "method": "no"}]
+    server.serve(store, [*map(json.dumps, lines), "broken", ""], out := io.StringIO())
+    first, tools, versions_, failed, unknown, broken = map(json.loads, out.getvalue().splitlines())
+    assert first["result"]["serverInfo"]["name"] == "lantern" and {t["name"] for t in tools["result"]["tools"]} == set(server.TOOLS)
+    assert versions_["result"] == {"content": [{"type": "text", "text": "[]"}], "isError": False} and failed["result"]["isError"]
+    assert unknown["error"]["code"] == server.UNKNOWN_METHOD and broken["error"]["code"] == server.FAILED
