@@ -14,12 +14,14 @@ cache and back-references. ``compress`` chooses them by the image.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import cached_property, lru_cache
-from itertools import groupby
 
 import numpy as np
 
+#: Runs of one length.
+RUNS = re.compile(rb"(.)\1*", re.S)
 #: Fixed values of the format.
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LEFT, TOP = 1, 2
@@ -63,35 +65,55 @@ def _field(value: int, n: int) -> str:
 
 
 class BitWriter:
+    """Bits as strings of 0 and 1, and as arrays of many numbers with their sizes."""
+
     def __init__(self):
         self.bits: list[str] = []
+        self.before: list[np.ndarray] = []
 
     def write(self, value: int, n: int) -> None:
         if n:
             self.bits.append(_field(value, n))
 
+    def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Numbers of up to 64 bits, the lowest bit first."""
+        self.before, self.bits = [self.array()], []
+        sizes = sizes.astype(np.int64)
+        ends = np.cumsum(sizes)
+        if len(ends) and ends[-1]:
+            place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+            self.before.append((np.repeat(values, sizes) >> place.astype(np.uint64)).astype(np.uint8) & 1)
+
     def array(self) -> np.ndarray:
-        return np.frombuffer("".join(self.bits).encode(), np.uint8) - 48
+        own = np.frombuffer("".join(self.bits).encode(), np.uint8) - 48
+        return np.concatenate([*self.before, own]) if self.before else own
 
 
 class PrefixCode:
     """A canonical prefix code by its lengths."""
 
-    def __init__(self, lengths: tuple[int, ...]):
+    def __init__(self, lengths: bytes):
         self.used = [s for s, n in enumerate(lengths) if n]
         self.lengths = lengths
-        self.only = self.used[0] if len(self.used) == 1 else None
-        if not self.used:
-            self.only = 0
-        self.table: dict[tuple[int, int], int] = {}
-        code, previous, room = 0, 0, 0
-        for n, s in sorted((lengths[s], s) for s in self.used):
-            code <<= n - previous
-            self.table[n, code] = s
-            code, previous, room = code + 1, n, room + (1 << 15 - n)
-        if self.only is None and room != 1 << 15:
+        self.only = self.used[0] if len(self.used) == 1 else None if self.used else 0
+        if self.only is None and sum(1 << 15 - lengths[s] for s in self.used) != 1 << 15:
             raise FormatError("a prefix code isn't complete")
 
+    @cached_property
+    def ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The used symbols in the order of their codes, and their lengths."""
+        used = np.array(self.used)
+        lengths = np.frombuffer(self.lengths, np.uint8)[used].astype(np.int64)
+        order = np.argsort(lengths, kind="stable")
+        return used[order], lengths[order]
+
+    @cached_property
+    def table(self) -> dict[tuple[int, int], int]:
+        """Symbols by length and code."""
+        symbols, lengths = self.ordered
+        codes = np.cumsum(1 << 15 - lengths) - (1 << 15 - lengths) >> 15 - lengths
+        return dict(zip(zip(lengths.tolist(), codes.tolist(), strict=True), symbols.tolist(), strict=True))
+
     def read(self, bits: BitReader) -> int:
         if self.only is not None:
             return self.only
@@ -101,31 +123,39 @@ class PrefixCode:
             if (symbol := self.table.get((n, code))) is not None:
                 return symbol
 
-    def write(self, out: BitWriter, symbol: int) -> None:
+    @cached_property
+    def strings(self) -> list[str]:
+        """The bits of each symbol as they are written."""
+        out = [""] * len(self.lengths)
         if self.only is None:
-            if not hasattr(self, "codes"):
-                self.codes = {s: format(code, f"0{n}b") for (n, code), s in self.table.items()}
-            out.bits.append(self.codes[symbol])
+            for (n, code), s in self.table.items():
+                out[s] = format(code, f"0{n}b")
+        return out
 
     @cached_property
     def lookup(self) -> tuple[int, np.ndarray, np.ndarray]:
         """The longest length, and symbol and length by that many bits of the stream."""
         if self.only is not None:
             return 0, np.array([self.only]), np.zeros(1, np.int64)
-        lengths = np.array(self.lengths)
-        used = np.array(self.used)
-        used = used[np.argsort(lengths[used], kind="stable")]
-        most = int(lengths[used[-1]])
-        symbols = np.repeat(used, 1 << most - lengths[used])[_turned(most)]
-        return most, symbols, lengths[symbols]
+        used, lengths = self.ordered
+        most = int(lengths[-1])
+        at = _turned(most)
+        return most, np.repeat(used, 1 << most - lengths)[at], np.repeat(lengths, 1 << most - lengths)[at]
+
+    @cached_property
+    def pairs(self) -> list[int]:
+        """Symbol and, 16 bits above it, length by the longest length's bits of the stream."""
+        _, symbols, lengths = self.lookup
+        return (symbols | lengths << 16).tolist()
 
     @cached_property
     def written(self) -> tuple[np.ndarray, np.ndarray]:
         """Bits (the first one lowest) and length by symbol."""
         values, lengths = np.zeros(len(self.lengths), np.uint64), np.zeros(len(self.lengths), np.uint64)
         if self.only is None:
-            for (n, code), s in self.table.items():
-                values[s], lengths[s] = _turned(n)[code], n
+            symbols, n = self.ordered
+            room = 1 << 15 - n
+            values[symbols], lengths[symbols] = _turned(15)[np.cumsum(room) - room], n
         return values, lengths
 
 
@@ -139,13 +169,13 @@ def _turned(n: int) -> np.ndarray:
 
 
 @lru_cache(4096)
-def prefix_code(lengths: tuple[int, ...]) -> PrefixCode:
+def prefix_code(lengths: bytes) -> PrefixCode:
     """Images often have the codes of others; they are built once."""
     return PrefixCode(lengths)
 
 
 def _read_code(bits: BitReader, symbols: int) -> PrefixCode:
-    lengths = [0] * symbols
+    lengths = bytearray(symbols)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         found = [bits.read(8 if wide else 1), *(bits.read(8) for _ in range(two))]
@@ -153,21 +183,21 @@ def _read_code(bits: BitReader, symbols: int) -> PrefixCode:
             raise FormatError("a symbol is out of range")
         for s in found:
             lengths[s] = 1
-        return prefix_code(tuple(lengths))
-    own = [0] * 19
+        return prefix_code(bytes(lengths))
+    own = bytearray(19)
     for i in range(4 + bits.read(4)):
         own[LENGTH_ORDER[i]] = bits.read(3)
-    code = prefix_code(tuple(own))
+    code = prefix_code(bytes(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     at, last = 0, 8
-    most, symbol_of, length_of = code.lookup
-    by_bits, mask = list(zip(symbol_of.tolist(), length_of.tolist(), strict=True)), (1 << most) - 1
+    by_bits, mask = code.pairs, (1 << code.lookup[0]) - 1
     start = bits.at
     ahead = int.from_bytes(bits.data[start >> 3 : (start >> 3) + 2 * symbols + 8], "little") >> (start & 7)
     used = 0
     while at < symbols and left:
         left -= 1
-        s, n = by_bits[ahead & mask]
+        n = by_bits[ahead & mask]
+        s, n = n & 65535, n >> 16
         ahead >>= n
         used += n
         if s < 16:
@@ -180,12 +210,13 @@ def _read_code(bits: BitReader, symbols: int) -> PrefixCode:
         used += extra
         if at + n > symbols:
             raise FormatError("code lengths run over")
-        lengths[at : at + n] = [value] * n
+        if value:
+            lengths[at : at + n] = bytes((value,)) * n
         at += n
     bits.at += used
     if bits.at > 8 * len(bits.data):
         raise FormatError("the image ends too early")
-    return prefix_code(tuple(lengths))
+    return prefix_code(bytes(lengths))
 
 
 def _read_codes(bits: BitReader, sizes: tuple[int, ...]) -> list[PrefixCode]:
@@ -265,8 +296,10 @@ def _slot(pixel, cache_bits: int) -> int:
 
 
 def _slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
-    g, r, b, a = (pixels[:, k].astype(np.uint32) for k in range(4))
-    return (np.uint32(CACHE_FACTOR) * (a << 24 | r << 16 | g << 8 | b) >> np.uint32(32 - cache_bits)).astype(np.int64)
+    colours = np.ascontiguousarray(pixels).view("<u4").reshape(-1)  # alpha, blue, red and green from the highest byte down
+    low = colours & np.uint32(0xFFFF)
+    ordered = colours & np.uint32(0xFF000000) | low << np.uint32(8) | colours >> np.uint32(16) & np.uint32(0xFF)
+    return (np.uint32(CACHE_FACTOR) * ordered >> np.uint32(32 - cache_bits)).astype(np.int64)
 
 
 def _distance(code: int, width: int) -> int:
@@ -290,11 +323,11 @@ def _read_at_once(bits: BitReader, codes: list[PrefixCode], total: int, width: i
     while at < total:
         origin, start = bits.at >> 3, bits.at & 7
         limit = start + 1 + min(CHUNK, 8 * len(data) - bits.at)
-        wide = np.zeros((limit + 64 >> 3) + 4, np.uint32)
+        wide = np.zeros((limit + 64 >> 3) + 4, np.int64)
         raw = data[origin : origin + len(wide)]
         wide[: len(raw)] = raw
         wide = wide[:-2] | wide[1:-1] << 8 | wide[2:] << 16
-        window = (wide[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
+        window = (wide[:, None] >> np.arange(8)).reshape(-1)
         place = np.arange(len(window))
         at_green = window[:limit] & (1 << green_most) - 1
         green, after = green_symbol[at_green], place[:limit] + green_length[at_green]  # no literal is over 60 bits, so it ends in the window
@@ -528,26 +561,28 @@ def decode(data: bytes) -> np.ndarray:
 # --- encoding ---
 
 
-def _lengths(counts: dict[int, int], symbols: int, most: int) -> list[int]:
+def _lengths(counts: dict[int, int], symbols: int, most: int) -> bytes:
     """Code lengths by Huffman's rule, no longer than ``most``."""
-    out = [0] * symbols
+    out = bytearray(symbols)
     if len(counts) == 1:
         out[next(iter(counts))] = 1
     while len(counts) > 1:
         # leaves by count, and joined nodes, which come in order of their counts; each node's parent gives its depth
-        leaves = sorted(counts, key=lambda s: (counts[s], s))
+        ranked = sorted([c << 12 | s for s, c in counts.items()])
+        leaves, weight = [x & 4095 for x in ranked], [x >> 12 for x in ranked]
         n = len(leaves)
-        weight, parent, leaf, inner = [counts[s] for s in leaves], [0] * (2 * n - 1), 0, n
+        parent, leaf, inner = [0] * (2 * n - 1), 0, n
         for new in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (inner == new or weight[leaf] <= weight[inner]):
-                    child, leaf = leaf, leaf + 1
-                else:
-                    child, inner = inner, inner + 1
-                total += weight[child]
-                parent[child] = new
-            weight.append(total)
+            if leaf < n and (inner == new or weight[leaf] <= weight[inner]):
+                one, leaf = leaf, leaf + 1
+            else:
+                one, inner = inner, inner + 1
+            if leaf < n and (inner == new or weight[leaf] <= weight[inner]):
+                two, leaf = leaf, leaf + 1
+            else:
+                two, inner = inner, inner + 1
+            parent[one] = parent[two] = new
+            weight.append(weight[one] + weight[two])
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -556,11 +591,28 @@ def _lengths(counts: dict[int, int], symbols: int, most: int) -> list[int]:
                 out[s] = depth[k]
             break
         counts = {s: n // 2 + 1 for s, n in counts.items()}
-    return out
+    return bytes(out)
+
+
+@lru_cache(1 << 13)
+def _run(value: int, n: int) -> list[tuple[int, int, int]]:
+    """How ``n`` equal lengths are written: symbols with extra values and their bits."""
+    tokens = []
+    if value:
+        tokens.append((value, 0, 0))
+        n -= 1
+    while n >= 3:
+        k = min(n, 6 if value else 138)
+        if value:
+            tokens.append((16, k - 3, 2))
+        else:
+            tokens.append((18, k - 11, 7) if k > 10 else (17, k - 3, 3))
+        n -= k
+    return tokens + [(value, 0, 0)] * n
 
 
-def _write_code(out: BitWriter, lengths: list[int]) -> None:
-    used = [s for s, n in enumerate(lengths) if n]
+def _write_code(out: BitWriter, lengths: bytes) -> None:
+    used = prefix_code(lengths).used
     if len(used) <= 2 and all(s < 256 for s in used):
         out.write(1, 1)
         out.write(len(used) == 2, 1)
@@ -568,31 +620,15 @@ def _write_code(out: BitWriter, lengths: list[int]) -> None:
         for s in used or [0]:
             out.write(s, 8)
         return
-    runs = []
-    for value, group in groupby(lengths):
-        n = len(list(group))
-        if value:
-            runs.append((value, 0, 0))
-            n -= 1
-        while n >= 3:
-            k = min(n, 6 if value else 138)
-            if value:
-                runs.append((16, k - 3, 2))
-            else:
-                runs.append((18, k - 11, 7) if k > 10 else (17, k - 3, 3))
-            n -= k
-        runs += [(value, 0, 0)] * n
-    own = _lengths(Counter(s for s, _, _ in runs), 19, 7)
-    code = prefix_code(tuple(own))
+    runs = [token for m in RUNS.finditer(lengths) for token in _run(lengths[m.start()], m.end() - m.start())]
+    own = _lengths(Counter([s for s, _, _ in runs]), 19, 7)
+    strings = prefix_code(own).strings
     out.write(0, 1)
     out.write(15, 4)
     for s in LENGTH_ORDER:
         out.write(own[s], 3)
     out.write(0, 1)
-    for s, extra, n in runs:
-        code.write(out, s)
-        if n:
-            out.bits.append(_field(extra, n))
+    out.bits += [strings[s] + _field(extra, n) if n else strings[s] for s, extra, n in runs]
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -635,9 +671,9 @@ def _hits(pixels: np.ndarray, colours: np.ndarray, cache_bits: int) -> tuple[np.
 
 
 @lru_cache(256)
-def _code_bits(lengths: tuple[int, ...]) -> str:
+def _code_bits(lengths: bytes) -> str:
     out = BitWriter()
-    _write_code(out, list(lengths))
+    _write_code(out, lengths)
     return "".join(out.bits)
 
 
@@ -678,23 +714,24 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
     saved = _information(both[None]) - _information(each)
     if saved <= 4 * ((each > 0).sum() - (both > 0).sum()):
         each = both[None]
-    one = [tuple(_lengths(_counted(c), 256, MOST)) for c in each]
-    first = tuple(_lengths(_counted(np.bincount(green[token])), 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), MOST))
-    lengths = [first, *(one if len(one) == 3 else 3 * one), tuple(_lengths(Counter(x[2] for x in extra), DISTANCE_CODES, MOST))]
+    one = [_lengths(_counted(c), 256, MOST) for c in each]
+    first = _lengths(_counted(np.bincount(green[token])), 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), MOST)
+    lengths = [first, *(one if len(one) == 3 else 3 * one), _lengths(Counter(x[2] for x in extra), DISTANCE_CODES, MOST)]
     out.bits += map(_code_bits, lengths)
     (green_bits, green_length), *others, (far_bits, far_length) = (prefix_code(x).written for x in lengths)
     value, size = green_bits[green], green_length[green]
+    at_literal = np.flatnonzero(literal)
+    v, w = value[at_literal], size[at_literal]
     for k, (rest_bits, rest_length) in enumerate(others):
-        value[literal] |= rest_bits[rest[:, k]] << size[literal]
-        size[literal] += rest_length[rest[:, k]]
+        v |= rest_bits[rest[:, k]] << w
+        w += rest_length[rest[:, k]]
+    value[at_literal], size[at_literal] = v, w
     for (at, _, _), (more, n, far, further, m) in zip(found, extra, strict=True):
         v, w = int(value[at]), int(size[at])
         for x, y in ((more, n), (int(far_bits[far]), int(far_length[far])), (further, m)):
             v, w = v | x << w, w + y
         value[at], size[at] = v, w
-    value, size = value[token], size[token]
-    each = np.unpackbits(value.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    out.bits.append((each[np.arange(64, dtype=np.uint64) < size[:, None]] + 48).tobytes().decode())
+    out.many(value[token], size[token])
 
 
 def _entropy(pixels: np.ndarray) -> float:
@@ -712,8 +749,7 @@ def compress(image: np.ndarray) -> bytes:
     it saves more than its parameters take, and the colour cache if its hits save more
     than its symbols take. Back-references are always tried.
     """
-    colours = np.unique(np.ascontiguousarray(image).view("<u4"))
-    if len(colours) <= min(256, image.size // 16):
+    if len(set(np.ascontiguousarray(image).view("<u4").reshape(-1).tolist())) <= min(256, image.size // 16):
         return encode(image, ("palette", "copies"))
     green = image.copy()
     green[..., 1:3] -= image[..., :1]
@@ -722,7 +758,7 @@ def compress(image: np.ndarray) -> bytes:
     best = min(bits, key=lambda tools: pixels * bits[tools] + 80 * len(tools))
     flat = np.ascontiguousarray(forms[best]).reshape(-1, 4)
     slots, hit = _hits(flat, flat.view("<u4").reshape(-1), CACHE_BITS)
-    saved = hit.sum() * (bits[best] - CACHE_BITS) - 6 * len(np.unique(slots[hit]))
+    saved = hit.sum() * (bits[best] - CACHE_BITS) - 6 * len(set(slots[hit].tolist()))
     return encode(image, (*best, *(("cache",) if saved > 0 else ()), "copies"))
 
 
@@ -738,11 +774,11 @@ def encode(image: np.ndarray, tools: tuple[str, ...] = (), seed: int = 0) -> byt
     out.write(height - 1, 14)
     out.write(1, 1)
     out.write(0, 3)
-    rng = np.random.default_rng(seed)
+    rng = np.random.default_rng(seed) if {"predictor", "cross"} & {*tools} else None
     for tool in (t for t in ("palette", "predictor", "left", "top", "cross", "green") if t in tools):
         shift = 9 if tool in ("left", "top") else 2
         across, down = -(-image.shape[1] >> shift), -(-height >> shift)
-        blocks = rng.integers(0, 256, (down, across, 4), np.uint8)
+        blocks = np.zeros((down, across, 4), np.uint8) if rng is None else rng.integers(0, 256, (down, across, 4), np.uint8)
         out.write(1, 1)
         if tool == "palette":
             palette, index = np.unique(image.reshape(-1, 4), axis=0, return_inverse=True)
