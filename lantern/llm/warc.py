@@ -54,9 +54,16 @@ def write(pages: DataFrame, path: str) -> None:
     small = bits // 8 * len(SEEDS) <= BROADCAST_BYTES
     repeated = candidates(known, "digest", bitmaps, bits, small).filter("candidate")
     groups = common.cut(repeated.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
-    marked = candidates(rows, "digest", bitmaps, bits, small)
-    alone = marked.filter("NOT candidate").drop("candidate").withColumn("first_id", F.col("page_id"))
-    several = common.join_groups(marked.filter("candidate").drop("candidate"), groups, "digest", "copies", total).drop("copies")
+    if small:
+        marked = candidates(rows, "digest", bitmaps, bits, small)
+        alone = marked.filter("NOT candidate").drop("candidate").withColumn("first_id", F.col("page_id"))
+        several = common.join_groups(marked.filter("candidate").drop("candidate"), groups, "digest", "copies", total).drop("copies")
+    else:
+        # payloads are shuffled once, to learn by page and digest what they refer to; no such key is hot
+        listed = common.join_groups(repeated.drop("candidate"), groups, "digest", "copies", total).select(F.col("page_id").alias("l_id"), F.col("digest").alias("l_digest"), "first_id").distinct()
+        whole = rows.join(listed, F.col("page_id").eqNullSafe(F.col("l_id")) & (F.col("digest") == F.col("l_digest")), "left")
+        alone = whole.withColumn("first_id", F.when(F.col("l_digest").isNull(), F.col("page_id")).otherwise(F.col("first_id"))).drop("l_id", "l_digest")
+        several = alone.limit(0)
     text = alone.unionByName(several).select(_record().alias("value"))
     text.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
@@ -157,10 +164,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     whole = chain.filter("whole").select(*kept)
     if chain.filter("NOT whole").isEmpty():
         return whole
-    broken = chain.filter("NOT whole").select(F.col("file").alias("r_file"), F.col("offset").alias("r_offset"), F.col("next").alias("r_next"))
+    # a piece belongs to the last record that starts at or before it, by a running maximum over its file
+    starts = chain.select("file", "offset", "next", F.col("whole").alias("is_whole"))
     pieces = _offsets(_pieces(spark, path).withColumn("bytes", F.octet_length("value")))
-    parts = pieces.join(broken, (F.col("file") == F.col("r_file")) & (F.col("offset") >= F.col("r_offset")) & (F.col("offset") < F.col("r_next")))
-    joined = parts.groupBy("r_file", "r_offset").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("parts")).select(F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC).alias("value"))
+    placed = pieces.join(starts, ["file", "offset"], "left")
+    here = F.when(F.col("next").isNotNull(), F.struct("offset", "next", "is_whole"))
+    record = F.last(here, True).over(Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0))
+    parts = placed.select("file", "offset", "value", record.alias("r")).filter("NOT r.is_whole AND offset < r.next")
+    joined = parts.groupBy("file", "r.offset").agg(F.sort_array(F.collect_list(F.struct(F.col("offset").alias("at"), "value"))).alias("parts")).select(F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC).alias("value"))
     mended = _with_payload(joined.select("value", *_parsed(F.col("value")))).select(*kept)
     return whole.unionByName(mended)
 

@@ -48,6 +48,19 @@ def test_deduplicate(spark):
     assert exact_dedup.deduplicate(frame(spark, [])).count() == 0 and exact_dedup.report(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [exact_dedup.BROADCAST_BYTES, 0])
+def test_deduplicate_keeps_what_columns_hold(spark, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", most)
+    names = ["candidate", "_bucket0", "_BITMAP1", "_flag", "_sha", "stays", "copies", "_heavy_key"]
+    rows = [(i, t, *(f"{n} {i}" for n in names)) for i, t, _ in ROWS]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)])).repartition(3)
+    got = exact_dedup.deduplicate(docs)
+    assert got.columns == docs.columns
+    found = sorted(tuple(r) for r in got.collect())
+    assert [r[0] for r in found] == [2, 4, 5, 6, 8, 9]
+    assert all(r[2:] == tuple(f"{n} {r[0]}" for n in names) for r in found)
+
+
 def test_hot_group_is_not_lost(spark):
     rows = [(i, "copy" if i % 3 else f"t{i}", "s") for i in range(6000)]
     got = exact_dedup.report(frame(spark, rows))

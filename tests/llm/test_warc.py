@@ -55,3 +55,9 @@ def test_small_blocks(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert records(spark, tmp_path, []) == []
+
+
+def test_filter_too_large_to_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    rows = [(i, f"u{i}", f"<p>{i % 7 if i % 2 else i}</p>") for i in range(60)] + [(3, "u", "<p>3</p>")]
+    assert records(spark, tmp_path, rows) == expected(rows)
