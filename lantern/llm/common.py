@@ -15,6 +15,8 @@ LOWER = UPPER.lower()
 WORD = r"[^\x20\x09-\x0D]+"
 #: A group with more than one row in this many is joined on its own, so at most this many groups are broadcast.
 HEAVY_PARTS = 1000
+#: Texts of more characters aren't learned from, so that a sample of so many rows is of bounded size.
+SAMPLE_CHARS = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,13 +58,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """
     limit = max(1, total // HEAVY_PARTS)
     names = fresh(rows, *groups.columns)
+    hot_names = fresh(rows, "heavy_key", *(f"heavy_{c}" for c in groups.columns if c != key))
+    hot_key, hot_of = hot_names["heavy_key"], {c: hot_names[f"heavy_{c}"] for c in groups.columns if c != key}
     side = groups.select(F.col(key).alias(names[key]), *(F.col(c).alias(names[c]) for c in groups.columns if c != key))
-    heavy = F.broadcast(side.filter(F.col(names[size]) > limit).select(F.col(names[key]).alias("_heavy_key"), *(F.col(names[c]).alias(f"_heavy_{c}") for c in groups.columns if c != key)))
+    heavy = F.broadcast(side.filter(F.col(names[size]) > limit).select(F.col(names[key]).alias(hot_key), *(F.col(names[c]).alias(hot_of[c]) for c in hot_of)))
     light = side.filter(F.col(names[size]) <= limit)
-    marked = rows.join(heavy, rows[key] == heavy["_heavy_key"], "left")
+    marked = rows.join(heavy, rows[key] == heavy[hot_key], "left")
     out = [c for c in groups.columns if c != key]
-    hot = marked.filter(F.col("_heavy_key").isNotNull()).select(*rows.columns, *(F.col(f"_heavy_{c}").alias(c) for c in out))
-    rest = marked.filter(F.col("_heavy_key").isNull()).select(*rows.columns)
+    hot = marked.filter(F.col(hot_key).isNotNull()).select(*rows.columns, *(F.col(hot_of[c]).alias(c) for c in out))
+    rest = marked.filter(F.col(hot_key).isNull()).select(*rows.columns)
     cold = rest.join(light, rest[key] == light[names[key]], how).select(*(rest[c] for c in rows.columns), *(F.col(names[c]).alias(c) for c in out))
     return hot.unionByName(cold)
 
@@ -85,8 +89,8 @@ def lowest_hashes(rows: DataFrame, key: str, by: str, most: int, counts: dict) -
     return rows.filter(kept).withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
-def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, fold_parts: int, held_out: int, per_class: int) -> list:
-    """At most ``per_class`` labelled rows of each class 0 and 1, as Rows (text, label, rank), none of the held-out fold.
+def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, fold_parts: int, held_out: int, per_class: int) -> tuple[list, dict]:
+    """At most ``per_class`` labelled rows of each class 0 and 1, as Rows (text, label, rank), none of the held-out fold; and how many of each class there are.
 
     The rows of lowest hash are taken, so the sample is spread over the table
     and doesn't depend on its layout. It is chosen among the labels alone; only
@@ -95,8 +99,8 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, fold_parts: i
     allowed = marks.filter(F.col(label).isin(0, 1) & (fold("doc_id", fold_parts) != held_out)).select(F.col("doc_id").alias("s_id"), F.col(label).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in allowed.groupBy("label").count().collect()}
     chosen = lowest_hashes(allowed, "s_id", "label", per_class, counts)
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")).select(F.coalesce("text", F.lit("")).alias("text"), "label", "rank")
-    return sorted(texts.collect(), key=lambda r: (r["rank"], r["label"], r["text"]))
+    texts = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")).select(F.coalesce("text", F.lit("")).alias("text"), "label", "rank")
+    return sorted(texts.collect(), key=lambda r: (r["rank"], r["label"], r["text"])), counts
 
 
 def logistic(features, labels, l2: float = 1e-3, steps: int = 50):

@@ -15,7 +15,10 @@ languages there are; one in ``CALIBRATES`` of the texts fits the temperature.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score
 0; null languages aren't learned; without labelled texts everything is ``und``;
-repeated rows are predicted alike; an empty table gives an empty result.
+repeated rows are predicted alike; an empty table gives an empty result. Very long texts are
+predicted whole, but those of over ``common.SAMPLE_CHARS`` characters aren't learned from, so that
+a sample's size is bounded by the number of languages. Other columns stay as they are, but for
+those named like the prediction and its score, which are replaced.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ HELD_OUT, FOLDS = 2, 4
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.5, 3
 #: Shares are small numbers; features are these times this.
 SCALE = 30.0
-CACHE_WORDS = 500_000
+#: Words, characters of words, and numbers that a worker remembers.
+CACHE_WORDS, CACHE_CHARS, CACHE_NUMBERS = 500_000, 16_000_000, 16_000_000
 UNDETERMINED = "und"
 MARK = "\x02"
 
@@ -81,15 +85,17 @@ class WordTable:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.rows = np.zeros((1024, self.table.shape[1] + 1))
 
     def sums(self, words: list[str]) -> np.ndarray:
         """Per language the sum over the n-grams of all words, and last their number."""
         new = set(words).difference(self.index)
-        if new and len(self.index) + len(new) > CACHE_WORDS:
+        if new and (len(self.index) + len(new) > min(CACHE_WORDS, CACHE_NUMBERS // self.rows.shape[1]) or self.chars > CACHE_CHARS):
             self.clear()
             new = set(words)
         if new:
+            self.chars += sum(map(len, new))
             fresh, start = sorted(new), len(self.index)
             while start + len(fresh) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -156,7 +162,7 @@ def train(texts: list[str], marks: list[str]) -> Model | None:
 
 def fit(docs: DataFrame) -> Model | None:
     """Learns every language of ``docs`` from a bounded sample of its texts outside the held-out fold."""
-    allowed = docs.filter(F.col("lang").isNotNull() & (common.fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "lang", "text")
+    allowed = docs.filter(F.col("lang").isNotNull() & (common.fold("doc_id", FOLDS) != HELD_OUT) & (F.coalesce(F.length("text"), F.lit(0)) <= common.SAMPLE_CHARS)).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["count"] for r in allowed.groupBy("lang").count().collect()}
     chosen = common.lowest_hashes(allowed.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE, counts)
     chosen = chosen.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang"), "rank")
@@ -189,7 +195,8 @@ def predict(docs: DataFrame, model: Model | None, prediction: str = "lang_pred",
             yield pd.DataFrame({"lang": found, "score": scores})
 
     name = common.fresh(docs, "found")["found"]
-    return docs.withColumn(name, look("text")).select(*docs.columns, F.col(name).getField("lang").alias(prediction), F.col(name).getField("score").alias(score))
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (prediction.lower(), score.lower())]
+    return docs.withColumn(name, look("text")).select(*others, F.col(name).getField("lang").alias(prediction), F.col(name).getField("score").alias(score))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ have is several images, one after the other.
 
 Defined results: null texts count as empty, and empty texts have one row of
 zeros; equal texts have equal images and features; repeated rows are stored
-each; an empty table gives an empty result; other columns are kept by ``store``
-and ``read_back``, whatever their names.
+each; an empty table gives an empty result; very long texts are several
+images. Other columns are kept by ``store`` and ``read_back``, but for one named like their result,
+which is replaced.
 """
 
 from __future__ import annotations

@@ -15,8 +15,10 @@ salts. A piece's rank among its length gives its place by a binary search in
 the layout.
 
 Defined results: null and empty texts are one piece holding the end id alone;
-repeated rows are packed each; an empty table gives an empty result; documents
-over the capacity are cut, all others stay whole.
+repeated rows, and rows of null or equal ids, are packed each; an empty table gives an empty
+result; documents over the capacity, however long, are cut, all others stay whole. ``pack``
+returns columns of its own; ``place`` keeps other columns but for those named sequence_id
+and offset, which are replaced, whatever else they are named.
 """
 
 from __future__ import annotations
@@ -235,18 +237,20 @@ class Layout:
         return np.array(sorted(rows), "int64").reshape(-1, 5)
 
 
-def ranked(items: DataFrame) -> DataFrame:
-    """``items`` with ``rank``, from 0 among the pieces of a length; no length is gathered in one task."""
+def ranked(items: DataFrame, into: str = "rank") -> DataFrame:
+    """``items`` with the rank ``into``, from 0 among the pieces of a length; no length is gathered in one task."""
     total = items.count()
     salts = max(16, total // SALT_ROWS)
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    by_length = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(F.col("length").alias("s_length"), F.col("salt").alias("s_salt"), F.coalesce(F.sum("n").over(by_length), F.lit(0)).alias("shift"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = salted.withColumn("own", F.row_number().over(own) - 1)
-    both = numbered.join(shift, (F.col("length") == F.col("s_length")) & (F.col("salt") == F.col("s_salt")))
-    return both.withColumn("rank", F.col("own") + F.col("shift")).drop("salt", "own", "shift", "s_length", "s_salt")
+    names = common.fresh(items, "salt", "own", "shift", "s_length", "s_salt")
+    salt, own, shift, s_length, s_salt = names.values()
+    salted = items.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    counts = salted.groupBy(F.col("length").alias(s_length), F.col(salt).alias(s_salt)).agg(F.count(F.lit(1)).alias("n"))
+    by_length = Window.partitionBy(s_length).orderBy(s_salt).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(s_length, s_salt, F.coalesce(F.sum("n").over(by_length), F.lit(0)).alias(shift))
+    by_salt = Window.partitionBy("length", salt).orderBy("doc_id", "piece", "ids_crc32")
+    numbered = salted.withColumn(own, F.row_number().over(by_salt) - 1)
+    both = numbered.join(before, (F.col("length") == F.col(s_length)) & (F.col(salt) == F.col(s_salt)))
+    return both.withColumn(into, F.col(own) + F.col(shift)).drop(*names.values())
 
 
 def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -263,7 +267,9 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         beyond = rank.to_numpy("int64") - t[at, 1]
         return pd.DataFrame({"sequence_id": t[at, 2] + beyond // t[at, 3], "offset": t[at, 4] + beyond % t[at, 3] * t[at, 0]})
 
-    return ranked(items).withColumn("place", look_up("length", "rank")).select(*items.columns, "place.sequence_id", "place.offset")
+    rank, place = common.fresh(items, "rank", "place").values()
+    others = [F.col(f"`{c}`") for c in items.columns if c.lower() not in ("sequence_id", "offset")]
+    return ranked(items, rank).withColumn(place, look_up("length", rank)).select(*others, f"{place}.sequence_id", f"{place}.offset")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None, with_ids: bool = True) -> DataFrame:

@@ -15,7 +15,9 @@ texts of each class, and ``CALIBRATION`` more of each.
 Defined results: null texts count as empty and get the score of an empty text;
 without labelled rows of both classes every score is 0.5; repeated rows are
 scored alike; an empty table gives an empty result; labels beyond 0 and 1 are
-ignored.
+ignored. Very long texts are scored whole, in pieces, but those of over ``common.SAMPLE_CHARS``
+characters aren't learned from. Other columns stay as they are, but for one named like the
+score, which is replaced.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
     """The dictionaries and the calibration; None without rows of both classes."""
-    sample = common.labelled_sample(docs, labels, label, FOLDS, HELD_OUT, PER_CLASS + CALIBRATION)
+    sample, _ = common.labelled_sample(docs, labels, label, FOLDS, HELD_OUT, PER_CLASS + CALIBRATION)
     most = min((max((r["rank"] for r in sample if r["label"] == c), default=0) for c in (0, 1)))
     if not most:
         return None

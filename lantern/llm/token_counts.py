@@ -10,7 +10,8 @@ No piece has the space mark after another character, so merges never cross the
 start of a word and each word's count can be remembered.
 
 Defined results: null and empty texts have no tokens; repeated rows are counted
-each; an empty table gives an empty result.
+each; an empty table gives an empty result. Very long texts are counted whole. Other columns
+stay as they are, but for one named like the count, which is replaced.
 """
 
 from __future__ import annotations

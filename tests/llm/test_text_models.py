@@ -82,6 +82,64 @@ def test_differences_have_the_sign_of_the_class():
     assert model.difference("xx") > 0 > model.difference("cab")
 
 
+def test_differences_are_those_of_two_kneser_ney_models():
+    """Each probability by its definition, from sets of grams and what they are extended by."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    words = [["".join(rng.choices("abcd", k=rng.randint(1, 7))) for _ in range(40)] for _ in range(2)]
+    counts = tuple(Counter(g for w in ws for g in toxicity.grams_of(w)) for ws in words)
+    levels = [set(counts[0]) | set(counts[1])]
+    while levels[-1]:
+        levels.append({g[1:] for g in levels[-1] if len(g) > 1})
+    extended = lambda g: sum(len({x for x in level if x[1:] == g and len(x) > 1}) for level in levels)
+    every = {g for level in levels[1:] for g in level}
+
+    def shared(h, c):
+        rest = shared(h[1:], c) if h else 1 / toxicity.CHARACTERS
+        after = {g: extended(g) for g in every if g[:-1] == h}
+        if not sum(after.values()):
+            return rest
+        return (max(after.get(h + c, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(after) * rest) / sum(after.values())
+
+    def probability(k, h, c):
+        after = {g: n for g, n in counts[k].items() if g[:-1] == h}
+        if not after:
+            return shared(h[1:], c)
+        return (max(after.get(h + c, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(after) * shared(h[1:], c)) / sum(after.values())
+
+    model = toxicity.Model(counts)
+    for word in [*words[0][:4], *words[1][:4], "dcba", "xyz", "a", "abxab"]:
+        want = sum(math.log(probability(1, g[:-1], g[-1]) / probability(0, g[:-1], g[-1])) for g in toxicity.grams_of(word))
+        assert abs(model.difference(word) - want) < 1e-9, word
+
+
+def test_clashing_columns(spark, data):
+    """Columns named like a result are replaced; all others, whatever their names, hold what they held."""
+    docs, labels = data
+    names = ["Score", "n_tokens", "lang_pred", "_found", "rank", "label", "s_id"]
+    odd_docs = odd(spark).drop("found", "_score").select("doc_id", "text", *(language.F.concat(language.F.lit(f"{n} "), "doc_id").alias(n) for n in names))
+    made = {
+        "score": [toxicity.score(odd_docs, toxicity.fit(docs, labels)), quality.score(odd_docs, quality.fit(docs, labels)), toxicity.score(odd_docs, None), quality.score(odd_docs, None)],
+        "n_tokens": [token_counts.count_tokens(odd_docs)],
+        "lang_pred score": [language.predict(odd_docs, language.fit(docs)), language.predict(odd_docs, None)],
+    }
+    for own, results in made.items():
+        for out in results:
+            assert len({c.lower() for c in out.columns}) == len(out.columns)
+            for r in out.collect():
+                assert all(r[n] == f"{n} {r.doc_id}" for n in names if n.lower() not in own.split())
+                assert all(not isinstance(r[c], str) or not r[c].startswith(c) for c in own.split() if c in out.columns)
+
+
+def test_very_long_texts_are_not_learned_from(spark, data, monkeypatch):
+    docs, labels = data
+    monkeypatch.setattr(language.common, "SAMPLE_CHARS", 10)
+    assert language.fit(docs) is None and toxicity.fit(docs, labels) is None and quality.fit(docs, labels) is None
+
+
 def test_quality(spark, data):
     docs, labels = data
     model = quality.fit(docs, labels)
