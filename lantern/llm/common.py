@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,24 @@ HEAVY_PARTS = 1000
 SAMPLE_CHARS = 200_000
 
 
+#: Seconds after which a worker forgets what an operator that no longer runs in it has remembered.
+IDLE_SECONDS = 10
+_REMEMBERED: dict[int, tuple[Callable[[], None], float]] = {}
+
+
+def remembering(owner: object, forget: Callable[[], None]) -> None:
+    """Called by a worker's operator with each batch: what others remember, and haven't used for a while, is forgotten.
+
+    Workers are used again by later stages, so without this they would hold the sum of all operators' memories.
+    """
+    now = time.monotonic()
+    for key, (other, last) in list(_REMEMBERED.items()):
+        if key != id(owner) and now - last > IDLE_SECONDS:
+            other()
+            del _REMEMBERED[key]
+    _REMEMBERED[id(owner)] = forget, now
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

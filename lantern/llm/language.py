@@ -182,6 +182,7 @@ def predict(docs: DataFrame, model: Model | None, prediction: str = "lang_pred",
         model = sent.value
         table = table_of(model)
         for texts in batches:
+            common.remembering(table, table.clear)
             found, scores = [], []
             for text in texts:
                 if text is None or not any(map(str.isalpha, text)):

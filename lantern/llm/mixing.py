@@ -127,9 +127,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, slots: int = SLOTS) -> D
     """
     spark, keep = docs.sparkSession, docs.columns if keep is None else keep
     order = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select(F.struct(*keep).alias("row"), F.col("source").alias("m_source"), words(F.col("text")).alias("m_size"), order.alias("m_hash"))
-    if "text" not in keep:
-        sized = common.cut(sized)
+    sized = common.cut(docs.select(F.struct(*keep).alias("row"), F.col("source").alias("m_source"), words(F.col("text")).alias("m_size"), order.alias("m_hash")))
     shares = common.cut(targets(sized, "m_source", "m_size"))
     count = sized.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("m_size"), F.lit(0)).alias("total")).first()
     total, base = float(max(count["total"], 1)), F.least("source_size", "target")
@@ -146,8 +144,23 @@ def mix(docs: DataFrame, keep: list[str] | None = None, slots: int = SLOTS) -> D
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    return mix(docs).select("row", F.explode("m_slots")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    """The mix itself: every document as often as it is taken, with the columns of ``docs``.
+
+    Only ids, sizes and hashes go through the schedule; whole rows are shuffled once, to be joined
+    with the slots that take them. Rows of equal id, source and text are taken as often as all of
+    them together, each time with the other columns of one of them.
+    """
+    n = common.fresh(docs, "key", "id", "taken", "slot")
+    key = F.xxhash64("doc_id", "source", "text")
+    mixed = common.cut(mix(docs.select("doc_id", "source", "text", key.alias("key")), ["doc_id", "key"]).select("row.doc_id", "row.key", "m_slots"))
+    named = mixed.groupBy(F.col("doc_id").alias(n["id"]), F.col("key").alias(n["taken"])).agg(F.flatten(F.collect_list("m_slots")).alias(n["slot"]), F.count(F.lit(1)).alias("copies"))
+    named = common.cut(named.filter(F.size(n["slot"]) > 0))
+    both = lambda side: (F.col(n["key"]) == side[n["taken"]]) & F.col("doc_id").eqNullSafe(side[n["id"]])
+    keyed, single, repeated = docs.withColumn(n["key"], key), named.filter("copies = 1").drop("copies"), named.filter("copies > 1").drop("copies")
+    found = keyed.join(single, both(single))
+    if not repeated.isEmpty():
+        found = found.unionByName(keyed.join(repeated, both(repeated)).dropDuplicates(["doc_id", n["key"]]))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(n["slot"]).alias(n["slot"])).drop(n["slot"])
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

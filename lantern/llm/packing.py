@@ -40,7 +40,7 @@ CAPACITY, END = 4096, 1
 #: Rows that one salt of a length is meant to have.
 SALT_ROWS = 1 << 17
 #: Chunks kept with their ids in each worker, and the longest of them in characters.
-CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 500_000, 48
 #: White space to str.split() but not to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -130,6 +130,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = tokenizer_of(model.value)
         for batch in batches:
+            common.remembering(tokenizer, tokenizer.known.clear)
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = tokenizer.ids(text) + tail

@@ -144,6 +144,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, i
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = counter_of(model.value)
         for texts in batches:
+            common.remembering(counter, counter.known.clear)
             yield pd.Series([counter.count(t) for t in texts], dtype="int64")
 
     return docs.withColumn(into, tokens(F.coalesce(F.col(text), F.lit(""))))
