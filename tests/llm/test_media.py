@@ -107,3 +107,47 @@ def test_columns(spark):
     found = media.pixels(media.store(docs.filter("doc_id = 4"))).first().pixels
     assert bytes(found.samples) == ("é" * 40).encode() + bytes(48) and found.width == 16
     assert media.read_back(media.store(docs.limit(0))).count() == 0
+
+
+def test_groups_of_codes_short_distances_and_counted_lengths():
+    """A stream put together bit by bit by the format's description: the encoder here never writes one like it."""
+    out = webp.BitWriter()
+    bits = out.bits.append
+    simple = lambda *s: bits("1" + "01"[len(s) > 1] + "1" + "".join(format(x, "08b")[::-1] for x in s))
+    for value, n in ((0x2F, 8), (7, 14), (3, 14), (1, 1), (0, 3), (0, 1), (0, 1), (1, 1), (0, 3)):
+        out.write(value, n)  # signature, 8 by 4 pixels, alpha, version; no transform, no cache; groups by blocks of 4
+    bits("0")  # the image of groups has no cache
+    simple(0, 1)
+    for only in (0, 0, 255, 0):
+        simple(only)
+    bits("01")  # the left block has group 0, the right one group 1
+    # group 0, green: lengths of 2 for 7, 9, 257 and 259, by a code of lengths 0, 2 and runs of zeros, nine of which are counted
+    bits("0")
+    own = {0: 2, 2: 2, 17: 2, 18: 2}
+    out.write(15, 4)
+    for s in webp.LENGTH_ORDER:
+        out.write(own.get(s, 0), 3)
+    bits("1")
+    out.write(1, 3)
+    out.write(9 - 2, 4)
+    zero, two, few, many = "00", "01", "10", "11"
+    for code, extra, n in ((few, 7 - 3, 3), (two, 0, 0), (zero, 0, 0), (two, 0, 0), (many, 138 - 11, 7), (many, 109 - 11, 7), (two, 0, 0), (zero, 0, 0), (two, 0, 0)):
+        bits(code)
+        out.write(extra, n)
+    for only in (1, 2, 255):
+        simple(only)
+    bits("1" + "1" + "0" + "0" + "10000000")  # distances: the pixel above (0) and the one to the left (1), the first symbol in one bit
+    for only in (100, 3, 4, 255, 0):
+        simple(only)  # group 1: one colour, no bits
+    seven, nine, twice, four, above, left = "00", "01", "10", "11", "0", "1"
+    for code in (seven, nine, twice, left, four, above, nine, seven, four, above, seven, seven, seven, seven):
+        bits(code)
+    image = webp.decode(webp._wrapped(np.packbits(out.array(), bitorder="little").tobytes()))
+    a, b, c = (7, 1, 2, 255), (9, 1, 2, 255), (100, 3, 4, 255)
+    assert [[tuple(p) for p in row] for row in image.tolist()] == [[a, b, b, b, c, c, c, c], [a, b, b, b, c, c, c, c], [b, a, b, b, c, c, c, c], [a, a, a, a, c, c, c, c]]
+
+
+def test_distances_by_their_codes():
+    """The first and the last short distances as the format lists them, and those beyond."""
+    assert [webp._distance(k, 16) for k in (1, 2, 3, 4, 5, 6, 120, 121, 137)] == [16, 1, 17, 15, 32, 2, 120, 1, 17]
+    assert webp._distance(4, 1) == 1  # none is below 1
