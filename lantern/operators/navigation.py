@@ -54,10 +54,14 @@ def source_hash(methods: Column) -> Column:
 
     def quoted(value: Column) -> Column:
         """A JSON string: only quotes, backslashes and control characters are escaped."""
-        out = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"')
-        for char, code in (("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t"), ("\b", r"\\b"), ("\f", r"\\f")):
-            out = F.regexp_replace(out, char if char != "\b" else "\x08", code)
-        return F.concat(F.lit('"'), out, F.lit('"'))
+        named = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+        out = value
+        for char, code in named.items():
+            out = F.replace(out, F.lit(char), F.lit(code))
+        rest = out
+        for code in sorted({*range(32)} - {*map(ord, named)}):
+            rest = F.replace(rest, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+        return F.concat(F.lit('"'), F.when(out.rlike(r"[\x00-\x1f]"), rest).otherwise(out), F.lit('"'))
 
     one = lambda m: F.concat(F.lit('{"method": '), quoted(m["method"]), F.lit(', "purpose": '), quoted(m["purpose"]), F.lit(', "source_path": '), quoted(m["source_path"]), F.lit("}"))
     return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(methods, one), ", "), F.lit("]")), 256)

@@ -129,6 +129,9 @@ def test_navigation_and_enrichment(spark, tmp_path):
     assert (main.name, main.methods[0].purpose, other.name, other.methods[0].method, other.methods[0].purpose) == ("Основные процедуры и функции", "Возвращает данные объекта.", "Г", "Н", "Н")
     evidence = [{"method": m.method, "purpose": m.purpose, "source_path": m.source_path} for m in main.methods]
     assert main.source_hash == hashlib.sha256(json.dumps(evidence, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    odd = [{"method": "a\x00\x1f\x0b", "purpose": 'q"\\ \n\r\t\b\f', "source_path": "й/€"}]
+    rows = spark.createDataFrame([([(x["method"], x["purpose"], x["source_path"]) for x in odd],)], "m array<struct<method string, purpose string, source_path string>>")
+    assert rows.select(navigation.source_hash(F.col("m"))).first()[0] == hashlib.sha256(json.dumps(odd, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
     asked = enrich.requests(nav.groups, nav.methods, (1, 100))
     answer = lambda payload, schema: {"cards": [{"id": payload["groups"][0]["id"], "description": "d", "keywords": ["файл"], "evidence_methods": [payload["groups"][0]["methods"][0][0]], "confidence": "high"}]}
     cards = spark.createDataFrame(enrich.answered(asked, answer), "id string, description string, keywords array<string>, evidence_methods array<string>, confidence string")
