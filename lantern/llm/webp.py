@@ -14,14 +14,11 @@ cache and back-references. ``compress`` chooses them by the image.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from functools import cached_property, lru_cache
 
 import numpy as np
 
-#: Runs of one length.
-RUNS = re.compile(rb"(.)\1*", re.S)
 #: Fixed values of the format.
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LEFT, TOP = 1, 2
@@ -32,6 +29,8 @@ BLACK = (0, 0, 0, 255)
 MAX_SIDE = 1 << 14
 #: Bits that are looked at together.
 CHUNK = 1 << 16
+#: Added to the length of a green symbol that is a cache index or a copy; more than any place in a chunk.
+HIT, COPY = 1 << 20, 1 << 21
 #: The encoder's longest code, and its colour cache.
 MOST, CACHE_BITS = 12, 8
 #: The 120 near pixels that short distance codes mean: nearest first, then by column, the left one first.
@@ -65,28 +64,45 @@ def _field(value: int, n: int) -> str:
 
 
 class BitWriter:
-    """Bits as strings of 0 and 1, and as arrays of many numbers with their sizes."""
+    """Bits as strings of 0 and 1, the first bit first, and one number of all bits before them, the first bit lowest."""
 
     def __init__(self):
         self.bits: list[str] = []
-        self.before: list[np.ndarray] = []
+        self.before = self.size = 0
 
     def write(self, value: int, n: int) -> None:
         if n:
             self.bits.append(_field(value, n))
 
     def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Numbers of up to 64 bits, the lowest bit first."""
-        self.before, self.bits = [self.array()], []
+        """Numbers of up to 64 bits, the lowest bit first; each falls into one or two words of 64 bits."""
+        self._gather()
         sizes = sizes.astype(np.int64)
         ends = np.cumsum(sizes)
-        if len(ends) and ends[-1]:
-            place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-            self.before.append((np.repeat(values, sizes) >> place.astype(np.uint64)).astype(np.uint8) & 1)
+        if not len(ends) or not ends[-1]:
+            return
+        at = ends - sizes
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+        words[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        words[word[first] + 1] |= np.bitwise_or.reduceat(values >> np.uint64(1) >> np.uint64(63) - shift, first)
+        self.before |= int.from_bytes(words.astype("<u8").tobytes(), "little") << self.size
+        self.size += int(ends[-1])
+
+    def _gather(self) -> None:
+        if text := "".join(self.bits):
+            self.before |= int(text[::-1], 2) << self.size
+            self.size += len(text)
+            self.bits = []
 
     def array(self) -> np.ndarray:
-        own = np.frombuffer("".join(self.bits).encode(), np.uint8) - 48
-        return np.concatenate([*self.before, own]) if self.before else own
+        """The bits one by one."""
+        return np.unpackbits(np.frombuffer(self.stream(), np.uint8), count=self.size, bitorder="little")
+
+    def stream(self) -> bytes:
+        self._gather()
+        return self.before.to_bytes(self.size + 7 >> 3, "little")
 
 
 class PrefixCode:
@@ -107,29 +123,25 @@ class PrefixCode:
         order = np.argsort(lengths, kind="stable")
         return used[order], lengths[order]
 
-    @cached_property
-    def table(self) -> dict[tuple[int, int], int]:
-        """Symbols by length and code."""
-        symbols, lengths = self.ordered
-        codes = np.cumsum(1 << 15 - lengths) - (1 << 15 - lengths) >> 15 - lengths
-        return dict(zip(zip(lengths.tolist(), codes.tolist(), strict=True), symbols.tolist(), strict=True))
-
     def read(self, bits: BitReader) -> int:
         if self.only is not None:
             return self.only
-        code = n = 0
-        while True:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (symbol := self.table.get((n, code))) is not None:
-                return symbol
+        most, symbols, lengths = self.lookup
+        number = bits.peek(bits.at, most)
+        bits.at += int(lengths[number])
+        if bits.at > 8 * len(bits.data):
+            raise FormatError("the image ends too early")
+        return int(symbols[number])
 
     @cached_property
     def strings(self) -> list[str]:
         """The bits of each symbol as they are written."""
-        out = [""] * len(self.lengths)
+        out, code, last = [""] * len(self.lengths), 0, 0
         if self.only is None:
-            for (n, code), s in self.table.items():
+            for n, s in sorted((self.lengths[s], s) for s in self.used):
+                code, last = code << n - last, n
                 out[s] = format(code, f"0{n}b")
+                code += 1
         return out
 
     @cached_property
@@ -139,8 +151,14 @@ class PrefixCode:
             return 0, np.array([self.only]), np.zeros(1, np.int64)
         used, lengths = self.ordered
         most = int(lengths[-1])
-        at = _turned(most)
-        return most, np.repeat(used, 1 << most - lengths)[at], np.repeat(lengths, 1 << most - lengths)[at]
+        both = np.repeat(used | lengths << 16, 1 << most - lengths).take(_turned(most))
+        return most, both & 65535, both >> 16
+
+    @cached_property
+    def steps(self) -> np.ndarray:
+        """Lengths as in ``lookup``, plus HIT or COPY where the symbol is no sample."""
+        _, symbols, lengths = self.lookup
+        return lengths + np.where(symbols < 256, 0, np.where(symbols < 256 + LENGTH_CODES, COPY, HIT))
 
     @cached_property
     def pairs(self) -> list[int]:
@@ -319,42 +337,52 @@ def _read_at_once(bits: BitReader, codes: list[PrefixCode], total: int, width: i
     """Pixels of one group of codes; None if a cache index has no pixel before it."""
     data, distance = np.frombuffer(bits.data, np.uint8), codes[4]
     (green_most, green_symbol, green_length), *others = (c.lookup for c in codes[:4])
+    steps, green_mask = codes[0].steps, (1 << green_most) - 1
     pixels, copies, hits, hit_slots, at = np.zeros((total, 4), np.uint8), [], [], [], 0
     while at < total:
         origin, start = bits.at >> 3, bits.at & 7
-        limit = start + 1 + min(CHUNK, 8 * len(data) - bits.at)
+        limit = start + 1 + min(CHUNK, 8 * len(data) - bits.at, 60 * (total - at))
         wide = np.zeros((limit + 64 >> 3) + 4, np.int64)
         raw = data[origin : origin + len(wide)]
         wide[: len(raw)] = raw
         wide = wide[:-2] | wide[1:-1] << 8 | wide[2:] << 16
         window = (wide[:, None] >> np.arange(8)).reshape(-1)
         place = np.arange(len(window))
-        at_green = window[:limit] & (1 << green_most) - 1
-        green, after = green_symbol[at_green], place[:limit] + green_length[at_green]  # no literal is over 60 bits, so it ends in the window
-        special = np.flatnonzero(green >= 256)
-        end, ends = after, {}
+        after = place[:limit] + steps.take(window[:limit] & green_mask)
+        end, ends = place, {}  # no literal is over 60 bits, so it ends in the window
         for code, (most, _, length) in zip(codes[1:4], others, strict=True):
             if code.only is None:
                 if id(code) not in ends:
-                    ends[id(code)] = place + length[window & (1 << most) - 1]
-                end = ends[id(code)][end]
-        follows = end.copy() if end is after else end
-        follows[special] = np.where(green[special] < 256 + LENGTH_CODES, -1, after[special])
-        walk, starts, jumps, p, first = memoryview(follows), [], [], start, at
+                    ends[id(code)] = place + length.take(window & (1 << most) - 1)
+                end = ends[id(code)] if end is place else ends[id(code)].take(end, mode="clip")
+        walk, follow, starts, jumps, p, first, copied = memoryview(after), memoryview(end), [], [], start, at, 0
         note = starts.append
-        while at < total and p < limit:
-            if (q := walk[p]) >= 0:
+        if end is place and not green_most and walk[p] < COPY:  # pixels without bits
+            starts, limit = [p] * (total - at), p
+        while p < limit:
+            q = walk[p]
+            if q < HIT:
+                note(p)
+                p = follow[q]
+                continue
+            if q < COPY:
                 note(p)
-                p, at = q, at + 1
+                p = q - HIT
                 continue
-            bits.at = 8 * origin + int(after[p])
-            n = _prefixed(bits, int(green[p]) - 256)
+            if (at := first + len(starts) + copied) >= total:
+                break
+            bits.at = 8 * origin + q - COPY
+            n = _prefixed(bits, int(green_symbol[window[p] & green_mask]) - 256)
             back = _distance(_prefixed(bits, distance.read(bits)), width)
             if back > at or at + n > total:
                 raise FormatError("a back-reference leaves the image")
             copies.append((at, n, back))
             jumps.append((len(starts), n))
-            p, at = bits.at - 8 * origin, at + n
+            p, copied = bits.at - 8 * origin, copied + n
+        if (over := first + len(starts) + copied - total) > 0:  # what follows the image was taken for pixels
+            p = starts[-over]
+            del starts[-over:]
+        at = first + len(starts) + copied
         bits.at = 8 * origin + p
         if bits.at > 8 * len(data):
             raise FormatError("the image ends too early")
@@ -363,9 +391,10 @@ def _read_at_once(bits: BitReader, codes: list[PrefixCode], total: int, width: i
         for k, n in jumps:
             where[k] += n
         where = first + np.arange(len(starts)) + np.add.accumulate(where)[:-1]
-        symbol = green[starts]
+        at_green = window[starts] & green_mask
+        symbol = green_symbol[at_green]
         literal = symbol < 256
-        begin, where_literal = after[starts[literal]], where[literal]
+        begin, where_literal = (starts + green_length[at_green])[literal], where[literal]
         pixels[where_literal, 0] = symbol[literal]
         for k, (most, found, length) in enumerate(others, 1):
             number = window[begin] & (1 << most) - 1
@@ -386,10 +415,10 @@ def _read_at_once(bits: BitReader, codes: list[PrefixCode], total: int, width: i
         else:
             pixels[k : k + n] = pixels[here]
     if len(hit):
-        source[hit] = _before(slots)[hit]
+        source[hit] = _before(slots.astype(np.uint16))[hit]
         if source.min() < 0:
             return None
-        while not np.array_equal(further := source[source], source):
+        while ((further := source[source]) != source).any():
             source = further
         pixels = pixels[source]
     return pixels
@@ -620,15 +649,23 @@ def _write_code(out: BitWriter, lengths: bytes) -> None:
         for s in used or [0]:
             out.write(s, 8)
         return
-    runs = [token for m in RUNS.finditer(lengths) for token in _run(lengths[m.start()], m.end() - m.start())]
-    own = _lengths(Counter([s for s, _, _ in runs]), 19, 7)
+    each = np.frombuffer(lengths, np.uint8)
+    ends = [*(np.flatnonzero(each[1:] != each[:-1]) + 1).tolist(), len(each)]
+    runs = [lengths[a] << 12 | b - a for a, b in zip([0, *ends], ends, strict=False)]
+    times = Counter(runs)
+    tokens, counts = {run: _run(run >> 12, run & 4095) for run in times}, {}
+    for run, found in tokens.items():
+        for s, _, _ in found:
+            counts[s] = counts.get(s, 0) + times[run]
+    own = _lengths(counts, 19, 7)
     strings = prefix_code(own).strings
     out.write(0, 1)
     out.write(15, 4)
     for s in LENGTH_ORDER:
         out.write(own[s], 3)
     out.write(0, 1)
-    out.bits += [strings[s] + _field(extra, n) if n else strings[s] for s, extra, n in runs]
+    written = {run: "".join([strings[s] + _field(extra, n) if n else strings[s] for s, extra, n in found]) for run, found in tokens.items()}
+    out.bits += map(written.__getitem__, runs)
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -649,7 +686,12 @@ def _copies(colours: np.ndarray) -> list[tuple[int, int, int]]:
     for k in range(4):
         key = (key ^ wide[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    before, out, at = _before(key), [], 0
+    # keys and places are sorted as one number; keys that agree by chance are found out by their pixels
+    low = np.uint64((1 << n.bit_length()) - 1)
+    key = np.sort(key & ~low | np.arange(n, dtype=np.uint64))
+    order, same = (key & low).astype(np.int64), (key[1:] ^ key[:-1]) <= low
+    before, out, at = np.full(n, -1, np.int64), [], 0
+    before[order[1:][same]] = order[:-1][same]
     for i in np.flatnonzero(before >= 0).tolist():
         if i < at:
             continue
@@ -663,10 +705,12 @@ def _copies(colours: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _hits(pixels: np.ndarray, colours: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pixels' slots, and which pixels are in the cache when they come."""
-    slots = _slots(pixels, cache_bits)
-    before = _before(slots)
+@lru_cache(1)
+def _hits(pixels: bytes, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels' slots, and which pixels are in the cache when they come; asked for twice by images that have a cache."""
+    colours = np.frombuffer(pixels, "<u4")
+    slots = _slots(colours.view(np.uint8).reshape(-1, 4), cache_bits)
+    before = _before(slots.astype(np.uint16))
     return slots, (before >= 0) & (colours[before] == colours)
 
 
@@ -682,10 +726,10 @@ def _counted(counts: np.ndarray) -> dict[int, int]:
     return dict(zip(used.tolist(), counts[used].tolist(), strict=True))
 
 
-def _information(counts: np.ndarray) -> float:
-    """Bits of all symbols in rows of counts, each row by its own frequencies."""
+def _information(counts: np.ndarray) -> list[float]:
+    """Bits of all symbols of each row of counts, by the row's own frequencies."""
     rows = counts.sum(1)
-    return float((rows * np.log2(np.maximum(rows, 1))).sum() - (counts * np.log2(np.maximum(counts, 1))).sum())
+    return (rows * np.log2(np.maximum(rows, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(1)).tolist()
 
 
 def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: bool = False) -> None:
@@ -699,7 +743,7 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
     green, token = pixels[:, 0].astype(np.int64), np.ones(len(pixels), bool)
     literal = token.copy()
     if cache_bits:
-        slots, hit = _hits(pixels, colours, cache_bits)
+        slots, hit = _hits(pixels.tobytes(), cache_bits)
         literal, green = ~hit, np.where(hit, 256 + LENGTH_CODES + slots, green)
     found = _copies(colours) if copies else []
     extra = []
@@ -710,10 +754,10 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
         extra.append((*length[1:], *far))
     rest = pixels[literal, 1:].astype(np.int64)
     each = np.stack([np.bincount(rest[:, k], minlength=256) for k in range(3)])
-    both = each.sum(0)
-    saved = _information(both[None]) - _information(each)
-    if saved <= 4 * ((each > 0).sum() - (both > 0).sum()):
-        each = both[None]
+    both = each.sum(0, keepdims=True)
+    shared, *own = _information(np.concatenate([both, each]))
+    if shared - sum(own) <= 4 * (np.count_nonzero(each) - np.count_nonzero(both)):
+        each = both
     one = [_lengths(_counted(c), 256, MOST) for c in each]
     first = _lengths(_counted(np.bincount(green[token])), 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), MOST)
     lengths = [first, *(one if len(one) == 3 else 3 * one), _lengths(Counter(x[2] for x in extra), DISTANCE_CODES, MOST)]
@@ -734,13 +778,6 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
     out.many(value[token], size[token])
 
 
-def _entropy(pixels: np.ndarray) -> float:
-    """Bits of a pixel by the frequency of its samples."""
-    counts = np.bincount(pixels.reshape(-1), minlength=256)
-    share = counts[counts > 0] / pixels.size
-    return float(-4 * (share * np.log2(share)).sum())
-
-
 def compress(image: np.ndarray) -> bytes:
     """One image as WebP bytes, by the tools that fit it.
 
@@ -749,16 +786,17 @@ def compress(image: np.ndarray) -> bytes:
     it saves more than its parameters take, and the colour cache if its hits save more
     than its symbols take. Back-references are always tried.
     """
-    if len(set(np.ascontiguousarray(image).view("<u4").reshape(-1).tolist())) <= min(256, image.size // 16):
+    colours = np.sort(np.ascontiguousarray(image).view("<u4").reshape(-1))
+    if 1 + np.count_nonzero(colours[1:] != colours[:-1]) <= min(256, image.size // 16):
         return encode(image, ("palette", "copies"))
     green = image.copy()
     green[..., 1:3] -= image[..., :1]
     forms = {(): image, ("green",): green, ("left",): _predict_one(image, LEFT, False), ("top",): _predict_one(image, TOP, False)}
-    pixels, bits = image.shape[0] * image.shape[1], {tools: _entropy(x) for tools, x in forms.items()}
-    best = min(bits, key=lambda tools: pixels * bits[tools] + 80 * len(tools))
-    flat = np.ascontiguousarray(forms[best]).reshape(-1, 4)
-    slots, hit = _hits(flat, flat.view("<u4").reshape(-1), CACHE_BITS)
-    saved = hit.sum() * (bits[best] - CACHE_BITS) - 6 * len(set(slots[hit].tolist()))
+    counts = np.stack([np.bincount(x.reshape(-1), minlength=256) for x in forms.values()])
+    bits = dict(zip(forms, _information(counts), strict=True))
+    best = min(bits, key=lambda tools: bits[tools] + 80 * len(tools))
+    slots, hit = _hits(forms[best].tobytes(), CACHE_BITS)
+    saved = np.count_nonzero(hit) * (bits[best] / len(hit) - CACHE_BITS) - 6 * np.count_nonzero(np.bincount(slots[hit]))
     return encode(image, (*best, *(("cache",) if saved > 0 else ()), "copies"))
 
 
@@ -805,7 +843,7 @@ def encode(image: np.ndarray, tools: tuple[str, ...] = (), seed: int = 0) -> byt
             image[..., 1:3] -= image[..., :1]
     out.write(0, 1)
     _write_image(out, image.reshape(-1, 4), True, CACHE_BITS if "cache" in tools else 0, "copies" in tools)
-    return _wrapped(np.packbits(out.array(), bitorder="little").tobytes())
+    return _wrapped(out.stream())
 
 
 def _wrapped(stream: bytes) -> bytes:
