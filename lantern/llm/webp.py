@@ -186,6 +186,12 @@ def _turned(n: int) -> np.ndarray:
     return out
 
 
+@lru_cache
+def _places() -> np.ndarray:
+    """Every place in a chunk."""
+    return np.arange(CHUNK + 128)
+
+
 @lru_cache(4096)
 def prefix_code(lengths: bytes) -> PrefixCode:
     """Images often have the codes of others; they are built once."""
@@ -211,27 +217,27 @@ def _read_code(bits: BitReader, symbols: int) -> PrefixCode:
     by_bits, mask = code.pairs, (1 << code.lookup[0]) - 1
     start = bits.at
     ahead = int.from_bytes(bits.data[start >> 3 : (start >> 3) + 2 * symbols + 8], "little") >> (start & 7)
-    used = 0
+    ahead |= 1 << 8 * (2 * symbols + 9)  # its place tells how much has been read
+    whole = ahead.bit_length()
     while at < symbols and left:
         left -= 1
         n = by_bits[ahead & mask]
-        s, n = n & 65535, n >> 16
-        ahead >>= n
-        used += n
+        ahead >>= n >> 16
+        s = n & 65535
         if s < 16:
-            lengths[at] = s
-            last, at = s or last, at + 1
+            if s:
+                lengths[at] = last = s
+            at += 1
             continue
         least, extra, value = ((3, 2, last), (3, 3, 0), (11, 7, 0))[s - 16]
         n = least + (ahead & (1 << extra) - 1)
         ahead >>= extra
-        used += extra
         if at + n > symbols:
             raise FormatError("code lengths run over")
         if value:
             lengths[at : at + n] = bytes((value,)) * n
         at += n
-    bits.at += used
+    bits.at += whole - ahead.bit_length()
     if bits.at > 8 * len(bits.data):
         raise FormatError("the image ends too early")
     return prefix_code(bytes(lengths))
@@ -347,7 +353,7 @@ def _read_at_once(bits: BitReader, codes: list[PrefixCode], total: int, width: i
         wide[: len(raw)] = raw
         wide = wide[:-2] | wide[1:-1] << 8 | wide[2:] << 16
         window = (wide[:, None] >> np.arange(8)).reshape(-1)
-        place = np.arange(len(window))
+        place = _places()[: len(window)]
         after = place[:limit] + steps.take(window[:limit] & green_mask)
         end, ends = place, {}  # no literal is over 60 bits, so it ends in the window
         for code, (most, _, length) in zip(codes[1:4], others, strict=True):
@@ -599,19 +605,21 @@ def _lengths(counts: dict[int, int], symbols: int, most: int) -> bytes:
         # leaves by count, and joined nodes, which come in order of their counts; each node's parent gives its depth
         ranked = sorted([c << 12 | s for s, c in counts.items()])
         leaves, weight = [x & 4095 for x in ranked], [x >> 12 for x in ranked]
-        n = len(leaves)
-        parent, leaf, inner = [0] * (2 * n - 1), 0, n
+        n, never = len(leaves), ranked[-1] * len(ranked) + 1
+        parent, leaf, inner = [0] * (2 * n - 1), 0, n + 1
+        weight += [never] * (n + 1)  # one after the leaves, and those not joined yet
         for new in range(n, 2 * n - 1):
-            if leaf < n and (inner == new or weight[leaf] <= weight[inner]):
-                one, leaf = leaf, leaf + 1
-            else:
-                one, inner = inner, inner + 1
-            if leaf < n and (inner == new or weight[leaf] <= weight[inner]):
-                two, leaf = leaf, leaf + 1
-            else:
-                two, inner = inner, inner + 1
-            parent[one] = parent[two] = new
-            weight.append(weight[one] + weight[two])
+            both = 0
+            for _ in (0, 1):
+                if weight[leaf] <= weight[inner]:
+                    both += weight[leaf]
+                    parent[leaf] = new
+                    leaf += 1
+                else:
+                    both += weight[inner]
+                    parent[inner - 1] = new
+                    inner += 1
+            weight[new + 1] = both
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
