@@ -13,6 +13,7 @@ from .mixing import OP9_SQL, op9_source_mixing
 from .near_dedup import op10_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .quality import op4_quality_classifier
+from .simhash import op12_simhash_near_dedup
 from .token_counts import op3_token_counts
 from .toxicity import op2_toxicity
 from .warc import OP7_SQL, op7_warc
@@ -28,6 +29,7 @@ OPERATORS = (
     op8_language_id,
     op9_source_mixing,
     op10_minhash_near_dedup,
+    op12_simhash_near_dedup,
 )
 
 
