@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP13_SQL, op13_phrase_collocations
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op8_language_id
 from .media import op5_media_webp
@@ -30,6 +31,7 @@ OPERATORS = (
     op9_source_mixing,
     op10_minhash_near_dedup,
     op12_simhash_near_dedup,
+    op13_phrase_collocations,
 )
 
 
@@ -38,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_warc": OP7_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_warc": OP7_SQL, "op9_source_mixing": OP9_SQL, "op13_phrase_collocations": OP13_SQL}
