@@ -79,19 +79,20 @@ def trie(lang: str, words: list[bytes], starts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), pa.concat_arrays(paths), pa.array(depth), pa.array(n)], schema=_NODE)
 
 
-def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tries(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The tries of the texts of one task, each of about ``most`` words."""
     held: dict[str, list[bytes]] = defaultdict(list)
     size = 0
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
             words = tokens(text.as_py())
-            if len(words) > SHARD_WORDS:
-                for k in range(0, len(words), SHARD_WORDS):
-                    yield trie(lang, words[k : k + SHARD_WORDS + DEPTH - 1], SHARD_WORDS)
+            if len(words) > most:
+                for k in range(0, len(words), most):
+                    yield trie(lang, words[k : k + most + DEPTH - 1], most)
                 continue
             held[lang] += words
             size += len(words)
-            if size > SHARD_WORDS:
+            if size > most:
                 yield from (trie(k, w, len(w)) for k, w in held.items())
                 held.clear()
                 size = 0
@@ -101,7 +102,8 @@ def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merged(docs: DataFrame, least: int) -> DataFrame:
     """(lang, w1, w2, w3, n) of all nodes of at least ``least`` occurrences, and of each language's root."""
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = common.cut(texts.mapInArrow(tries, "lang string, path string, depth int, n long"))
+    most = SHARD_WORDS
+    shards = common.cut(texts.mapInArrow(lambda batches: tries(batches, most), "lang string, path string, depth int, n long"))
     leaves = shards.repartitionByRange("lang", "path").groupBy("lang", "path", "depth").agg(F.sum("n").alias("n"))
     # a leaf counts for the node of its first two words; rare leaves are of no other use
     own = F.when((F.col("depth") < 2) | ((F.col("depth") == 3) & (F.col("n") >= least)), F.col("path"))

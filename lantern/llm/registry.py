@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .collocations import OP13_SQL, op13_phrase_collocations
+from .conversations import op11_conversation_repair
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op8_language_id
 from .media import op5_media_webp
@@ -30,6 +31,7 @@ OPERATORS = (
     op8_language_id,
     op9_source_mixing,
     op10_minhash_near_dedup,
+    op11_conversation_repair,
     op12_simhash_near_dedup,
     op13_phrase_collocations,
 )
