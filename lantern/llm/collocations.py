@@ -56,9 +56,8 @@ def trie(lang: str, words: list[bytes], starts: int) -> pa.RecordBatch:
     names = sorted(set(number) - {_MARK})
     rank = np.zeros(len(number), np.int64)
     rank[[number[w] for w in names]] = np.arange(1, len(names) + 1)
-    first = rank[at]
-    second, third = np.r_[first[1:], 0], np.r_[first[2:], 0, 0]
-    first, second, third = first[:starts], second[:starts], third[:starts]
+    starts, padded = min(starts, len(words)), np.r_[rank[at], 0, 0]
+    first, second, third = padded[:starts], padded[1 : starts + 1], padded[2 : starts + 2]
     base = len(names) + 1
     single = np.bincount(first, minlength=base)[1:]
     used = np.flatnonzero(single)
