@@ -1,12 +1,14 @@
 """Operator 13, phrase collocations, from tries of bounded depth that tasks count and Spark merges by prefix range.
 
-A task counts the words of its texts in tries of ``DEPTH`` words, one for each language, and gives a trie away, in the
-order of its paths, whenever its texts have ``SHARD_WORDS`` words. A trie is rows of (lang, path, depth, n): its root, which counts all
-words, its nodes of one word, and the leaves, which end at ``DEPTH`` words or with the piece; all else follows from the leaves.
-A range partitioning by path merges all tries: a range holds neighbouring prefixes, its runs are merged by an external sort,
-and a frequent word's branches go to as many ranges as they need. Inner nodes are sums over their leaves.
-
-Nodes of ``least`` occurrences or more are laid out by prefix range once more, and a walk over each range, in order, gives every node
+The trie grows by one level in each of ``DEPTH`` passes over the texts. A task counts the level's phrases of its texts in a trie, one for
+each language, and gives it away, sorted, whenever its texts have ``SHARD_WORDS`` words: rows of (lang, path, n). A
+range partitioning by path merges all tries: a range holds neighbouring prefixes, its runs are merged by an external sort, and a
+frequent word's branches go to as many ranges as they need. Nodes of fewer than ``least`` occurrences end there. No phrase
+that has a rarer part can have ``least`` occurrences, so the next pass counts those phrases alone whose parts stayed. It asks a
+bitmap of ``FILTER_BITS`` bits for that, whose size doesn't depend on the input: phrases that share a bit by chance are counted as
+well and end when they are merged, none is lost.
+
+The nodes that stay are laid out by prefix range once more, and a walk over each range, in order, gives every node
 the counts of its ancestors, the left parts of its cuts; the ancestors of a range's first node, at most two for a range, are
 looked up before. Suffix links give the right parts: a node of three words links to that of its last two, which links to
 that of its last. All nodes that end in one word link to the same node; where these are many, that node is broadcast.
@@ -21,11 +23,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +39,16 @@ from . import common
 DEPTH = 3
 #: Words of the texts of one trie; three of their numbers fit into 64 bits.
 SHARD_WORDS = 1_000_000
+#: Bits of the filter of a level's nodes, a power of 2: 16 MB on the driver and in each worker.
+FILTER_BITS = 1 << 27
 LEAST, TOP, SHARE = 10, 2000, 50
 UNKNOWN = "und"
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 _MARK = b"."
 _TABLE = bytes.maketrans(BREAKS.encode() + b"\t", _MARK * len(BREAKS) + b" ")
-_NODE = pa.schema([("lang", pa.string()), ("path", pa.string()), ("depth", pa.int32()), ("n", pa.int64())])
+_NODE = pa.schema([("lang", pa.string()), ("path", pa.string()), ("n", pa.int64())])
+_BIT = pa.schema([("at", pa.int64()), ("bits", pa.int64())])
 
 
 def tokens(text: str) -> list[bytes]:
@@ -48,37 +56,86 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().translate(_TABLE).replace(_MARK, b" . ").split() + [_MARK]
 
 
-def trie(lang: str, words: list[bytes], starts: int) -> pa.RecordBatch:
-    """The nodes, in order, of the phrases that begin at one of the first ``starts`` words."""
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    start = lang.encode() + b" "
+    return np.fromiter((xxhash.xxh64_intdigest(start + w) for w in words), np.uint64, len(words))
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = (first ^ (first >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + second
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+class Filter:
+    """A bitmap of hashes: those that were put in are in it, others rarely."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def place(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        at = hashes >> np.uint64(64 - size.bit_length() + 1)
+        return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at, bit = self.place(hashes, len(self.bits) * 64)
+        return (self.bits[at] & bit) != 0
+
+    @classmethod
+    def of(cls, nodes: DataFrame, size: int) -> Broadcast:
+        """The filter of ``nodes`` (lang, path) of one level, on all executors; tasks and the driver hold ``size`` bits of it at most."""
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = [(lang.encode() + b" ", path.encode().split(b" ")) for lang, path in zip(batch.column("lang").to_pylist(), batch.column("path").to_pylist())]
+                levels = [np.fromiter((xxhash.xxh64_intdigest(lang + p[k]) for lang, p in pairs), np.uint64, len(pairs)) for k in range(len(pairs[0][1]) if pairs else 0)]
+                if levels:
+                    at, bit = cls.place(levels[0] if len(levels) == 1 else pair_hashes(*levels), size)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bit.view(np.int64))], schema=_BIT)
+
+        found = nodes.select("lang", "path").mapInArrow(put, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+        bits = np.zeros(size // 64, np.uint64)
+        bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+        return nodes.sparkSession.sparkContext.broadcast(bits)
+
+
+def trie(lang: str, words: list[bytes], starts: int, filters: list[Filter]) -> pa.RecordBatch:
+    """The nodes, in order, of one level: the phrases that begin at one of the first ``starts`` words and whose parts are in ``filters``."""
     number: dict[bytes, int] = defaultdict(count().__next__)
     number[_MARK]
     at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    names = sorted(set(number) - {_MARK})
-    rank = np.zeros(len(number), np.int64)
+    seen = [w for w in number if w != _MARK]
+    if filters:
+        known = filters[0].has(word_hashes(lang, seen))
+        seen = [w for w, k in zip(seen, known) if k]
+    names = sorted(seen)
+    rank = np.zeros(len(number), np.int64)  # 0 for marks and words that can't be part of a phrase
     rank[[number[w] for w in names]] = np.arange(1, len(names) + 1)
-    starts, padded = min(starts, len(words)), np.r_[rank[at], 0, 0]
-    first, second, third = padded[:starts], padded[1 : starts + 1], padded[2 : starts + 2]
-    base = len(names) + 1
-    single = np.bincount(first, minlength=base)[1:]
-    used = np.flatnonzero(single)
+    starts, padded, base = min(starts, len(words)), np.r_[rank[at], 0, 0], len(names) + 1
+    first, second, third = padded[:-2], padded[1:-1], padded[2:]
     follows = (first > 0) & (second > 0)
-    keys, leaves = np.unique((first[follows] * base + second[follows]) * base + third[follows], return_counts=True)
+    if not filters:
+        keys, n = np.unique(first[:starts][first[:starts] > 0], return_counts=True)
+        levels = [keys]
+    elif len(filters) == 1:
+        keys, n = np.unique((first * base + second)[:starts][follows[:starts]], return_counts=True)
+        levels = [keys // base, keys % base]
+    else:
+        pairs, of = np.unique(first * base + second, return_inverse=True)
+        hashes = np.r_[np.uint64(0), word_hashes(lang, names)]
+        both = follows & filters[1].has(pair_hashes(hashes[pairs // base], hashes[pairs % base]))[of]
+        whole = both & np.r_[both[1:], False]
+        keys, n = np.unique(((first * base + second) * base + third)[:starts][whole[:starts]], return_counts=True)
+        levels = [keys // base // base, keys // base % base, keys % base]
     word = pa.array(names, pa.binary()).cast(pa.string())
-    take = lambda ranks: word.take(pa.array(ranks - 1))
-    long = keys % base > 0
-    whole, short = keys[long], keys[~long]
-    paths = [
-        pa.array([""]),
-        word.take(pa.array(used)),
-        pc.binary_join_element_wise(take(short // base // base), take(short // base % base), " "),
-        pc.binary_join_element_wise(take(whole // base // base), take(whole // base % base), take(whole % base), " "),
-    ]
-    depth = np.repeat(np.arange(4, dtype=np.int32), [len(p) for p in paths])
-    n = np.concatenate([[single.sum()], single[used], leaves[~long], leaves[long]])
-    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), pa.concat_arrays(paths), pa.array(depth), pa.array(n)], schema=_NODE)
+    paths = [word.take(pa.array(k - 1)) for k in levels]
+    path = paths[0] if len(paths) == 1 else pc.binary_join_element_wise(*paths, " ")
+    if not filters:  # the root
+        path, n = pa.concat_arrays([pa.array([""]), path]), np.r_[n.sum(), n]
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), path, pa.array(n.astype(np.int64))], schema=_NODE)
 
 
-def tries(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def tries(batches: Iterator[pa.RecordBatch], most: int, filters: list[Filter]) -> Iterator[pa.RecordBatch]:
     """The tries of the texts of one task, each of about ``most`` words."""
     held: dict[str, list[bytes]] = defaultdict(list)
     size = 0
@@ -87,32 +144,34 @@ def tries(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
             words = tokens(text.as_py())
             if len(words) > most:
                 for k in range(0, len(words), most):
-                    yield trie(lang, words[k : k + most + DEPTH - 1], most)
+                    yield trie(lang, words[k : k + most + DEPTH - 1], most, filters)
                 continue
             held[lang] += words
             size += len(words)
             if size > most:
-                yield from (trie(k, w, len(w)) for k, w in held.items())
+                yield from (trie(k, w, len(w), filters) for k, w in held.items())
                 held.clear()
                 size = 0
-    yield from (trie(k, w, len(w)) for k, w in held.items())
+    yield from (trie(k, w, len(w), filters) for k, w in held.items())
 
 
 def merged(docs: DataFrame, least: int) -> DataFrame:
     """(lang, w1, w2, w3, n) of all nodes of at least ``least`` occurrences, and of each language's root."""
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    most = SHARD_WORDS
-    shards = common.cut(texts.mapInArrow(lambda batches: tries(batches, most), "lang string, path string, depth int, n long"))
-    leaves = shards.repartitionByRange("lang", "path").groupBy("lang", "path", "depth").agg(F.sum("n").alias("n"))
-    # a leaf counts for the node of its first two words; rare leaves are of no other use
-    own = F.when((F.col("depth") < 2) | ((F.col("depth") == 3) & (F.col("n") >= least)), F.col("path"))
-    inner = F.when(F.col("depth") >= 2, F.substring_index("path", " ", 2))
-    summed = leaves.select("lang", F.explode(F.array_compact(F.array(own, inner))).alias("path"), "n").groupBy("lang", "path").agg(F.sum("n").alias("n"))
+    most, levels, filters = SHARD_WORDS, [], []
+    for level in range(DEPTH):
+        if level:
+            filters.append(Filter.of(levels[-1].filter("path != ''"), FILTER_BITS))
+        count_ = lambda batches, filters=tuple(filters): tries(batches, most, [Filter(f.value) for f in filters])
+        shards = common.cut(texts.mapInArrow(count_, "lang string, path string, n long"))
+        whole = shards.repartitionByRange("lang", "path").groupBy("lang", "path").agg(F.sum("n").alias("n"))
+        levels.append(common.cut(whole.filter((F.col("n") >= least) | (F.col("path") == ""))))
+        common.drop(shards)
+    for f in filters:
+        f.unpersist()
     word = F.when(F.col("path") != "", F.split("path", " "))
     named = (F.get(word, F.lit(k)).alias(f"w{k + 1}") for k in range(DEPTH))
-    out = common.cut(summed.filter((F.col("n") >= least) | (F.col("path") == "")).select("lang", *named, "n"))
-    common.drop(shards)
-    return out
+    return reduce(DataFrame.unionByName, levels).select("lang", *named, "n")
 
 
 def depth() -> Column:
