@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from lantern.functions import text, vectors
 from lantern.operators import lexical
+from lantern.operators.cells import Cells
 
 RANK_OFFSET = 60
 EXCERPT, SHORT_EXCERPT = 1500, 600
 BATCH = 32
-#: Queries that go through the sections together.
-QUERY_BLOCK = 1024
 #: Environment variables that name a provider of vectors.
 PROVIDER_URL, PROVIDER_MODEL, PROVIDER_KEY = "LANTERN_EMBEDDINGS_URL", "LANTERN_EMBEDDINGS_MODEL", "LANTERN_EMBEDDINGS_KEY"
 
@@ -105,46 +104,6 @@ def embedded(df: DataFrame, embedder: Embedder, column: str, into: str = "embedd
     return df.withColumn(into, embed(column))
 
 
-def dimension_of(queries: DataFrame, sections: DataFrame) -> int | None:
-    """The dimension of all vectors; an error if they don't agree. None: there are no queries."""
-    found = [r[0] for r in queries.select(F.size("embedding")).distinct().limit(2).collect()]
-    if len(found) > 1:
-        raise ValueError(f"queries of several dimensions: {found}")
-    if found and (other := sections.filter(F.size("embedding") != found[0]).select(F.size("embedding")).first()):
-        raise ValueError(f"queries of dimension {found[0]}, sections of {other[0]}")
-    return found[0] if found else None
-
-
-def dense(queries: DataFrame, sections: DataFrame, key: str = "id", pool: int | None = None, nearest: bool = True) -> DataFrame:
-    """Per query and section: query_id, section_id, score (dot product), of any the ``pool`` nearest (or farthest) of each query.
-
-    A stated set of queries goes through all sections in blocks of ``QUERY_BLOCK``, so what a task
-    holds of it is bounded. Each batch of sections gives its own ``pool`` for a query, so
-    pairs that can't be among the first are never rows.
-    """
-    dimension = dimension_of(queries, sections)
-    asked = queries.select("query_id", "embedding").withColumn("block", F.floor(F.monotonically_increasing_id() / QUERY_BLOCK))
-    blocks = asked.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("vectors"))
-    kind = f"query_id {dict(queries.dtypes)['query_id']}, section_id {dict(sections.dtypes)[key]}, score double"
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, part in batch.groupby("block", sort=False):
-                ids, q = np.asarray(part["ids"].iloc[0]), np.asarray(part["vectors"].iloc[0], float).reshape(-1, dimension)
-                sections_of, v = part["section_id"].to_numpy(), np.array(part["embedding"].tolist(), float)
-                scores = np.round(q @ v.T, lexical.SCORE_DIGITS) + 0.0
-                if pool is not None and pool < len(v):
-                    # all that tie with the last one stay: the rank decides by section
-                    last = np.partition(scores, len(v) - pool if nearest else pool - 1, axis=1)[:, len(v) - pool if nearest else pool - 1, None]
-                    rows, columns = np.nonzero(scores >= last if nearest else scores <= last)
-                else:
-                    rows, columns = (x.ravel() for x in np.indices(scores.shape))
-                yield pd.DataFrame({"query_id": ids[rows], "section_id": sections_of[columns], "score": scores[rows, columns]})
-
-    found = sections.select(F.col(key).alias("section_id"), "embedding").crossJoin(F.broadcast(blocks)) if dimension else None
-    return found.mapInPandas(rank, kind) if found is not None else queries.sparkSession.createDataFrame([], kind)
-
-
 def pool_of(limit: int) -> int:
     """How many candidates each ranker gives."""
     return max(limit * 5, 50)
@@ -158,7 +117,7 @@ def fused(*rankings: DataFrame) -> DataFrame:
     return every.groupBy("query_id", "section_id").agg(F.sum(1.0 / (RANK_OFFSET + F.col("rank"))).alias("score"))
 
 
-def search(queries: DataFrame, sections: DataFrame, limit: int = 8, scope: Column | None = None, key: str = "id") -> DataFrame:
+def search(queries: DataFrame, sections: DataFrame, index: lexical.Index, cells: Cells, limit: int = 8, scope: Column | None = None, key: str = "id") -> DataFrame:
     """The best sections of each query (query_id, query, embedding): query_id, rank, section_id, score and their fields.
 
     Sections without a vector are ranked by words alone. Both rankers see the scope before they rank; BM25 takes its statistics from
@@ -166,12 +125,10 @@ def search(queries: DataFrame, sections: DataFrame, limit: int = 8, scope: Colum
     """
     if not 1 <= limit <= 20:
         raise ValueError("limit must be from 1 to 20")
-    inside = sections if scope is None else sections.filter(scope)
-    words = lexical.search(queries, sections, key)
-    if scope is not None:
-        words = words.join(inside.select(F.col(key).alias("section_id")), "section_id", "left_semi")
-    first = lexical.top(words, pool_of(limit), F.col("score"))
-    second = lexical.top(dense(queries, inside.filter("embedding IS NOT NULL"), key, pool_of(limit)), pool_of(limit), F.col("score").desc())
+    inside, pool = sections if scope is None else sections.filter(scope), pool_of(limit)
+    ids = None if scope is None else inside.select(F.col(key).alias("section_id"))
+    first = lexical.top(lexical.search(queries, index, pool, ids), pool, F.col("score"))
+    second = (cells if ids is None else cells.within(ids)).nearest(queries, pool)[0]
     best = lexical.top(fused(first, second), limit, F.col("score").desc())
     return best.join(sections.drop("embedding"), F.col("section_id") == sections[key])
 

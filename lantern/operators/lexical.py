@@ -1,17 +1,25 @@
-"""Full-text index and BM25 ranking of batches of queries.
+"""Full-text index and BM25 ranking of batches of queries, with postings in blocks.
 
-The index is a table of postings by token with positions, so that queries read
-the tokens they have and phrases are found by shifted positions. Statistics are
+An index is built once. Sections are laid out so that alike ones are neighbours (by their commonest token and
+their length) and ``BLOCK`` of them make a block. Each token has a row for each block that holds it: the sections, their
+impacts (all of a BM25 summand but the query's part) and the greatest impact. The sum of a query's greatest
+impacts in a block bounds what its sections can score. The best blocks of each query are scored
+first; the last of the first k scores that are reached is a threshold, which rises from pass to pass, and blocks below it are
+never read. The ranking is that of scoring everything.
+
+Postings with positions find phrases of several tokens by shifted positions. Statistics are
 those of the whole index; a scope only filters what is ranked.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions import text
-from lantern.sources.checkpoints import cut
+from lantern.sources.checkpoints import cut, drop
 
 K1, B = 1.2, 0.75
 #: Weight of each indexed column.
@@ -19,6 +27,10 @@ WEIGHTS = {"title": 3.0, "breadcrumb": 2.0, "text": 1.0}
 LEAST_IDF = 1e-6
 #: Scores are rounded, so that equal texts tie whatever the order of summing.
 SCORE_DIGITS = 9
+#: Sections of a block.
+BLOCK = 8
+#: Of each query's blocks, how many are read by the first passes; the last one reads the rest.
+PASSES = (4, 32)
 
 
 def fields(sections: DataFrame) -> dict[str, Column]:
@@ -31,20 +43,15 @@ def lengths(sections: DataFrame, key: str = "id") -> DataFrame:
     return sections.select(F.col(key).alias("section_id"), n.cast("long").alias("tokens"))
 
 
-def statistics(found: DataFrame) -> DataFrame:
-    """One row: sections and their mean tokens."""
-    return found.agg(F.count(F.lit(1)).alias("n_sections"), F.avg("tokens").alias("mean_tokens"))
-
-
-def occurrences(sections: DataFrame, key: str = "id", tokens: DataFrame | None = None) -> DataFrame:
-    """Per token occurrence: token, section_id, field, position; of ``tokens`` alone if given (a query's, so they are broadcast)."""
+def occurrences(sections: DataFrame, key: str = "id") -> DataFrame:
+    """Per token occurrence: token, section_id, field, position."""
     all_fields = F.array(*(F.struct(F.lit(name).alias("field"), text.index_tokens(F.coalesce(c, F.lit(""))).alias("tokens")) for name, c in fields(sections).items()))
-    each = sections.select(F.col(key).alias("section_id"), F.explode(all_fields).alias("f")).select("section_id", "f.field", F.posexplode("f.tokens").alias("position", "token"))
-    return each if tokens is None else each.join(F.broadcast(tokens.select("token").distinct()), "token")
+    each = sections.select(F.col(key).alias("section_id"), F.explode(all_fields).alias("f"))
+    return each.select("section_id", "f.field", F.posexplode("f.tokens").alias("position", "token"))
 
 
 def postings(sections: DataFrame, key: str = "id") -> DataFrame:
-    """Per token, section and field: positions. The table that an index stores."""
+    """Per token, section and field: positions. The table that phrases are found in."""
     return occurrences(sections, key).groupBy("token", "section_id", "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
@@ -54,39 +61,119 @@ def phrases(queries: DataFrame) -> DataFrame:
     return each.select("query_id", text.index_tokens(F.col("raw")).alias("phrase")).filter(F.size("phrase") > 0)
 
 
-def matches(wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """Per phrase, section and field: how often. ``found`` are occurrences, ``wanted`` distinct phrases."""
-    parts = wanted.select("phrase", F.size("phrase").alias("n"), F.posexplode("phrase").alias("k", "token"))
-    starts = found.join(F.broadcast(parts), "token").select("phrase", "n", "section_id", "field", (F.col("position") - F.col("k")).alias("start"), "k")
-    single = starts.filter("n = 1").groupBy("phrase", "section_id", "field").agg(F.count(F.lit(1)).alias("tf"))
-    whole = starts.filter("n > 1").groupBy("phrase", "n", "section_id", "field", "start").agg(F.count(F.lit(1)).alias("parts")).filter("parts = n")
-    return single.unionByName(whole.groupBy("phrase", "section_id", "field").agg(F.count(F.lit(1)).alias("tf")))
-
-
-def bm25(queries: DataFrame, found: DataFrame, lengths: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """Per query and matching section: query_id, section_id, score; the lower the better."""
-    asked = phrases(queries).groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    weight = F.coalesce(*(F.when(F.col("field") == name, F.lit(w)) for name, w in weights.items()))
-    # both frequencies and scores read it
-    each = cut(matches(asked.select("phrase").distinct(), found).groupBy("phrase", "section_id").agg(F.sum(weight * F.col("tf")).alias("f")))
-    frequency = each.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    stats = statistics(lengths)  # one row
-    ln = F.log((F.col("n_sections") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    rare = frequency.crossJoin(F.broadcast(stats)).select("phrase", "mean_tokens", F.when(ln > 0, ln).otherwise(F.lit(LEAST_IDF)).alias("idf"))
-    scored = each.join(F.broadcast(rare), "phrase").join(lengths, "section_id")
-    value = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("tokens") / F.col("mean_tokens")))
-    return scored.withColumn("value", value).join(F.broadcast(asked), "phrase").groupBy("query_id", "section_id").agg(F.round(-F.sum(F.col("value") * F.col("times")), SCORE_DIGITS).alias("score"))
-
-
-def search(queries: DataFrame, sections: DataFrame, key: str = "id", weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """BM25 over sections that have no stored index: their tokens are read once, and only the queries' are looked at."""
-    arrays = [text.index_tokens(F.coalesce(c, F.lit(""))).alias(name) for name, c in fields(sections).items()]
-    tokens = cut(sections.select(F.col(key).alias("section_id"), *arrays))
-    asked = phrases(queries).select(F.explode("phrase").alias("token")).distinct()
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("tokens")) for c in tokens.columns[1:])))
-    found = tokens.select("section_id", each.alias("f")).select("section_id", "f.field", F.posexplode("f.tokens").alias("position", "token"))
-    sizes = tokens.select("section_id", sum((F.size(c) for c in tokens.columns[1:]), F.lit(0)).cast("long").alias("tokens"))
-    return bm25(queries, found.join(F.broadcast(asked), "token"), sizes, weights)
+def _impact() -> Column:
+    return F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("tokens") / F.col("mean_tokens")))
+
+
+def _weight(weights: dict[str, float]) -> Column:
+    return F.coalesce(*(F.when(F.col("field") == name, F.lit(w)) for name, w in weights.items()))
+
+
+def _blocked(found: DataFrame, layout: DataFrame, mean: float) -> DataFrame:
+    """(token, section_id, f) as rows of blocks: token, block, most, entries. An entry list has at most ``BLOCK`` sections."""
+    each = found.join(layout, "section_id").withColumn("mean_tokens", F.lit(mean)).select("token", "block", "section_id", _impact().alias("impact"))
+    return each.groupBy("token", "block").agg(F.max("impact").alias("most"), F.collect_list(F.struct("section_id", "impact")).alias("entries"))
+
+
+@dataclass
+class Index:
+    """``layout`` (section_id, tokens, block), ``blocks`` (token, block, most, entries), ``words`` (token, n) and ``postings``."""
+
+    layout: DataFrame
+    blocks: DataFrame
+    words: DataFrame
+    postings: DataFrame
+    n_sections: int
+    mean_tokens: float
+    weights: dict[str, float]
+
+    @classmethod
+    def build(cls, sections: DataFrame, key: str = "id", weights: dict[str, float] = WEIGHTS) -> Index:
+        # collecting lists keeps tasks from holding one key of all sections: a row is of one token, section and field
+        positions = cut(postings(sections, key))
+        counted = positions.groupBy("token", "section_id").agg(F.sum(_weight(weights) * F.size("positions")).alias("f"), F.sum(F.size("positions")).alias("times"))
+        counted = cut(counted)
+        per = counted.groupBy(F.col("section_id").alias("c_id")).agg(F.sum("times").alias("tokens"), F.max(F.struct("times", "token"))["token"].alias("commonest"))
+        sized = sections.select(F.col(key).alias("section_id")).join(per, F.col("section_id") == F.col("c_id"), "left").select("section_id", F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"), "commonest")
+        order = ["commonest", "tokens", "section_id"]
+        # row numbers within ranges: a block never reaches over two of them
+        number = F.monotonically_increasing_id()
+        layout = cut(sized.repartitionByRange(*order).sortWithinPartitions(*order).select("section_id", "tokens", F.floor(number / BLOCK).alias("block")))
+        return cls._of(layout, positions, counted, weights)
+
+    @classmethod
+    def _of(cls, layout: DataFrame, positions: DataFrame, counted: DataFrame, weights: dict[str, float]) -> Index:
+        row = layout.agg(F.count(F.lit(1)).alias("n"), F.avg("tokens").alias("mean")).first()
+        n, mean = row["n"], row["mean"] or 0.0
+        blocks = cut(_blocked(counted.select("token", "section_id", "f"), layout, mean).repartitionByRange("token", "block").sortWithinPartitions("token", "block"))
+        words = cut(blocks.groupBy("token").agg(F.sum(F.size("entries")).alias("n")))
+        drop(counted)
+        return cls(layout, blocks, words, positions, n, mean, weights)
+
+    TABLES = ("layout", "blocks", "words", "postings")
+
+    def write(self, folder: str) -> None:
+        for name in self.TABLES:
+            getattr(self, name).write.parquet(f"{folder}/{name}")
+
+    @classmethod
+    def read(cls, tables: dict[str, DataFrame], weights: dict[str, float] = WEIGHTS) -> Index:
+        row = tables["layout"].agg(F.count(F.lit(1)).alias("n"), F.avg("tokens").alias("mean")).first()
+        return cls(*(tables[name] for name in cls.TABLES), row["n"], row["mean"] or 0.0, weights)
+
+    def with_phrases(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``blocks`` and ``words`` with those of phrases (token, phrase) of several tokens."""
+        parts = wanted.select(F.col("token").alias("name"), F.size("phrase").alias("n"), F.posexplode("phrase").alias("k", "token"))
+        starts = self.postings.join(parts, "token").select("name", "n", "section_id", "field", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
+        whole = starts.groupBy("name", "n", "section_id", "field", "start").agg(F.count(F.lit(1)).alias("parts")).filter("parts = n")
+        found = whole.groupBy(F.col("name").alias("token"), "section_id").agg(F.sum(_weight(self.weights)).alias("f"))
+        blocks = cut(_blocked(found, self.layout, self.mean_tokens))
+        return self.blocks.unionByName(blocks), self.words.unionByName(blocks.groupBy("token").agg(F.sum(F.size("entries")).alias("n")))
+
+
+def ranked(queries: DataFrame, index: Index, limit: int | None = None, inside: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Per query its first ``limit`` matching sections (query_id, section_id, score, the lower the better), and the blocks that were read.
+
+    Without a limit all matches are scored. ``inside`` (section_id) are the sections that may be returned.
+    """
+    asked = cut(phrases(queries).groupBy("query_id", F.array_join("phrase", " ").alias("token"), "phrase").agg(F.count(F.lit(1)).alias("times")))
+    blocks, words = index.blocks, index.words
+    several = asked.filter(F.size("phrase") > 1).select("token", "phrase").distinct()
+    if not several.isEmpty():
+        blocks, words = index.with_phrases(several)
+    ln = F.log((F.lit(index.n_sections) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    wanted = cut(asked.join(words, "token").select("query_id", "token", (F.col("times") * F.when(ln > 0, ln).otherwise(F.lit(LEAST_IDF))).alias("w")))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        each = rows.select("query_id", "w", F.explode("entries").alias("e")).groupBy("query_id", "e.section_id").agg(F.round(-F.sum(F.col("w") * F.col("e.impact")), SCORE_DIGITS).alias("score"))
+        return each if inside is None else each.join(inside.select("section_id"), "section_id", "left_semi").select("query_id", "section_id", "score")
+
+    if limit is None:
+        return scored(wanted.join(blocks, "token")), None
+    bounds = wanted.join(blocks.select("token", "block", "most"), "token").groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("most")).alias("bound"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
+    bounds = cut(bounds.withColumn("place", place))
+    best, read, last = None, [], 0
+    for until in (*PASSES, None):
+        todo = bounds.filter((F.col("place") > last) & (F.col("place") <= until) if until else F.col("place") > last)
+        if best is not None:
+            # a bound is a sum in another order than the score, hence the margin
+            least = best.groupBy("query_id").agg(F.max("score").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
+            todo = todo.join(least.select("query_id", "last"), "query_id", "left").filter(F.col("last").isNull() | (F.col("bound") >= -F.col("last") - 10.0 ** (2 - SCORE_DIGITS)))
+        todo = cut(todo.select("query_id", "block"))
+        read.append(todo)
+        found = scored(todo.join(wanted, "query_id").join(blocks, ["token", "block"]))
+        both = found if best is None else found.unionByName(best)
+        before, best, last = best, cut(top(both, limit, F.col("score")).drop("rank")), until
+        if before is not None:
+            drop(before)
+    drop(asked, wanted, bounds)
+    return best, read[0].unionByName(read[1]).unionByName(read[2])
+
+
+def search(queries: DataFrame, index: Index, limit: int | None = None, inside: DataFrame | None = None) -> DataFrame:
+    """Per query and section: query_id, section_id, score; see ``ranked``."""
+    return ranked(queries, index, limit, inside)[0]
 
 
 def top(ranking: DataFrame, limit: int, order: Column) -> DataFrame:

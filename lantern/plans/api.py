@@ -35,17 +35,7 @@ class Tools:
     def _ranked(self, family: str, queries: DataFrame, limit: int, condition) -> DataFrame:
         build = self.store.current(family)
         sections = self.store.table(family, "sections", build)
-        inside = sections if condition is None else sections.filter(condition)
-        tokens = lexical.phrases(queries).select(F.explode("phrase").alias("token")).distinct()
-        found = self.store.table(family, "postings", build).join(F.broadcast(tokens), "token").select("token", "section_id", "field", F.explode("positions").alias("position"))
-        words = lexical.bm25(queries, found, self.store.table(family, "lengths", build))
-        if condition is not None:
-            words = words.join(inside.select(F.col("id").alias("section_id")), "section_id", "left_semi")
-        pool = hybrid.pool_of(limit)
-        first = lexical.top(words, pool, F.col("score"))
-        second = lexical.top(hybrid.dense(queries, inside, pool=pool), pool, F.col("score").desc())
-        best = lexical.top(hybrid.fused(first, second), limit, F.col("score").desc())
-        return best.join(sections.drop("embedding"), F.col("section_id") == F.col("id"))
+        return hybrid.search(queries, sections, self.store.index(family, build), self.store.cells(family, build), limit, condition)
 
     def _healthy(self, family: str) -> None:
         if not self.canaries:

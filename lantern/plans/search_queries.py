@@ -33,22 +33,21 @@ RANKED = "SELECT query_id, rank, section_id, round(score, 6) AS score FROM"
 
 @query(f"WITH {t.SECTIONS_SQL}, {t.bm25_sql('sections', TEXT_ONLY, ASKED)} {RANKED} ({t.top_sql('lexical', 10, 'score')})")
 def bm25_topk(spark, sf_dir):
-    found = lexical.search(t.text_queries(spark, sf_dir), t.sections(spark, sf_dir).select("id", "text"))
+    found = lexical.search(t.text_queries(spark, sf_dir), t.index(spark, sf_dir, TEXT_ONLY), 10)
     return _ranked(lexical.top(found, 10, F.col("score")))
 
 
 @query(f"WITH {t.SECTIONS_SQL}, {t.bm25_sql('sections', WEIGHTED, ASKED)} {RANKED} ({t.top_sql('lexical', 10, 'score')})")
 def bm25_weighted_fields(spark, sf_dir):
-    found = lexical.search(t.text_queries(spark, sf_dir), t.sections(spark, sf_dir))
+    found = lexical.search(t.text_queries(spark, sf_dir), t.index(spark, sf_dir), 10)
     return _ranked(lexical.top(found, 10, F.col("score")))
 
 
 @query(f"WITH {t.SECTIONS_SQL}, {t.bm25_sql('sections', WEIGHTED, ASKED)}, inside AS (SELECT lexical.* FROM lexical JOIN sections ON section_id = id WHERE lang = 'en') {RANKED} ({t.top_sql('inside', 10, 'score')})")
 def bm25_scoped_global_stats(spark, sf_dir):
     """Statistics are those of all sections; the scope only filters."""
-    sections = t.sections(spark, sf_dir)
-    inside = sections.filter("lang = 'en'").select(F.col("id").alias("section_id"))
-    found = lexical.search(t.text_queries(spark, sf_dir), sections).join(inside, "section_id", "left_semi")
+    inside = t.sections(spark, sf_dir).filter("lang = 'en'").select(F.col("id").alias("section_id"))
+    found = lexical.search(t.text_queries(spark, sf_dir), t.index(spark, sf_dir), 10, inside)
     return _ranked(lexical.top(found, 10, F.col("score")))
 
 
@@ -59,7 +58,7 @@ PAIRS = r"(SELECT item_id AS query_id, regexp_replace(regexp_extract(text, '^\S+
 def phrase_match(spark, sf_dir):
     """The first two words of each passage as one phrase, in all sections."""
     pairs = t.text_queries(spark, sf_dir).withColumn("query", F.regexp_replace(F.regexp_extract("query", r"^\S+\s+\S+", 0), r"\s+", "_"))
-    return lexical.search(pairs, t.sections(spark, sf_dir)).select("query_id", "section_id", F.round("score", 6).alias("score"))
+    return lexical.search(pairs, t.index(spark, sf_dir)).select("query_id", "section_id", F.round("score", 6).alias("score"))
 
 
 DENSE = "dense AS (SELECT q.vec_id AS query_id, v.vec_id AS section_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0{})"
@@ -67,14 +66,13 @@ DENSE = "dense AS (SELECT q.vec_id AS query_id, v.vec_id AS section_id, round(li
 
 @query(f"WITH {DENSE.format('')} {RANKED} ({t.top_sql('dense', 10, 'score DESC')})")
 def dense_topk(spark, sf_dir):
-    vectors_ = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return _ranked(lexical.top(hybrid.dense(t.vector_queries(spark, sf_dir), vectors_, pool=10), 10, F.col("score").desc()))
+    return _ranked(t.cells(spark, sf_dir).nearest(t.vector_queries(spark, sf_dir), 10)[0])
 
 
 @query(f"WITH {DENSE.format(' AND v.label IN (1, 3, 5)')} {RANKED} ({t.top_sql('dense', 10, 'score DESC')})")
 def dense_scoped_topk(spark, sf_dir):
-    vectors_ = t.table(spark, sf_dir, "embeddings").filter("label IN (1, 3, 5)").select(F.col("vec_id").alias("id"), "embedding")
-    return _ranked(lexical.top(hybrid.dense(t.vector_queries(spark, sf_dir), vectors_, pool=10), 10, F.col("score").desc()))
+    inside = t.table(spark, sf_dir, "embeddings").filter("label IN (1, 3, 5)").select(F.col("vec_id").alias("section_id"))
+    return _ranked(t.cells(spark, sf_dir).within(inside).nearest(t.vector_queries(spark, sf_dir), 10)[0])
 
 
 HYBRID_BASE = f"""{t.SECTIONS_SQL},
@@ -98,7 +96,7 @@ FULL = "query_id, rank, section_id, title, breadcrumb AS location, CASE WHEN len
 
 def _searched(spark, sf_dir, scope=None, limit=8):
     sections = t.with_vectors(t.sections(spark, sf_dir), spark, sf_dir)
-    return hybrid.search(t.queries(spark, sf_dir), sections, limit, scope)
+    return hybrid.search(t.queries(spark, sf_dir), sections, t.index(spark, sf_dir), t.cells(spark, sf_dir), limit, scope)
 
 
 @query(_hybrid_sql("true", FULL.format(hybrid.EXCERPT)))
@@ -123,9 +121,8 @@ r AS (SELECT query_id, section_id, rank FROM a UNION ALL SELECT query_id, sectio
 SELECT query_id, section_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM r GROUP BY ALL""")
 def rrf_fusion(spark, sf_dir):
     """Fusion of the nearest and the farthest vectors, all rows."""
-    asked, found = t.vector_queries(spark, sf_dir), t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    nearest, farthest = (hybrid.dense(asked, found, pool=50, nearest=near) for near in (True, False))
-    return hybrid.fused(lexical.top(nearest, 50, F.col("score").desc()), lexical.top(farthest, 50, F.col("score"))).select("query_id", "section_id", F.round("score", 8).alias("score"))
+    asked, cells = t.vector_queries(spark, sf_dir), t.cells(spark, sf_dir)
+    return hybrid.fused(cells.nearest(asked, 50)[0], cells.nearest(asked, 50, farthest=True)[0]).select("query_id", "section_id", F.round("score", 8).alias("score"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm, 1.0::DOUBLE AS unit, CAST(len(embedding) AS INTEGER) AS dimension FROM embeddings")
@@ -196,5 +193,5 @@ def nav_build_counts(spark, sf_dir):
 def canary_check(spark, sf_dir):
     """Canaries whose expected section isn't among their first 8."""
     asked = t.text_queries(spark, sf_dir)
-    found = lexical.top(lexical.search(asked, t.sections(spark, sf_dir)), 8, F.col("score"))
+    found = lexical.top(lexical.search(asked, t.index(spark, sf_dir), 8), 8, F.col("score"))
     return health.failures(asked.select("query_id", (F.col("query_id") * 7).alias("expected")), found)

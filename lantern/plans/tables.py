@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lantern.functions.text import FOLD_FROM, FOLD_TO
+from lantern.operators import lexical
+from lantern.operators.cells import Cells
 from lantern.operators.navigation import Navigation
+from lantern.sources.checkpoints import state
 
 WORDS = r"[\p{L}\p{N}]+"
 SEARCH_WORDS = r"[\p{L}\p{N}_.]+"
@@ -33,6 +36,25 @@ def with_vectors(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
     return found.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
 
 
+_INDEXES: dict[tuple, lexical.Index | Cells] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, weights: dict[str, float] = lexical.WEIGHTS) -> lexical.Index:
+    """The full-text index of the sections, built once for a state of the table and a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, f"{sf_dir}/documents.parquet"), *weights)
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.Index.build(sections(spark, sf_dir).select("id", *weights), weights=weights)
+    return _INDEXES[key]
+
+
+def cells(spark: SparkSession, sf_dir: str) -> Cells:
+    """The cells of all vectors, built once for a state of the table and a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = Cells.build(table(spark, sf_dir, "embeddings"), "vec_id")
+    return _INDEXES[key]
+
+
 def window(by: str, order: str) -> WindowSpec:
     return Window.partitionBy(by).orderBy(order)
 

@@ -75,3 +75,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it is."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes below a path and when it was last written, on whatever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getContentSummary(target).getLength(), system.getFileStatus(target).getModificationTime()

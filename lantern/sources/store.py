@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.functions import versions
-from lantern.operators import documents, hybrid, lexical
+from lantern.operators import cells, documents, hybrid, lexical
+from lantern.sources import checkpoints
 
 METADATA = "family string, source_version string, source_file string, source_file_count long, model string, chunk_count long, built_at string"
 CACHE = "cache_key string, embedding array<float>, written timestamp"
@@ -65,8 +66,11 @@ class Store:
         ready = hybrid.embedded(documents.with_embedding_text(sections, product), embedder, "embedding_text").drop("embedding_text")
         ready.write.parquet(f"{base}/sections")
         stored = documents.assert_unique(self.spark.read.parquet(f"{base}/sections"))
-        lexical.postings(stored).write.parquet(f"{base}/postings")
-        lexical.lengths(stored).write.parquet(f"{base}/lengths")
+        index = lexical.Index.build(stored)
+        index.write(base)
+        found = cells.Cells.build(stored)
+        found.packs.write.parquet(f"{base}/packs")
+        checkpoints.drop(found.packs, *(getattr(index, name) for name in index.TABLES))
         count = stored.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_path").alias("files")).first()
         if not count["n"]:
             raise ValueError("nothing to index")
@@ -79,6 +83,13 @@ class Store:
     def table(self, family: str, name: str, build: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{family}/{build or self.current(family)}/{name}")
 
+    def index(self, family: str, build: str | None = None) -> lexical.Index:
+        build = build or self.current(family)
+        return lexical.Index.read({name: self.table(family, name, build) for name in lexical.Index.TABLES})
+
+    def cells(self, family: str, build: str | None = None) -> cells.Cells:
+        return cells.Cells.read(self.table(family, "packs", build))
+
     def metadata(self, family: str) -> dict:
         return self.table(family, "metadata").first().asDict()
 

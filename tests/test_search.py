@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern.functions import text, vectors
-from lantern.operators import hybrid, lexical
+from lantern.operators import cells, hybrid, lexical
 from lantern.plans.api import Tools
 from lantern.sources.store import Store
 
@@ -35,7 +35,7 @@ def test_bm25_equals_fts5(spark):
         if match:
             want |= {(q, i): s for i, s in con.execute("SELECT id, bm25(t, 0.0, 3.0, 2.0, 1.0) FROM t WHERE t MATCH ?", (match,))}
     sections = spark.createDataFrame(ROWS, "id string, title string, breadcrumb string, text string")
-    got = lexical.search(spark.createDataFrame(QUERIES, "query_id long, query string"), sections).collect()
+    got = lexical.search(spark.createDataFrame(QUERIES, "query_id long, query string"), lexical.Index.build(sections)).collect()
     assert {(r.query_id, r.section_id) for r in got} == set(want)
     assert all(abs(r.score - want[r.query_id, r.section_id]) < 1e-8 for r in got)
 
@@ -123,12 +123,72 @@ def test_provider_and_dimensions(spark, monkeypatch):
     for items, n in (([], 1), ([{"index": 0, "embedding": [0.0, 0.0]}], 1), ([{"index": 1, "embedding": [1.0]}], 1)):
         with pytest.raises(ValueError):
             hybrid.ordered_response(items, n)
-    sections = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0])], "id long, embedding array<float>")
-    queries = spark.createDataFrame([(7, [0.0, 2.0])], "query_id long, embedding array<float>")
-    assert sorted((r.section_id, r.score) for r in hybrid.dense(queries, sections).collect()) == [(1, 0.0), (2, 2.0), (3, 2.0)]
-    assert {r.section_id for r in hybrid.dense(queries, sections.coalesce(1), pool=1).collect()} == {2, 3}
+
+
+def test_pruned_ranking_is_that_of_all_matches(spark, monkeypatch):
+    """Blocks below the threshold aren't read, and nothing changes by that: scopes, ties, phrases, queries with few matches."""
+    import random
+
+    rng = random.Random(1)
+    monkeypatch.setattr(lexical, "PASSES", (2, 6))
+    tongues = [[f"{a}{k}" for k in range(60)] for a in "abc"]
+    rows = [(i, f"Title {i % 7}", ["x", tongue[0]], " ".join(rng.choices(tongue[:60], weights=[1 / (k + 1) for k in range(60)], k=rng.randrange(1, 80)))) for i in range(1500) for tongue in [tongues[i % 3]]]
+    rows += [(2000 + k, "Title", [], "rare_pair of words") for k in range(3)] + [(3000, None, None, None)]
+    sections = spark.createDataFrame(rows, "id long, title string, breadcrumb array<string>, text string")
+    queries = spark.createDataFrame([(q, " ".join(rng.choices(tongues[q % 3], k=5))) for q in range(30)] + [(50, "rare_pair"), (51, "Title 3"), (52, "nothing here matches zzz"), (53, "")], "query_id int, query string")
+    index = lexical.Index.build(sections)
+    whole = lexical.search(queries, index)
+    inside = sections.filter("id % 2 = 0").select(F.col("id").alias("section_id"))
+    for scope in (None, inside):
+        want = whole if scope is None else whole.join(scope, "section_id", "left_semi").select(whole.columns)
+        best, read = lexical.ranked(queries, index, 10, scope)
+        order = lambda df: {tuple(r) for r in lexical.top(df, 10, F.col("score")).collect()}
+        assert order(best) == order(want) and best.count() == len(order(want))
+    # long texts that name a word once, and short ones that are about it: only blocks of the latter are read
+    topics = [f"topic{k}" for k in range(8)]
+    rows = [(i, " ".join(["filler"] * 60 + rng.sample(topics, 4))) for i in range(1200)] + [(2000 + i, f"{topics[i % 8]} " * 3) for i in range(120)]
+    about = lexical.Index.build(spark.createDataFrame(rows, "id long, text string"), weights={"text": 1.0})
+    queries = spark.createDataFrame(list(enumerate(topics)), "query_id int, query string")
+    best, read = lexical.ranked(queries, about, 10)
+    assert {r.section_id >= 2000 for r in best.collect()} == {True}
+    met = queries.join(about.blocks, F.col("query") == F.col("token")).count()
+    assert read.count() < met / 4
+    assert index.blocks.filter(F.size("entries") > lexical.BLOCK).isEmpty()
+
+
+def test_cells_rank_as_all_vectors_do(spark, monkeypatch):
+    """Clustered vectors: the ranking is that of all products, and less than half of them are computed."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(cells, "PACK", 20)
+    centres = rng.normal(size=(25, 8)) * 4
+    points = [(i, [float(x) for x in (centres[i % 25] + rng.normal(size=8) * 0.3).round(3)]) for i in range(1500)] + [(5000, None)]
+    points += [(6000 + i, points[0][1]) for i in range(4)]  # ties
+    sections = spark.createDataFrame(points, "id long, embedding array<float>").repartition(3)
+    asked = [(q, [float(x) for x in centres[q] + rng.normal(size=8)]) for q in range(20)] + [(99, [0.0] * 8)]
+    queries = spark.createDataFrame(asked, "query_id int, embedding array<float>")
+    found = cells.Cells.build(sections)
+    v = np.array([p[1] for p in points if p[1]], np.float32).astype(float)
+    ids = np.array([p[0] for p in points if p[1]])
+    for farthest, keep in ((False, None), (True, None), (False, 2)):
+        use = found if keep is None else found.within(sections.filter(F.col("id") % keep == 0).select(F.col("id").alias("section_id")))
+        best, read = use.nearest(queries, 10, farthest)
+        got = {(r.query_id, r.rank): r.section_id for r in best.collect()}
+        for q, e in asked:
+            scores = np.round(v @ np.array(e, np.float32).astype(float), lexical.SCORE_DIGITS)
+            rows = [i for i in sorted(range(len(ids)), key=lambda i: (scores[i] if farthest else -scores[i], ids[i])) if keep is None or ids[i] % keep == 0][:10]
+            assert [got[q, k + 1] for k in range(10)] == [ids[i] for i in rows]
+        if keep is None:
+            share = read.filter("query_id != 99").join(found.packs, "pack").agg(F.sum("n")).first()[0] / (20 * len(ids))
+            assert share < 0.5
+    assert found.packs.filter(f"n > {cells.PACK}").isEmpty()
+    empty = cells.Cells.build(spark.createDataFrame([], "id long, embedding array<float>"))
+    assert empty.nearest(queries, 3)[0].isEmpty() and found.nearest(queries.limit(0), 3)[0].isEmpty()
+    with pytest.raises(ValueError):
+        found.nearest(spark.createDataFrame([(7, [1.0])], "query_id int, embedding array<float>"), 3)
     with pytest.raises(ValueError):
-        hybrid.dense(spark.createDataFrame([(7, [1.0])], "query_id long, embedding array<float>"), sections)
+        cells.Cells.build(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<float>"))
 
 
 def test_service_answers(spark, tmp_path):
