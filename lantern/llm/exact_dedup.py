@@ -16,9 +16,9 @@ names: helper columns take names that the table doesn't have.
 What is shuffled: two positions of 8 bytes for each row in pass one, the hashes of candidates in
 pass two. (Bitmaps for each task and bucket in place of positions would be 4 KB for the few
 bits that a task sets in a bucket, far more than the positions once there are many buckets.)
-Texts of unrepeated rows aren't shuffled as long as the filter can be broadcast; beyond
-``BROADCAST_BYTES`` only hashes meet the filter, and whole rows are shuffled once, to be
-joined with the list of those that go, by hash and doc_id, of which no key is hot.
+The plan is the same at every size: the filter is broadcast in slices of at most ``SLICE_BYTES``, and every row is
+tested where it lies by one slice after the other, so no row is shuffled that isn't a candidate. Slices grow in number
+with the rows, by one for 134 million rows and seed; executors hold all of them.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from . import common
 BITS_PER_ROW = 16
 #: Bits of one bitmap of Spark's bitmap functions.
 BITMAP_BITS = 32768
-#: Filters of up to this many bytes are broadcast (67 million rows); beyond, the rows' hashes are joined with them by a shuffle.
-BROADCAST_BYTES = 256 << 20
+#: Bytes of the bitmaps of one broadcast.
+SLICE_BYTES = 256 << 20
 SEEDS = (11, 23)
 
 
@@ -57,17 +57,21 @@ def repeated_bits(hashes: DataFrame, sha: str, bits: int) -> DataFrame:
     return twice.groupBy("filter", F.bitmap_bucket_number("position").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("position")).alias("bitmap"))
 
 
-def candidates(rows: DataFrame, sha: str, bitmaps: DataFrame, bits: int, broadcast: bool, flag: str = "candidate") -> DataFrame:
-    """``rows`` with a boolean column ``flag``: whether all bits of its hash were set twice."""
-    test, names = F.lit(True), common.fresh(rows, *(f"{x}{i}" for i in range(len(SEEDS)) for x in ("bucket", "bitmap")))
+def candidates(rows: DataFrame, sha: str, bitmaps: DataFrame, bits: int, flag: str = "candidate") -> DataFrame:
+    """``rows`` with a boolean column ``flag``: whether all bits of its hash were set twice. No row moves."""
+    names = common.fresh(rows, flag, "bucket", "bitmap")
+    test, bucket, bitmap = names[flag], names["bucket"], names["bitmap"]
+    columns, marked = rows.columns, rows.withColumn(test, F.lit(0))
+    each = max(1, SLICE_BYTES // (BITMAP_BITS // 8))  # buckets of a slice
     for i, seed in enumerate(SEEDS):
-        position, bucket, bitmap = _position(F.col(sha), seed, bits), names[f"bucket{i}"], names[f"bitmap{i}"]
-        side = bitmaps.filter(F.col("filter") == i).select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap))
-        rows = rows.join(F.broadcast(side) if broadcast else side, F.bitmap_bucket_number(position) == F.col(bucket), "left")
-        bit = F.bitmap_bit_position(position)
+        position = _position(F.col(sha), seed, bits)
+        bit, own = F.bitmap_bit_position(position), F.bitmap_bucket_number(position)
         byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-        test = test & F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
-    return rows.withColumn(flag, test).drop(*names.values())
+        for first in range(1, bits // BITMAP_BITS + 1, each):
+            part = bitmaps.filter((F.col("filter") == i) & F.col("bucket").between(first, first + each - 1))
+            side = F.broadcast(part.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
+            marked = marked.join(side, own == F.col(bucket), "left").select(*columns, (F.col(test) + F.coalesce(F.getbit(byte, (bit % 8).cast("int")).cast("int"), F.lit(0))).alias(test))
+    return marked.select(*columns, (F.col(test) == len(SEEDS)).alias(flag))
 
 
 class Plan:
@@ -77,13 +81,12 @@ class Plan:
         self.hashes = common.cut(docs.select("doc_id", normalised_sha256(F.col("text")).alias("text_sha256")))
         self.total = self.hashes.count()
         self.bits = _bits(self.total)
-        self.broadcast = self.bits // 8 * len(SEEDS) <= BROADCAST_BYTES
         self.bitmaps = common.cut(repeated_bits(self.hashes, "text_sha256", self.bits))
         self.marked = self.mark(self.hashes, "text_sha256")
         self.groups = self.marked.filter("candidate").groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
     def mark(self, rows: DataFrame, sha: str, flag: str = "candidate") -> DataFrame:
-        return candidates(rows, sha, self.bitmaps, self.bits, self.broadcast, flag)
+        return candidates(rows, sha, self.bitmaps, self.bits, flag)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -96,24 +99,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; rows of unrepeated texts aren't shuffled as long as the filter can be broadcast."""
+    """The rows that stay, with all their columns; rows of unrepeated texts aren't shuffled."""
     plan = Plan(docs)
     n = common.fresh(docs, "sha", "keep", "key", "flag")
-    hashed = docs.withColumn(n["sha"], normalised_sha256(F.col("text")))
-    if plan.broadcast:
-        marked = plan.mark(hashed, n["sha"], n["flag"])
-        stay = plan.groups.select(F.col("text_sha256").alias(n["key"]), F.col("keep_id").alias(n["keep"]))
-        # the join is on the id too: each group keeps few rows, so its key isn't hot
-        kept = marked.filter(F.col(n["flag"])).join(stay, (F.col(n["sha"]) == F.col(n["key"])) & F.col("doc_id").eqNullSafe(F.col(n["keep"])), "left_semi").dropDuplicates([n["sha"]])
-        return marked.filter(~F.col(n["flag"])).select(docs.columns).union(kept.select(docs.columns))
-    several = common.join_groups(plan.marked.filter("candidate").drop("candidate"), common.cut(plan.groups), "text_sha256", "group_size", plan.total)
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")
-    counted = several.groupBy(F.col("doc_id").alias(n["keep"]), F.col("text_sha256").alias(n["key"]), stays).agg(F.count(F.lit(1)).alias("copies"))
-    listed = common.cut(counted.filter("NOT stays OR copies > 1"))
-    same = (F.col(n["sha"]) == F.col(n["key"])) & F.col("doc_id").eqNullSafe(F.col(n["keep"]))
-    once = hashed.join(listed, same, "left_anti")
-    twice = hashed.join(listed.filter("stays"), same, "left_semi").dropDuplicates([n["sha"]])
-    return once.select(docs.columns).union(twice.select(docs.columns))
+    marked = plan.mark(docs.withColumn(n["sha"], normalised_sha256(F.col("text"))), n["sha"], n["flag"])
+    stay = plan.groups.select(F.col("text_sha256").alias(n["key"]), F.col("keep_id").alias(n["keep"]))
+    # the join is on the id too: each group keeps few rows, so its key isn't hot
+    kept = marked.filter(F.col(n["flag"])).join(stay, (F.col(n["sha"]) == F.col(n["key"])) & F.col("doc_id").eqNullSafe(F.col(n["keep"])), "left_semi").dropDuplicates([n["sha"]])
+    return marked.filter(~F.col(n["flag"])).select(docs.columns).union(kept.select(docs.columns))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,8 @@ PERMUTATIONS, BANDS, ROWS = 100, 40, 5
 THRESHOLD = 80
 #: Nodes of one leader that a task compares another node with.
 BLOCK = 2048
+#: Nodes of one leader that a task joins with the leader's set.
+SALTED = 256
 #: Words of the bitmap that bounds how much two deltas differ.
 BITMAP = 8
 SEED = 20
@@ -157,21 +159,27 @@ class Duplicates:
 
     def met(self) -> DataFrame:
         """(leader, id, n, linked, delta) for every node and each smallest node of one of its buckets."""
-        rows = self.nodes.select(F.explode("bands").alias("bucket"), "id").repartition("bucket")
-        leaders = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
-        star = common.cut(rows.join(leaders, "bucket").filter("id != leader").select("leader", "id").distinct())
+        rows = common.cut(self.nodes.select(F.explode("bands").alias("bucket"), "id"))
+        buckets = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        # a bucket of very many nodes isn't joined by a shuffle of its nodes
+        star = common.join_groups(rows, common.cut(buckets), "bucket", "size", rows.count())
+        star = common.cut(star.filter("id != leader").select("leader", "id").distinct())
         wanted = star.select(F.explode(F.array("leader", "id")).alias("id")).distinct()
         named = common.cut(self.nodes.join(wanted, "id").select("id", "n", "node", "key"))
         keys = named.select(F.col("key").alias("wanted_key"))
         texts = _texts(self.docs).join(keys, F.col("key") == F.col("wanted_key"), "left_semi")
         sets = sets_of(texts, self.width).dropDuplicates(["s_node"])
         sets = common.cut(named.join(sets, F.col("node") == F.col("s_node")).select("id", "n", "members"))
-        heads = sets.join(star.select("leader").distinct(), F.col("id") == F.col("leader"), "left_semi").select(F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("members").alias("leader_members"))
-        both = star.join(sets, "id").join(heads, "leader")
+        # the nodes of a leader are dealt to tasks by at most SALTED, each of which has the leader's set once
+        salts = common.cut(star.groupBy("leader").agg(F.count(F.lit(1)).alias("size")).withColumn("salts", F.ceil(F.col("size") / SALTED)))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+        heads = sets.join(salts.select("leader", copies), F.col("id") == F.col("leader")).select("leader", "salt", F.col("n").alias("leader_n"), F.col("members").alias("leader_members"))
+        dealt = common.join_groups(star, salts, "leader", "size", star.count()).select("leader", "id", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
+        both = dealt.join(sets, "id").join(heads, ["leader", "salt"])
         delta = F.concat(F.array_except("members", "leader_members"), F.array_except("leader_members", "members"))
         found = both.select("leader", "id", "n", "leader_n", delta.alias("delta"))
         out = common.cut(found.select("leader", "id", "n", _similar(F.size("delta"), F.col("n") + F.col("leader_n"), self.threshold).alias("linked"), "delta"))
-        common.drop(star, named, sets)
+        common.drop(rows, star, named, sets, salts)
         return out
 
     def more(self, met: DataFrame, known: DataFrame) -> DataFrame:
@@ -180,8 +188,10 @@ class Duplicates:
         held = common.cut(met.select("leader", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
         parts = held.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("size"))
         groups = parts.groupBy("leader").agg(F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        groups = common.cut(groups.select("leader", F.col("most.component").alias("most"), F.ceil(F.col("size") / BLOCK).alias("blocks")))
-        mixed = held.join(groups, "leader").join(met.select("leader", "id", "delta"), ["leader", "id"])
+        groups = common.cut(groups.select("leader", "size", F.col("most.component").alias("most"), F.ceil(F.col("size") / BLOCK).alias("blocks")))
+        # a leader of very many nodes isn't joined by a shuffle of its nodes
+        placed = common.join_groups(held, groups, "leader", "size", held.count())
+        mixed = placed.join(met.select("leader", "id", "delta"), ["leader", "id"])
         member = common.cut(mixed.select("leader", "most", "blocks", F.struct("id", "n", "component", "delta", _bitmap("delta").alias("bits")).alias("member")))
         one = member.filter("member.component != most").select("leader", "most", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("member").alias("a"))
         other = member.select("leader", F.pmod(F.xxhash64("member.id"), F.col("blocks")).alias("block"), F.col("member").alias("b"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .exact_dedup import BROADCAST_BYTES, SEEDS, _bits, candidates, repeated_bits
+from .exact_dedup import _bits, candidates, repeated_bits
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -51,19 +51,12 @@ def write(pages: DataFrame, path: str) -> None:
     total = known.count()
     bits = _bits(total)
     bitmaps = common.cut(repeated_bits(known, "digest", bits))
-    small = bits // 8 * len(SEEDS) <= BROADCAST_BYTES
-    repeated = candidates(known, "digest", bitmaps, bits, small).filter("candidate")
+    repeated = candidates(known, "digest", bitmaps, bits).filter("candidate")
     groups = common.cut(repeated.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
-    if small:
-        marked = candidates(rows, "digest", bitmaps, bits, small)
-        alone = marked.filter("NOT candidate").drop("candidate").withColumn("first_id", F.col("page_id"))
-        several = common.join_groups(marked.filter("candidate").drop("candidate"), groups, "digest", "copies", total).drop("copies")
-    else:
-        # payloads are shuffled once, to learn by page and digest what they refer to; no such key is hot
-        listed = common.join_groups(repeated.drop("candidate"), groups, "digest", "copies", total).select(F.col("page_id").alias("l_id"), F.col("digest").alias("l_digest"), "first_id").distinct()
-        whole = rows.join(listed, F.col("page_id").eqNullSafe(F.col("l_id")) & (F.col("digest") == F.col("l_digest")), "left")
-        alone = whole.withColumn("first_id", F.when(F.col("l_digest").isNull(), F.col("page_id")).otherwise(F.col("first_id"))).drop("l_id", "l_digest")
-        several = alone.limit(0)
+    # payloads that no other record has stay where they are, whatever the size
+    marked = candidates(rows, "digest", bitmaps, bits)
+    alone = marked.filter("NOT candidate").drop("candidate").withColumn("first_id", F.col("page_id"))
+    several = common.join_groups(marked.filter("candidate").drop("candidate"), groups, "digest", "copies", total).drop("copies")
     text = alone.unionByName(several).select(_record().alias("value"))
     text.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 

@@ -33,11 +33,23 @@ def test_report(spark):
     assert Counter(tuple(r) for r in got) == want
 
 
-def test_broadcast_and_shuffle_agree(spark, monkeypatch):
-    rows = [(i, f"text {i % 37}" if i % 3 else f"own {i}", "s") for i in range(400)]
+def moved(df):
+    """Whether a plan shuffles rows."""
+    return "Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filter_in_slices(spark, monkeypatch):
+    """However many slices the filter has, rows are tested where they lie."""
+    rows = [(i, f"text {i % 37}" if i % 3 else f"own {i}", "s") for i in range(9000)]
     one = sorted(map(tuple, exact_dedup.report(frame(spark, rows)).collect()))
-    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact_dedup, "SLICE_BYTES", 8192)
     assert sorted(map(tuple, exact_dedup.report(frame(spark, rows)).collect())) == one
+    docs = frame(spark, rows)
+    plan = exact_dedup.Plan(docs)
+    marked = plan.mark(docs.repartition(2).withColumn("sha", exact_dedup.normalised_sha256(docs["text"])), "sha", "flag")
+    assert plan.bits // exact_dedup.BITMAP_BITS == 8 and not moved(marked.filter("NOT flag"))
+    assert marked._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 8
+    assert sorted(r.doc_id for r in exact_dedup.deduplicate(docs).collect()) == sorted(r[0] for r in one if r[3])
 
 
 def test_deduplicate(spark):
@@ -48,9 +60,7 @@ def test_deduplicate(spark):
     assert exact_dedup.deduplicate(frame(spark, [])).count() == 0 and exact_dedup.report(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("most", [exact_dedup.BROADCAST_BYTES, 0])
-def test_deduplicate_keeps_what_columns_hold(spark, monkeypatch, most):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", most)
+def test_deduplicate_keeps_what_columns_hold(spark):
     names = ["candidate", "_bucket0", "_BITMAP1", "_flag", "_sha", "stays", "copies", "_heavy_key"]
     rows = [(i, t, *(f"{n} {i}" for n in names)) for i, t, _ in ROWS]
     docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)])).repartition(3)

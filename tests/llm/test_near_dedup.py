@@ -51,9 +51,10 @@ def texts(sizes, copies):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("block", "sizes", "copies"), [(2048, (6, 40, 120), 2), (3, (40,), 1)])
-def test_against_brute_force(spark, monkeypatch, block, sizes, copies):
+@pytest.mark.parametrize(("block", "salted", "sizes", "copies"), [(2048, 256, (6, 40, 120), 2), (3, 2, (40,), 1)])
+def test_against_brute_force(spark, monkeypatch, block, salted, sizes, copies):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SALTED", salted)
     rows = texts(sizes, copies)
     docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, node string").repartition(5)
     got = near_dedup.Duplicates(docs, width=2).report().collect()
@@ -61,6 +62,22 @@ def test_against_brute_force(spark, monkeypatch, block, sizes, copies):
     assert len(got) == len(rows)
 
 
+def test_one_hot_leader(spark, monkeypatch):
+    """Half of all rows are near copies of one text: its nodes go to many tasks, and to one component."""
+    monkeypatch.setattr(near_dedup, "SALTED", 16)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(600):
+        words = list(base) if i % 2 else [f"v{rng.randrange(5000)}" for _ in range(150)]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(150)] = f"x{rng.randrange(9999)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = near_dedup.Duplicates(docs, width=2)
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found.report().collect()} == brute(rows, 2)
+
+
 def test_deduplicate_keeps_columns_and_empty_tables(spark):
     schema = "doc_id long, text string, _gone int, lang string"
     docs = spark.createDataFrame([(4, "a b c d e f", 1, "en"), (2, "A b c d e f", 2, None), (7, None, 3, "x"), (8, None, 4, "x")], schema)

@@ -3,7 +3,7 @@
 import base64
 import hashlib
 
-from lantern.llm import warc
+from lantern.llm import exact_dedup, warc
 
 SCHEMA = "page_id long, url string, html string, type string, offset int"
 
@@ -57,7 +57,7 @@ def test_empty_table(spark, tmp_path):
     assert records(spark, tmp_path, []) == []
 
 
-def test_filter_too_large_to_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
-    rows = [(i, f"u{i}", f"<p>{i % 7 if i % 2 else i}</p>") for i in range(60)] + [(3, "u", "<p>3</p>")]
+def test_filter_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SLICE_BYTES", 4096)
+    rows = [(i, f"u{i}", f"<p>{i % 7 if i % 2 else i}</p>") for i in range(5000)] + [(3, "u", "<p>3</p>"), (6000, "u", "long " * 300_000)]
     assert records(spark, tmp_path, rows) == expected(rows)
