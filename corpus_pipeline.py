@@ -43,12 +43,12 @@ def dedup_exactly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_nearly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingles of five words, the one with the smallest doc_id stays.
+    """Of each group of documents linked by shingles of two words, as operator 10 links them, the one with the smallest doc_id stays.
 
     Null and empty texts link with nothing and stay. A null id is larger than any other;
     rows that share an id are told apart by their texts, and of repeated rows one stays.
     """
-    return near_dedup.deduplicate(docs)
+    return near_dedup.deduplicate(docs, width=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
