@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import markup, text
 from lantern.operators.scope import INTERFACE, MAIN_GROUP, OVERRIDE, ROOT
+from lantern.sources.checkpoints import cut
 
 #: Weights of a section's and a group's fields.
 SECTION_WEIGHTS = {"name": 5.0, "description": 3.0, "keywords": 2.5}
@@ -113,50 +114,68 @@ def nested(navigation: Navigation) -> DataFrame:
     return both.select(*navigation.sections.columns, F.transform(F.coalesce("g", F.array()), lambda x: x["group"]).alias("groups"))
 
 
-def _field_score(asked: Column, value: Column, weight: float) -> Column:
-    """``asked``: structs of token and weight. Exact words count in full, words that hold one another by half."""
-    words = text.discovery_tokens(value)
+def _fields(columns: dict[str, float]) -> Column:
+    """The fields' names, weights and words, as an array."""
+    value = lambda c: F.array_join(F.col(c), " ") if c == "keywords" else F.col(c)
+    return F.array(*(F.struct(F.lit(c).alias("field"), F.lit(w).alias("field_weight"), text.discovery_tokens(value(c)).alias("words")) for c, w in columns.items()))
 
-    def part(q: Column) -> Column:
-        token = q["token"]
-        near = F.exists(words, lambda w: (F.length(token) >= PARTIAL_CHARS) & (F.length(w) >= PARTIAL_CHARS) & (F.contains(w, token) | F.contains(token, w)))
-        return F.when(F.array_contains(words, token), q["weight"]).when(near, q["weight"] * PARTIAL).otherwise(0.0)
 
-    return F.aggregate(F.transform(asked, part), F.lit(0.0), lambda s, x: s + x) * weight
+def catalogue_words(navigation: Navigation) -> DataFrame:
+    """Per word of a field: s (the subsystem), g (the group's id, null for the subsystem itself), field, field_weight, word."""
+    own = navigation.sections.select(F.col("name").alias("s"), F.lit(None).cast("string").alias("g"), F.explode(_fields(SECTION_WEIGHTS)).alias("f"))
+    groups = navigation.groups.select(F.col("subsystem").alias("s"), F.col("id").alias("g"), F.explode(_fields(GROUP_WEIGHTS)).alias("f"))
+    return own.unionByName(groups).select("s", "g", "f.field", "f.field_weight", F.explode("f.words").alias("word"))
 
 
-def _field(name: str) -> Column:
-    return F.array_join(F.col(name), " ") if name == "keywords" else F.col(name)
+def token_weights(queries: DataFrame, words: DataFrame, sections: DataFrame) -> DataFrame:
+    """Per token of a query: query_id, token, weight 1 + ln((N + 1) / (1 + df)) over the sections' words."""
+    df = words.select("s", F.col("word").alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    n = sections.count()
+    tokens = queries.select("query_id", F.explode(text.without_stop_words(text.discovery_tokens(F.col("query")))).alias("token"))
+    return tokens.join(df, "token", "left").select("query_id", "token", (1.0 + F.log((F.lit(n) + 1) / (1 + F.coalesce("df", F.lit(0))))).alias("weight"))
 
 
-def token_weights(queries: DataFrame, navigation: Navigation) -> DataFrame:
-    """Per query: query_id and asked, its tokens with weights 1 + ln((N + 1) / (1 + df)) over the sections' words."""
-    own = navigation.sections.select(F.col("name").alias("s"), *(_field(c).alias(c) for c in SECTION_WEIGHTS))
-    groups = navigation.groups.select(F.col("subsystem").alias("s"), *(_field(c).alias(c) for c in GROUP_WEIGHTS))
-    words = own.unionByName(groups).select("s", F.explode(text.discovery_tokens(F.concat_ws(" ", *SECTION_WEIGHTS))).alias("token")).distinct()
-    df = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total = navigation.sections.agg(F.count(F.lit(1)).alias("n"))  # one row
-    tokens = queries.select("query_id", F.explode(text.without_stop_words(text.discovery_tokens(F.col("query")))).alias("token"))
-    weighed = tokens.join(df, "token", "left").crossJoin(F.broadcast(total)).withColumn("weight", 1.0 + F.log((F.col("n") + 1) / (1 + F.coalesce("df", F.lit(0)))))
-    return weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("asked"))
+def substring_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(token, word) of which one is part of the other, both of ``PARTIAL_CHARS`` characters at least; ``left`` has distinct tokens, ``right`` distinct words.
+
+    A q-gram index makes candidates by an equi-join: the first ``PARTIAL_CHARS`` characters of the shorter one are
+    somewhere in the longer one. Only words that share them are compared.
+    """
+    long = lambda df, c: df.filter(F.length(c) >= PARTIAL_CHARS)
+    first = lambda c: F.substring(c, 1, PARTIAL_CHARS).alias("gram")
+
+    def grams(df: DataFrame, c: str) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.length(c) - PARTIAL_CHARS + 1)
+        return df.select(c, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(c), i, F.lit(PARTIAL_CHARS))))).alias("gram"))
+
+    token, word = long(left, "token"), long(right, "word")
+    inside = token.select("token", first("token")).join(grams(word, "word"), "gram").filter(F.contains("word", "token"))
+    around = grams(token, "token").join(word.select("word", first("word")), "gram").filter(F.contains("token", "word"))
+    return inside.select("token", "word").union(around.select("token", "word")).distinct()
 
 
 def discover(queries: DataFrame, navigation: Navigation, limit: int = 5) -> DataFrame:
     """The best subsystems of each query (query_id, query): query_id, rank, name, description, score.
 
-    A section's score is that of its own fields and that of its best group, so
-    that many weak groups don't outweigh a good one.
+    A field scores each of the query's tokens that is one of its words in full, and one that a word holds or that holds a word by
+    half. A section's score is that of its own fields and that of its best group, so that many weak groups don't
+    outweigh a good one. Words meet by equi-joins, so only what matches is ever a row.
     """
     from lantern.operators.lexical import top
 
     if not 1 <= limit <= 20:
         raise ValueError("limit must be from 1 to 20")
-    asked = F.broadcast(token_weights(queries, navigation))  # the queries of a batch
-    score = lambda weights: sum((_field_score(F.col("asked"), _field(c), w) for c, w in weights.items()), F.lit(0.0))
-    best = navigation.groups.join(asked, how="cross").groupBy("query_id", F.col("subsystem").alias("g_name")).agg(F.max(score(GROUP_WEIGHTS)).alias("g_score"))
-    own = navigation.sections.join(asked, how="cross").select("query_id", "name", "description", score(SECTION_WEIGHTS).alias("own"))
-    total = own.join(best.withColumnRenamed("query_id", "g_query"), (F.col("query_id") == F.col("g_query")) & (F.col("name") == F.col("g_name")), "left")
-    ranked = total.select("query_id", F.lower("name").alias("section_id"), "name", "description", F.round(F.col("own") + F.coalesce("g_score", F.lit(0.0)), 9).alias("score")).filter("score > 0")
+    words = cut(catalogue_words(navigation))
+    asked = cut(token_weights(queries, words, navigation.sections))
+    tokens, known = asked.select("token").distinct(), words.select("word").distinct()
+    exact = tokens.join(known, F.col("token") == F.col("word")).select("token", "word", F.lit(1.0).alias("part"))
+    pairs = exact.unionByName(substring_pairs(tokens, known).withColumn("part", F.lit(PARTIAL)))
+    # a token counts once in a field, by its best word
+    hits = pairs.join(words, "word").groupBy("s", "g", "field", "field_weight", "token").agg(F.max("part").alias("part"))
+    scored = hits.join(asked, "token").groupBy("query_id", "s", "g").agg(F.sum(F.col("part") * F.col("field_weight") * F.col("weight")).alias("score"))
+    whole = scored.groupBy("query_id", "s").agg((F.coalesce(F.max(F.when(F.col("g").isNull(), F.col("score"))), F.lit(0.0)) + F.coalesce(F.max(F.when(F.col("g").isNotNull(), F.col("score"))), F.lit(0.0))).alias("score"))
+    named = whole.join(navigation.sections.select("name", "description"), F.col("s") == F.col("name"))
+    ranked = named.select("query_id", F.lower("name").alias("section_id"), "name", "description", F.round("score", 9).alias("score")).filter("score > 0")
     return top(ranked, limit, F.col("score").desc()).drop("section_id")
 
 
