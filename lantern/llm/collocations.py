@@ -1,12 +1,12 @@
 """Operator 13, phrase collocations, from tries of bounded depth that tasks count and Spark merges by prefix range.
 
-The trie grows by one level in each of ``DEPTH`` passes over the texts. A task counts the level's phrases of its texts in a trie, one for
-each language, and gives it away, sorted, whenever its texts have ``SHARD_WORDS`` words: rows of (lang, path, n). A
+A first pass over the texts counts words and pairs, a second one the pairs' branches of three words. A task counts its texts in a trie, one
+for each language, and gives it away, sorted, whenever its texts have ``SHARD_WORDS`` words: rows of (lang, path, n). A
 range partitioning by path merges all tries: a range holds neighbouring prefixes, its runs are merged by an external sort, and a
 frequent word's branches go to as many ranges as they need. Nodes of fewer than ``least`` occurrences end there. No phrase
-that has a rarer part can have ``least`` occurrences, so the next pass counts those phrases alone whose parts stayed. It asks a
-bitmap of ``FILTER_BITS`` bits for that, whose size doesn't depend on the input: phrases that share a bit by chance are counted as
-well and end when they are merged, none is lost.
+that has a rarer part can have ``least`` occurrences, so the second pass counts those phrases alone both of whose pairs stayed. It
+asks a bitmap of ``FILTER_BITS`` bits for that, whose size doesn't depend on the input: phrases that share a bit by chance are
+counted as well and end when they are merged, none is lost.
 
 The nodes that stay are laid out by prefix range once more, and a walk over each range, in order, gives every node
 the counts of its ancestors, the left parts of its cuts; the ancestors of a range's first node, at most two for a range, are
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -38,8 +37,8 @@ from . import common
 
 DEPTH = 3
 #: Words of the texts of one trie; three of their numbers fit into 64 bits.
-SHARD_WORDS = 1_000_000
-#: Bits of the filter of a level's nodes, a power of 2: 16 MB on the driver and in each worker.
+SHARD_WORDS = 2_000_000
+#: Bits of the filter of frequent pairs, a power of 2: 16 MB on the driver and in each worker.
 FILTER_BITS = 1 << 27
 LEAST, TOP, SHARE = 10, 2000, 50
 UNKNOWN = "und"
@@ -67,7 +66,7 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A bitmap of hashes: those that were put in are in it, others rarely."""
+    """A bitmap of pairs' hashes: those that were put in are in it, others rarely."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -82,60 +81,52 @@ class Filter:
         return (self.bits[at] & bit) != 0
 
     @classmethod
-    def of(cls, nodes: DataFrame, size: int) -> Broadcast:
-        """The filter of ``nodes`` (lang, path) of one level, on all executors; tasks and the driver hold ``size`` bits of it at most."""
+    def of(cls, pairs: DataFrame, size: int) -> Broadcast:
+        """The filter of ``pairs`` (lang, path), on all executors; tasks and the driver hold ``size`` bits of it at most."""
 
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pairs = [(lang.encode() + b" ", path.encode().split(b" ")) for lang, path in zip(batch.column("lang").to_pylist(), batch.column("path").to_pylist())]
-                levels = [np.fromiter((xxhash.xxh64_intdigest(lang + p[k]) for lang, p in pairs), np.uint64, len(pairs)) for k in range(len(pairs[0][1]) if pairs else 0)]
-                if levels:
-                    at, bit = cls.place(levels[0] if len(levels) == 1 else pair_hashes(*levels), size)
-                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bit.view(np.int64))], schema=_BIT)
+                rows = [(lang.encode() + b" ", *path.encode().split(b" ")) for lang, path in zip(batch.column("lang").to_pylist(), batch.column("path").to_pylist())]
+                first, second = (np.fromiter((xxhash.xxh64_intdigest(r[0] + r[k]) for r in rows), np.uint64, len(rows)) for k in (1, 2))
+                at, bit = cls.place(pair_hashes(first, second), size)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bit.view(np.int64))], schema=_BIT)
 
-        found = nodes.select("lang", "path").mapInArrow(put, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+        found = pairs.select("lang", "path").mapInArrow(put, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
         bits = np.zeros(size // 64, np.uint64)
         bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-        return nodes.sparkSession.sparkContext.broadcast(bits)
+        return pairs.sparkSession.sparkContext.broadcast(bits)
 
 
-def trie(lang: str, words: list[bytes], starts: int, filters: list[Filter]) -> pa.RecordBatch:
-    """The nodes, in order, of one level: the phrases that begin at one of the first ``starts`` words and whose parts are in ``filters``."""
+def trie(lang: str, words: list[bytes], starts: int, frequent: Filter | None) -> pa.RecordBatch:
+    """The nodes of the phrases that begin at one of the first ``starts`` words, in order: up to two words, or those of three whose pairs are ``frequent``."""
     number: dict[bytes, int] = defaultdict(count().__next__)
     number[_MARK]
     at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    seen = [w for w in number if w != _MARK]
-    if filters:
-        known = filters[0].has(word_hashes(lang, seen))
-        seen = [w for w, k in zip(seen, known) if k]
-    names = sorted(seen)
-    rank = np.zeros(len(number), np.int64)  # 0 for marks and words that can't be part of a phrase
+    names = sorted(set(number) - {_MARK})
+    rank = np.zeros(len(number), np.int64)
     rank[[number[w] for w in names]] = np.arange(1, len(names) + 1)
     starts, padded, base = min(starts, len(words)), np.r_[rank[at], 0, 0], len(names) + 1
     first, second, third = padded[:-2], padded[1:-1], padded[2:]
     follows = (first > 0) & (second > 0)
-    if not filters:
-        keys, n = np.unique(first[:starts][first[:starts] > 0], return_counts=True)
-        levels = [keys]
-    elif len(filters) == 1:
+    word = pa.array(names, pa.binary()).cast(pa.string())
+    take = lambda ranks: word.take(pa.array(ranks - 1))
+    if frequent is None:
+        single = np.bincount(first[:starts], minlength=base)[1:]
+        used = np.flatnonzero(single)
         keys, n = np.unique((first * base + second)[:starts][follows[:starts]], return_counts=True)
-        levels = [keys // base, keys % base]
+        path = pa.concat_arrays([pa.array([""]), word.take(pa.array(used)), pc.binary_join_element_wise(take(keys // base), take(keys % base), " ")])
+        n = np.concatenate([[single.sum()], single[used], n])
     else:
         pairs, of = np.unique(first * base + second, return_inverse=True)
         hashes = np.r_[np.uint64(0), word_hashes(lang, names)]
-        both = follows & filters[1].has(pair_hashes(hashes[pairs // base], hashes[pairs % base]))[of]
+        both = follows & frequent.has(pair_hashes(hashes[pairs // base], hashes[pairs % base]))[of]
         whole = both & np.r_[both[1:], False]
         keys, n = np.unique(((first * base + second) * base + third)[:starts][whole[:starts]], return_counts=True)
-        levels = [keys // base // base, keys // base % base, keys % base]
-    word = pa.array(names, pa.binary()).cast(pa.string())
-    paths = [word.take(pa.array(k - 1)) for k in levels]
-    path = paths[0] if len(paths) == 1 else pc.binary_join_element_wise(*paths, " ")
-    if not filters:  # the root
-        path, n = pa.concat_arrays([pa.array([""]), path]), np.r_[n.sum(), n]
+        path = pc.binary_join_element_wise(take(keys // base // base), take(keys // base % base), take(keys % base), " ")
     return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), path, pa.array(n.astype(np.int64))], schema=_NODE)
 
 
-def tries(batches: Iterator[pa.RecordBatch], most: int, filters: list[Filter]) -> Iterator[pa.RecordBatch]:
+def tries(batches: Iterator[pa.RecordBatch], most: int, frequent: Filter | None) -> Iterator[pa.RecordBatch]:
     """The tries of the texts of one task, each of about ``most`` words."""
     held: dict[str, list[bytes]] = defaultdict(list)
     size = 0
@@ -144,34 +135,37 @@ def tries(batches: Iterator[pa.RecordBatch], most: int, filters: list[Filter]) -
             words = tokens(text.as_py())
             if len(words) > most:
                 for k in range(0, len(words), most):
-                    yield trie(lang, words[k : k + most + DEPTH - 1], most, filters)
+                    yield trie(lang, words[k : k + most + DEPTH - 1], most, frequent)
                 continue
             held[lang] += words
             size += len(words)
             if size > most:
-                yield from (trie(k, w, len(w), filters) for k, w in held.items())
+                yield from (trie(k, w, len(w), frequent) for k, w in held.items())
                 held.clear()
                 size = 0
-    yield from (trie(k, w, len(w), filters) for k, w in held.items())
+    yield from (trie(k, w, len(w), frequent) for k, w in held.items())
 
 
 def merged(docs: DataFrame, least: int) -> DataFrame:
     """(lang, w1, w2, w3, n) of all nodes of at least ``least`` occurrences, and of each language's root."""
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    most, levels, filters = SHARD_WORDS, [], []
-    for level in range(DEPTH):
-        if level:
-            filters.append(Filter.of(levels[-1].filter("path != ''"), FILTER_BITS))
-        count_ = lambda batches, filters=tuple(filters): tries(batches, most, [Filter(f.value) for f in filters])
+    most = SHARD_WORDS
+
+    def counted(frequent: Broadcast | None) -> DataFrame:
+        count_ = lambda batches: tries(batches, most, None if frequent is None else Filter(frequent.value))
         shards = common.cut(texts.mapInArrow(count_, "lang string, path string, n long"))
         whole = shards.repartitionByRange("lang", "path").groupBy("lang", "path").agg(F.sum("n").alias("n"))
-        levels.append(common.cut(whole.filter((F.col("n") >= least) | (F.col("path") == ""))))
+        out = common.cut(whole.filter((F.col("n") >= least) | (F.col("path") == "")))
         common.drop(shards)
-    for f in filters:
-        f.unpersist()
+        return out
+
+    short = counted(None)
+    frequent = Filter.of(short.filter(F.contains("path", F.lit(" "))), FILTER_BITS)
+    long = counted(frequent)
+    frequent.unpersist()
     word = F.when(F.col("path") != "", F.split("path", " "))
     named = (F.get(word, F.lit(k)).alias(f"w{k + 1}") for k in range(DEPTH))
-    return reduce(DataFrame.unionByName, levels).select("lang", *named, "n")
+    return short.unionByName(long).select("lang", *named, "n")
 
 
 def depth() -> Column:

@@ -55,7 +55,7 @@ def table(spark):
     return spark.createDataFrame([(i, lang, t, "x", 1) for i, (lang, t) in enumerate(rows())], "doc_id long, lang string, text string, w1 string, n int").repartition(4)
 
 
-@pytest.mark.parametrize(("shard", "bits", "least", "top", "share"), [(1_000_000, 1 << 27, 10, 2000, 50), (97, 1 << 6, 10, 2000, 50), (500, 1 << 8, 2, 40, 90)])
+@pytest.mark.parametrize(("shard", "bits", "least", "top", "share"), [(2_000_000, 1 << 27, 10, 2000, 50), (97, 1 << 6, 10, 2000, 50), (500, 1 << 8, 2, 40, 90)])
 def test_against_brute_force(spark, monkeypatch, table, shard, bits, least, top, share):
     """Tries of few words, whose texts are cut, and filters that are full give the same counts as whole ones."""
     monkeypatch.setattr(collocations, "SHARD_WORDS", shard)
