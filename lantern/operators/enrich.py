@@ -6,30 +6,16 @@ import json
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lantern.operators.numbering import batched
+
 GROUP_LIMITS, SECTION_LIMITS = (20, 75_000), (25, 60_000)
 FIELDS = ("description", "keywords", "evidence_methods", "confidence")
 
 
-def batches(items: Column, most: int, most_size: int, size=None) -> Column:
-    """An array cut greedily, in order, into arrays of up to ``most`` items of ``most_size`` in all; one item may be larger."""
-    size = size or (lambda x: x.cast("long"))
-
-    def step(state: Column, item: Column) -> Column:
-        full = (F.size(state["open"]) > 0) & ((F.size(state["open"]) >= most) | (state["size"] + size(item) > most_size))
-        done = F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
-        kept = F.when(full, F.array(item)).otherwise(F.concat(state["open"], F.array(item)))
-        total = F.when(full, size(item)).otherwise(state["size"] + size(item))
-        return F.struct(done.alias("done"), kept.alias("open"), total.alias("size"))
-
-    none = F.filter(items, lambda x: F.lit(False))
-    start = F.struct(F.slice(F.array(none), F.lit(1), F.lit(0)).alias("done"), none.alias("open"), F.lit(0).cast("long").alias("size"))
-    return F.aggregate(items, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
-
-
 def unknown(evidence: DataFrame, allowed: DataFrame, *key: str) -> DataFrame:
     """Evidence that isn't among what is allowed."""
     return evidence.join(allowed.select(*key), list(key), "left_anti")
@@ -65,16 +51,13 @@ def schema(key: str, count: int, section: bool = False) -> dict:
 
 
 def requests(groups: DataFrame, methods: DataFrame, limits: tuple[int, int] = GROUP_LIMITS) -> DataFrame:
-    """Per batch: batch, group_ids and the payload with short ids g01, g02 and so on.
-
-    A catalogue has few groups, and batches follow one order, so they are made in one row.
-    """
+    """Per batch: batch, group_ids and the payload with short ids g01, g02 and so on. A row has the groups of one batch at most."""
     named = methods.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "method", "purpose"))), lambda m: F.array(m["method"], m["purpose"])).alias("methods"))
     item = F.struct("id", "subsystem", F.col("interface_kind").alias("kind"), "name", "methods")
-    one = groups.join(named, groups["id"] == named["group_id"]).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    each = one.select(F.posexplode(batches(F.col("items"), *limits, size=lambda x: F.length(F.to_json(x)).cast("long"))).alias("batch", "items"))
+    items = groups.join(named, groups["id"] == named["group_id"]).select("id", item.alias("item")).withColumn("size", F.length(F.to_json("item")))
+    each = batched(items, ["id"], "size", *limits).groupBy("batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "item"))), lambda x: x["item"]).alias("items"))
     short = F.transform("items", lambda x, i: F.struct(F.format_string("g%02d", i + 1).alias("id"), x["subsystem"].alias("subsystem"), x["kind"].alias("kind"), x["name"].alias("name"), x["methods"].alias("methods")))
-    return each.select((F.col("batch") + 1).alias("batch"), F.transform("items", lambda x: x["id"]).alias("group_ids"), F.to_json(F.struct(short.alias("groups"))).alias("payload"))
+    return each.select("batch", F.transform("items", lambda x: x["id"]).alias("group_ids"), F.to_json(F.struct(short.alias("groups"))).alias("payload"))
 
 
 def answered(found: DataFrame, ask: Callable[[dict, dict], dict], known: dict[int, dict] | None = None, folder: str | None = None) -> list[dict]:

@@ -18,6 +18,7 @@ from lantern.operators import graph
 from lantern.operators.graph import DEFAULT_TITLE, read_links
 from lantern.sources import corpus
 from lantern.sources.checkpoints import cut
+from lantern.sources.sink import write_pages
 
 CONTENTS = "Оглавление"
 STYLE = "body{margin:0;font:16px/1.5 sans-serif}main{max-width:64rem;margin:auto;padding:2rem}img{max-width:100%}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.3rem .5rem}.row-number{text-align:right}"
@@ -130,21 +131,6 @@ def rendered(pages: DataFrame, paths: DataFrame, site: urls.Site) -> DataFrame:
     return whole.select("url", "title", "path", render("html", "url", "title", "path", "targets").alias("page"))
 
 
-def write_pages(pages: DataFrame, folder: str) -> None:
-    """Writes each page to its path in ``folder``, a folder that executors and driver share."""
-    import os
-
-    def save(rows) -> None:
-        for r in rows:
-            target = os.path.join(folder, r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(f"{target}.tmp", "w", encoding="utf-8") as f:
-                f.write(r["page"])
-            os.replace(f"{target}.tmp", target)
-
-    pages.select("path", "page").foreachPartition(save)
-
-
 def export_manifest(pages: DataFrame) -> str:
     """The exported pages as JSON, by title."""
     items = [{"sourceUrl": r["url"], "title": r["title"], "path": r["path"]} for r in pages.select("url", "title", "path").collect()]

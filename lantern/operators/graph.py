@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import markup, text
 from lantern.functions.urls import Site
+from lantern.operators.numbering import numbered
 from lantern.sources.checkpoints import cut, drop
 
 PATH_CHARS, LEAST_CHARS = 180, 24
@@ -136,10 +137,10 @@ def tree_paths(pages: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFra
     start leads to go to the folder of their recorded parent after all others, or else to a folder of extras.
     One level of the tree is named at a time.
     """
-    order = lambda side, *by: side.withColumn("n", F.row_number().over(Window.orderBy(*by)).cast("long"))  # noqa: E731  # one row for each page of one documentation
-    roots = order(starts, "ord").select("url", F.array(F.lit(0).cast("long"), "n").alias("key"))
+    roots = numbered(starts, ["ord"], into="n").select("url", F.array(F.lit(0).cast("long"), "n").alias("key"))
     reached = first_paths(edges, roots)
-    rest = cut(order(pages.join(reached, "url", "left_anti"), F.lower(F.coalesce("title", F.lit(""))), "url").select("url", F.col("parent").alias("above"), "n"))
+    others = pages.join(reached, "url", "left_anti").withColumn("folded", F.lower(F.coalesce("title", F.lit(""))))
+    rest = cut(numbered(others, ["folded", "url"], into="n").select("url", F.col("parent").alias("above"), "n"))
     inner = edges.join(rest.select(F.col("url").alias("src")), "src", "left_semi").join(rest.select(F.col("url").alias("dst")), "dst", "left_semi")
     recorded = rest.filter("above IS NOT NULL").select(F.col("above").alias("src"), F.col("url").alias("dst"), (F.col("n") + (1 << 40)).alias("ord"))
     extras = rest.select("url", F.array(F.lit(1).cast("long"), "n").alias("key"))

@@ -162,9 +162,9 @@ def nav_sections(spark, sf_dir):
     from lantern.__main__ import navigation_json
 
     base = _folder(spark)
-    export.write_pages(_pages(spark, sf_dir).select(F.concat(F.lit("source/"), "source_path").alias("path"), F.col("html").alias("page")), base.removeprefix("file:"))
+    export.write_pages(_pages(spark, sf_dir).select(F.concat(F.lit("source/"), "source_path").alias("path"), F.col("html").alias("page")), base)
     written = [("navigation.json", navigation_json(spark, f"{base}/source", RELEASE))]
-    export.write_pages(spark.createDataFrame(written, "path string, page string"), base.removeprefix("file:"))
+    export.write_pages(spark.createDataFrame(written, "path string, page string"), base)
     read = corpus.navigation_file(spark, f"{base}/navigation.json", RELEASE).select(F.explode("sections").alias("s"))
     out = cut(read.select("s.name", "s.source_path", F.array_join("s.kinds", ",").alias("kinds"), F.col("s.method_count").cast("long").alias("method_count")))
     delete(spark, base)
@@ -302,8 +302,8 @@ def crawl_manifest(spark, sf_dir):
     done = {"url": F.format_string("https://docs.example/db/content/docs/src/n%d.htm#_print", "k"), "status": F.when(F.col("k") % 5 > 0, F.lit("ok")).otherwise(F.lit("error")), "title": F.col("n_name"), "file": F.when(F.col("k") % 5 > 0, file), "children": F.array().cast("array<string>")}
     fields = [c.split()[0] for c in corpus.PAGE.split(", ")]
     pages = n.select("k", *(done.get(c, F.lit(None).cast("string")).alias(c) for c in fields))
-    export.write_pages(pages.filter("file IS NOT NULL").select(F.col("file").alias("path"), F.concat(F.lit("﻿"), F.when(F.col("k") == 7, F.lit("")).otherwise(F.concat(F.lit("body "), "title"))).alias("page")), base.removeprefix("file:"))
-    export.write_pages(spark.createDataFrame([("manifest.json", crawl.manifest(pages, "s", "r"))], "path string, page string"), base.removeprefix("file:"))
+    export.write_pages(pages.filter("file IS NOT NULL").select(F.col("file").alias("path"), F.concat(F.lit("﻿"), F.when(F.col("k") == 7, F.lit("")).otherwise(F.concat(F.lit("body "), "title"))).alias("page")), base)
+    export.write_pages(spark.createDataFrame([("manifest.json", crawl.manifest(pages, "s", "r"))], "path string, page string"), base)
     out = cut(corpus.crawled_pages(spark, f"{base}/manifest.json").select("url", "title", "html"))
     delete(spark, base)
     return out
@@ -315,7 +315,7 @@ def corpus_scan(spark, sf_dir):
     base = _folder(spark)
     pages = _pages(spark, sf_dir)
     index = pages.select(F.concat("folder", F.lit("/index.html")).alias("path"), F.lit("<h1>index</h1>").alias("page")).distinct()
-    export.write_pages(pages.select(F.col("source_path").alias("path"), F.col("html").alias("page")).unionByName(index), base.removeprefix("file:"))
+    export.write_pages(pages.select(F.col("source_path").alias("path"), F.col("html").alias("page")).unionByName(index), base)
     out = cut(corpus.scan(spark, base).select("source_path", F.col("breadcrumb")[1].alias("subsystem"), F.length("html").cast("long").alias("size")))
     delete(spark, base)
     return out
@@ -387,7 +387,7 @@ def release_manifest(spark, sf_dir):
     base = _folder(spark)
     sizes = [r[0] for r in t.table(spark, sf_dir, "part").select("p_size").distinct().collect()]  # 50 sizes
     releases = {"schema_version": 1, "releases": [{"documentation_version": "x", "index_family": f"7.1.{s % 4}", "demo_version": f"7.1.{s % 4}.{s}"} for s in sizes]}
-    export.write_pages(spark.createDataFrame([("releases.json", json.dumps(releases))], "path string, page string"), base.removeprefix("file:"))
+    export.write_pages(spark.createDataFrame([("releases.json", json.dumps(releases))], "path string, page string"), base)
     found = corpus.matching_release(corpus.releases(spark, f"{base}/releases.json"), "7.1.2.999")
     out = cut(found.select("demo_version", F.col("index_family").alias("family")))
     delete(spark, base)

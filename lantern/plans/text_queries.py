@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lantern.functions import text, versions
-from lantern.operators import documents, enrich, graph
+from lantern.operators import documents, enrich, graph, numbering
 from lantern.plans import tables as t
 from lantern.sources import corpus
 from lantern.sources.checkpoints import cut
@@ -162,9 +162,9 @@ def roots_antijoin(spark, sf_dir):
 SELECT source, CAST(batch AS INTEGER) AS batch, CAST(max(n) AS INTEGER) AS n_items, CAST(max(size) AS BIGINT) AS size FROM w GROUP BY source, batch""")
 def greedy_batches(spark, sf_dir):
     """Each source's documents in order, in batches of up to 20 and 75000 characters."""
-    docs = t.table(spark, sf_dir, "documents").groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: x["n_chars"]).alias("sizes"))
-    batch = docs.select("source", F.posexplode(enrich.batches(F.col("sizes"), 20, 75_000)).alias("b", "items"))
-    return batch.select("source", (F.col("b") + 1).alias("batch"), F.size("items").alias("n_items"), F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x).alias("size"))
+    docs = t.table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    placed = numbering.batched(docs, ["doc_id"], "n_chars", 20, 75_000, "source")
+    return placed.groupBy("source", "batch").agg(F.count(F.lit(1)).cast("int").alias("n_items"), F.sum("n_chars").alias("size"))
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")

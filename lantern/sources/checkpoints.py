@@ -82,3 +82,11 @@ def state(spark: SparkSession, path: str) -> tuple[int, int]:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return system.getContentSummary(target).getLength(), system.getFileStatus(target).getModificationTime()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, on whatever file system it is; none if there is no folder."""
+    if not exists(spark, path):
+        return []
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().getName() for s in target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)]

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from lantern.functions import markup
 from lantern.functions.urls import Site
+from lantern.operators import numbering
 from lantern.operators.graph import DEFAULT_TITLE
 from lantern.sources.checkpoints import cut, drop, exists
-from lantern.sources.corpus import PAGE, html_text
+from lantern.sources.corpus import PAGE, html_text, next_number
 
 FETCHED = f"{PAGE}, html string"
 
@@ -114,13 +115,11 @@ def crawl(spark: SparkSession, start: str, fetch: Callable[[str], Fetched], site
     return pages
 
 
-def numbered(pages: DataFrame, last: int = 0) -> DataFrame:
-    """Pages with the names of their files, four digits each, in order of address."""
-    from pyspark.sql import Window
-
-    # the pages of one crawl are numbered in one sequence, on their addresses alone
-    ranks = pages.filter("status = 'ok'").select("url", (F.row_number().over(Window.orderBy("url")) + last).alias("n"))
-    named = ranks.select("url", F.concat(F.lit("pages/"), F.format_string("%04d", "n"), F.lit(".html")).alias("new_file"))
+def numbered(pages: DataFrame) -> DataFrame:
+    """Pages with the names of their files, four digits each: those without one go on from the highest number, in order of address."""
+    first = pages.agg(next_number(pages)).first()[0]
+    new = numbering.numbered(pages.filter("status = 'ok' AND file IS NULL").select("url"), ["url"])
+    named = new.select("url", F.concat(F.lit("pages/"), F.format_string("%04d", F.col("number") + first), F.lit(".html")).alias("new_file"))
     return pages.join(named, "url", "left").withColumn("file", F.coalesce("file", "new_file")).drop("new_file")
 
 
