@@ -93,7 +93,7 @@ def section_id(version: Column, source_path: Column, anchor: Column, part: Colum
 
 def sections(pages: DataFrame, version: str, max_chars: int = MAX_CHARS) -> DataFrame:
     """Pages (source_path, breadcrumb, html) as sections in document order (ord)."""
-    full = F.lit(versions.Version.parse(version).full)
+    full = F.lit(versions.release(version).full)
     read = headings(pages.select("source_path", "breadcrumb", "html")).withColumn("paths", hierarchy(F.col("headings")))
     each = read.select("source_path", "breadcrumb", F.posexplode(F.arrays_zip("headings", "paths")).alias("n", "h"))
     anchor = F.coalesce("h.headings.anchor", F.concat(F.lit("section-"), (F.col("n") + 1).cast("string")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.functions import versions
-from lantern.operators import health, hybrid, lexical, navigation, scope
+from lantern.operators import health, hybrid, navigation, scope
 from lantern.sources import corpus
+from lantern.sources.checkpoints import exists
 from lantern.sources.store import Store, cache_key
 
 CANARIES = "query_id long, query string, expected string"
@@ -22,15 +23,12 @@ class Tools:
         self.checks: dict[str, health.HealthCheck] = {}
 
     def _vectors(self, queries: DataFrame) -> DataFrame:
-        """Queries with vectors: cached ones, and new ones that are cached."""
+        """Queries with vectors: cached ones, and new ones, which are written to the cache and read from there."""
         keyed = queries.withColumn("cache_key", F.concat(F.lit(f"{self.embedder.model}\n"), F.trim("query")))
-        known = self.store.cached(keyed)
-        new = hybrid.embedded(keyed.join(known, "cache_key", "left_anti").select("cache_key", "query").distinct(), self.embedder, "query", queries=True)
-        if not (rows := new.select("cache_key", "embedding").collect()):  # a batch of queries
-            return keyed.join(known, "cache_key").drop("cache_key")
-        made = self.spark.createDataFrame(rows, "cache_key string, embedding array<float>")
-        self.store.cache(made)
-        return keyed.join(known.unionByName(made), "cache_key").drop("cache_key")
+        asked = keyed.join(self.store.cached(keyed), "cache_key", "left_anti").select("cache_key", "query").distinct()
+        if not asked.isEmpty():
+            self.store.cache(hybrid.embedded(asked, self.embedder, "query", queries=True).select("cache_key", "embedding"))
+        return keyed.join(self.store.cached(keyed), "cache_key").drop("cache_key")
 
     def _ranked(self, family: str, queries: DataFrame, limit: int, condition) -> DataFrame:
         build = self.store.current(family)
@@ -50,7 +48,7 @@ class Tools:
         """The best sections of each query (query_id, query)."""
         if not 1 <= limit <= 20:
             raise ValueError("limit must be from 1 to 20")
-        family = versions.Version.parse(version).family
+        family = versions.release(version).family
         self.store.check_model(family, self.embedder)
         self._healthy(family)
         condition = scope.condition(F.col("source_path"), mode, subsystem, group)
@@ -63,7 +61,7 @@ class Tools:
         return self.search_batch(version, asked, limit, mode, subsystem, group).orderBy("rank")
 
     def _navigation(self, version: str) -> navigation.Navigation:
-        source = self.store.metadata(versions.Version.parse(version).family)["source_version"]
+        source = self.store.metadata(versions.release(version).family)["source_version"]
         each = corpus.navigation_file(self.spark, f"{self.root}/navigation/{source}.json", source).select(F.posexplode("sections").alias("n", "s")).select("n", "s.*")
         groups = each.select(F.col("name").alias("subsystem"), F.explode("groups").alias("g")).select("subsystem", "g.*")
         return navigation.Navigation(each.drop("groups"), groups.drop("methods"), groups.select(F.col("id").alias("group_id"), F.posexplode("methods").alias("ord", "m")).select("group_id", "ord", "m.*"))
@@ -85,21 +83,24 @@ class Tools:
 
     def demo_location(self, version: str) -> dict:
         """The demo release that fits a version, or why there is none."""
-        full = versions.Version.parse(version).full
+        full = versions.release(version).full
         found = corpus.matching_release(corpus.releases(self.spark, f"{self.root}/releases.json"), full).collect()
         if not found:
             return {"requested_version": full, "available": False, "reason": "no demo fits this version"}
-        return {"requested_version": full, "available": True, "demo_version": found[0]["demo_version"], "archive": found[0]["demo_archive"]}
+        archive = found[0]["demo_archive"]
+        if not exists(self.spark, f"{self.root}/{archive}"):
+            return {"requested_version": full, "available": False, "reason": f"the demo's archive isn't there: {archive}"}
+        return {"requested_version": full, "available": True, "demo_version": found[0]["demo_version"], "archive": archive, "sha256": corpus.file_digest(self.spark, f"{self.root}/{archive}")}
 
     def section(self, version: str, section_id: str) -> DataFrame:
-        found = self.store.section(versions.Version.parse(version).family, section_id)
+        found = self.store.section(versions.release(version).family, section_id)
         if found.isEmpty():
             raise KeyError(section_id)
         return found.select("title", "text", *(F.when(F.col(c), F.lit(True)).alias(c) for c in ("has_recommendation", "has_warning")))
 
     def source_section(self, version: str, section_id: str, form: str = "markdown") -> dict:
         """The page that a section is from, as Markdown or HTML."""
-        family = versions.Version.parse(version).family
+        family = versions.release(version).family
         row = self.store.section(family, section_id).select("title", "source_path").first()
         if row is None:
             raise KeyError(section_id)
@@ -107,17 +108,22 @@ class Tools:
         page = self.spark.read.option("wholetext", True).text(f"{self.root}/sources/{release}/{row['source_path']}").first()
         return {"title": row["title"], "format": form.strip().lower(), "content": corpus.original(page["value"], form)}
 
-    def detect_version(self, project: str, marker: str) -> versions.Version:
+    def detect_version(self, project: str, marker: str) -> Row:
         """The release that a project's files name; ``marker`` names the library in the older kind of file."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{Configuration.distr,ParentConfigurations.bin}").load(project)
-        chosen = corpus.project_file(files.select(corpus.relative_path(project).alias("path"), "content"))
-        text = corpus.decoded("content")
-        found = chosen.select("path", text.alias("text")).select(F.when(F.endswith("path", F.lit(".distr")), versions.from_support_xml(F.col("text"))).otherwise(versions.quoted_before(F.col("text"), marker)).alias("v")).first()
+        # a path that is the file itself is found like one below a folder
+        path = F.coalesce(corpus.relative_path(project), F.regexp_extract("_metadata.file_path", "([^/]*)$", 1))
+        chosen = corpus.project_file(files.select(path.alias("path"), "content"))
+        support = F.endswith("path", F.lit(".distr"))
+        quoted = versions.quoted_before(F.col("text"), marker)
+        read = chosen.select("path", corpus.decoded("content").alias("text"))
+        reason = F.when(support, versions.support_failure(F.col("text"))).when(~F.contains("text", F.lit(marker)), F.lit("the marker isn't in the project file")).when(quoted.isNull(), F.lit("no version before the marker"))
+        found = read.select(F.when(support, versions.from_support_xml(F.col("text"))).otherwise(quoted).alias("v"), reason.alias("reason")).first()
         if found is None:
             raise FileNotFoundError(f"no project file below {project}")
         if found["v"] is None:
-            raise ValueError(f"no version in the project file below {project}")
-        return versions.Version.parse(found["v"])
+            raise ValueError(f"{found['reason']}: {project}")
+        return versions.release(found["v"])
 
     def list_versions(self) -> list[str]:
         return self.store.families()

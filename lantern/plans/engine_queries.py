@@ -71,12 +71,12 @@ def page_sections(spark, sf_dir):
 
 @query("""SELECT doc_id, CAST(k AS INTEGER) AS part, body FROM (
   SELECT doc_id, unnest(range(len(parts))) AS k, unnest(parts) AS body FROM (
-    SELECT doc_id, list_filter(list_transform(range(0, greatest(len(t), 1), 800), lambda i: trim(t[i + 1:i + 800], ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS parts FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE length(t) > 800
+    SELECT doc_id, CASE WHEN length(t) <= 800 THEN [t] ELSE list_filter(list_transform(range(0, greatest(len(t), 1), 800), lambda i: trim(t[i + 1:i + 800], ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') END AS parts FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL)
   )
 )""")
 def chunk_cut(spark, sf_dir):
-    """Texts over 800 characters as one block each, which is cut into slices."""
-    docs = t.table(spark, sf_dir, "documents").filter(F.length("text") > 800)
+    """Each text as one block, which is cut into slices where it has over 800 characters."""
+    docs = t.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     return docs.select("doc_id", F.posexplode(documents.packed(F.array("text"), 800)).alias("part", "body"))
 
 

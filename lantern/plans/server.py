@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterable
 from typing import IO, Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from lantern.plans.api import Tools
 
@@ -36,7 +36,7 @@ def plain(value: Any) -> Any:
     """A tool's answer as JSON; absent fields are left out."""
     if isinstance(value, DataFrame):  # the rows of one answer, bounded by its limit
         return [{k: v for k, v in row.asDict(recursive=True).items() if v is not None} for row in value.collect()]
-    return value._asdict() if hasattr(value, "_asdict") else vars(value) if hasattr(value, "__dataclass_fields__") else value
+    return value.asDict() if isinstance(value, Row) else value._asdict() if hasattr(value, "_asdict") else vars(value) if hasattr(value, "__dataclass_fields__") else value
 
 
 def answer(tools: Tools, request: dict) -> dict | None:
@@ -53,7 +53,10 @@ def answer(tools: Tools, request: dict) -> dict | None:
     head = {"jsonrpc": "2.0", "id": request["id"]}
     if called not in methods:
         return head | {"error": {"code": UNKNOWN_METHOD, "message": f"no such method: {called}"}}
-    return head | {"result": methods[called]()}
+    try:
+        return head | {"result": methods[called]()}
+    except Exception as error:  # noqa: BLE001  whatever fails is answered under the request's id
+        return head | {"error": {"code": FAILED, "message": f"{type(error).__name__}: {error}"}}
 
 
 def run(tools: Tools, name: str, arguments: dict) -> dict:

@@ -28,7 +28,7 @@ def relative_path(root: str) -> Column:
     whole = F.col("_metadata.file_path")
     plain = F.url_decode(F.replace(whole, F.lit("+"), F.lit("%2B")))
     bare = "/" + re.sub(r"^[a-z]+:/*", "", root).strip("/") + "/"
-    return F.element_at(F.split(plain, re.escape(bare), 2), 2)
+    return F.try_element_at(F.split(plain, re.escape(bare), 2), F.lit(2))
 
 
 def html_files(spark: SparkSession, root: str) -> DataFrame:
@@ -90,9 +90,16 @@ def crawled_pages(spark: SparkSession, manifest: str) -> DataFrame:
     return finished(crawl_manifest(spark, manifest)).select(F.col("page_url").alias("url"), "title", "parent", "file").join(htmls, "file").select("url", "title", "parent", "html")
 
 
-def counters(pages: DataFrame) -> DataFrame:
-    """One row: pages and errors of a crawl."""
-    return pages.agg(F.count_if(F.col("status") == "ok").alias("pages"), F.count_if(F.col("status") == "error").alias("errors"))
+def counters(pages: DataFrame, since: str | None = None) -> DataFrame:
+    """One row: pages and errors of a crawl, and of its pages those fetched (from the moment ``since``) and those skipped, as they were there."""
+    ok = F.col("status") == "ok"
+    new = ok & (F.lit(True) if since is None else F.coalesce(F.col("fetchedAt") >= since, F.lit(False)))
+    return pages.agg(F.count_if(ok).alias("pages"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(new).alias("fetched"), F.count_if(ok & ~new).alias("skipped"))
+
+
+def file_digest(spark: SparkSession, path: str) -> str:
+    """sha256 of a file's bytes."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
 
 
 def next_number(pages: DataFrame) -> Column:

@@ -60,12 +60,14 @@ class Store:
 
     def build(self, sections: DataFrame, embedder: hybrid.Embedder, version: str, source: str = "", files: int | None = None, product: str = "Docs") -> str:
         """Writes sections with vectors, postings, lengths and metadata, and makes them current; the build's name."""
-        release = versions.Version.parse(version)
+        release = versions.release(version)
         name = uuid.uuid4().hex
         base = f"{self.root}/{release.family}/{name}"
         ready = hybrid.embedded(documents.with_embedding_text(sections, product), embedder, "embedding_text").drop("embedding_text")
         ready.write.parquet(f"{base}/sections")
         stored = documents.assert_unique(self.spark.read.parquet(f"{base}/sections"))
+        if bad := stored.filter("embedding IS NULL").select("id").first():
+            raise ValueError(f"there are fewer vectors than sections: {bad['id']}")
         index = lexical.Index.build(stored)
         index.write(base)
         found = cells.Cells.build(stored)

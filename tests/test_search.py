@@ -96,6 +96,36 @@ def test_tools_end_to_end(spark, tmp_path):
         tools.search("9.9", "файл")
 
 
+def test_versions_and_demos_of_files(spark, tmp_path):
+    """A project by its folder or its file, each failure by its reason, and demos whose archive is there."""
+    tools = Tools(spark, str(tmp_path), hybrid.HashingEmbedder())
+    xml = lambda inner: f'<?xml version="1.0"?><d:DistributionSupport xmlns:d="x">{inner}</d:DistributionSupport>'
+    folder = tmp_path / "p/Configuration/src/Configuration"
+    folder.mkdir(parents=True)
+    file = folder / "Configuration.distr"
+    for text_, want in ((xml('<parentConfigurationInfos configRelease="3.1.011.9"/>'), "3.1.11.9"), (xml(""), "no configuration"), (xml("<parentConfigurationInfos/>"), "without a release"), ("plain", "not a support")):
+        file.write_text(text_)
+        for path in (str(tmp_path / "p"), str(file)):
+            if want[0].isdigit():
+                assert tools.detect_version(path, "Lib").asDict() == {"full": want, "family": "3.1"}
+            else:
+                with pytest.raises(ValueError, match=want):
+                    tools.detect_version(path, "Lib")
+    legacy = folder / "ParentConfigurations.bin"
+    for content, want in (('{"2.0.1","3.0.2",Lib,"9.9"}', None), ('{"x",Lib}', "no version"), ("{}", "marker")):
+        legacy.write_bytes(content.encode("cp1251"))
+        if want is None:
+            assert tools.detect_version(str(legacy), "Lib")["full"] == "3.0.2"
+        else:
+            with pytest.raises(ValueError, match=want):
+                tools.detect_version(str(legacy), "Lib")
+    release = {"demo_version": "3.1.11.5", "demo_archive": "demo.zip"}
+    (tmp_path / "releases.json").write_text(json.dumps({"releases": [release]}))
+    assert tools.demo_location("3.1.11.9")["reason"].endswith("demo.zip") and not tools.demo_location("4.0")["available"]
+    (tmp_path / "demo.zip").write_bytes(b"abc")
+    assert tools.demo_location("3.1.11.9")["sha256"].startswith("ba7816bf8f01cfea414140de5dae2223")
+
+
 def test_query_cache_keeps_the_last(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     keys = spark.createDataFrame([("m\nq",)], "cache_key string")
