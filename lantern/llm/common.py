@@ -18,7 +18,7 @@ LOWER = UPPER.lower()
 WORD = r"[^\x20\x09-\x0D]+"
 #: A group with more than one row in this many is joined on its own, so at most this many groups are broadcast.
 HEAVY_PARTS = 1000
-#: Texts of more characters aren't learned from, so that a sample of so many rows is of bounded size.
+#: Of a text of more characters, one part of this length is learned from, so that a sample of so many rows is of bounded size.
 SAMPLE_CHARS = 200_000
 
 
@@ -58,6 +58,14 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % parts
 
 
+def learned_part(text: str | Column, doc_id: str | Column) -> Column:
+    """What a model learns from a text that was sampled: all of it, or of a very long one the part that a hash of its id picks."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    parts = F.greatest(F.ceil(F.length(text) / SAMPLE_CHARS), F.lit(1))
+    start = (F.pmod(F.xxhash64(doc_id), parts) * SAMPLE_CHARS + 1).cast("int")
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.substring(text, start, F.lit(SAMPLE_CHARS)))
+
+
 def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     """For each wanted helper column, a name that ``df`` doesn't have (case-insensitively)."""
     taken, out = {c.lower() for c in df.columns}, {}
@@ -120,7 +128,7 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, fold_parts: i
     allowed = marks.filter(F.col(label).isin(0, 1) & (fold("doc_id", fold_parts) != held_out)).select(F.col("doc_id").alias("s_id"), F.col(label).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in allowed.groupBy("label").count().collect()}
     chosen = lowest_hashes(allowed, "s_id", "label", per_class, counts)
-    texts = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")).select(F.coalesce("text", F.lit("")).alias("text"), "label", "rank")
+    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")).select(learned_part("text", "doc_id").alias("text"), "label", "rank")
     return sorted(texts.collect(), key=lambda r: (r["rank"], r["label"], r["text"])), counts
 
 

@@ -16,7 +16,7 @@ languages there are; one in ``CALIBRATES`` of the texts fits the temperature.
 Defined results: null texts, and texts without a letter, are ``und`` with score
 0; null languages aren't learned; without labelled texts everything is ``und``;
 repeated rows are predicted alike; an empty table gives an empty result. Very long texts are
-predicted whole, but those of over ``common.SAMPLE_CHARS`` characters aren't learned from, so that
+predicted whole; of a sampled one of over ``common.SAMPLE_CHARS`` characters one part of that length is learned from, so that
 a sample's size is bounded by the number of languages. Other columns stay as they are, but for
 those named like the prediction and its score, which are replaced.
 """
@@ -162,11 +162,11 @@ def train(texts: list[str], marks: list[str]) -> Model | None:
 
 def fit(docs: DataFrame) -> Model | None:
     """Learns every language of ``docs`` from a bounded sample of its texts outside the held-out fold."""
-    allowed = docs.filter(F.col("lang").isNotNull() & (common.fold("doc_id", FOLDS) != HELD_OUT) & (F.coalesce(F.length("text"), F.lit(0)) <= common.SAMPLE_CHARS)).select("doc_id", "lang", "text")
+    allowed = docs.filter(F.col("lang").isNotNull() & (common.fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["count"] for r in allowed.groupBy("lang").count().collect()}
     chosen = common.lowest_hashes(allowed.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE, counts)
     chosen = chosen.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang"), "rank")
-    rows = allowed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang"))).select("lang", F.coalesce("text", F.lit("")).alias("text"), "rank").collect()
+    rows = allowed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang"))).select("lang", common.learned_part("text", "doc_id").alias("text"), "rank").collect()
     rows.sort(key=lambda r: (r["rank"], r["lang"], r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 

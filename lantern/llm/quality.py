@@ -15,8 +15,8 @@ texts of each class, and ``CALIBRATION`` more of each.
 Defined results: null texts count as empty and get the score of an empty text;
 without labelled rows of both classes every score is 0.5; repeated rows are
 scored alike; an empty table gives an empty result; labels beyond 0 and 1 are
-ignored. Very long texts are scored whole, in pieces, but those of over ``common.SAMPLE_CHARS``
-characters aren't learned from. Other columns stay as they are, but for one named like the
+ignored. Very long texts are scored whole, in pieces; of a sampled one of over ``common.SAMPLE_CHARS``
+characters one part of that length is learned from. Other columns stay as they are, but for one named like the
 score, which is replaced.
 """
 

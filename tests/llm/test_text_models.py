@@ -134,10 +134,15 @@ def test_clashing_columns(spark, data):
                 assert all(not isinstance(r[c], str) or not r[c].startswith(c) for c in own.split() if c in out.columns)
 
 
-def test_very_long_texts_are_not_learned_from(spark, data, monkeypatch):
+def test_very_long_texts_are_learned_from_by_a_part(spark, data, monkeypatch):
     docs, labels = data
-    monkeypatch.setattr(language.common, "SAMPLE_CHARS", 10)
-    assert language.fit(docs) is None and toxicity.fit(docs, labels) is None and quality.fit(docs, labels) is None
+    monkeypatch.setattr(language.common, "SAMPLE_CHARS", 60)
+    part = language.common.learned_part("text", "doc_id")
+    rows = spark.createDataFrame([(1, "a" * 60), (2, None), (3, "".join(f"{k:04}" for k in range(1000))), (4, "".join(f"{k:04}" for k in range(1000)))], "doc_id long, text string")
+    one, none, *long = (r[0] for r in rows.orderBy("doc_id").select(part).collect())
+    assert one == "a" * 60 and none == "" and all(0 < len(x) <= 60 for x in long) and long[0] != long[1]
+    assert set(language.fit(docs).languages) == {r.lang for r in docs.select("lang").distinct().collect() if r.lang}
+    assert toxicity.fit(docs, labels) is not None and quality.fit(docs, labels) is not None
 
 
 def test_quality(spark, data):
