@@ -87,10 +87,13 @@ def levels(edges: DataFrame, starts: DataFrame, most: int | None = None) -> Data
     while most is None or level < most:
         level += 1
         found = frontier.select(F.col("url").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("src", "ord")).alias("first"))
+        spent = [] if frontier is visited else [frontier]
         frontier = cut(found.join(visited, "url", "left_anti").select("url", F.lit(level).alias("level"), F.col("first.src").alias("parent")))
+        drop(*spent)
         if frontier.isEmpty():
             break
-        visited = cut(visited.unionByName(frontier))
+        before, visited = visited, cut(visited.unionByName(frontier))
+        drop(before)
     return visited
 
 
@@ -107,8 +110,10 @@ def first_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
         path = F.struct(F.concat("key", F.array(F.col("ord").cast("long"))).alias("key"), F.col("url").alias("parent"), F.concat("chain", F.array("dst")).alias("chain"))
         led = ahead.groupBy(F.col("dst").alias("url")).agg(F.min(path).alias("p")).select("url", "p.key", "p.parent", "p.chain")
         old = best.select(F.col("url").alias("o_url"), F.col("key").alias("o_key"))
+        spent = [frontier, best]
         frontier = cut(led.join(old, F.col("url") == F.col("o_url"), "left").filter("o_key IS NULL OR key < o_key").drop("o_url", "o_key"))
         best = cut(best.join(frontier.select("url"), "url", "left_anti").unionByName(frontier))
+        drop(*spent)
     return best.select("url", "parent", "key")
 
 
@@ -166,6 +171,8 @@ def tree_paths(pages: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFra
         named = cut(named.select("url", "folder", "name", "path"))
         if named.isEmpty():
             return done.select("url", "path") if done is not None else named.select("url", "path")
-        done = cut(named if done is None else done.unionByName(named))
+        before, done = done, cut(named if done is None else done.unionByName(named))
+        if before is not None:
+            drop(before)
         above = named.select(F.col("url").alias("parent"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
         level = left.join(above, "parent")

@@ -93,23 +93,27 @@ def crawl(spark: SparkSession, start: str, fetch: Callable[[str], Fetched], site
         best = kept.groupBy("url").agg(F.max_by(F.struct(*kept.columns), F.struct(F.col("status") == "ok", "lastTriedAt")).alias("p")).select("p.*")
         earlier = earlier.join(best.select("url"), "url", "left_anti").select(kept.columns).unionByName(best)
     pages = cut(earlier)
-    visited = frontier = cut(spark.createDataFrame([(first, None)], "url string, parent string"))
+    # seq is a page's place in the queue: pages are fetched in the order in which they were found
+    frontier = cut(spark.createDataFrame([(first, None, 0)], "url string, parent string, seq long"))
+    visited = cut(frontier.select("url"))
     count = 0
     while not frontier.isEmpty():
         done = pages.filter("status = 'ok'").select("url", "children")
         todo = frontier.join(done, "url", "left_anti")
         if max_pages is not None:
-            todo = todo.orderBy("url").limit(max(0, max_pages - count))
-        new = cut(fetched(todo, fetch, site, root))
+            todo = todo.orderBy("seq").limit(max(0, max_pages - count))
+        new = cut(fetched(todo.drop("seq"), fetch, site, root))
         if keep:
             new.write.mode("append").parquet(keep)
         count += new.count()
         older, pages = pages, cut(pages.join(new, "url", "left_anti").select(new.columns).unionByName(new))
-        here = frontier.select("url").join(pages.filter("status = 'ok'"), "url").select(F.col("url").alias("parent"), F.posexplode("children").alias("ord", "url"))
-        seen = here.groupBy("url").agg(F.min(F.struct("parent", "ord")).alias("m")).select("url", F.col("m.parent").alias("parent"))
-        frontier = cut(seen.join(visited, "url", "left_anti"))
-        visited = cut(visited.unionByName(frontier))
-        drop(older, new)
+        here = frontier.select("url", "seq").join(pages.filter("status = 'ok'").select("url", "children"), "url").select(F.col("url").alias("parent"), "seq", F.posexplode("children").alias("ord", "url"))
+        seen = here.groupBy("url").agg(F.min(F.struct("seq", "ord", "parent")).alias("m")).select("url", "m.*")
+        found = numbering.numbered(seen.join(visited, "url", "left_anti"), ["seq", "ord"]).select("url", "parent", F.col("number").alias("seq"))
+        spent = [older, new, frontier, visited]
+        frontier = cut(found)
+        visited = cut(visited.unionByName(frontier.select("url")))
+        drop(*spent)
         if max_pages is not None and count >= max_pages:
             break
     return pages

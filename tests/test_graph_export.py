@@ -67,6 +67,16 @@ def test_crawl_resumes_and_ends_on_cycles(spark):
     assert crawl.crawl(spark, url("root.htm"), fetcher(PAGES), SITE, max_pages=1).count() == 1
 
 
+def test_crawl_is_first_in_first_out(spark):
+    """Under a limit, pages are fetched in the order in which they were found; a page's parent is the first that led to it."""
+    link = lambda *names: "".join(f'<a href="{n}.htm">x</a>' for n in names)
+    site = {url("root.htm"): link("z", "b"), url("z.htm"): link("y", "a"), url("b.htm"): link("a", "c"), **{url(f"{n}.htm"): "end" for n in "yac"}}
+    for most, want in ((2, "z"), (3, "zb"), (4, "zby"), (5, "zbya"), (None, "zbyac")):
+        got = {r.url: r.parent for r in crawl.crawl(spark, url("root.htm"), fetcher(site), SITE, max_pages=most).collect()}
+        assert set(got) == {url("root.htm"), *(url(f"{n}.htm") for n in want)}
+    assert got[url("a.htm")] == url("z.htm") and got[url("c.htm")] == url("b.htm")
+
+
 def test_export(spark, tmp_path):
     pages = spark.createDataFrame([(u, export.parse(h).find("h1").text(" "), None, h) for u, h in PAGES.items()], "url string, title string, parent string, html string")
     edges = graph.known_links(graph.links(pages, SITE, ROOT, index_only=True), pages)
