@@ -6,6 +6,7 @@ higher-order functions on one row for each page, so nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +32,41 @@ def _headings(html: str) -> list[dict]:
     return found
 
 
+class HtmlBlocks:
+    """A table function for lateral joins: a page's blocks, one row each, as they are read.
+
+    Each row has its heading's number (from 1), level, title, anchor (or null) and path of titles, and the block's number (from 1; 0 for
+    the heading itself, whose text is its title). Titles and texts are cleaned; empty ones are left out.
+    """
+
+    def eval(self, html: str | None):
+        n, stack, k = 0, [""] * 6, 0
+        for node in markup.parse(html or "").walk():
+            if len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1] in "123456":
+                if title := clean(node.text(" ")):
+                    n, k, level = n + 1, 0, int(node.tag[1])
+                    stack = [*stack[: level - 1], title, *[""] * (6 - level)]
+                    at = (n, level, title, node.attrs.get("id") or None, [t for t in stack if t])
+                    yield (*at, 0, title)
+            elif n and node.tag in BLOCKS and not any(a.tag in BLOCKS for a in node.ancestors()):
+                if body := clean(node.text("\n")):
+                    k += 1
+                    yield (*at, k, body)
+
+
+def clean(value: str) -> str:
+    """What ``text.clean_lines`` does to a column, for one string."""
+    lines = (re.sub(r"[ \t\r\f\x0b]+", " ", line).strip() for line in value.splitlines())
+    return "\n".join(filter(None, lines))
+
+
+def html_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` by blocks: all columns but the markup, and those of ``HtmlBlocks``."""
+    blocks = F.udtf(HtmlBlocks, returnType="heading int, level int, title string, anchor string, path array<string>, block int, text string")
+    named = pages.withColumnRenamed(html, "_html")
+    return named.lateralJoin(blocks(F.col("_html").outer())).drop("_html")
+
+
 def headings(pages: DataFrame, html: str = "html", into: str = "headings") -> DataFrame:
     """``pages`` with its headings: level, title, anchor (or null) and cleaned, non-empty blocks."""
 

@@ -69,6 +69,19 @@ def page_sections(spark, sf_dir):
     return documents.sections(pages, RELEASE).select("id", "source_path", "anchor", "title", text.location(F.col("breadcrumb")).alias("location"), "text", "part")
 
 
+@query(f"""WITH p AS ({PAGES}), h AS (
+  SELECT source_path, 1 AS heading, 1 AS level, s_name AS title, 'a' || s_suppkey AS anchor, s_name AS path, [s_name, trim(purpose)] AS texts FROM p
+  UNION ALL SELECT source_path, 2, 3, 'Deep ' || n_name, NULL, s_name || ' > Deep ' || n_name, ['Deep ' || n_name, 'one', 'two', 'x'] FROM p
+  UNION ALL SELECT source_path, 3, 2, 'Second', NULL, s_name || ' > Second', ['Second'] FROM p
+  UNION ALL SELECT source_path, 4, 1, 'Last', NULL, 'Last', ['Last'] FROM p
+)
+SELECT source_path, CAST(heading AS INTEGER) AS heading, CAST(level AS INTEGER) AS level, title, anchor, path, CAST(generate_subscripts(texts, 1) - 1 AS INTEGER) AS block, unnest(texts) AS text FROM h""")
+def html_blocks(spark, sf_dir):
+    """Whole pages as rows of blocks by a table function, joined laterally."""
+    found = documents.html_blocks(_pages(spark, sf_dir).select("source_path", "html"))
+    return found.select("source_path", "heading", "level", "title", "anchor", F.array_join("path", " > ").alias("path"), "block", "text")
+
+
 @query("""SELECT doc_id, CAST(k AS INTEGER) AS part, body FROM (
   SELECT doc_id, unnest(range(len(parts))) AS k, unnest(parts) AS body FROM (
     SELECT doc_id, CASE WHEN length(t) <= 800 THEN [t] ELSE list_filter(list_transform(range(0, greatest(len(t), 1), 800), lambda i: trim(t[i + 1:i + 800], ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') END AS parts FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL)

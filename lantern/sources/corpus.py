@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lantern.functions import markup, versions
+from lantern.sources.archive import members
 
 PAGE = "url string, discoveredAt string, status string, title string, file string, contentType string, children array<string>, parent string, fetchedAt string, lastTriedAt string, error string"
 CRAWL_MANIFEST = f"schemaVersion int, createdAt string, updatedAt string, startUrl string, allowedRoot string, pages map<string, struct<{', '.join(p.replace(' ', ': ', 1) for p in PAGE.split(', '))}>>"
@@ -175,11 +176,6 @@ def original(html: str, form: str = "markdown") -> str:
     return html if form == "html" else markup.markdown(html)
 
 
-def safe_member(path: Column) -> Column:
-    """Whether an archive member stays inside the folder it is taken to."""
-    return ~(F.contains(path, F.lit("\\")) | F.startswith(path, F.lit("/")) | F.contains(path, F.lit(":")) | path.rlike(r"(^|/)\.\.(/|$)"))
-
-
 def zip_members(archives: DataFrame, content: str = "content") -> DataFrame:
     """Per member of the archives (path, content): archive, member, data; unsafe paths and links are errors."""
 
@@ -187,12 +183,8 @@ def zip_members(archives: DataFrame, content: str = "content") -> DataFrame:
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                    for info in archive.infolist():
-                        link = info.external_attr >> 28 == 0xA
-                        if link or "\\" in info.filename or info.filename.startswith("/") or ":" in info.filename or ".." in info.filename.split("/"):
-                            raise ValueError(f"unsafe member {info.filename!r}")
-                        if not info.is_dir():
-                            yield pd.DataFrame({"archive": [path], "member": [info.filename], "data": [archive.read(info)]})
+                    for info in members(archive):
+                        yield pd.DataFrame({"archive": [path], "member": [info.filename], "data": [archive.read(info)]})
 
     return archives.select("path", F.col(content).alias("content")).mapInPandas(read, "archive string, member string, data binary")
 
@@ -200,8 +192,3 @@ def zip_members(archives: DataFrame, content: str = "content") -> DataFrame:
 def versions_in(indexes: DataFrame) -> DataFrame:
     """The families that have an index, sorted."""
     return indexes.select("family").distinct().orderBy("family")
-
-
-def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n")

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lantern.functions import markup
 from lantern.operators import documents, scope
@@ -92,3 +93,19 @@ def test_scopes(spark):
 def test_markdown():
     html = "<h1>T</h1><p>a <b>b</b> <i>c</i></p><ul><li>x<li>y</ul><pre>k = 1</pre><script>no</script>"
     assert markup.markdown(html) == "# T\n\na **b** *c*\n\n- x\n- y\n\n```\nk = 1\n```"
+
+
+def test_blocks_of_a_table_function_are_those_of_the_arrays(spark):
+    odd = ["<p>before</p><h2 id='a'> A\u00a0 b </h2><p>one<br>two</p><ul><li>x<p>inner</p></li></ul><h4></h4><h4>Deep</h4><h1>Last</h1><pre> a\n\n  b </pre>", "", None, "<p>no heading</p>", "<h3>Only</h3>", "<h1>" + "x " * 9000 + "</h1>" + "<p>y</p>" * 500]
+    pages = spark.createDataFrame(list(enumerate(odd)), "id int, html string")
+    read = documents.headings(pages).select("id", F.posexplode("headings").alias("n", "h")).select("id", (F.col("n") + 1).alias("heading"), "h.*")
+    want = {(r.id, r.heading): (r.level, r.title, r.anchor, list(r.blocks)) for r in read.collect()}
+    got = {}
+    for r in documents.html_blocks(pages).orderBy("id", "heading", "block").collect():
+        if r.block == 0:
+            got[r.id, r.heading] = (r.level, r.title, r.anchor, [])
+        else:
+            got[r.id, r.heading][3].append(r.text)
+    assert got == want
+    paths = documents.headings(pages).select("id", F.posexplode(documents.hierarchy(F.col("headings"))).alias("n", "path"))
+    assert {(r.id, r.n + 1): list(r.path) for r in paths.collect()} == {(r.id, r.heading): list(r.path) for r in documents.html_blocks(pages).filter("block = 0").collect()}
