@@ -1,11 +1,13 @@
 """Token counts, toxicity, quality and languages: exactness, held-out accuracy, odd rows."""
 
+import math
 import random
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
 
-from lantern.llm import language, quality, token_counts, toxicity
+from lantern.llm import common, language, quality, token_counts, toxicity
 
 ODD = [None, "", " ", "\n\t", "123 !!", "x" * 120_000, "Ünïcödé ﬁ 日本語 🙂", "same", "same"]
 
@@ -188,3 +190,94 @@ def test_word_sums_equal_whole_texts():
         words = language.words_of(text)
         buckets, _ = language.hashed_grams(words)
         assert np.allclose(known.sums(words), [*table[buckets].sum(0), len(buckets)])
+
+
+def plain_grams(text):
+    """Buckets and shares of a text's character n-grams, one n-gram at a time."""
+    counts = Counter()
+    for word in text.lower().split():
+        codes = [ord(c) for c in f"{language.MARK}{word}{language.MARK}"]
+        for n in range(1, language.MAX_N + 1):
+            for k in range(len(codes) - n + 1):
+                h = 0
+                for m in range(1, n + 1):
+                    h = (h * 0x100000001B3 + codes[k + m - 1] + m) % 2**64
+                counts[(h * 0x9E3779B97F4A7C15 % 2**64 >> 40) % language.BUCKETS] += 1
+    return {b: c / sum(counts.values()) for b, c in counts.items()}
+
+
+def test_languages_are_learned_as_defined(spark):
+    """Follow-the-regularised-leader by its definition, one coordinate at a time, on all of a small sample."""
+    rng = random.Random(2)
+    stems = {"l1": ["lor", "ana"], "l2": ["krü", "zwo"], "l3": ["aki", "lor"]}
+    texts = [(" ".join("".join(rng.choices(stems[lang], k=rng.randint(1, 3))) for _ in range(6)), lang) for lang in sorted(stems) * 7]
+    model = language.train([t for t, _ in texts], [m for _, m in texts])
+    seen = [plain_grams(t) for t, _ in texts]
+    df = Counter(b for x in seen for b in x)
+    idf = lambda b: language.SCALE * (1 + math.log((len(texts) + 1) / (df[b] + 1)))
+    z, n, names = defaultdict(float), defaultdict(float), sorted(stems)
+
+    def weight(key):
+        if abs(z[key]) <= language.L1:
+            return 0.0
+        return -(z[key] - math.copysign(language.L1, z[key])) / ((language.BETA + math.sqrt(n[key])) / language.ALPHA + language.L2)
+
+    for _ in range(language.EPOCHS):
+        for x, (_, mark) in zip(seen, texts):
+            values = {b: share * idf(b) for b, share in x.items()} | {"bias": 1.0}
+            old = {(b, m): weight((b, m)) for b in values for m in names}
+            logits = {m: sum(old[b, m] * v for b, v in values.items()) for m in names}
+            total = sum(math.exp(v) for v in logits.values())
+            for m in names:
+                error = math.exp(logits[m]) / total - (m == mark)
+                for b, v in values.items():
+                    g, before = v * error, n[b, m]
+                    n[b, m] += g * g
+                    z[b, m] += g - (math.sqrt(n[b, m]) - math.sqrt(before)) / language.ALPHA * old[b, m]
+    assert model.languages == names
+    for k, m in enumerate(names):
+        assert model.bias[k] == pytest.approx(weight(("bias", m)), abs=1e-9)
+        assert {b: model.table[b, k] for b in df} == pytest.approx({b: weight((b, m)) * idf(b) for b in df}, abs=1e-9)
+    odd_texts = ["loranakrü zwo", "Aki  AKI", "neues wort", texts[0][0]]
+    got = language.predict(spark.createDataFrame(list(enumerate(odd_texts)), "doc_id int, text string"), model).collect()
+    for row in got:
+        shares = plain_grams(row.text)
+        logits = [(sum(s * weight((b, m)) * idf(b) for b, s in shares.items() if b in df) + weight(("bias", m))) / model.temperature for m in names]
+        p = [math.exp(v - max(logits)) for v in logits]
+        assert row.lang_pred == names[p.index(max(p))] and row.score == pytest.approx(max(p) / sum(p), abs=1e-9)
+
+
+def test_quality_is_scored_as_defined(spark, data):
+    """Sizes by the dictionaries, piece by piece, and a calibration whose penalised loss is at its least."""
+    import zstandard
+
+    docs, labels = data
+    model = quality.fit(docs, labels)
+
+    def size(content, raw):
+        given = zstandard.ZstdCompressionDict(content)
+        one = lambda piece: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=given, write_content_size=False, write_dict_id=False, write_checksum=False).compress(piece))
+        return sum(one(raw[k : k + quality.PIECE]) for k in range(0, max(1, len(raw)), quality.PIECE))
+
+    def probability(text):
+        raw = (text or "").encode()
+        g, b = size(model.good, raw), size(model.bad, raw)
+        x = [(b - g) / (b + g), g / (len(raw) + 1), b / (len(raw) + 1), math.log1p(len(raw))]
+        x = [(min(max(v, lo), hi) - m) / s for v, lo, hi, m, s in zip(x, model.low, model.high, model.mean, model.scale)]
+        terms = x + [x[i] * x[j] for i in range(4) for j in range(i, 4)]
+        return 1 / (1 + math.exp(-sum(t * w for t, w in zip(terms, model.weights)) - model.weights[-1]))
+
+    for table in (odd(spark).select("doc_id", "text"), docs.select("doc_id", "text").limit(40)):
+        for row in quality.score(table, model).collect():
+            assert row.score == pytest.approx(probability(row.text), abs=1e-9)
+    rng = random.Random(5)
+    features = [[rng.gauss(y, 1), rng.gauss(0, 1)] for y in (0, 1, 1) for _ in range(30)]
+    marks = [y for y in (0, 1, 1) for _ in range(30)]
+
+    def loss(w):
+        share = {1: 60, 0: 30}
+        each = sum(math.log1p(math.exp(-(2 * y - 1) * (x[0] * w[0] + x[1] * w[1] + w[2]))) / (2 * share[y]) for x, y in zip(features, marks))
+        return each + 1e-3 / 2 * (w[0] ** 2 + w[1] ** 2)
+
+    best = list(common.logistic(features, marks))
+    assert all(loss(best) <= loss([v + d * (k == i) for i, v in enumerate(best)]) for k in range(3) for d in (-1e-3, 1e-3))
