@@ -5,13 +5,17 @@ Suppliers are the pages of a documentation tree; nations are its subsystems.
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.functions import text
+from lantern.functions import text, versions
 from lantern.functions.urls import Site
 from lantern.operators import documents, enrich, export, graph, hybrid, navigation, scope
 from lantern.plans import tables as t
@@ -247,6 +251,65 @@ def query_cache(spark, sf_dir):
     return out
 
 
+# --- bytes, project files and archives ---
+
+SUPPORT = "'<?xml version=\"1.0\"?><d:DistributionSupport xmlns:d=\"x\">' || CASE s_suppkey % 3 WHEN 0 THEN '<parentConfigurationInfos configRelease=\"' || s_suppkey || '.02.' || s_nationkey || '\"/><parentConfigurationInfos configRelease=\"9.9\"/>' WHEN 1 THEN '<parentConfigurationInfos/>' ELSE '<other/>' END || '</d:DistributionSupport>'"
+LEGACY = "'{\"7.1.1\",\"' || s_suppkey || '.0' || s_nationkey || '_x\",\"' || s_suppkey || '.0' || s_nationkey || '\",' || CASE WHEN s_suppkey % 4 > 0 THEN 'Library,' ELSE '' END || '\"8.8\",Library2}'"
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey || '.2.' || s_nationkey END AS release, CASE s_suppkey % 3 WHEN 1 THEN 'a configuration without a release' WHEN 2 THEN 'no configuration in the support description' END AS failure, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey || '.' || s_nationkey ELSE '8.8' END AS quoted FROM supplier")
+def project_versions(spark, sf_dir):
+    """Releases that both kinds of project files name, and why one names none."""
+    files = t.table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(SUPPORT).alias("support"), F.expr(LEGACY).alias("legacy"))
+    return files.select("s_suppkey", versions.from_support_xml(F.col("support")).alias("release"), versions.support_failure(F.col("support")).alias("failure"), versions.quoted_before(F.col("legacy"), "Library").alias("quoted"))
+
+
+#: "<p>Страница " in Windows-1251.
+PAGE_1251 = "3C703ED1F2F0E0EDE8F6E020"
+
+
+@query("SELECT s_suppkey, '<p>Страница ' || s_name || CASE WHEN s_suppkey % 4 = 1 THEN '<meta charset=\"windows-1251\">' ELSE '' END AS html, '<p>Страница ' || s_name || '.' AS plain FROM supplier")
+def decoded_pages(spark, sf_dir):
+    """Pages in UTF-8 with and without a mark, UTF-16 and Windows-1251, declared or not, as text."""
+    k, whole = F.col("s_suppkey") % 4, F.concat(F.lit("<p>Страница "), "s_name")
+    legacy = F.concat(F.unhex(F.lit(PAGE_1251)), F.encode("s_name", "UTF-8"))
+    declared = F.concat(legacy, F.encode(F.lit('<meta charset="windows-1251">'), "UTF-8"))
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode(whole, "UTF-8"))
+    content = F.when(k == 0, marked).when(k == 1, declared).when(k == 2, F.encode(whole, "UTF-16")).otherwise(F.encode(whole, "UTF-8"))
+    # Windows-1251 is what is left for bytes of an odd number; even ones may be UTF-16
+    end = F.encode(F.lit("."), "UTF-8")
+    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode(F.concat(whole, F.lit(".")), "UTF-16LE"))
+    other = F.when(k == 0, F.concat(marked, end)).when(k == 1, F.concat(legacy, end)).when(k == 2, wide).otherwise(F.concat(F.encode(whole, "UTF-8"), end))
+    return t.table(spark, sf_dir, "supplier").select("s_suppkey", corpus.html_decoded(content).alias("html"), corpus.decoded(other).alias("plain"))
+
+
+@query("SELECT s_suppkey, '# ' || s_name || chr(10) || chr(10) || 'A **bold** `word` of [' || s_name || '](x.htm).' || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || s_suppkey || ' | y |' AS page FROM supplier")
+def markdown_pages(spark, sf_dir):
+    """Pages with emphasis, links, lists and tables as Markdown."""
+    html = F.concat(F.lit("<html><head><title>t</title></head><body><h1>"), "s_name", F.lit("</h1><p>A <b>bold</b>\n <code>word</code> of <a href='x.htm'>"), "s_name", F.lit("</a>.</p><ul><li>one</li><li>two</li></ul><table><tr><th>a</th><th>b</th></tr><tr><td>"), F.col("s_suppkey").cast("string"), F.lit("</td><td>y</td></tr></table></body></html>"))
+    return t.table(spark, sf_dir, "supplier").select("s_suppkey", corpus.as_markdown(html).alias("page"))
+
+
+@query("SELECT 'a' || s_suppkey AS archive, 'd/' || k || '.html' AS member, s_name || ' ' || k AS page FROM supplier, (VALUES (0), (1), (2)) AS n(k)")
+def archive_members(spark, sf_dir):
+    """The members of archives, one for each supplier, which tasks make."""
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for names in batches:
+            out = []
+            for name in names:
+                with zipfile.ZipFile(held := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.mkdir("d")
+                    for k in range(3):
+                        archive.writestr(f"d/{k}.html", f"{name} {k}")
+                out.append(held.getvalue())
+            yield pd.Series(out)
+
+    archives = t.table(spark, sf_dir, "supplier").select(F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("path"), packed("s_name").alias("content"))
+    return corpus.zip_members(archives).select("archive", "member", F.decode("data", "UTF-8").alias("page"))
+
+
 # --- trees, links and exports ---
 
 SITE = Site("https://docs.example", ("/db/docs/content/src/", "/db/content/docs/src/"), "/db/content/docs/src/")

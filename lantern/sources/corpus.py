@@ -155,6 +155,28 @@ def decoded(content: str | Column) -> Column:
     return read(content)
 
 
+def html_decoded(content: str | Column) -> Column:
+    """Markup of binary columns, each by what ``html_text`` finds its encoding to be."""
+
+    @F.pandas_udf("string")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for each in batches:
+            yield each.map(html_text, na_action="ignore")
+
+    return read(content)
+
+
+def as_markdown(html: str | Column) -> Column:
+    """Markdown of columns of markup."""
+
+    @F.pandas_udf("string")
+    def write(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for each in batches:
+            yield each.map(markup.markdown, na_action="ignore")
+
+    return write(html)
+
+
 def html_text(content: bytes) -> str:
     """HTML by its byte-order mark, its declared character set, UTF-8, or else Windows-1251."""
     declared = re.search(rb"<meta[^>]+charset=[\"']?([\w-]+)", content[:4096], re.I)
