@@ -203,10 +203,12 @@ def query_cache_latest(spark, sf_dir):
     return t.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
 
 
-@query("SELECT count(*) FILTER (event_type = 'click') AS pages, count(*) FILTER (event_type = 'error') AS errors FROM events")
+@query("SELECT count(*) FILTER (event_type = 'click') AS pages, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'click' AND event_id >= 5000) AS fetched, count(*) FILTER (event_type = 'click' AND event_id < 5000) AS skipped FROM events")
 def crawl_counters(spark, sf_dir):
+    """Pages and errors of a crawl, and its pages by whether this run fetched them; events stand for pages, their ids for times."""
     status = F.when(F.col("event_type") == "click", F.lit("ok")).otherwise(F.col("event_type"))
-    return corpus.counters(t.table(spark, sf_dir, "events").select(status.alias("status")))
+    pages = t.table(spark, sf_dir, "events").select(status.alias("status"), F.format_string("%012d", "event_id").alias("fetchedAt"))
+    return corpus.counters(pages, since=f"{5000:012d}")
 
 
 @query("SELECT p_brand || '.' || p_size AS demo_version FROM part WHERE p_brand = 'Brand#7' ORDER BY p_size DESC LIMIT 1")
