@@ -47,11 +47,15 @@ def index(spark: SparkSession, sf_dir: str, weights: dict[str, float] = lexical.
     return _INDEXES[key]
 
 
-def cells(spark: SparkSession, sf_dir: str) -> Cells:
-    """The cells of all vectors, built once for a state of the table and a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, state(spark, f"{sf_dir}/embeddings.parquet"))
+def cells(spark: SparkSession, sf_dir: str, of_sections: bool = False) -> Cells:
+    """The cells of all vectors, or of those that sections have, built once for a state of the tables and a session."""
+    names = ("embeddings", "documents") if of_sections else ("embeddings",)
+    key = (spark.sparkContext.applicationId, sf_dir, *(state(spark, f"{sf_dir}/{name}.parquet") for name in names))
     if key not in _INDEXES:
-        _INDEXES[key] = Cells.build(table(spark, sf_dir, "embeddings"), "vec_id")
+        vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+        if of_sections:
+            vectors = vectors.join(sections(spark, sf_dir).select("id"), "id", "left_semi")
+        _INDEXES[key] = Cells.build(vectors)
     return _INDEXES[key]
 
 
