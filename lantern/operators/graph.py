@@ -30,8 +30,8 @@ CHAPTERS = (
 )
 
 
-def read_links(pages: DataFrame, site: Site | None = None) -> DataFrame:
-    """Pages (url, html) as url and links, in order: href, page (the canonical one with ``site``, the href without) and whether it is in an index block."""
+def read_links(pages: DataFrame, site: Site | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pages (url, html) as url, the columns ``keep``, and links, in order: href, page (the canonical one with ``site``, the href without) and whether it is in an index block."""
 
     def found(html: str, url: str) -> list[tuple]:
         anchors = (a for a in markup.parse(html or "").find_all("a") if "href" in a.attrs)
@@ -43,13 +43,13 @@ def read_links(pages: DataFrame, site: Site | None = None) -> DataFrame:
             yield pd.Series([found(h, u) for h, u in zip(htmls, addresses, strict=True)])
 
     page = site.page if site else lambda address: address
-    return pages.select("url", F.transform(read("html", "url"), lambda x: F.struct(x["href"].alias("href"), page(x["address"]).alias("page"), x["indexed"].alias("indexed"))).alias("links"))
+    return pages.select("url", *keep, F.transform(read("html", "url"), lambda x: F.struct(x["href"].alias("href"), page(x["address"]).alias("page"), x["indexed"].alias("indexed"))).alias("links"))
 
 
-def links(pages: DataFrame, site: Site | None = None, root: str | None = None, index_only: bool = False) -> DataFrame:
-    """Per link of pages (url, html): src, dst, ord; each target once, in order, none to the page itself.
+def links(pages: DataFrame, site: Site | None = None, root: str | None = None, index_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per link of pages (url, html): src, the page's columns ``keep``, ord, dst; each target once, in order, none to the page itself.
 
-    With ``site``, targets are canonical pages of it, below ``root`` if given;
+    Several pages may have one address; ``keep`` tells them apart. With ``site``, targets are canonical pages of it, below ``root`` if given;
     without, they are the hrefs. ``index_only`` takes the links of index blocks.
     """
 
@@ -58,7 +58,7 @@ def links(pages: DataFrame, site: Site | None = None, root: str | None = None, i
         return own & (F.startswith(x["page"], F.lit(root)) if root else F.lit(True)) & (x["indexed"] if index_only else F.lit(True))
 
     targets = F.array_distinct(F.transform(F.filter("links", wanted), lambda x: x["page"]))
-    return read_links(pages, site).select(F.col("url").alias("src"), F.posexplode(targets).alias("ord", "dst"))
+    return read_links(pages, site, keep).select(F.col("url").alias("src"), *keep, F.posexplode(targets).alias("ord", "dst"))
 
 
 def known_links(edges: DataFrame, pages: DataFrame) -> DataFrame:

@@ -47,8 +47,7 @@ def html_headings(spark, sf_dir):
 )""")
 def html_links(spark, sf_dir):
     """Each page's distinct links in order."""
-    pages = _pages(spark, sf_dir)
-    return graph.links(pages).join(pages.select(F.col("url").alias("src"), "page_id"), "src").select("page_id", "ord", F.col("dst").alias("href"))
+    return graph.links(_pages(spark, sf_dir), keep=("page_id",)).select("page_id", "ord", F.col("dst").alias("href"))
 
 
 CLEAN = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\f\\v]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"

@@ -256,3 +256,11 @@ def test_streams(spark, tmp_path):
         assert spark.read.parquet(target).count() == count
     stream = ingest.windowed_counts(spark.readStream.schema("ts timestamp, event_type string").parquet(source))
     assert stream.isStreaming and stream.columns == ["window", "event_type", "n"]
+
+
+def test_pages_of_one_address_keep_their_own_links(spark, tmp_path):
+    from lantern.plans import text_queries
+
+    rows = [(1, "http://h/x", '<a href="a">a</a><a href="b">b</a>'), (2, "http://h/x", '<a href="c">c</a>'), (3, None, '<a href="d">d</a>')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, text_queries.html_links(spark, str(tmp_path)).collect())) == [(1, 0, "a"), (1, 1, "b"), (2, 0, "c")]
