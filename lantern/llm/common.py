@@ -148,3 +148,30 @@ def logistic(features, labels, l2: float = 1e-3, steps: int = 50):
         if np.abs(step).max() < 1e-8:
             break
     return w
+
+
+def logistic_of(table: DataFrame, features: list[str], label: str, l2: float = 1e-3, steps: int = 50):
+    """What ``logistic`` returns, for a table of any size: each of Newton's steps takes its sums from one pass over all rows."""
+    import numpy as np
+
+    n = {r[0]: r[1] for r in table.groupBy(label).count().collect()}
+    total = sum(n.values())
+    share = min(max(n.get(1, 0) / total, 1e-9), 1 - 1e-9)
+    y, size = F.col(label), len(features) + 1
+    x = [*(F.col(c) for c in features), F.lit(1.0)]
+    weight = F.when(y == 1, 0.5 / share).otherwise(0.5 / (1 - share)) / total
+    w, ridge = np.zeros(size), l2 * np.eye(size)
+    ridge[-1, -1] = 1e-9
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    for _ in range(steps):
+        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum((F.lit(float(v)) * c for v, c in zip(w, x, strict=True)), F.lit(0.0))))
+        row = table.withColumn("_p", 1 / (1 + F.exp(-z))).withColumn("_h", weight * F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-9)))
+        sums = row.agg(*(F.sum(F.col("_h") * x[i] * x[j]) for i, j in pairs), *(F.sum(weight * (F.col("_p") - y) * c) for c in x)).first()
+        hessian = np.zeros((size, size))
+        for (i, j), v in zip(pairs, sums, strict=False):
+            hessian[i, j] = hessian[j, i] = v
+        step = np.linalg.solve(hessian + ridge, np.array(sums[len(pairs) :], float) + ridge @ w)
+        w = w - np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.round(w, 9)  # sums of parts come in any order

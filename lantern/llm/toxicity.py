@@ -9,10 +9,10 @@ log-likelihoods divided by its length. A text's score is a logistic function of
 its strongest word, of the mean of its ``TOP`` strongest, and of the
 length-normalised difference of the whole text.
 
-The models are fitted to a bounded sample: ``PER_CLASS`` labelled texts of each
-class, and ``CALIBRATION`` more of each for the logistic function; of one of over
-``common.SAMPLE_CHARS`` characters a part of that length. The function is fitted to as many of either class; its
-bias is then moved by the logarithm of their shares among all labels, so that scores are
+The models are fitted to all labelled texts, each whole: those of three quarters of the ids, by hash, are counted, and the logistic
+function is fitted to the rest (to all of them where either part lacks a class). Words and grams are counted by Spark, and so are the
+sums of each of Newton's steps; the driver gets one row for each different gram and the sums. The function is fitted as if the classes
+were of one size; its bias is then moved by the logarithm of their shares among all labels, so that scores are
 probabilities where toxic texts are as rare as the labels say.
 
 Defined results: null and empty texts have no evidence and get the score of
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER, DISCOUNT, TOP = 5, 0.75, 3
-PER_CLASS, CALIBRATION = 2000, 600
+#: One labelled text in so many calibrates.
+CALIBRATION = 4
 #: Every character that hasn't been seen shares one place in a uniform distribution over so many.
 CHARACTERS = 5000
 THRESHOLD = 0.3
@@ -146,36 +147,75 @@ def features(text: str, evidence: WordEvidence) -> tuple[float, float, float]:
     return float(max(each.max(), 0)), float(strongest.sum() / TOP), float((each * lengths).sum() / lengths.sum())
 
 
+def _frame(c: int, name: str, found: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"label": np.full(len(found), c, np.int32), name: pd.Series(list(found), dtype=object), "n": np.fromiter(found.values(), np.int64, len(found))})
+
+
+def counted(texts: DataFrame) -> tuple[Counter, Counter]:
+    """How often each gram is in the whole texts (text, label) of each class."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c in (0, 1):
+                found: Counter = Counter()
+                for t in batch["text"][batch["label"] == c]:
+                    found.update(words_of(t))
+                yield _frame(c, "word", found)
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: tuple[Counter, Counter] = (Counter(), Counter())
+            for c, word, n in zip(batch["label"], batch["word"], batch["n"], strict=True):
+                for g in grams_of(word):
+                    found[c][g] += n
+            for c in (0, 1):
+                yield _frame(c, "gram", found[c])
+
+    per_word = texts.select("text", "label").mapInPandas(words, "label int, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n"))
+    per_gram = per_word.mapInPandas(grams, "label int, gram string, n long").groupBy("gram").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
+    found = per_gram.toPandas()
+    return tuple(Counter({g: int(n) for g, n in zip(found["gram"], found[f"n{c}"], strict=True) if n}) for c in (0, 1))
+
+
+def calibrated(texts: DataFrame, model: Model) -> np.ndarray:
+    """The weights of the logistic function of texts (text, label), the bias last."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        evidence = evidence_of(sent.value)
+        for batch in batches:
+            common.remembering(evidence, evidence.clear)
+            x = np.array([features(t, evidence) for t in batch["text"]]).reshape(-1, 3)
+            yield pd.DataFrame({"x0": x[:, 0], "x1": x[:, 1], "x2": x[:, 2], "label": batch["label"].to_numpy()})
+
+    table = common.cut(texts.select("text", "label").mapInPandas(measured, "x0 double, x1 double, x2 double, label int"))
+    weights = common.logistic_of(table, ["x0", "x1", "x2"], "label")
+    common.drop(table)
+    return weights
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Model, np.ndarray] | None:
     """The models and the weights of the logistic function; None without rows of both classes."""
-    sample, labelled = common.labelled_sample(docs, labels, label, FOLDS, HELD_OUT, PER_CLASS + CALIBRATION)
-    most = max((r["rank"] for r in sample if r["label"] == 1), default=0)
-    # with few toxic texts, a quarter of them calibrates
-    upto = min(PER_CLASS, max(1, most * 3 // 4))
-    words: tuple[Counter, Counter] = (Counter(), Counter())
-    for r in sample:
-        if r["rank"] <= upto:
-            words[r["label"]].update(words_of(r["text"]))
-    if not words[0] or not words[1]:
+    allowed = labels.filter(F.col(label).isin(0, 1) & (common.fold("doc_id", FOLDS) != HELD_OUT)).select(F.col("doc_id").alias("s_id"), F.col(label).cast("int").alias("label"))
+    labelled = {r["label"]: r["count"] for r in allowed.groupBy("label").count().collect()}
+    calibrates = (F.pmod(F.xxhash64("s_id"), F.lit(CALIBRATION)) == 0).alias("calibrates")
+    texts = common.cut(docs.join(allowed, F.col("doc_id") == F.col("s_id")).select(F.coalesce("text", F.lit("")).alias("text"), "label", calibrates))
+    parts = {(r["label"], r["calibrates"]) for r in texts.select("label", "calibrates").distinct().collect()}
+    whole = len(parts) < 4
+    counts = counted(texts if whole else texts.filter("NOT calibrates"))
+    if not whole and not (counts[0] and counts[1]):
+        whole, counts = True, counted(texts)
+    if not counts[0] or not counts[1]:
         return None
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for c in (0, 1):
-        for word, n in words[c].items():
-            for g in grams_of(word):
-                counts[c][g] += n
     model = Model(counts)
-    rest = [r for r in sample if r["rank"] > upto]
-    if len({r["label"] for r in rest}) < 2:
-        rest = sample
-    evidence = WordEvidence(model)
-    x = np.array([features(r["text"], evidence) for r in rest])
-    weights = common.logistic(x, [r["label"] for r in rest])
+    weights = calibrated(texts if whole else texts.filter("calibrates"), model)
     weights[-1] += math.log(labelled[1] / labelled[0])  # the function was fitted to classes that weigh the same
+    common.drop(texts)
     return model, weights
 
 
 def score(docs: DataFrame, fitted: tuple[Model, np.ndarray] | None, into: str = "score") -> DataFrame:
-    """``docs`` with the score of every whole text. The models' size is bounded by that of the sample."""
+    """``docs`` with the score of every whole text. The models have one number for each different gram of the labelled texts."""
     if fitted is None:
         return docs.withColumn(into, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(fitted)

@@ -4,8 +4,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lantern.llm import common, language, quality, token_counts, toxicity
 
@@ -281,3 +283,29 @@ def test_quality_is_scored_as_defined(spark, data):
 
     best = list(common.logistic(features, marks))
     assert all(loss(best) <= loss([v + d * (k == i) for i, v in enumerate(best)]) for k in range(3) for d in (-1e-3, 1e-3))
+
+
+def test_toxicity_counts_every_labelled_text(spark):
+    """Each labelled text is counted or calibrates, whole: a word of one text among thousands, and one far into a very long text, are in the models."""
+    import pandas as pd
+
+    n = 12_000
+    texts = [f"word{i % 50} plain" for i in range(n)]
+    texts[0], texts[1] = "q" * 3 + " plain", "plain " * 50_000 + "zjz"
+    # ids whose texts are counted
+    rows = spark.range(60_000).select("id", (common.fold("id", toxicity.FOLDS) != toxicity.HELD_OUT).alias("a"), (F.pmod(F.xxhash64("id"), F.lit(toxicity.CALIBRATION)) != 0).alias("b")).filter("a AND b").limit(n).collect()
+    taken = [r.id for r in rows]
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": taken, "text": texts}))
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": taken, "toxic": [i % 2 for i in range(n)]}))
+    counts = toxicity.counted(docs.join(labels, "doc_id").select("text", F.col("toxic").cast("int").alias("label")))
+    assert counts[0]["\x02qqq"] == 1 and counts[1]["\x02zjz"] == 1 and counts[0]["\x02plai"] == n // 2
+    model, _ = toxicity.fit(docs, labels)
+    assert "\x02qqq" in model.seen and "\x02zjz" in model.seen
+
+
+def test_logistic_by_sums_is_that_of_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] + rng.normal(size=400) > 0.5).astype(int)
+    table = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y int")
+    assert np.allclose(common.logistic_of(table, ["a", "b"], "y"), common.logistic(x, y), atol=1e-6)
