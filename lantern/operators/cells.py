@@ -6,26 +6,29 @@ than the centre's dot product with the query and the radius times the query's le
 each query are scored first; the last of the first k scores that they reach is a threshold, and packs whose bound is
 below it are never read. So the ranking is that of all vectors, whatever the fit is worth.
 
-Queries meet packs in blocks: bounds are products of ``BLOCK`` queries and ``PAGE`` centres, scores of ``BLOCK`` queries and a pack. What
-a task holds is bounded by these, and nothing is broadcast but the fit.
+Queries are sent to the tasks in sets of ``SET``, and a task reads its packs one after another, ``PAGE`` vectors at once. Only the first k of
+a page that reach the threshold leave it, so what moves are results, not vectors. What a task holds is bounded by these.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.operators.lexical import SCORE_DIGITS, top
+from lantern.operators.lexical import MARGIN, SCORE_DIGITS, Best, top
 from lantern.sources.checkpoints import cut, drop
 
 #: Vectors that the fit is made from (those of lowest hash), its most cells, and its rounds.
 SAMPLE, CELLS, ROUNDS = 20_000, 1024, 8
-PACK, PAGE, BLOCK = 256, 1024, 1024
+PACK, PAGE, BLOCK, SET = 256, 2048, 1024, 16_384
 #: The least packs of each query that are scored before there is a threshold; with twice as many vectors as are wanted, if that is more.
 FIRST = 2
 
@@ -101,69 +104,114 @@ class Cells:
         d = self.dimension
         if d is None:
             return self
-        each = self.packs.select("pack", "centre", "radius", "vectors", F.posexplode("ids").alias("at", "section_id")).select("pack", "centre", "radius", "section_id", F.slice("vectors", F.col("at") * d + 1, d).alias("v"))
-        kept = each.join(inside.select("section_id"), "section_id", "left_semi")
-        packs = kept.groupBy("pack").agg(F.collect_list("section_id").alias("ids"), F.flatten(F.collect_list("v")).alias("vectors"), F.first("centre").alias("centre"), F.first("radius").alias("radius"))
-        return Cells(cut(packs.select("pack", F.size("ids").alias("n"), "ids", "vectors", "centre", "radius")), d)
+        kept = self.packs.select("pack", F.posexplode("ids").alias("at", "section_id")).join(inside.select("section_id"), "section_id", "left_semi").groupBy("pack").agg(F.sort_array(F.collect_list("at")).alias("at"))
+        ids = F.transform("at", lambda i: F.get("ids", i))
+        found = F.flatten(F.transform("at", lambda i: F.slice("vectors", i * d + 1, d)))
+        return Cells(cut(self.packs.join(kept, "pack").select("pack", F.size("at").alias("n"), ids.alias("ids"), found.alias("vectors"), "centre", "radius")), d)
 
     def nearest(self, queries: DataFrame, pool: int, farthest: bool = False) -> tuple[DataFrame, DataFrame]:
         """The ``pool`` nearest (or farthest) sections of each query (query_id, section_id, score, rank), and the (query_id, pack) that were read."""
         sizes = [r[0] for r in queries.select(F.size("embedding")).distinct().limit(2).collect()]
-        d, sign = self.dimension, -1.0 if farthest else 1.0
+        d = self.dimension
         if sizes and d is not None and sizes != [d]:
             raise ValueError(f"queries of dimensions {sizes}, sections of {d}")
-        asked = cut(queries.select("query_id", F.transform("embedding", lambda x: x.cast("double") * sign).alias("q")))
-        blocks = -(-asked.count() // BLOCK) or 1
-        q_kind, s_kind = dict(asked.dtypes)["query_id"], self.packs.schema["ids"].dataType.elementType.simpleString()
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-
+        asked = cut(queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q")))
+        sets = -(-asked.count() // SET)
+        out = [self._set_nearest(asked if sets == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == k), pool, farthest) for k in range(sets)] if d is not None else []
+        drop(asked)
+        if not (out := [r for r in out if r]):
+            spark, q_kind = asked.sparkSession, dict(queries.dtypes)["query_id"]
+            return spark.createDataFrame([], f"query_id {q_kind}, section_id {self._id_kind()}, score double, rank int"), spark.createDataFrame([], f"query_id {q_kind}, pack long")
+        return tuple(reduce(DataFrame.unionByName, [r[k] for r in out]) for k in (0, 1))
+
+    def _id_kind(self) -> str:
+        return self.packs.schema["ids"].dataType.elementType.simpleString()
+
+    def _set_nearest(self, asked: DataFrame, pool: int, farthest: bool) -> tuple[DataFrame, DataFrame] | None:
+        """``nearest`` for one set of queries, which is sent to the tasks; None without any."""
+        found = asked.toArrow().combine_chunks()
         size = self.packs.agg(F.count(F.lit(1)).alias("packs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        if not found.num_rows or not size["packs"]:
+            return None
+        d, sign, q_kind, s_kind = self.dimension, -1.0 if farthest else 1.0, dict(asked.dtypes)["query_id"], self._id_kind()
+        names, q = found["query_id"].combine_chunks(), sign * found["q"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+        lengths = np.linalg.norm(q, axis=1)
         first = max(FIRST, -(-2 * pool * size["packs"] // max(1, size["n"])))
+        scored = f"query_id {q_kind}, q int, section_id {s_kind}, score double"
 
-        def bounds(batches: Iterator[pd.DataFrame], first: int | None) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples():
-                    q, centres = np.asarray(row.q, float).reshape(-1, d), np.asarray(row.centres, float).reshape(-1, d)
-                    most = q @ centres.T + np.linalg.norm(q, axis=1)[:, None] * np.asarray(row.radii, float)
-                    if first is not None:
-                        at = np.argpartition(-most, min(first, most.shape[1]) - 1, axis=1)[:, :first]
-                        rows, columns = np.repeat(np.arange(len(q)), at.shape[1]), at.ravel()
-                    else:
-                        least = np.asarray(row.least, float)
-                        rows, columns = np.nonzero(np.isnan(least)[:, None] | (most >= least[:, None] - 1e-6))
-                    yield pd.DataFrame({"query_id": np.asarray(row.ids)[rows], "pack": np.asarray(row.packs)[columns], "bound": most[rows, columns]})
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def flat(column: pa.Array) -> np.ndarray:
+            return np.asarray(column.flatten(), float)
+
+        def bounds_of(batch: pa.RecordBatch) -> np.ndarray:
+            """By pack and query, what no score is above."""
+            return flat(batch.column("centre")).reshape(-1, d) @ q.T + np.asarray(batch.column("radius"), float)[:, None] * lengths
+
+        def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.itertuples():
-                    scores = np.round(np.asarray(row.q, float).reshape(-1, d) @ np.asarray(row.vectors, float).reshape(-1, d).T, SCORE_DIGITS) + 0.0
-                    # only what can be among the first: what reaches the threshold, and the pack's own first with all that tie
-                    least = np.nan_to_num(np.asarray(row.least, float), nan=-np.inf)
-                    if pool < scores.shape[1]:
-                        least = np.maximum(least, np.partition(scores, -pool, axis=1)[:, -pool])
-                    rows, columns = np.nonzero(scores >= least[:, None])
-                    yield pd.DataFrame({"query_id": np.asarray(row.asked)[rows], "section_id": np.asarray(row.ids)[columns], "score": sign * scores[rows, columns] + 0.0})
-
-        page = F.floor(F.xxhash64("pack") % F.lit(-(-size["packs"] // PAGE) or 1))
-        pages = cut(self.packs.groupBy(page.alias("page")).agg(F.collect_list("pack").alias("packs"), F.flatten(F.collect_list("centre")).alias("centres"), F.collect_list("radius").alias("radii")))
+                for k in range(0, batch.num_rows, step := max(1, PAGE // PACK)):
+                    yield batch.slice(k, step)
+
+        def bounding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(first, len(q))
+            for batch in pages(batches):
+                bounds = bounds_of(batch)
+                row, column = np.nonzero(bounds >= best.least(bounds))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(column)), pa.array(column.astype(np.int32)), batch.column("pack").take(pa.array(row)), pa.array(bounds[row, column])], ["query_id", "q", "section_id", "bound"])
+
+        def firsts(scores: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of the kept scores by query and vector (vectors by id): each query's first ``pool``; ties go by id."""
+            if pool < scores.shape[1]:
+                kept = kept & (scores >= np.partition(scores, -pool, axis=1)[:, -pool][:, None])
+            for k in np.flatnonzero(kept.sum(1) > pool):
+                at = np.flatnonzero(kept[k])
+                kept[k, at[np.argsort(-scores[k, at], kind="stable")[pool:]]] = False
+            return np.nonzero(kept)
+
+        def products(batch: pa.RecordBatch, wanted: np.ndarray, least: np.ndarray, state: Best | None) -> Iterator[pa.RecordBatch]:
+            """The first of each query among a page's vectors; ``wanted`` by pack and query."""
+            ids, sizes = batch.column("ids").flatten(), np.asarray(pc.list_value_length(batch.column("ids")))
+            order = np.asarray(pc.sort_indices(ids))
+            v, pack = flat(batch.column("vectors")).reshape(-1, d)[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+            ids = ids.take(pa.array(order))
+            some = np.flatnonzero(wanted.any(0))
+            for k in range(0, len(some), BLOCK):
+                at = some[k : k + BLOCK]
+                scores = np.round(q[at] @ v.T, SCORE_DIGITS) + 0.0
+                scores[~wanted[pack][:, at].T] = -np.inf
+                now = least[at]
+                kept = (scores >= now[:, None]) & (scores > -np.inf)
+                row, column = firsts(scores, kept)
+                if state is not None and len(row):
+                    state.take(at, scores)
+                    least[at] = np.maximum(now, state.held[0, at])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at[row])), pa.array(at[row].astype(np.int32)), ids.take(pa.array(column)), pa.array(sign * scores[row, column] + 0.0)], ["query_id", "q", "section_id", "score"])
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pages(batches):
+                wanted = np.zeros((batch.num_rows, len(q)), bool)
+                for k, qs in enumerate(batch.column("qs").to_pylist()):
+                    wanted[k, qs] = True
+                yield from products(batch, wanted, np.full(len(q), -np.inf), None)
+
         order = F.col("score") if farthest else F.col("score").desc()
-        thresholds = F.collect_list(F.coalesce("least", F.lit(float("nan")))).alias("least")
-        best, read = None, []
-        for _ in range(2):
-            known = asked.withColumn("least", F.lit(None).cast("double"))
-            if best is not None:
-                reached = best.groupBy("query_id").agg((F.min(F.col("score") * sign)).alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= pool)
-                known = asked.join(reached.select("query_id", "least"), "query_id", "left")
-            # queries in blocks against all packs' centres, which are thousands of times fewer numbers than the vectors
-            sets = known.groupBy(block.alias("block")).agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list("q")).alias("q"), thresholds)
-            many = first if best is None else None
-            pairs = pages.crossJoin(sets).mapInPandas(lambda batches, many=many: bounds(batches, many), f"query_id {q_kind}, pack long, bound double")
-            pairs = top(pairs.withColumnRenamed("pack", "section_id"), first, F.col("bound").desc()).select("query_id", F.col("section_id").alias("pack")) if best is None else pairs.select("query_id", "pack").join(read[0], ["query_id", "pack"], "left_anti")
-            read.append(cut(pairs))
-            met = read[-1].join(known, "query_id").groupBy("pack", block.alias("block")).agg(F.collect_list("query_id").alias("asked"), F.flatten(F.collect_list("q")).alias("q"), thresholds)
-            found = met.join(self.packs.select("pack", "ids", "vectors"), "pack").mapInPandas(score, f"query_id {q_kind}, section_id {s_kind}, score double")
-            before, best = best, cut(top(found if best is None else found.unionByName(best.drop("rank")), pool, order))
-            if before is not None:
-                drop(before)
-        drop(asked, pages)
-        return best, read[0].unionByName(read[1])
+        ranked = lambda rows, keep: top(rows, pool, order).select(*keep)
+        near = self.packs.select("pack", "centre", "radius").mapInArrow(bounding, f"query_id {q_kind}, q int, section_id long, bound double")
+        near = cut(top(near, first, F.col("bound").desc()).select("query_id", "q", F.col("section_id").alias("pack")))
+        met = near.groupBy("pack").agg(F.collect_list("q").alias("qs"))
+        best = self.packs.select("pack", "ids", "vectors").join(met, "pack").mapInArrow(some, scored)
+        reached = ranked(best, ("q", "score")).groupBy("q").agg(F.min(F.col("score") * sign).alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= pool).toArrow()
+        least = np.full(len(q), -np.inf)
+        least[reached["q"].to_numpy()] = reached["least"].to_numpy()
+
+        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, state = least.copy(), Best(pool, len(q))
+            for batch in pages(batches):
+                yield from products(batch, bounds_of(batch) >= now - MARGIN, now, state)
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pages(batches):
+                row, column = np.nonzero(bounds_of(batch) >= least - MARGIN)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(column)), batch.column("pack").take(pa.array(row))], ["query_id", "pack"])
+
+        read = near.select("query_id", "pack").unionByName(self.packs.select("pack", "centre", "radius").mapInArrow(pairs, f"query_id {q_kind}, pack long")).distinct()
+        return cut(ranked(self.packs.mapInArrow(rest, scored), ("query_id", "section_id", "score", "rank"))), read

@@ -95,8 +95,7 @@ FULL = "query_id, rank, section_id, title, breadcrumb AS location, CASE WHEN len
 
 
 def _searched(spark, sf_dir, scope=None, limit=8):
-    sections = t.with_vectors(t.sections(spark, sf_dir), spark, sf_dir)
-    return hybrid.search(t.queries(spark, sf_dir), sections, t.index(spark, sf_dir), t.cells(spark, sf_dir, of_sections=True), limit, scope)
+    return hybrid.search(t.queries(spark, sf_dir), t.sections(spark, sf_dir), t.index(spark, sf_dir), t.cells(spark, sf_dir, of_sections=True), limit, scope)
 
 
 @query(_hybrid_sql("true", FULL.format(hybrid.EXCERPT)))

@@ -3,6 +3,7 @@
 import json
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,32 @@ def test_service_answers(spark, tmp_path):
     assert first["result"]["serverInfo"]["name"] == "lantern" and {t["name"] for t in tools["result"]["tools"]} == set(server.TOOLS)
     assert versions_["result"] == {"content": [{"type": "text", "text": "[]"}], "isError": False} and failed["result"]["isError"]
     assert unknown["error"]["code"] == server.UNKNOWN_METHOD and broken["error"]["code"] == server.FAILED
+
+
+def test_ranking_by_sets_pages_and_neighbours(spark, monkeypatch, tmp_path):
+    """Queries in several sets, pages smaller than blocks' runs, many equal texts, and phrases of texts and of a stored index: all as one."""
+    import pyarrow as pa
+
+    rows = [(i, f"alpha beta {'gamma' if i % 3 else 'delta'} alpha beta", ["x"]) for i in range(300)] + [(1000 + i, f"beta alpha word{i}", []) for i in range(40)]
+    sections = spark.createDataFrame(rows, "id long, text string, breadcrumb array<string>")
+    queries = spark.createDataFrame([(k, q) for k, q in enumerate(["alpha_beta", "beta_gamma_alpha", "alpha", "word7 beta_alpha", "delta gamma", "alpha_word3"])], "query_id long, query string")
+    index = lexical.Index.build(sections)
+    index.write(str(tmp_path))
+    stored = lexical.Index.read({n: spark.read.parquet(f"{tmp_path}/{n}") for n in lexical.Index.TABLES})
+    rows_of = lambda df: sorted(map(tuple, df.select("query_id", "section_id", "score").collect()))
+    whole = lexical.search(queries, index)
+    want, first = rows_of(whole), rows_of(lexical.top(whole, 5, F.col("score")))
+    assert {q for q, *_ in want} == {0, 1, 2, 3, 4, 5} and rows_of(lexical.search(queries, stored)) == want
+    monkeypatch.setattr(lexical, "SET_QUERIES", 2)
+    monkeypatch.setattr(lexical, "PAGE", 12)
+    assert rows_of(lexical.search(queries, index)) == want and rows_of(lexical.search(queries, index, 5)) == first
+    # a page gives no more than is asked for, however many tie
+    kept = lexical._first(np.array([[-1.0, -2.0]] * 6 + [[-3.0, 0.0]]), 3, pa.array([9, 5, 7, 1, 8, 2, 3]))
+    assert kept.sum(0).tolist() == [3, 3] and np.flatnonzero(kept[:, 0]).tolist() == [3, 5, 6]
+    vectors_ = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(6)], "query_id long, embedding array<float>")
+    found = cells.Cells.build(vectors_)
+    want = sorted(map(tuple, found.nearest(asked, 4)[0].collect()))
+    monkeypatch.setattr(cells, "SET", 2)
+    monkeypatch.setattr(cells, "BLOCK", 2)
+    assert sorted(map(tuple, found.nearest(asked, 4)[0].collect())) == want and [r[1] for r in want[:4]] == [6, 13, 20, 27]
