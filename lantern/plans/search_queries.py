@@ -134,8 +134,10 @@ def l2_normalize(spark, sf_dir):
 @query(f"WITH {t.SECTIONS_SQL}, tok AS (SELECT id, unnest({t.index_tokens_sql('text')}) AS token FROM sections) SELECT token, count(DISTINCT id) AS df, count(*) AS tf FROM tok GROUP BY token")
 def token_df(spark, sf_dir):
     """Document and collection frequency of every token."""
-    found = t.sections(spark, sf_dir).select("id", F.explode(text.index_tokens(F.col("text"))).alias("token"))
-    return found.groupBy("token", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
+    # texts are dealt by id before they are taken apart, so only counts by token are shuffled
+    dealt = t.sections(spark, sf_dir).select("id", "text").repartition("id")
+    found = dealt.select("id", F.explode(text.index_tokens(F.col("text"))).alias("token"))
+    return found.groupBy("id", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.count("id").alias("df"), F.sum("n").alias("tf"))
 
 
 @query(f"WITH {t.SECTIONS_SQL}, l AS (SELECT lang, len({t.index_tokens_sql('title')}) + len({t.index_tokens_sql('breadcrumb')}) + len({t.index_tokens_sql('text')}) AS n FROM sections) SELECT lang, count(*) AS n_sections, CAST(sum(n) AS BIGINT) AS tokens, CAST(max(n) AS BIGINT) AS longest FROM l GROUP BY lang")
