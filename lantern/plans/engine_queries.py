@@ -179,7 +179,7 @@ def nav_sections(spark, sf_dir):
     from lantern.__main__ import navigation_json
 
     base = _folder(spark)
-    export.write_pages(_pages(spark, sf_dir).select(F.concat(F.lit("source/"), "source_path").alias("path"), F.col("html").alias("page")), base)
+    export.write_pages(t.spread(_pages(spark, sf_dir), "source_path").select(F.concat(F.lit("source/"), "source_path").alias("path"), F.col("html").alias("page")), base)
     written = [("navigation.json", navigation_json(spark, f"{base}/source", RELEASE))]
     export.write_pages(spark.createDataFrame(written, "path string, page string"), base)
     read = corpus.navigation_file(spark, f"{base}/navigation.json", RELEASE).select(F.explode("sections").alias("s"))
@@ -306,7 +306,7 @@ def archive_members(spark, sf_dir):
                 out.append(held.getvalue())
             yield pd.Series(out)
 
-    archives = t.table(spark, sf_dir, "supplier").select(F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("path"), packed("s_name").alias("content"))
+    archives = t.spread(t.table(spark, sf_dir, "supplier"), "s_suppkey").select(F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("path"), packed("s_name").alias("content"))
     return corpus.zip_members(archives).select("archive", "member", F.decode("data", "UTF-8").alias("page"))
 
 

@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, rows: int = 500) -> DataFrame:
+    """``df`` in parts of about ``rows`` rows, whatever its files: a small file's rows may be much work."""
+    return df.repartition(-(-df.count() // rows) or 1, key)
+
+
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sections: the first line is the title; source and language are the breadcrumb."""
     docs = table(spark, sf_dir, "documents")

@@ -20,6 +20,8 @@ CRAWL_MANIFEST = f"schemaVersion int, createdAt string, updatedAt string, startU
 METHOD = "struct<method: string, purpose: string, source_path: string>"
 GROUP = f"struct<id: string, name: string, description: string, keywords: array<string>, interface_kind: string, source_prefix: string, method_count: int, methods: array<{METHOD}>, evidence_methods: array<string>, confidence: string, source_hash: string>"
 SECTION = f"struct<name: string, description: string, keywords: array<string>, source_path: string, kinds: array<string>, method_count: int, groups: array<{GROUP}>>"
+#: Members of archives are given on once they have so many bytes.
+MEMBER_BYTES = 8 << 20
 NAVIGATION = f"schema_version int, source_version string, root string, sections array<{SECTION}>"
 RELEASES = "schema_version int, releases array<struct<documentation_version: string, index_family: string, navigation_version: string, demo_version: string, demo_archive: string, demo_sha256: string, demo_content_root: string, demo_format: string>>"
 
@@ -202,11 +204,18 @@ def zip_members(archives: DataFrame, content: str = "content") -> DataFrame:
     """Per member of the archives (path, content): archive, member, data; unsafe paths and links are errors."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, size = [], 0
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(data)) as archive:
                     for info in members(archive):
-                        yield pd.DataFrame({"archive": [path], "member": [info.filename], "data": [archive.read(info)]})
+                        found.append((path, info.filename, archive.read(info)))
+                        size += info.file_size
+                        if len(found) >= 1000 or size >= MEMBER_BYTES:
+                            yield pd.DataFrame(found, columns=["archive", "member", "data"])
+                            found, size = [], 0
+        if found:
+            yield pd.DataFrame(found, columns=["archive", "member", "data"])
 
     return archives.select("path", F.col(content).alias("content")).mapInPandas(read, "archive string, member string, data binary")
 

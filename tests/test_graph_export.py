@@ -264,3 +264,21 @@ def test_pages_of_one_address_keep_their_own_links(spark, tmp_path):
     rows = [(1, "http://h/x", '<a href="a">a</a><a href="b">b</a>'), (2, "http://h/x", '<a href="c">c</a>'), (3, None, '<a href="d">d</a>')]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(map(tuple, text_queries.html_links(spark, str(tmp_path)).collect())) == [(1, 0, "a"), (1, 1, "b"), (2, 0, "c")]
+
+
+def test_small_files_are_spread_and_members_batched(spark, tmp_path):
+    from lantern.plans import engine_queries, tables
+
+    spark.createDataFrame([(i, f"S{i}") for i in range(1300)], "s_suppkey long, s_name string").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert tables.spread(tables.table(spark, str(tmp_path), "supplier"), "s_suppkey").rdd.getNumPartitions() == 3
+    got = {tuple(r) for r in engine_queries.archive_members(spark, str(tmp_path)).collect()}
+    assert got == {(f"a{i}", f"d/{k}.html", f"S{i} {k}") for i in range(1300) for k in range(3)}
+
+
+def test_token_counts_of_ids_that_repeat_or_lack(spark, tmp_path):
+    """df counts distinct ids, as the SQL does: a null id is none."""
+    from lantern.plans import search_queries
+
+    rows = [(1, "a b a", "en", "s"), (1, "a", "en", "s"), (None, "a c", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in search_queries.token_df(spark, str(tmp_path)).collect()} == {("a", 1, 4), ("b", 1, 1), ("c", 0, 1)}
