@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lantern.functions import markup, text, versions
 
 MAX_CHARS = 8000
+#: Pages whose headings a task holds at once.
+SLICE = 256
 BLOCKS = frozenset({"p", "pre", "table", "li"})
 _HEADING = "array<struct<level int, title string, anchor string, blocks array<string>>>"
 
@@ -23,12 +25,13 @@ _HEADING = "array<struct<level int, title string, anchor string, blocks array<st
 def _headings(html: str) -> list[dict]:
     """Headings in document order, each with the top-level blocks that follow it; raw texts."""
     found: list[dict] = []
-    for node in markup.parse(html or "").walk():
+    for node in (root := markup.parse(html or "")).walk():
         if len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1] in "123456":
             if title := node.text(" "):
                 found.append({"level": int(node.tag[1]), "title": title, "anchor": node.attrs.get("id") or None, "blocks": []})
         elif found and node.tag in BLOCKS and not any(a.tag in BLOCKS for a in node.ancestors()):
             found[-1]["blocks"].append(node.text("\n"))
+    markup.release(root)
     return found
 
 
@@ -73,7 +76,8 @@ def headings(pages: DataFrame, html: str = "html", into: str = "headings") -> Da
     @F.pandas_udf(_HEADING)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for htmls in batches:
-            yield pd.Series([_headings(h) for h in htmls])
+            for k in range(0, len(htmls), SLICE):
+                yield pd.Series([_headings(h) for h in htmls[k : k + SLICE]])
 
     def cleaned(h: Column) -> Column:
         blocks = F.filter(F.transform(h["blocks"], text.clean_lines), lambda b: b != "")

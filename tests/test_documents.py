@@ -109,3 +109,20 @@ def test_blocks_of_a_table_function_are_those_of_the_arrays(spark):
     assert got == want
     paths = documents.headings(pages).select("id", F.posexplode(documents.hierarchy(F.col("headings"))).alias("n", "path"))
     assert {(r.id, r.n + 1): list(r.path) for r in paths.collect()} == {(r.id, r.heading): list(r.path) for r in documents.html_blocks(pages).filter("block = 0").collect()}
+
+
+def test_trees_are_freed_and_pages_are_read_in_slices(spark, monkeypatch):
+    """No tree is left to the collector of cycles, and slices give each page its own headings."""
+    import gc
+
+    gc.collect()
+    gc.disable()
+    try:
+        before = sum(isinstance(o, documents.markup.Node) for o in gc.get_objects())
+        documents._headings("<h1>a</h1><ul><li>x<li>y</ul>" * 50)
+        assert sum(isinstance(o, documents.markup.Node) for o in gc.get_objects()) == before
+    finally:
+        gc.enable()
+    pages = spark.createDataFrame([(i, f"<h1>t{i}</h1><p>b{i}</p>") for i in range(700)], "id int, html string").coalesce(1)
+    got = documents.headings(pages).select("id", "headings.title", "headings.blocks").collect()
+    assert [(r.id, r.title, r.blocks) for r in got] == [(i, [f"t{i}"], [[f"b{i}"]]) for i in range(700)]
