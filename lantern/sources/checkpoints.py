@@ -55,6 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The same rows, written to a table that stays and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that ``cut`` has made; nothing may read them afterwards, nor what was derived from them."""
     for df in tables:

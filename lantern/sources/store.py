@@ -63,16 +63,16 @@ class Store:
         release = versions.release(version)
         name = uuid.uuid4().hex
         base = f"{self.root}/{release.family}/{name}"
-        ready = hybrid.embedded(documents.with_embedding_text(sections, product), embedder, "embedding_text").drop("embedding_text")
+        # texts are dealt out once; all that follows reads them where they are stored
+        ready = hybrid.embedded(documents.with_embedding_text(sections.repartition("id"), product), embedder, "embedding_text").drop("embedding_text")
         ready.write.parquet(f"{base}/sections")
         stored = documents.assert_unique(self.spark.read.parquet(f"{base}/sections"))
         if bad := stored.filter("embedding IS NULL").select("id").first():
             raise ValueError(f"there are fewer vectors than sections: {bad['id']}")
-        index = lexical.Index.build(stored)
-        index.write(base)
+        lexical.Index.build(stored, folder=base, dealt=True)
         found = cells.Cells.build(stored)
         found.packs.write.parquet(f"{base}/packs")
-        checkpoints.drop(found.packs, *(getattr(index, name) for name in index.TABLES))
+        checkpoints.drop(found.packs)
         count = stored.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_path").alias("files")).first()
         if not count["n"]:
             raise ValueError("nothing to index")

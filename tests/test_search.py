@@ -263,3 +263,42 @@ def test_ranking_by_sets_pages_and_neighbours(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(cells, "SET", 2)
     monkeypatch.setattr(cells, "BLOCK", 2)
     assert sorted(map(tuple, found.nearest(asked, 4)[0].collect())) == want and [r[1] for r in want[:4]] == [6, 13, 20, 27]
+
+
+def test_texts_are_taken_apart_where_they_lie(spark, monkeypatch, tmp_path):
+    """Terms and postings of odd sections by their definitions, page by page; no occurrence is shuffled or summed by a key."""
+    import re
+    from collections import Counter, defaultdict
+
+    rows = [(str(i), ["a", None, "", "b a"][i % 4], ["x", "a b"][: i % 3], "a b a c é b " * (i % 5) + ("z z" if i == 7 else "")) for i in range(40)]
+    rows += [("twice", "a", ["q"], "a b"), ("twice", "b", [], "b b c"), ("none", None, None, None)]
+    sections = spark.createDataFrame(rows, "id string, title string, breadcrumb array<string>, text string").repartition(3)
+    monkeypatch.setattr(lexical, "PAGE", 7)
+    words = lambda v: re.findall(r"\w+", (v or "").replace("é", "e"))
+    tokens, places = defaultdict(Counter), defaultdict(list)
+    weighted = defaultdict(Counter)
+    for i, title, crumbs, body in rows:
+        for name, value in (("title", title), ("breadcrumb", " > ".join(crumbs or [])), ("text", body)):
+            for position, token in enumerate(words(value)):
+                places[token, i, name] = sorted([*places[token, i, name], position])
+                tokens[i][token] += 1
+                weighted[i][token] += lexical.WEIGHTS[name]
+    got = {r.section_id: r for r in lexical._terms(sections, "id", lexical.WEIGHTS).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for i, r in got.items():
+        assert (r.tokens, dict(zip(r.names, r.f))) == (tokens[i].total(), dict(weighted[i]))
+        assert r.commonest == max(tokens[i], key=lambda t: (tokens[i][t], t), default=None)
+    found = lexical.postings(sections)
+    assert {(r.token, r.section_id, r.field): r.positions for r in found.collect()} == places
+    single = sections.filter("id != 'twice'").localCheckpoint()
+    for df in (lexical.postings(single), lexical._terms(single, "id", lexical.WEIGHTS)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan
+    assert lexical.postings(sections.limit(0)).count() == 0
+    folder = str(tmp_path / "index")
+    kept = lexical.Index.build(single, folder=folder)
+    for name in lexical.Index.TABLES:
+        assert f"{folder}/{name}/" in getattr(kept, name).inputFiles()[0]
+    queries = spark.createDataFrame([(1, "a"), (2, "b c"), (3, "z_z")], "query_id int, query string")
+    results = [sorted(map(tuple, lexical.search(queries, index).collect())) for index in (kept, lexical.Index.build(single))]
+    assert results[0] == results[1] and len(results[0]) > 40
