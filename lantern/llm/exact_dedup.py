@@ -50,10 +50,10 @@ def _position(sha: Column, seed: int, bits: int) -> Column:
     return F.xxhash64(sha, F.lit(seed)).bitwiseAND(F.lit(bits - 1)) + 1
 
 
-def repeated_bits(hashes: DataFrame, sha: str, bits: int) -> DataFrame:
-    """Bitmaps (filter, bucket, bitmap) of the bits that two or more rows set."""
+def repeated_bits(hashes: DataFrame, sha: str, bits: int, least: int = 2) -> DataFrame:
+    """Bitmaps (filter, bucket, bitmap) of the bits that two (or ``least``) or more rows set."""
     points = hashes.select(F.explode(F.array(*(F.struct(F.lit(i).alias("filter"), _position(F.col(sha), seed, bits).alias("position")) for i, seed in enumerate(SEEDS)))).alias("p"))
-    twice = points.groupBy("p.filter", "p.position").count().filter("count > 1")
+    twice = points.groupBy("p.filter", "p.position").count().filter(F.col("count") >= least)
     return twice.groupBy("filter", F.bitmap_bucket_number("position").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("position")).alias("bitmap"))
 
 

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, exact_dedup
 
 ORDER, DISCOUNT, TOP = 5, 0.75, 3
 #: One labelled text in so many calibrates.
@@ -194,12 +194,24 @@ def calibrated(texts: DataFrame, model: Model) -> np.ndarray:
     return weights
 
 
+def learned_from(docs: DataFrame, allowed: DataFrame, n: int) -> DataFrame:
+    """Each of the ``n`` labels (s_id, label) with its whole text; a null one is empty.
+
+    Texts without a label stay where they are: a Bloom filter of the labelled ids sorts out nearly all of them
+    before the join, which is by ids and exact. The plan is the same at every size, so what moves is in proportion to it.
+    """
+    bits, texts = exact_dedup._bits(n), docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("string").alias("_id"))
+    bitmaps = exact_dedup.repeated_bits(allowed.select(F.col("s_id").cast("string").alias("_id")), "_id", bits, 1)
+    likely = exact_dedup.candidates(texts.filter(common.fold("doc_id", FOLDS) != HELD_OUT), "_id", bitmaps, bits).filter("candidate")
+    return likely.join(allowed.hint("merge"), F.col("doc_id") == F.col("s_id")).select("text", "s_id", "label")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Model, np.ndarray] | None:
     """The models and the weights of the logistic function; None without rows of both classes."""
     allowed = labels.filter(F.col(label).isin(0, 1) & (common.fold("doc_id", FOLDS) != HELD_OUT)).select(F.col("doc_id").alias("s_id"), F.col(label).cast("int").alias("label"))
     labelled = {r["label"]: r["count"] for r in allowed.groupBy("label").count().collect()}
     calibrates = (F.pmod(F.xxhash64("s_id"), F.lit(CALIBRATION)) == 0).alias("calibrates")
-    texts = common.cut(docs.join(allowed, F.col("doc_id") == F.col("s_id")).select(F.coalesce("text", F.lit("")).alias("text"), "label", calibrates))
+    texts = common.cut(learned_from(docs, allowed, sum(labelled.values())).select("text", "label", calibrates))
     parts = {(r["label"], r["calibrates"]) for r in texts.select("label", "calibrates").distinct().collect()}
     whole = len(parts) < 4
     counts = counted(texts if whole else texts.filter("NOT calibrates"))

@@ -309,3 +309,18 @@ def test_logistic_by_sums_is_that_of_rows(spark):
     y = (x[:, 0] + rng.normal(size=400) > 0.5).astype(int)
     table = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y int")
     assert np.allclose(common.logistic_of(table, ["a", "b"], "y"), common.logistic(x, y), atol=1e-6)
+
+
+def test_only_labelled_texts_move(spark):
+    """Each label meets its whole text, whatever the ids' types; others are sorted out where they lie, and the join is one plan at every size."""
+    rows = [(i, f"text {i}" if i % 7 else None) for i in range(2000)] + [(5, "text 5 again"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 3000, 9)] + [(5, 0), (5, 1), (None, 1)], "s_id int, label int")
+    allowed = labels.filter(common.fold("s_id", toxicity.FOLDS) != toxicity.HELD_OUT)
+    kept = [tuple(r) for r in allowed.collect()]
+    found = toxicity.learned_from(docs, allowed, len(kept))
+    want = sorted((t or "", s, label) for s, label in kept for i, t in rows if i == s)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 100
+    joins = [line.strip(" :+-*()0123456789").split(" ")[0] for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+    assert joins == ["SortMergeJoin", "BroadcastHashJoin", "BroadcastHashJoin"]
+    assert toxicity.learned_from(docs, allowed.limit(0), 0).count() == 0
