@@ -109,16 +109,16 @@ class PrefixCode:
     """A canonical prefix code by its lengths."""
 
     def __init__(self, lengths: bytes):
-        self.used = [s for s, n in enumerate(lengths) if n]
-        self.lengths = lengths
+        self.at = np.flatnonzero(np.frombuffer(lengths, np.uint8))
+        self.used, self.lengths = self.at.tolist(), lengths
         self.only = self.used[0] if len(self.used) == 1 else None if self.used else 0
-        if self.only is None and sum(1 << 15 - lengths[s] for s in self.used) != 1 << 15:
+        if self.only is None and sum(lengths.count(n) << 15 - n for n in range(1, 16)) != 1 << 15:
             raise FormatError("a prefix code isn't complete")
 
     @cached_property
     def ordered(self) -> tuple[np.ndarray, np.ndarray]:
         """The used symbols in the order of their codes, and their lengths."""
-        used = np.array(self.used)
+        used = self.at
         lengths = np.frombuffer(self.lengths, np.uint8)[used].astype(np.int64)
         order = np.argsort(lengths, kind="stable")
         return used[order], lengths[order]
@@ -157,8 +157,12 @@ class PrefixCode:
     @cached_property
     def steps(self) -> np.ndarray:
         """Lengths as in ``lookup``, plus HIT or COPY where the symbol is no sample."""
-        _, symbols, lengths = self.lookup
-        return lengths + np.where(symbols < 256, 0, np.where(symbols < 256 + LENGTH_CODES, COPY, HIT))
+        kinds = lambda symbols: np.where(symbols < 256, 0, np.where(symbols < 256 + LENGTH_CODES, COPY, HIT))
+        if self.only is not None:
+            return kinds(self.lookup[1])
+        used, lengths = self.ordered
+        most = int(lengths[-1])
+        return np.repeat(lengths + kinds(used), 1 << most - lengths).take(_turned(most))
 
     @cached_property
     def pairs(self) -> list[int]:
@@ -209,8 +213,11 @@ def _read_code(bits: BitReader, symbols: int) -> PrefixCode:
             lengths[s] = 1
         return prefix_code(bytes(lengths))
     own = bytearray(19)
-    for i in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[i]] = bits.read(3)
+    n = 4 + bits.read(4)
+    found = bits.read(3 * n)
+    for i in LENGTH_ORDER[:n]:
+        own[i] = found & 7
+        found >>= 3
     code = prefix_code(bytes(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     at, last = 0, 8
@@ -344,6 +351,7 @@ def _read_at_once(bits: BitReader, codes: list[PrefixCode], total: int, width: i
     data, distance = np.frombuffer(bits.data, np.uint8), codes[4]
     (green_most, green_symbol, green_length), *others = (c.lookup for c in codes[:4])
     steps, green_mask = codes[0].steps, (1 << green_most) - 1
+    has_hits = bool(codes[0].used) and codes[0].used[-1] >= 256
     pixels, copies, hits, hit_slots, at = np.zeros((total, 4), np.uint8), [], [], [], 0
     while at < total:
         origin, start = bits.at >> 3, bits.at & 7
@@ -361,19 +369,18 @@ def _read_at_once(bits: BitReader, codes: list[PrefixCode], total: int, width: i
                 if id(code) not in ends:
                     ends[id(code)] = place + length.take(window & (1 << most) - 1)
                 end = ends[id(code)] if end is place else ends[id(code)].take(end, mode="clip")
-        walk, follow, starts, jumps, p, first, copied = memoryview(after), memoryview(end), [], [], start, at, 0
+        # where a pixel ends by where it begins: a literal after its last sample, a cache index after its green symbol; a copy isn't under COPY
+        literals = after if end is place else end.take(after, mode="clip")
+        walk = memoryview(literals if not has_hits else np.where(after < HIT, literals, np.where(after < COPY, after - HIT, after)))
+        starts, jumps, p, first, copied = [], [], start, at, 0
         note = starts.append
         if end is place and not green_most and walk[p] < COPY:  # pixels without bits
             starts, limit = [p] * (total - at), p
         while p < limit:
             q = walk[p]
-            if q < HIT:
-                note(p)
-                p = follow[q]
-                continue
             if q < COPY:
                 note(p)
-                p = q - HIT
+                p = q
                 continue
             if (at := first + len(starts) + copied) >= total:
                 break

@@ -151,3 +151,15 @@ def test_distances_by_their_codes():
     """The first and the last short distances as the format lists them, and those beyond."""
     assert [webp._distance(k, 16) for k in (1, 2, 3, 4, 5, 6, 120, 121, 137)] == [16, 1, 17, 15, 32, 2, 120, 1, 17]
     assert webp._distance(4, 1) == 1  # none is below 1
+
+
+def test_reading_takes_few_steps(monkeypatch):
+    """A code's own lengths are read as one number; cut short in them, an image is an error."""
+    rng, calls, read = np.random.default_rng(3), [], webp.BitReader.read
+    image = np.frombuffer(rng.choice(np.frombuffer(b"etaoin shrdlucmfwypvbgkqjxz.,ETA", np.uint8), 16 * 4 * 50).tobytes(), np.uint8).reshape(50, 16, 4)
+    stored = webp.compress(image)
+    monkeypatch.setattr(webp.BitReader, "read", lambda bits, n: calls.append(n) or read(bits, n))
+    assert (webp.decode(stored) == image).all() and len(calls) < 50
+    for kept in range(26, 40):
+        with pytest.raises(webp.FormatError):
+            webp.decode(stored[:kept])
