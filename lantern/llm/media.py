@@ -14,8 +14,10 @@ which is replaced.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common, webp
 
 BLOCK, WIDTH = 64, 16
+#: Pixels and rows that are stored or read together at most.
+AT_ONCE, MOST_ROWS = 1 << 19, 512
 
 
 def payload_of(text: str) -> bytes:
@@ -34,18 +38,55 @@ def payload_of(text: str) -> bytes:
 
 def to_media(payload: bytes) -> bytes:
     """The images that hold a payload."""
-    pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 4)
-    return b"".join(webp.compress(pixels[k : k + webp.MAX_SIDE]) for k in range(0, len(pixels), webp.MAX_SIDE))
+    return next(stored_all([payload]))
 
 
-def to_pixels(media: bytes) -> np.ndarray:
-    """The pixel array of all images in ``media``, one below the other."""
+def stored_all(payloads: Iterable[bytes]) -> Iterator[bytes]:
+    """The images of each payload; they are made together up to a bound."""
+    for some in _bounded(((payload, len(payload) // 4) for payload in payloads)):
+        images = []
+        for payload in some:
+            pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 4)
+            images.append([pixels[k : k + webp.MAX_SIDE] for k in range(0, len(pixels), webp.MAX_SIDE)])
+        made = iter(webp.compress_all([x for each in images for x in each]))
+        yield from (b"".join([next(made) for _ in each]) for each in images)
+
+
+def images_of(media: bytes) -> list[bytes]:
     images, at = [], 0
     while at < len(media):
         size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        images.append(webp.decode(media[at : at + size]))
+        images.append(media[at : at + size])
         at += size
-    return np.concatenate(images) if len(images) > 1 else images[0]
+    return images
+
+
+def to_pixels(media: bytes) -> np.ndarray:
+    """The pixel array of all images in ``media``, one below the other."""
+    return next(pixels_all([media]))
+
+
+def pixels_all(media: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """The pixel array of each of ``media``; images are decoded together up to a bound."""
+    images = (images_of(stored) for stored in media)
+    for some in _bounded((each, sum(math.prod(webp.size_of(x)) for x in each)) for each in images):
+        found = iter(webp.decode_all([x for each in some for x in each]))
+        for each in some:
+            parts = [next(found) for _ in each]
+            yield np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
+def _bounded(rows: Iterable[tuple[Any, int]]) -> Iterator[list]:
+    """Rows, which come with their pixels, in lists of at most MOST_ROWS rows and, but for single rows, AT_ONCE pixels."""
+    some, size = [], 0
+    for row, n in rows:
+        if some and (size + n > AT_ONCE or len(some) == MOST_ROWS):
+            yield some
+            some, size = [], 0
+        some.append(row)
+        size += n
+    if some:
+        yield some
 
 
 def feature_of(pixels: np.ndarray) -> str:
@@ -67,7 +108,7 @@ def store(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([to_media(payload_of(t)) for t in texts], dtype=object)
+            yield pd.Series(list(stored_all(map(payload_of, texts))), dtype=object)
 
     return docs.withColumn(into, encode(F.coalesce(F.col(text), F.lit(""))))
 
@@ -79,8 +120,7 @@ def read_back(docs: DataFrame, media: str = "media", into: str = "read") -> Data
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for stored in batches:
             rows = []
-            for m in stored:
-                pixels = to_pixels(m)
+            for pixels in pixels_all(stored):
                 payload = pixels.tobytes()
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), feature_of(pixels)))
             yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
@@ -94,7 +134,7 @@ def pixels(docs: DataFrame, media: str = "media", into: str = "pixels") -> DataF
     @F.pandas_udf("height int, width int, samples binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for stored in batches:
-            found = [to_pixels(m) for m in stored]
+            found = list(pixels_all(stored))
             yield pd.DataFrame({"height": [p.shape[0] for p in found], "width": [p.shape[1] for p in found], "samples": [p.tobytes() for p in found]})
 
     return docs.withColumn(into, decode(media))

@@ -14,8 +14,9 @@ cache and back-references. ``compress`` chooses them by the image.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable, Generator
 from functools import cached_property, lru_cache
+from typing import Any
 
 import numpy as np
 
@@ -31,8 +32,13 @@ MAX_SIDE = 1 << 14
 CHUNK = 1 << 16
 #: Added to the length of a green symbol that is a cache index or a copy; more than any place in a chunk.
 HIT, COPY = 1 << 20, 1 << 21
+#: Fewer images than these aren't read together; so many steps are taken between two looks for images that have ended.
+TOGETHER, STRIDE = 48, 16
+#: Added to copies' symbols there; more than any symbol.
+COPIED = 1 << 12
 #: The encoder's longest code, and its colour cache.
 MOST, CACHE_BITS = 12, 8
+MOST_SYMBOLS = 256 + LENGTH_CODES + (1 << CACHE_BITS)
 #: The 120 near pixels that short distance codes mean: nearest first, then by column, the left one first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
@@ -64,61 +70,70 @@ def _field(value: int, n: int) -> str:
 
 
 class BitWriter:
-    """Bits as strings of 0 and 1, the first bit first, and one number of all bits before them, the first bit lowest."""
+    """Bits as strings of 0 and 1, the first bit first, and before them numbers of up to 64 bits with their sizes, the lowest bit first."""
 
     def __init__(self):
         self.bits: list[str] = []
-        self.before = self.size = 0
+        self.numbers: list[tuple[np.ndarray, np.ndarray]] = []
 
     def write(self, value: int, n: int) -> None:
         if n:
             self.bits.append(_field(value, n))
 
     def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Numbers of up to 64 bits, the lowest bit first; each falls into one or two words of 64 bits."""
-        self._gather()
-        sizes = sizes.astype(np.int64)
-        ends = np.cumsum(sizes)
-        if not len(ends) or not ends[-1]:
-            return
-        at = ends - sizes
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-        words[word[first]] = np.bitwise_or.reduceat(values << shift, first)
-        words[word[first] + 1] |= np.bitwise_or.reduceat(values >> np.uint64(1) >> np.uint64(63) - shift, first)
-        self.before |= int.from_bytes(words.astype("<u8").tobytes(), "little") << self.size
-        self.size += int(ends[-1])
+        self.gather()
+        self.numbers.append((values, sizes))
 
-    def _gather(self) -> None:
+    def gather(self) -> None:
         if text := "".join(self.bits):
-            self.before |= int(text[::-1], 2) << self.size
-            self.size += len(text)
+            parts = [text[k : k + 64] for k in range(0, len(text), 64)]
+            self.numbers.append((np.array([int(x[::-1], 2) for x in parts], np.uint64), np.array([len(x) for x in parts], np.int64)))
             self.bits = []
 
     def array(self) -> np.ndarray:
         """The bits one by one."""
-        return np.unpackbits(np.frombuffer(self.stream(), np.uint8), count=self.size, bitorder="little")
+        stream = self.stream()
+        return np.unpackbits(np.frombuffer(stream, np.uint8), count=sum(int(n.sum()) for _, n in self.numbers), bitorder="little")
 
     def stream(self) -> bytes:
-        self._gather()
-        return self.before.to_bytes(self.size + 7 >> 3, "little")
+        return streams([self])[0]
+
+
+def streams(writers: list[BitWriter]) -> list[bytes]:
+    """The bytes of each writer; each begins a word of 64 bits, and a number falls into one or two words."""
+    for x in writers:
+        x.gather()
+    values, sizes = (np.concatenate([np.zeros(1, t), *(y[k] for x in writers for y in x.numbers)], dtype=t) for k, t in ((0, np.uint64), (1, np.int64)))
+    count = np.cumsum([0, *(sum(len(n) for _, n in x.numbers) for x in writers)])
+    ends = np.cumsum(sizes)
+    last = ends[count]
+    size = np.diff(last)
+    words = (size + 63 >> 6) + 1
+    begin = np.cumsum(words) - words
+    values, at = values[1:], (ends - sizes)[1:] + np.repeat(64 * begin - last[:-1], np.diff(count))
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    out = np.zeros(int(words.sum()) + 1, "<u8")
+    if len(word):
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        out[word[first] + 1] |= np.bitwise_or.reduceat(values >> np.uint64(1) >> np.uint64(63) - shift, first)
+    whole = out.tobytes()
+    return [whole[8 * at : 8 * at + n] for at, n in zip(begin.tolist(), (size + 7 >> 3).tolist(), strict=True)]
 
 
 class PrefixCode:
     """A canonical prefix code by its lengths."""
 
     def __init__(self, lengths: bytes):
-        self.at = np.flatnonzero(np.frombuffer(lengths, np.uint8))
-        self.used, self.lengths = self.at.tolist(), lengths
-        self.only = self.used[0] if len(self.used) == 1 else None if self.used else 0
+        self.lengths, used = lengths, len(lengths) - lengths.count(0)
+        self.only = None if used > 1 else len(lengths) - len(lengths.lstrip(b"\0")) if used else 0
         if self.only is None and sum(lengths.count(n) << 15 - n for n in range(1, 16)) != 1 << 15:
             raise FormatError("a prefix code isn't complete")
 
     @cached_property
     def ordered(self) -> tuple[np.ndarray, np.ndarray]:
         """The used symbols in the order of their codes, and their lengths."""
-        used = self.at
+        used = np.flatnonzero(np.frombuffer(self.lengths, np.uint8))
         lengths = np.frombuffer(self.lengths, np.uint8)[used].astype(np.int64)
         order = np.argsort(lengths, kind="stable")
         return used[order], lengths[order]
@@ -134,24 +149,18 @@ class PrefixCode:
         return int(symbols[number])
 
     @cached_property
-    def strings(self) -> list[str]:
-        """The bits of each symbol as they are written."""
-        out, code, last = [""] * len(self.lengths), 0, 0
-        if self.only is None:
-            for n, s in sorted((self.lengths[s], s) for s in self.used):
-                code, last = code << n - last, n
-                out[s] = format(code, f"0{n}b")
-                code += 1
-        return out
+    def entries(self) -> tuple[int, np.ndarray]:
+        """The longest length; symbol and, 16 bits above it, length by that many bits of the stream."""
+        if self.only is not None:
+            return 0, np.array([self.only])
+        used, lengths = self.ordered
+        most = int(lengths[-1])
+        return most, np.repeat(used | lengths << 16, 1 << most - lengths).take(_turned(most))
 
     @cached_property
     def lookup(self) -> tuple[int, np.ndarray, np.ndarray]:
         """The longest length, and symbol and length by that many bits of the stream."""
-        if self.only is not None:
-            return 0, np.array([self.only]), np.zeros(1, np.int64)
-        used, lengths = self.ordered
-        most = int(lengths[-1])
-        both = np.repeat(used | lengths << 16, 1 << most - lengths).take(_turned(most))
+        most, both = self.entries
         return most, both & 65535, both >> 16
 
     @cached_property
@@ -164,21 +173,30 @@ class PrefixCode:
         most = int(lengths[-1])
         return np.repeat(lengths + kinds(used), 1 << most - lengths).take(_turned(most))
 
+    @staticmethod
+    def fill(codes: list[PrefixCode]) -> None:
+        """Makes the entries of many codes at once."""
+        codes = [code for code in {id(code): code for code in codes}.values() if code.only is None and "entries" not in code.__dict__]
+        if not codes:
+            return
+        lengths = np.frombuffer(b"".join([code.lengths for code in codes]), np.uint8)
+        widths = np.array([len(code.lengths) for code in codes])
+        at = np.flatnonzero(lengths)
+        row = np.repeat(np.arange(len(codes)), widths)[at]
+        symbols, n = at - (np.cumsum(widths) - widths)[row], lengths[at].astype(np.int64)
+        order = np.argsort(row << 4 | n, kind="stable")
+        row, symbols, n = row[order], symbols[order], n[order]
+        most = n[np.flatnonzero(np.diff(row, append=-1))]
+        begin = np.cumsum(1 << most) - (1 << most)
+        both = np.repeat((symbols | n << 16).astype(np.int32), 1 << most[row] - n)
+        for code, first, wide in zip(codes, begin.tolist(), most.tolist(), strict=True):
+            code.__dict__["entries"] = wide, both[first : first + (1 << wide)].take(_turned(wide))
+
     @cached_property
     def pairs(self) -> list[int]:
         """Symbol and, 16 bits above it, length by the longest length's bits of the stream."""
-        _, symbols, lengths = self.lookup
-        return (symbols | lengths << 16).tolist()
+        return self.entries[1].tolist()
 
-    @cached_property
-    def written(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bits (the first one lowest) and length by symbol."""
-        values, lengths = np.zeros(len(self.lengths), np.uint64), np.zeros(len(self.lengths), np.uint64)
-        if self.only is None:
-            symbols, n = self.ordered
-            room = 1 << 15 - n
-            values[symbols], lengths[symbols] = _turned(15)[np.cumsum(room) - room], n
-        return values, lengths
 
 
 @lru_cache
@@ -196,13 +214,17 @@ def _places() -> np.ndarray:
     return np.arange(CHUNK + 128)
 
 
-@lru_cache(4096)
+@lru_cache(256)
 def prefix_code(lengths: bytes) -> PrefixCode:
     """Images often have the codes of others; they are built once."""
     return PrefixCode(lengths)
 
 
-def _read_code(bits: BitReader, symbols: int) -> PrefixCode:
+#: Gives code lengths that are to be read (bits, symbols, their own code, how many) and is sent them.
+Opening = Generator[tuple[BitReader, int, PrefixCode, int], bytes, Any]
+
+
+def _read_code(bits: BitReader, symbols: int) -> Opening:
     lengths = bytearray(symbols)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
@@ -220,8 +242,12 @@ def _read_code(bits: BitReader, symbols: int) -> PrefixCode:
         found >>= 3
     code = prefix_code(bytes(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
-    at, last = 0, 8
-    by_bits, mask = code.pairs, (1 << code.lookup[0]) - 1
+    return prefix_code((yield bits, symbols, code, left))
+
+
+def _read_lengths(bits: BitReader, symbols: int, code: PrefixCode, left: int) -> bytes:
+    lengths, at, last = bytearray(symbols), 0, 8
+    by_bits, mask = code.pairs, (1 << code.entries[0]) - 1
     start = bits.at
     ahead = int.from_bytes(bits.data[start >> 3 : (start >> 3) + 2 * symbols + 8], "little") >> (start & 7)
     ahead |= 1 << 8 * (2 * symbols + 9)  # its place tells how much has been read
@@ -247,10 +273,78 @@ def _read_code(bits: BitReader, symbols: int) -> PrefixCode:
     bits.at += whole - ahead.bit_length()
     if bits.at > 8 * len(bits.data):
         raise FormatError("the image ends too early")
-    return prefix_code(bytes(lengths))
+    return bytes(lengths)
+
+
+def _windows(images: list[BitReader]) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits from each byte of all images on, and each image's first bit."""
+    stream = b"".join([bits.data for bits in images]) + bytes(16)
+    return np.ndarray((len(stream) - 8,), "<i8", stream, strides=(1,)).copy(), 8 * np.cumsum([0, *(len(bits.data) for bits in images)])[:-1]
+
+
+def _read_lengths_together(asked: list[tuple[BitReader, int, PrefixCode, int]]) -> list[bytes]:
+    """Code lengths of many codes, one symbol of each at a step."""
+    PrefixCode.fill([code for _, _, code, _ in asked])
+    windows, origin = _windows([bits for bits, *_ in asked])
+    most = np.array([code.entries[0] for _, _, code, _ in asked])
+    table = np.concatenate([code.entries[1] for _, _, code, _ in asked])
+    offset, mask = np.cumsum(1 << most) - (1 << most), (1 << most) - 1
+    room, left = np.array([x[1] for x in asked]), np.array([x[3] for x in asked])
+    p, at, last = origin + [bits.at for bits, *_ in asked], np.zeros(len(asked), np.int64), np.full(len(asked), 8)
+    extra_of, least_of = np.array([0] * 16 + [2, 3, 7]), np.array([1] * 16 + [3, 3, 11])
+    who, rows, values, times = np.arange(len(asked)), [], [], []
+    while len(who):
+        q, so_far = p[who], last[who]
+        window = windows.take(q >> 3, mode="clip") >> (q & 7)
+        entry = table[offset[who] + (window & mask[who])]
+        symbol, n = entry & 65535, entry >> 16
+        extra = extra_of[symbol]
+        run = least_of[symbol] + (window >> n & (1 << extra) - 1)
+        value = np.where(symbol < 16, symbol, np.where(symbol == 16, so_far, 0))
+        rows.append(who)
+        values.append(value)
+        times.append(run)
+        p[who] = q + n + extra
+        last[who] = np.where(value > 0, value, so_far)
+        at[who] += run
+        left[who] -= 1
+        who = who[(at[who] < room[who]) & (left[who] > 0)]
+    if (at > room).any():
+        raise FormatError("code lengths run over")
+    rows, values, times = (np.concatenate([*x, last]) for x, last in ((rows, np.arange(len(asked))), (values, np.zeros(len(asked), np.int64)), (times, room - at)))
+    order = np.argsort(rows, kind="stable")
+    whole, ends = np.repeat(values[order], times[order]).astype(np.uint8).tobytes(), np.cumsum(room).tolist()
+    for (bits, *_), end in zip(asked, (p - origin).tolist(), strict=True):
+        bits.at = end
+        if end > 8 * len(bits.data):
+            raise FormatError("the image ends too early")
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
 
+def _opened_together(openings: list[Opening]) -> list:
+    """What each of the openings returns; many that wait for code lengths get them at once."""
 
-def _read_codes(bits: BitReader, sizes: tuple[int, ...]) -> list[PrefixCode]:
+    def answers(asked: list) -> list[bytes]:
+        return _read_lengths_together(asked) if len(asked) >= TOGETHER else [_read_lengths(*x) for x in asked]
+
+    return _together(openings, answers)
+
+
+def _together(workers: list[Generator], answers: Callable[[list], list]) -> list:
+    """What each of the workers returns; all that ask at a time are answered at once."""
+    out, waiting = [None] * len(workers), [(k, None) for k in range(len(workers))]
+    while waiting:
+        asked = []
+        for k, answer in waiting:
+            try:
+                asked.append((k, workers[k].send(answer)))
+            except StopIteration as end:
+                out[k] = end.value
+        waiting = list(zip([k for k, _ in asked], answers([x for _, x in asked]), strict=True)) if asked else []
+    return out
+
+
+def _read_codes(bits: BitReader, sizes: tuple[int, ...]) -> Generator:
     """The codes of one group; one that is written like the one before it is that one."""
     out, start = [], 0
     for k, n in enumerate(sizes):
@@ -260,7 +354,7 @@ def _read_codes(bits: BitReader, sizes: tuple[int, ...]) -> list[PrefixCode]:
             out.append(out[-1])
         else:
             start = bits.at
-            out.append(_read_code(bits, n))
+            out.append((yield from _read_code(bits, n)))
     return out
 
 
@@ -272,8 +366,21 @@ def _prefixed(bits: BitReader, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
+class Reading:
+    """An entropy-coded image whose codes are known, and what has been read of its pixels."""
+
+    def __init__(self, bits: BitReader, groups: list[list[PrefixCode]], which: np.ndarray | None, shift: int, width: int, total: int, cache_bits: int):
+        self.bits, self.groups, self.which, self.shift = bits, groups, which, shift
+        self.width, self.total, self.cache_bits, self.first = width, total, cache_bits, bits.at
+        self.at, self.pixels, self.copies, self.hits, self.hit_slots = 0, None, [], [], []
+
+
+def _read_image(bits: BitReader, width: int, height: int, main: bool) -> Opening:
     """Entropy-coded pixels, flat: (height * width, 4)."""
+    return _read_pixels((yield from _opened(bits, width, height, main)))
+
+
+def _opened(bits: BitReader, width: int, height: int, main: bool) -> Opening:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise FormatError("the colour cache is too large")
@@ -281,16 +388,22 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
     if main and bits.read(1):
         shift = bits.read(3) + 2
         across = -(-width >> shift)
-        which = _read_image(bits, across, -(-height >> shift), False)
+        which = yield from _read_image(bits, across, -(-height >> shift), False)
         which = (which[:, 0].astype(int) | which[:, 1].astype(int) << 8).reshape(-1, across)
         groups = int(which.max()) + 1
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    codes = [_read_codes(bits, sizes) for _ in range(groups)]
-    total = width * height
-    first = bits.at
-    if groups == 1 and (found := _read_at_once(bits, codes[0], total, width, cache_bits)) is not None:
+    codes = []
+    for _ in range(groups):
+        codes.append((yield from _read_codes(bits, sizes)))
+    return Reading(bits, codes, which, shift, width, width * height, cache_bits)
+
+
+def _read_pixels(image: Reading) -> np.ndarray:
+    bits, codes, which, shift, width, total, cache_bits = image.bits, image.groups, image.which, image.shift, image.width, image.total, image.cache_bits
+    groups = len(codes)
+    if groups == 1 and (found := _read_at_once(image)) is not None:
         return found
-    bits.at = first
+    bits.at = image.first
     pixels, cache = np.zeros((total, 4), np.uint8), {}
     at = 0
 
@@ -346,13 +459,101 @@ def _before(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _read_at_once(bits: BitReader, codes: list[PrefixCode], total: int, width: int, cache_bits: int) -> np.ndarray | None:
-    """Pixels of one group of codes; None if a cache index has no pixel before it."""
-    data, distance = np.frombuffer(bits.data, np.uint8), codes[4]
-    (green_most, green_symbol, green_length), *others = (c.lookup for c in codes[:4])
-    steps, green_mask = codes[0].steps, (1 << green_most) - 1
-    has_hits = bool(codes[0].used) and codes[0].used[-1] >= 256
-    pixels, copies, hits, hit_slots, at = np.zeros((total, 4), np.uint8), [], [], [], 0
+def _walk_together(images: list[Reading]) -> None:
+    """Reads images of one group of codes, one pixel or copy of each at a step, until few of them go on."""
+    PrefixCode.fill([code for image in images for group in image.groups for code in group[:4]])
+    bits_of = [sum(c.entries[0] for c in image.groups[0][:4]) if len(image.groups) == 1 else 0 for image in images]
+    images = [image for image, n in zip(images, bits_of, strict=True) if 0 < n <= 56]  # a pixel lies in 64 bits from its first byte
+    if len(images) < TOGETHER:
+        return
+    places, tables, size = {}, [], 0
+    for image in images:
+        for code in image.groups[0][:4]:
+            if id(code) not in places:
+                places[id(code)] = size
+                tables.append(code.entries[1])
+                size += len(tables[-1])
+    # length and, 6 bits above it, symbol; that of a copy is raised
+    table, at = np.empty(size, np.int64), 0
+    for each in tables:
+        symbol, part = each & 65535, table[at : at + len(each)]
+        part[:] = symbol
+        part += COPIED * (symbol - 256 < LENGTH_CODES) * (symbol >= 256)
+        part <<= 6
+        part |= each >> 16
+        at += len(each)
+    del tables
+    offsets = np.array([[places[id(code)] for code in image.groups[0][:4]] for image in images]).T.copy()
+    masks = np.array([[(1 << code.entries[0]) - 1 for code in image.groups[0][:4]] for image in images]).T.copy()
+    windows, origin = _windows([image.bits for image in images])
+    room = np.array([image.total + STRIDE for image in images])  # images that have ended are read on for a few steps
+    begins = np.cumsum(room) - room
+    colours, symbols = np.zeros(int(room.sum()), np.uint32), np.zeros(int(room.sum()), np.int16)
+    all_p, all_at = origin + [image.bits.at for image in images], begins.copy()
+    who, end = np.arange(len(images)), begins + room - STRIDE
+    ps, ats = np.empty((2, STRIDE + 1, len(who)), np.int64)
+    ps[0], ats[0] = all_p, all_at
+    while len(who) >= TOGETHER:
+        entries = np.empty((4, STRIDE, len(who)), np.int64)
+        (offset, *others), (mask, *other_masks) = offsets, masks
+        for step in range(STRIDE):
+            p, at, entry = ps[step], ats[step], entries[0, step]
+            window = windows.take(p >> 3, mode="clip")
+            window >>= p & 7
+            table.take((window & mask) + offset, out=entry, mode="clip")
+            n, rest = entry & 63, 0
+            ahead = n
+            for k, further, wide in zip((1, 2, 3), others, other_masks, strict=True):
+                window >>= ahead
+                each = table.take((window & wide) + further, out=entries[k, step], mode="clip")
+                ahead = each & 63
+                rest = ahead if k == 1 else rest + ahead
+            np.add(p, n + rest * (entry < 256 << 6), out=ps[step + 1])
+            np.add(at, 1, out=ats[step + 1])
+            for j in np.flatnonzero(entry >= COPIED << 6).tolist():
+                if at[j] < end[j]:
+                    image, first, start = images[who[j]], int(begins[who[j]]), int(origin[who[j]])
+                    image.bits.at = int(ps[step + 1, j]) - start
+                    here, n = int(at[j]) - first, _prefixed(image.bits, (int(entry[j]) >> 6) - COPIED - 256)
+                    back = _distance(_prefixed(image.bits, image.groups[0][4].read(image.bits)), image.width)
+                    if back > here or here + n > image.total:
+                        raise FormatError("a back-reference leaves the image")
+                    image.copies.append((here, n, back))
+                    ps[step + 1, j], ats[step + 1, j] = image.bits.at + start, first + here + n
+        entries >>= 6
+        where = ats[:-1]
+        symbols[where] = entries[0]
+        entries &= 255
+        colours[where] = entries[0] | entries[1] << 8 | entries[2] << 16 | entries[3] << 24
+        ended = np.minimum((ats < end).sum(0), STRIDE)  # the step that comes first after an image's end
+        all_p[who], all_at[who] = ps[ended, np.arange(len(who))], np.minimum(ats[-1], end)
+        left = np.flatnonzero(ats[-1] < end)
+        if len(left) < 0.95 * len(who):
+            who, end, offsets, masks = who[left], end[left], offsets[:, left], masks[:, left]
+            ps, ats = np.empty((2, STRIDE + 1, len(who)), np.int64)
+        ps[0], ats[0] = all_p[who], all_at[who]
+    for image, first, at, p in zip(images, begins.tolist(), (all_at - begins).tolist(), (all_p - origin).tolist(), strict=True):
+        image.at, image.bits.at = at, p
+        if p > 8 * len(image.bits.data):
+            raise FormatError("the image ends too early")
+        image.pixels = colours[first : first + image.total].view(np.uint8).reshape(-1, 4).copy()
+        if image.cache_bits:
+            symbol = symbols[first : first + at].astype(np.int64)
+            image.hits.append(np.flatnonzero((symbol >= 256 + LENGTH_CODES) & (symbol < COPIED)))
+            image.hit_slots.append(symbol[image.hits[0]] - 256 - LENGTH_CODES)
+
+
+def _read_at_once(image: Reading) -> np.ndarray | None:
+    """Pixels of one group of codes that haven't been read yet, and all of them; None if a cache index has no pixel before it."""
+    bits, codes, width, total, cache_bits = image.bits, image.groups[0], image.width, image.total, image.cache_bits
+    pixels, copies, hits, hit_slots, at = image.pixels, image.copies, image.hits, image.hit_slots, image.at
+    if pixels is None:
+        pixels = np.zeros((total, 4), np.uint8)
+    if at < total:
+        data, distance = np.frombuffer(bits.data, np.uint8), codes[4]
+        (green_most, green_symbol, green_length), *others = (c.lookup for c in codes[:4])
+        steps, green_mask = codes[0].steps, (1 << green_most) - 1
+        has_hits = any(codes[0].lengths[256:])
     while at < total:
         origin, start = bits.at >> 3, bits.at & 7
         limit = start + 1 + min(CHUNK, 8 * len(data) - bits.at, 60 * (total - at))
@@ -556,8 +757,26 @@ def _from_palette(image: np.ndarray, palette: np.ndarray, width: int) -> np.ndar
     return np.concatenate([palette, np.zeros((256, 4), np.uint8)])[index]
 
 
+def size_of(data: bytes) -> tuple[int, int]:
+    """Width and height as the first bytes of an image have them."""
+    found = int.from_bytes(data[21:25], "little")
+    return 1 + (found & MAX_SIDE - 1), 1 + (found >> 14 & MAX_SIDE - 1)
+
+
 def decode(data: bytes) -> np.ndarray:
     """The pixels of one image, (height, width, 4) in the order green, red, blue, alpha."""
+    return decode_all([data])[0]
+
+
+def decode_all(images: list[bytes]) -> list[np.ndarray]:
+    """The pixels of each image; many images take the steps of the longest."""
+    begun = _opened_together([_begun(x) for x in images])
+    _walk_together([reading for reading, *_ in begun])
+    return [_ended(*x) for x in begun]
+
+
+def _begun(data: bytes) -> Opening:
+    """An image up to its pixels, its transforms, height and width."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise FormatError("not a lossless WebP image")
     bits = BitReader(data[20 : 20 + int.from_bytes(data[16:20], "little")])
@@ -575,16 +794,20 @@ def decode(data: bytes) -> np.ndarray:
         if kind in (PREDICTOR, CROSS_COLOUR):
             shift = bits.read(3) + 2
             across = -(-width >> shift)
-            blocks = _read_image(bits, across, -(-height >> shift), False).reshape(-1, across, 4)
+            blocks = (yield from _read_image(bits, across, -(-height >> shift), False)).reshape(-1, across, 4)
             transforms.append((kind, blocks, shift))
         elif kind == PALETTE:
             n = bits.read(8) + 1
-            palette = np.add.accumulate(_read_image(bits, n, 1, False), 0, dtype=np.uint8)
+            palette = np.add.accumulate((yield from _read_image(bits, n, 1, False)), 0, dtype=np.uint8)
             transforms.append((kind, palette, width))
             width = -(-width >> _bundle_shift(n))
         else:
             transforms.append((kind, None, 0))
-    image = _read_image(bits, width, height, True).reshape(height, width, 4)
+    return (yield from _opened(bits, width, height, True)), transforms, height, full
+
+
+def _ended(reading: Reading, transforms: list, height: int, full: int) -> np.ndarray:
+    image = _read_pixels(reading).reshape(height, -1, 4)
     for kind, extra, n in reversed(transforms):
         if kind == PREDICTOR:
             image = _predict(image, extra, n, True)
@@ -605,40 +828,129 @@ def decode(data: bytes) -> np.ndarray:
 
 def _lengths(counts: dict[int, int], symbols: int, most: int) -> bytes:
     """Code lengths by Huffman's rule, no longer than ``most``."""
-    out = bytearray(symbols)
-    if len(counts) == 1:
-        out[next(iter(counts))] = 1
-    while len(counts) > 1:
-        # leaves by count, and joined nodes, which come in order of their counts; each node's parent gives its depth
-        ranked = sorted([c << 12 | s for s, c in counts.items()])
-        leaves, weight = [x & 4095 for x in ranked], [x >> 12 for x in ranked]
-        n, never = len(leaves), ranked[-1] * len(ranked) + 1
-        parent, leaf, inner = [0] * (2 * n - 1), 0, n + 1
-        weight += [never] * (n + 1)  # one after the leaves, and those not joined yet
-        for new in range(n, 2 * n - 1):
-            both = 0
+    flat = np.zeros(symbols, np.int64)
+    flat[list(counts)] = list(counts.values())
+    return _lengths_all(flat, np.array([symbols]), most).astype(np.uint8).tobytes()
+
+
+def _lengths_all(counts: np.ndarray, widths: np.ndarray, most: int) -> np.ndarray:
+    """Code lengths by Huffman's rule for many codes; their symbols' counts lie one after the other. Each step joins two nodes of every code."""
+    out, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
+    row, count = np.repeat(np.arange(len(widths)), widths)[used], counts[used]
+    while len(used):
+        # leaves by code, count and symbol
+        order = np.lexsort((count, row))
+        used, row, count = used[order], row[order], count[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        leaves = np.diff(first, append=len(row))
+        out[used[first[leaves == 1]]] = 1
+        by_size = np.argsort(-leaves, kind="stable")  # codes that need most steps come first
+        leaves = leaves[by_size]
+        rank = np.empty(len(first), np.int64)
+        rank[by_size] = np.arange(len(first))
+        leaf_row = np.repeat(rank, np.diff(first, append=len(row)))
+        wide = int(leaves[0])
+        never = 2 * int(counts.sum()) + 1
+        # a code's nodes: its leaves by count, a place that is never taken, and joined nodes, which come in order of their counts
+        height = 2 * wide + 2
+        weight = np.full(len(leaves) * height, never, np.int64)
+        leaf_at = leaf_row * height + np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+        weight[leaf_at] = count
+        parent = np.zeros(len(weight), np.int64)
+        begin = np.arange(len(leaves)) * height
+        leaf, inner = begin.copy(), begin + wide + 1
+        steps = np.searchsorted(-leaves, -np.arange(1, wide), side="left").tolist()  # codes of more leaves than that
+        for k, n in enumerate(steps):
+            one, other, new, both = leaf[:n], inner[:n], begin[:n] + (wide + 1 + k), 0
             for _ in (0, 1):
-                if weight[leaf] <= weight[inner]:
-                    both += weight[leaf]
-                    parent[leaf] = new
-                    leaf += 1
-                else:
-                    both += weight[inner]
-                    parent[inner - 1] = new
-                    inner += 1
-            weight[new + 1] = both
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        if max(depth) <= most:
-            for k, s in enumerate(leaves):
-                out[s] = depth[k]
-            break
-        counts = {s: n // 2 + 1 for s, n in counts.items()}
-    return bytes(out)
-
-
-@lru_cache(1 << 13)
+                x, y = weight.take(one), weight.take(other)
+                is_leaf = x <= y
+                parent[np.where(is_leaf, one, other)] = new
+                both = both + np.minimum(x, y)
+                one += is_leaf
+                other += ~is_leaf
+            weight[new] = both
+        depth = np.zeros(len(weight), np.int64)
+        for k in range(len(steps) - 1, -1, -1):
+            n = steps[k]
+            below = steps[k + 1] if k + 1 < len(steps) else 0  # these codes' node isn't their root
+            node = begin[:below] + (wide + 1 + k)
+            depth[node] = depth[parent[node]] + 1
+        found = depth[parent[leaf_at]] + 1
+        several = leaves[leaf_row] > 1
+        out[used[several]] = found[several]
+        deep = np.zeros(len(leaves), bool)
+        deep[leaf_row[several & (found > most)]] = True
+        again = np.flatnonzero(deep[leaf_row])
+        again = again[np.argsort(used[again])]
+        used, row, count = used[again], row[again], count[again] // 2 + 1
+    return out
+
+
+def _written(lengths: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits (the first one lowest) and sizes by symbol of many codes; an only symbol has none."""
+    used = np.flatnonzero(lengths)
+    row = np.repeat(np.arange(len(widths)), widths)[used]
+    used = used[(np.bincount(row, minlength=len(widths)) > 1)[row]]
+    row = np.repeat(np.arange(len(widths)), widths)[used]
+    values, sizes = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
+    order = used[np.argsort(row << 4 | lengths[used], kind="stable")]
+    sizes[order] = n = lengths[order]
+    room = 1 << 15 - n
+    values[order] = _turned(15)[np.cumsum(room) - room & (1 << 15) - 1]  # a whole code takes all of the room
+    return values, sizes
+
+
+def _codes(counts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Huffman codes of counts: each symbol's bits and size, and the numbers and sizes that the code itself is written as."""
+    widths = np.array([len(x) for x in counts])
+    begin = np.cumsum(widths) - widths
+    lengths = _lengths_all(np.concatenate(counts), widths, MOST)
+    values, sizes = _written(lengths, widths)
+    row = np.repeat(np.arange(len(widths)), widths)
+    used = np.flatnonzero(lengths)
+    number = np.bincount(row[used], minlength=len(widths))
+    large = np.bincount(row[used], weights=used - begin[row[used]] > 255, minlength=len(widths)) > 0
+    simple = (number <= 2) & ~large
+    # one or two symbols
+    found = np.zeros((2, len(widths)), np.int64)
+    of_simple = used[simple[row[used]]]
+    place = np.diff(row[of_simple], prepend=-1) == 0
+    found[place.astype(np.int64), row[of_simple]] = of_simple - begin[row[of_simple]]
+    heads = (5 | (number == 2) << 1 | found[0] << 3 | found[1] << 11).astype(np.uint64)
+    head_sizes = np.where(number == 2, 19, 11)
+    tokens, token_sizes, upto = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(widths) + 1, np.int64)
+    if not simple.all():
+        # runs of equal lengths
+        normal = np.flatnonzero(~simple)
+        inside = ~simple[row]
+        each, of = lengths[inside], row[inside]
+        ends = np.flatnonzero(np.append((each[1:] != each[:-1]) | (of[1:] != of[:-1]), True))
+        value = each[ends]
+        run = np.diff(ends, prepend=-1) + (MOST_SYMBOLS + 1) * (value == 0)
+        first, several, known = _runs()
+        several = several[run]
+        after = np.cumsum(several)
+        symbols, extra, n = known[:, np.arange(after[-1]) + np.repeat(first[run] - after + several, several)]
+        symbols = np.where(symbols == 15, np.repeat(value, several), symbols)
+        of = np.repeat(of[ends], several)
+        nth = np.zeros(len(widths), np.int64)
+        nth[normal] = np.arange(len(normal))
+        at = nth[of] * 19 + symbols
+        own_widths = np.full(len(normal), 19)
+        own = _lengths_all(np.bincount(at, minlength=19 * len(normal)), own_widths, 7)
+        bits, size = (x[at] for x in _written(own, own_widths))
+        tokens, token_sizes = bits | extra.astype(np.uint64) << size.astype(np.uint64), size + n
+        upto[1:] = np.cumsum(np.bincount(of, minlength=len(widths)))
+        # 0, 15 (all 19 lengths follow), the lengths, 0
+        ordered = own.reshape(-1, 19)[:, LENGTH_ORDER]
+        heads[normal], head_sizes[normal] = (30 + (ordered << 5 + 3 * np.arange(19)).sum(1)).astype(np.uint64), 63
+    out = []
+    for k, (b, w, x, y) in enumerate(zip(begin.tolist(), widths.tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True)):
+        out.append((values[b : b + w], sizes[b : b + w], np.append(heads[k], tokens[x:y]), np.append(head_sizes[k], token_sizes[x:y])))
+    return out
+
+
 def _run(value: int, n: int) -> list[tuple[int, int, int]]:
     """How ``n`` equal lengths are written: symbols with extra values and their bits."""
     tokens = []
@@ -655,32 +967,12 @@ def _run(value: int, n: int) -> list[tuple[int, int, int]]:
     return tokens + [(value, 0, 0)] * n
 
 
-def _write_code(out: BitWriter, lengths: bytes) -> None:
-    used = prefix_code(lengths).used
-    if len(used) <= 2 and all(s < 256 for s in used):
-        out.write(1, 1)
-        out.write(len(used) == 2, 1)
-        out.write(1, 1)
-        for s in used or [0]:
-            out.write(s, 8)
-        return
-    each = np.frombuffer(lengths, np.uint8)
-    ends = [*(np.flatnonzero(each[1:] != each[:-1]) + 1).tolist(), len(each)]
-    runs = [lengths[a] << 12 | b - a for a, b in zip([0, *ends], ends, strict=False)]
-    times = Counter(runs)
-    tokens, counts = {run: _run(run >> 12, run & 4095) for run in times}, {}
-    for run, found in tokens.items():
-        for s, _, _ in found:
-            counts[s] = counts.get(s, 0) + times[run]
-    own = _lengths(counts, 19, 7)
-    strings = prefix_code(own).strings
-    out.write(0, 1)
-    out.write(15, 4)
-    for s in LENGTH_ORDER:
-        out.write(own[s], 3)
-    out.write(0, 1)
-    written = {run: "".join([strings[s] + _field(extra, n) if n else strings[s] for s, extra, n in found]) for run, found in tokens.items()}
-    out.bits += map(written.__getitem__, runs)
+@lru_cache
+def _runs() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first of its symbols and their number by a run's length, then by that of a run of zeros; and all symbols. A length stands as 15."""
+    found = [_run(value, n) for value in (15, 0) for n in range(MOST_SYMBOLS + 1)]
+    count = np.array([len(x) for x in found])
+    return np.cumsum(count) - count, count, np.array([x for each in found for x in each]).T.copy()
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -729,25 +1021,25 @@ def _hits(pixels: bytes, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return slots, (before >= 0) & (colours[before] == colours)
 
 
-@lru_cache(256)
-def _code_bits(lengths: bytes) -> str:
-    out = BitWriter()
-    _write_code(out, lengths)
-    return "".join(out.bits)
-
-
-def _counted(counts: np.ndarray) -> dict[int, int]:
-    used = np.flatnonzero(counts)
-    return dict(zip(used.tolist(), counts[used].tolist(), strict=True))
-
-
 def _information(counts: np.ndarray) -> list[float]:
     """Bits of all symbols of each row of counts, by the row's own frequencies."""
     rows = counts.sum(1)
     return (rows * np.log2(np.maximum(rows, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(1)).tolist()
 
 
-def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: bool = False) -> None:
+#: Gives counts of symbols and is sent their codes.
+Writing = Generator[list[np.ndarray], list[tuple[np.ndarray, ...]], Any]
+
+
+def _written_together(writings: list[Writing]) -> list[BitWriter]:
+    def answers(asked: list[list[np.ndarray]]) -> list[list]:
+        found = iter(_codes([x for counts in asked for x in counts]))
+        return [[next(found) for _ in counts] for counts in asked]
+
+    return _together(writings, answers)
+
+
+def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: bool = False) -> Writing:
     """Red, blue and alpha share a code if codes of their own save less than they take, as in most texts."""
     out.write(cache_bits > 0, 1)
     out.write(cache_bits, 4 * (cache_bits > 0))
@@ -773,28 +1065,43 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
     shared, *own = _information(np.concatenate([both, each]))
     if shared - sum(own) <= 4 * (np.count_nonzero(each) - np.count_nonzero(both)):
         each = both
-    one = [_lengths(_counted(c), 256, MOST) for c in each]
-    first = _lengths(_counted(np.bincount(green[token])), 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), MOST)
-    lengths = [first, *(one if len(one) == 3 else 3 * one), _lengths(Counter(x[2] for x in extra), DISTANCE_CODES, MOST)]
-    out.bits += map(_code_bits, lengths)
-    (green_bits, green_length), *others, (far_bits, far_length) = (prefix_code(x).written for x in lengths)
-    value, size = green_bits[green], green_length[green]
+    first = np.bincount(green[token], minlength=256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0))
+    first, *one, last = yield [first, *each, np.bincount([x[2] for x in extra], minlength=DISTANCE_CODES)]
+    codes = [first, *(one if len(one) == 3 else 3 * one), last]
+    for _, _, numbers, sizes in codes:
+        out.many(numbers, sizes)
+    (green_bits, green_length), *others, (far_bits, far_length) = (x[:2] for x in codes)
+    value, size = green_bits[green], green_length[green].astype(np.uint64)
     at_literal = np.flatnonzero(literal)
     v, w = value[at_literal], size[at_literal]
     for k, (rest_bits, rest_length) in enumerate(others):
         v |= rest_bits[rest[:, k]] << w
-        w += rest_length[rest[:, k]]
+        w += rest_length[rest[:, k]].astype(np.uint64)
     value[at_literal], size[at_literal] = v, w
     for (at, _, _), (more, n, far, further, m) in zip(found, extra, strict=True):
         v, w = int(value[at]), int(size[at])
         for x, y in ((more, n), (int(far_bits[far]), int(far_length[far])), (further, m)):
             v, w = v | x << w, w + y
         value[at], size[at] = v, w
-    out.many(value[token], size[token])
+    out.many(value[token], size[token].astype(np.int64))
 
 
 def compress(image: np.ndarray) -> bytes:
-    """One image as WebP bytes, by the tools that fit it.
+    """One image as WebP bytes, by the tools that fit it."""
+    return encode(image, fitting(image))
+
+
+def compress_all(images: list[np.ndarray]) -> list[bytes]:
+    """The images as ``compress`` gives them, their bits joined at once."""
+    return [_wrapped(x) for x in streams(_written_together([_fitted(image) for image in images]))]
+
+
+def _fitted(image: np.ndarray) -> Writing:
+    return (yield from _writing(image, fitting(image)))
+
+
+def fitting(image: np.ndarray) -> tuple[str, ...]:
+    """The tools that fit an image.
 
     Few colours are a palette. Otherwise that one of the transforms (subtracting green,
     predicting by the left or the top pixel) is taken that leaves the least entropy, if
@@ -803,7 +1110,7 @@ def compress(image: np.ndarray) -> bytes:
     """
     colours = np.sort(np.ascontiguousarray(image).view("<u4").reshape(-1))
     if 1 + np.count_nonzero(colours[1:] != colours[:-1]) <= min(256, image.size // 16):
-        return encode(image, ("palette", "copies"))
+        return "palette", "copies"
     green = image.copy()
     green[..., 1:3] -= image[..., :1]
     forms = {(): image, ("green",): green, ("left",): _predict_one(image, LEFT, False), ("top",): _predict_one(image, TOP, False)}
@@ -812,7 +1119,7 @@ def compress(image: np.ndarray) -> bytes:
     best = min(bits, key=lambda tools: bits[tools] + 80 * len(tools))
     slots, hit = _hits(forms[best].tobytes(), CACHE_BITS)
     saved = np.count_nonzero(hit) * (bits[best] / len(hit) - CACHE_BITS) - 6 * np.count_nonzero(np.bincount(slots[hit]))
-    return encode(image, (*best, *(("cache",) if saved > 0 else ()), "copies"))
+    return *best, *(("cache",) if saved > 0 else ()), "copies"
 
 
 def encode(image: np.ndarray, tools: tuple[str, ...] = (), seed: int = 0) -> bytes:
@@ -820,6 +1127,10 @@ def encode(image: np.ndarray, tools: tuple[str, ...] = (), seed: int = 0) -> byt
 
     ``predictor`` and ``cross`` have block parameters drawn by ``seed``; ``left`` and ``top`` are predictors of one mode.
     """
+    return _wrapped(_written_together([_writing(image, tools, seed)])[0].stream())
+
+
+def _writing(image: np.ndarray, tools: tuple[str, ...] = (), seed: int = 0) -> Writing:
     height, width, _ = image.shape
     out = BitWriter()
     out.write(0x2F, 8)
@@ -837,7 +1148,7 @@ def encode(image: np.ndarray, tools: tuple[str, ...] = (), seed: int = 0) -> byt
             palette, index = np.unique(image.reshape(-1, 4), axis=0, return_inverse=True)
             out.write(PALETTE, 2)
             out.write(len(palette) - 1, 8)
-            _write_image(out, np.diff(palette, axis=0, prepend=np.zeros((1, 4), np.uint8)), False)
+            yield from _write_image(out, np.diff(palette, axis=0, prepend=np.zeros((1, 4), np.uint8)), False)
             shared = _bundle_shift(len(palette))
             index = np.pad(index.reshape(height, width), ((0, 0), (0, -width % (1 << shared)))).reshape(height, -1, 1 << shared)
             image = np.zeros((height, index.shape[1], 4), np.uint8)
@@ -850,15 +1161,15 @@ def encode(image: np.ndarray, tools: tuple[str, ...] = (), seed: int = 0) -> byt
                 blocks[...] = LEFT if tool == "left" else TOP
             out.write(CROSS_COLOUR if tool == "cross" else PREDICTOR, 2)
             out.write(shift - 2, 3)
-            _write_image(out, blocks.reshape(-1, 4), False)
+            yield from _write_image(out, blocks.reshape(-1, 4), False)
             image = _cross(image, blocks, shift, -1) if tool == "cross" else _predict(image, blocks, shift, False)
         else:
             out.write(SUBTRACT_GREEN, 2)
             image = image.copy()
             image[..., 1:3] -= image[..., :1]
     out.write(0, 1)
-    _write_image(out, image.reshape(-1, 4), True, CACHE_BITS if "cache" in tools else 0, "copies" in tools)
-    return _wrapped(out.stream())
+    yield from _write_image(out, image.reshape(-1, 4), True, CACHE_BITS if "cache" in tools else 0, "copies" in tools)
+    return out
 
 
 def _wrapped(stream: bytes) -> bytes:

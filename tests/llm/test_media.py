@@ -163,3 +163,58 @@ def test_reading_takes_few_steps(monkeypatch):
     for kept in range(26, 40):
         with pytest.raises(webp.FormatError):
             webp.decode(stored[:kept])
+
+
+def test_many_images_are_stored_and_read_together(monkeypatch):
+    """Images of a batch are those that are made one by one; nearly all pixels and all codes of a batch take common steps."""
+    rng, walked, asked = np.random.default_rng(12), [], []
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(200)]
+    texts = ["", "a", "ab" * 300, *(" ".join(rng.choice(words, n)) for n in rng.integers(20, 400, 200)), "é" * 3000, "".join(map(chr, rng.integers(32, 9000, 2000)))]
+    payloads = [media.payload_of(t) for t in texts]
+    alone = [media.to_media(p) for p in payloads]
+    at_once, lengths = webp._read_at_once, webp._lengths_all
+    monkeypatch.setattr(webp, "_read_at_once", lambda image: walked.append(image.at == image.total) or at_once(image))
+    monkeypatch.setattr(webp, "_lengths_all", lambda *a: asked.append(a) or lengths(*a))
+    for rows in (1000, 130, 7):
+        monkeypatch.setattr(media, "MOST_ROWS", rows)
+        assert list(media.stored_all(payloads)) == alone
+        assert [p.tobytes() for p in media.pixels_all(alone)] == payloads
+        if rows == 1000:
+            assert sum(walked) > 0.6 * len(texts) and len(asked) <= 8
+    monkeypatch.setattr(media, "AT_ONCE", 100)
+    assert list(media.stored_all(payloads)) == alone and [p.tobytes() for p in media.pixels_all(alone)] == payloads
+
+
+def test_tools_round_trip_together():
+    rng, images, stored = np.random.default_rng(21), [], []
+    for n in range(len(TOOLS) + 1):
+        for tools in itertools.combinations(TOOLS, n):
+            for colours in (1, 3, 150):
+                height, width = rng.integers(1, 12, 2)
+                images.append(np.tile(rng.integers(0, 256, (colours, 4), np.uint8)[rng.integers(0, colours, (height, width))], (2, 1, 1)))
+                stored.append(webp.encode(images[-1], tools, n))
+    assert all(np.array_equal(a, b) for a, b in zip(webp.decode_all(stored), images, strict=True))
+
+
+def test_damaged_images_among_others():
+    """A damaged image is an error, or the same pixels, whether it is read alone or among others."""
+    rng = np.random.default_rng(22)
+    text = lambda n: np.frombuffer(media.payload_of("".join(rng.choice(list("etaoin shrdlu"), n))), np.uint8).reshape(-1, 16, 4)
+    others = [webp.compress(text(900)) for _ in range(60)]
+    whole, wrong = webp.compress(text(1500)), 0
+
+    def read(images):
+        try:
+            return webp.decode_all(images)[-1]
+        except webp.FormatError:
+            return None
+
+    for _ in range(40):
+        bad = bytearray(whole)
+        bad[int(rng.integers(25, len(bad)))] ^= 1 << int(rng.integers(8))
+        if rng.integers(2):
+            bad[16:20] = int(rng.integers(20, len(bad) - 20)).to_bytes(4, "little")
+        alone, among = read([bytes(bad)]), read([*others, bytes(bad)])
+        assert (alone is None and among is None) or np.array_equal(alone, among)
+        wrong += alone is None
+    assert 10 < wrong
